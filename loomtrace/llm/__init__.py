@@ -1,0 +1 @@
+"""Operators for large training-data pipelines, one module each."""
