@@ -1 +1,10 @@
-"""Operators for large training-data pipelines, one module each."""
+"""Operators for large training-data pipelines, one module each.
+
+Functions that run on executors travel with the job, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

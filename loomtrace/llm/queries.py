@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, pii, sharding
+from . import media, mixing, packing, pii, sharding, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (sharding.op1_extendible_hash_shards, pii.op4_pii, mixing.op6_poisson_mix, packing.op7_best_fit_packing, media.op9_matroska)
+    found = (sharding.op1_extendible_hash_shards, pii.op4_pii, mixing.op6_poisson_mix, packing.op7_best_fit_packing, simhash.op8_simhash_mih, media.op9_matroska, topk.op10_hamming_topk)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_extendible_hash_shards": sharding.ORACLE, "op6_poisson_mix": mixing.ORACLE}
+    return {"op1_extendible_hash_shards": sharding.ORACLE, "op6_poisson_mix": mixing.ORACLE, "op10_hamming_topk": topk.ORACLE}
