@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, pii, rlz, sharding, simhash, topk, toxicity
+from . import lm, media, mixing, packing, pii, rlz, sharding, simhash, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (sharding.op1_extendible_hash_shards, toxicity.op3_string_kernel_svm, pii.op4_pii, rlz.op5_rlz_substrings, mixing.op6_poisson_mix, packing.op7_best_fit_packing, simhash.op8_simhash_mih, media.op9_matroska, topk.op10_hamming_topk)
+    found = (sharding.op1_extendible_hash_shards, lm.op2_log_bloom_lm, toxicity.op3_string_kernel_svm, pii.op4_pii, rlz.op5_rlz_substrings, mixing.op6_poisson_mix, packing.op7_best_fit_packing, simhash.op8_simhash_mih, media.op9_matroska, topk.op10_hamming_topk)
     return {f.__name__: f for f in found}
 
 
