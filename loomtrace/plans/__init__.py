@@ -1 +1,19 @@
-"""Queries over the shared tables, each with its SQL."""
+"""Queries over the shared tables, each with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import sequence_queries
+
+_MODULES = [sequence_queries]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for m in _MODULES for f in m.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
