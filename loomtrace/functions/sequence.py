@@ -5,7 +5,7 @@ Every builder takes a cleaned sequence (see ``clean``); ``TOOLS`` lists them in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .compat import let, letters, matches, py_round
@@ -165,3 +165,32 @@ def with_tools(df: DataFrame, sequence: str) -> DataFrame:
 
 def proline_fraction(seq: Column) -> Column:
     return F.when(F.length(seq) > 0, F.regexp_count(seq, F.lit("P")) / F.length(seq)).otherwise(0.0)
+
+
+# A made-up repeat with every dragline motif, and a real proline-rich sequence.
+MASP_UNIT, MASP_COPIES = "GGAGQGGYGGLGSQGAGRGGLGGQGAGAAAAAAAA", 3
+PYSP = (
+    "SSSAYSGTSTGGSSVSQSQPIISSAPVYFNAQTLTSSLASSLQSDRALNFISSGQLSASDVSTSVSSAVAQTLGISQSSVQNIISQQMSSVRTGASSSSVSQAIANAVSSAVQASGAATPGQEQ"
+    "SIAQRVYSSISTYLSQLISQRTAPAPAPAPRPAPMPAPAPRPAPMPAPAPRPRPAPAPRPAPVYAPAPVVSQIQAAASSQSSAQQSSFAQAQQSAYAQSQQSSSAYSGASTGGSSVSQSQPIIS"
+    "SAPVYFNAQTLTSSLASSLQSDRALNFISSGQLSASDVSTSVSSAVAQTLGISQSSVQNIISQQMSSVRTGASSSSVSQAIANAVSSAVQASGAATPGQEQSIAQRVYSSISTYLSQLISQRTA"
+)
+
+
+def validate(spark: SparkSession) -> DataFrame:
+    """sequence_name, check, passed: what the tools must say of the two control sequences; two checks only report."""
+    both = spark.createDataFrame([(MASP_UNIT * MASP_COPIES, PYSP)], "masp string, pysp string")
+    masp, pysp = F.col("masp"), F.col("pysp")
+    has = lambda seq, name: F.map_contains_key(motif_spans(seq), name)
+    period, beta = repeat_pattern_analyzer(masp), beta_sheet_propensity(masp)
+    rows = [
+        ("masp_like", "poly_alanine detected", has(masp, "poly_alanine")),
+        ("masp_like", "GGX_repeat detected", has(masp, "GGX_repeat")),
+        ("masp_like", "repeat period detected", period["dominant_period"].isNotNull() & (period["repeat_score"] > 0.5)),
+        ("masp_like", "report: motif and propensity differ on poly_alanine", F.lit(True) | has(masp, "poly_alanine") & (beta["mean_beta_propensity"] < BETA_THRESHOLD)),
+        ("pysp", "proline_rich_turn detected", has(pysp, "proline_rich_turn")),
+        ("pysp", "poly_alanine absent", ~has(pysp, "poly_alanine")),
+        ("pysp", "more proline than masp_like", proline_fraction(pysp) > proline_fraction(masp)),
+        ("pysp", "report: turn propensity and proline content may differ", F.lit(True)),
+    ]
+    checks = F.array(*[F.struct(F.lit(s).alias("sequence_name"), F.lit(c).alias("check"), p.alias("passed")) for s, c, p in rows])
+    return both.select(F.explode(checks).alias("x")).select("x.*")
