@@ -13,7 +13,7 @@ these are dealt. Texts that equal one of a smaller id are duplicates as a whole
 
 Cases. Null or empty text: no words. Fewer than ``WINDOW`` words: nothing is removed. Rows of equal id do not make each
 other's words duplicates. A null id counts as larger than every other. Empty table: no rows. Extra columns are ignored.
-Phrases are compared by 128 bits of hashes of the words' 64-bit hashes.
+Phrases are compared by 96 bits of hashes of the words' 64-bit hashes; rows (id and text) by 64 bits.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def factors(known: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _anchors(rows: DataFrame) -> DataFrame:
-    """d, t, anchor: the anchors of each text, once each."""
+    """r, t, anchor: the anchors of each text, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +84,9 @@ def _anchors(rows: DataFrame) -> DataFrame:
                     at.append(np.full(len(found), i))
                     out.append(found)
             take = pa.array(np.concatenate([np.empty(0, np.int64), *at]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(out).view(np.int64))], names=["d", "t", "anchor"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(out).view(np.int64))], names=["r", "t", "anchor"])
 
-    return rows.select("d", "t", "text").mapInArrow(run, "d long, t long, anchor long")
+    return rows.select("r", "t", "text").mapInArrow(run, "r long, t long, anchor long")
 
 
 def _phrases(marked: DataFrame) -> DataFrame:
@@ -94,17 +94,18 @@ def _phrases(marked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]]
+            cols: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]]
             for d, text, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 h = word_hashes((text or "").encode().split())
                 first, anchor = phrases(h)
                 at = np.isin(anchor, shared.values.to_numpy().view(np.uint64))
                 one, where = np.unique(first[at], return_index=True)
-                for col, x in zip(cols, (one, rolling(remix(h), WINDOW, _B[1])[at][where], np.full(len(one), d)), strict=True):
+                second = rolling(remix(h), WINDOW, _B[1])[at][where] >> np.uint64(32)
+                for col, x in zip(cols, (one.view(np.int64), second.astype(np.uint32).view(np.int32), np.full(len(one), d)), strict=True):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in cols], names=["h1", "h2", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h1", "h2", "d"])
 
-    return marked.where("first and shared is not null").select("d", "text", "shared").mapInArrow(run, "h1 long, h2 long, d long")
+    return marked.where("first and shared is not null").select("d", "text", "shared").mapInArrow(run, "h1 long, h2 int, d long")
 
 
 def parse(text: str | None, first: bool, shared: np.ndarray, own: np.ndarray) -> tuple[int, list[tuple[int, int]], bytes]:
@@ -129,19 +130,26 @@ def parse(text: str | None, first: bool, shared: np.ndarray, own: np.ndarray) ->
     return n, found, b" ".join(kept + words[at:])
 
 
+def _marks(source: DataFrame) -> DataFrame:
+    """r, shared (the row's anchors that other texts have too), first (no equal text has a smaller id), first_d (its id)."""
+    anchors = _anchors(source)
+    shared = anchors.groupBy("anchor").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("anchor")
+    shared = anchors.select("r", "anchor").join(shared, "anchor").groupBy("r").agg(F.collect_set("anchor").alias("shared"))
+    firsts = source.groupBy("t", F.md5("text").alias("digest")).agg(F.min("d").alias("first_d"))
+    firsts = firsts.select(F.xxhash64("first_d", "t").alias("r"), "first_d", F.lit(True).alias("first")).distinct()
+    return cut(shared.join(firsts, "r", "full_outer"))
+
+
 def dedup_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """ident, n_words, factors (first word and words of each; neighbours may overlap), n_removed, and kept_text."""
     source = docs.select(F.coalesce(docs[ident].cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(docs[text]).alias("t"), docs[text].alias("text"))
-    anchors = _anchors(source)
-    shared = anchors.groupBy("anchor").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("anchor")
-    shared = anchors.join(shared, "anchor").groupBy("d", "t").agg(F.collect_set("anchor").alias("shared"))
-    firsts = source.groupBy("t", F.md5("text").alias("digest")).agg(F.min("d").alias("d")).select("d", "t").distinct().withColumn("first", F.lit(True))
-    marks = cut(shared.join(firsts, ["d", "t"], "full_outer"))
-    marked = source.join(marks, ["d", "t"], "left")
+    source = source.withColumn("r", F.xxhash64("d", "t"))
+    marks = _marks(source)
+    marked = source.select("r", "d", "text").join(marks.select("r", "shared", "first"), "r", "left")
     index = _phrases(marked).groupBy("h1", "h2").agg(F.min("d").alias("d"))
     own = index.groupBy("d").agg(F.collect_list("h1").alias("own"))
-    own = marks.select("d", "t").join(own, "d")
-    ready = marked.join(own, ["d", "t"], "left").select("d", "text", F.coalesce("first", F.lit(False)).alias("first"), "shared", "own")
+    own = marks.where("first").select("r", F.col("first_d").alias("d")).join(own, "d").select("r", "own")
+    ready = marked.join(own, "r", "left").select("d", "text", F.coalesce("first", F.lit(False)).alias("first"), "shared", "own")
     none = np.empty(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
