@@ -33,16 +33,16 @@ def uniform(seed: int, ident: Column) -> Column:
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, total: int | None, source: str = "source") -> DataFrame:
     """A row for each source: its rate, and the cumulative Poisson probabilities up to where less than 2**-52 is left."""
-    sizes = docs.groupBy(docs[source].alias("mix_source")).agg(F.count("*").alias("n"))
+    sizes = docs.select(docs[source].alias("__source")).groupBy("__source").agg(F.count("*").alias("n"))
     everything = sizes.agg(F.sum("n").alias("all_n"), F.count("*").alias("all_sources"))
     sizes = sizes.crossJoin(F.broadcast(everything))  # one row
     if weights is None:
         weight = 1.0 / F.col("all_sources")
     else:
         given = F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v) / sum(weights.values()))]) if weights else F.lit(None)
-        weight = F.coalesce(given[F.col("mix_source")], F.lit(0.0)) if weights else F.lit(0.0)
+        weight = F.coalesce(given[F.col("__source")], F.lit(0.0)) if weights else F.lit(0.0)
     wanted = F.col("all_n").cast("double") if total is None else F.lit(float(total))
-    sizes = sizes.select("mix_source", (wanted * weight / F.col("n")).alias("rate"))
+    sizes = sizes.select("__source", (wanted * weight / F.col("n")).alias("rate"))
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
     steps = F.expr("sequence(1, last)")
     first = F.struct(F.lit(0.0).alias("log_fact"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
@@ -51,7 +51,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, total: int | None,
         F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + F.exp(k * F.ln("rate") - F.col("rate") - (acc["log_fact"] + F.ln(k))))).alias("cdf"),
     )
     cdf = F.when(F.col("rate") > 0, F.aggregate(steps, first, step)["cdf"]).otherwise(F.array(F.lit(1.0)))
-    return sizes.withColumn("last", last).select("mix_source", "rate", cdf.alias("cdf"))
+    return sizes.withColumn("last", last).select("__source", F.col("rate").alias("__rate"), cdf.alias("__cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = SEED, ident: str = "doc_id", source: str = "source") -> DataFrame:
@@ -61,8 +61,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     if len(docs.select(source).distinct().limit(BROADCAST_SOURCES + 1).take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES:
         table_ = F.broadcast(table_)
     # A document that gets no copy is left out before its text moves.
-    drawn = docs.join(table_, docs[source].eqNullSafe(table_["mix_source"])).withColumn("copies", F.size(F.filter("cdf", lambda p: p <= uniform(seed, F.col(f"`{ident}`")))))
-    copies = drawn.where("copies > 0").select(*[docs[c] for c in docs.columns], F.explode(F.expr("sequence(1, copies)")).alias("copy"))
+    drawn = docs.join(table_, docs[source].eqNullSafe(table_["__source"])).withColumn("__copies", F.size(F.filter("__cdf", lambda p: p <= uniform(seed, F.col(f"`{ident}`")))))
+    copies = drawn.where("__copies > 0").select(*[docs[c] for c in docs.columns], F.explode(F.expr("sequence(1, __copies)")).alias("copy"))
     copies = copies.withColumn("shuffle_key", _key(seed, F.col(f"`{ident}`"), F.col("copy")))
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

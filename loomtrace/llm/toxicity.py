@@ -198,9 +198,10 @@ def apart(words: list[bytes], most: int) -> list[bytes]:
 
 def train(docs: DataFrame, labels: DataFrame, ident: str, text: str, toxic: str) -> Model:
     """docs and labels hold the rows that may be learned from."""
-    known = labels.where(F.col(ident).isNotNull() & F.col(toxic).isNotNull()).groupBy(ident).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64(ident), ident).limit(TRAIN_ROWS).select(F.col(ident).alias("i"), "toxic")
-    sample = cut(docs.join(F.broadcast(chosen), docs[ident] == F.col("i")).select("i", docs[text].alias("text"), "toxic"))
+    known = labels.select(labels[ident].alias("i"), labels[toxic].cast("int").alias("toxic")).where("i is not null and toxic is not null").groupBy("i").agg(F.max("toxic").alias("toxic"))
+    chosen = known.orderBy(F.xxhash64("i"), "i").limit(TRAIN_ROWS)
+    texts = docs.select(docs[ident].alias("d"), docs[text].alias("text"))
+    sample = cut(texts.join(F.broadcast(chosen), F.col("d") == F.col("i")).select("text", "toxic"))  # TRAIN_ROWS ids at most
     counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_all = counts.get(1, 0), sum(counts.values())
     if not n_toxic or n_toxic == n_all:
@@ -247,20 +248,20 @@ def _kernels(rows: DataFrame, keep: str, landmarks: list[bytes]) -> DataFrame:
     return rows.mapInArrow(run, f"{keep} {rows.schema[keep].dataType.simpleString()}, kernels array<float>")
 
 
-def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The named columns and ``score``."""
+def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
+    """The named columns and the score."""
     kept = [docs[c] for c in keep]
     if not model.landmarks:
-        return docs.select(*kept, F.lit(model.constant).alias("score"))
+        return docs.select(*kept, F.lit(model.constant).alias(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Landmarks(model.landmarks)
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
                 score = model.score(text_kernels(part.column(len(keep)).to_pylist(), marks))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, out])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` double"])
     return docs.select(*kept, docs[text].alias("__text")).mapInArrow(run, schema)
 
 
