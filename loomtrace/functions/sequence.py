@@ -5,6 +5,8 @@ Every builder takes a cleaned sequence (see ``clean``); ``TOOLS`` lists them in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,21 +44,56 @@ def _span(lo: Column, hi: Column) -> Column:
     return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
 
+def _scale(table: dict[str, float]) -> int:
+    """10 or 100: what makes all values whole numbers, so that sums are exact in any order."""
+    return 10 if all(abs(v * 10 - round(v * 10)) < 1e-9 for v in table.values()) else 100
+
+
 def _values(seq: Column, table: dict[str, float], other: float) -> Column:
-    lookup = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.transform(letters(seq), lambda c: F.coalesce(F.try_element_at(lookup, c), F.lit(other)))
+    """Each residue's value as a whole number of tenths or hundredths.
+
+    One pass turns residues into characters whose codes are the values, which costs less than a map lookup for each.
+    """
+    scale, base = _scale(table), 1000
+    code = lambda v: chr(round(v * scale) + base)
+    known = "".join(table)
+    plain = F.regexp_replace(seq, f"[^{known}]", "X")
+    coded = F.translate(plain, known + "X", "".join(code(v) for v in table.values()) + code(other))
+    return F.transform(letters(coded), lambda c: F.ascii(c) - base)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def _mean(values: Column, scale: int) -> Column:
+    """0 for none."""
+    return F.when(F.size(values) > 0, _total(values) / F.lit(float(scale)) / F.size(values)).otherwise(0.0)
+
 
+def _from(values: Column, start: int) -> Column:
+    return F.slice(values, F.lit(start + 1), F.greatest(F.size(values) - start, F.lit(0)))
 
-def _mean(values: Column) -> Column:
-    """From left to right; 0 for none."""
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(values) > 0, total / F.size(values)).otherwise(0.0)
 
+def _add(a: Column, b: Column) -> Column:
+    """Sums as far as both reach."""
+    n = F.least(F.size(a), F.size(b))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x + y)
 
-def _sliding(values: Column, width: Column) -> Column:
-    """Means of all runs of ``width`` values; none where there are fewer."""
-    steps = F.when(F.size(values) >= width, F.sequence(F.lit(1), F.size(values) - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda i: F.aggregate(F.slice(values, i, width), F.lit(0.0), lambda a, x: a + x) / width)
+
+def _sliding(values: Column, width: int, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the sums of all runs of ``width`` values, put together from runs of 1, 2, 4, ... values."""
+
+    def grow(run: Column, size: int, done: Column | None, reach: int, rest: int) -> Column:
+        if rest & 1:
+            joined = run if done is None else _add(done, _from(run, reach))
+            return then(joined) if rest == 1 else let(joined, lambda d: double(run, size, d, reach + size, rest >> 1))
+        return double(run, size, done, reach, rest >> 1)
+
+    def double(run: Column, size: int, done: Column | None, reach: int, rest: int) -> Column:
+        return let(_add(run, _from(run, size)), lambda r: grow(r, 2 * size, done, reach, rest))
+
+    return grow(values, 1, None, 0, width)
 
 
 def motif_spans(seq: Column) -> Column:
@@ -71,20 +108,27 @@ def motif_detector(seq: Column) -> Column:
 
 
 def hydropathy_profile(seq: Column, window: int = HYDROPATHY_WINDOW) -> Column:
+    scale = _scale(HYDROPATHY)
+
     def of(values: Column) -> Column:
-        width = F.greatest(F.lit(1), F.least(F.lit(window), F.size(values)))
-
-        def spans(means: Column) -> Column:
-            high = F.array_max(F.transform(means, lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))))
-            low = F.array_min(F.transform(means, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
-            return F.struct(
-                py_round(_mean(values), 3).alias("mean_hydropathy"), width.alias("window_size"),
-                F.when(F.size(means) > 0, _span(-high["i"], -high["i"] + width - 1)).alias("most_hydrophobic_span"),
-                F.when(F.size(means) > 0, _span(low["i"], low["i"] + width - 1)).alias("most_hydrophilic_span"),
-                py_round(high["v"], 3).alias("max_window_value"), py_round(low["v"], 3).alias("min_window_value"),
+        n = F.size(values)
+        width = F.greatest(F.lit(1), F.least(F.lit(window), n))
+
+        def spans(sums: Column) -> Column:
+            high = F.array_max(F.transform(sums, lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))))
+            low = F.array_min(F.transform(sums, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+            mean = lambda x: py_round(x / F.lit(float(scale)) / width, 3)
+            out = lambda h, lo: F.struct(
+                py_round(_mean(values, scale), 3).alias("mean_hydropathy"), width.alias("window_size"),
+                F.when(n > 0, _span(-h["i"], -h["i"] + width - 1)).alias("most_hydrophobic_span"),
+                F.when(n > 0, _span(lo["i"], lo["i"] + width - 1)).alias("most_hydrophilic_span"),
+                mean(h["v"]).alias("max_window_value"), mean(lo["v"]).alias("min_window_value"),
             )
+            return let(high, lambda h: let(low, lambda lo: out(h, lo)))
 
-        return let(_sliding(values, width), spans)
+        # A sequence shorter than the window is one window.
+        short = F.when(n > 0, F.array(_total(values))).otherwise(F.array().cast("array<int>"))
+        return let(F.when(n < window, short).otherwise(_sliding(values, window, lambda sums: sums)), spans)
 
     return let(_values(seq, HYDROPATHY, 0.0), of)
 
@@ -104,26 +148,25 @@ def beta_sheet_propensity(seq: Column, window: int = BETA_WINDOW, threshold: flo
         first, last = F.filter(at, lambda x: x["h"] & ~x["before"]), F.filter(at, lambda x: x["h"] & ~x["after"])
         return F.zip_with(first, last, lambda a, b: _span(a["i"], b["i"] + window - 1))
 
-    sliding = let(_values(seq, sheet, 1.0), lambda v: _sliding(v, F.lit(window)))
+    scale = _scale(sheet)
+    # Whole hundredths: a window reaches the threshold exactly or not at all.
+    hot = let(_values(seq, sheet, 1.0), lambda v: _sliding(v, window, lambda sums: F.transform(sums, lambda x: x >= round(threshold * scale * window))))
+    mean = lambda t, name: py_round(let(_values(seq, t, 1.0), lambda v: _mean(v, scale)), 3).alias(name)
     return F.struct(
-        py_round(_mean(_values(seq, helix, 1.0)), 3).alias("mean_alpha_propensity"),
-        py_round(_mean(_values(seq, sheet, 1.0)), 3).alias("mean_beta_propensity"),
-        py_round(_mean(_values(seq, turn, 1.0)), 3).alias("mean_turn_propensity"),
-        let(F.transform(sliding, lambda v: v >= threshold), runs).alias("beta_rich_spans"),
-        F.lit(threshold).alias("beta_threshold"),
+        mean(helix, "mean_alpha_propensity"), mean(sheet, "mean_beta_propensity"), mean(turn, "mean_turn_propensity"),
+        let(hot, runs).alias("beta_rich_spans"), F.lit(threshold).alias("beta_threshold"),
     )
 
 
 def repeat_pattern_analyzer(seq: Column, shortest: int = PERIODS[0], longest: int = PERIODS[1]) -> Column:
     n = F.length(seq)
 
-    def best(chars: Column) -> Column:
-        periods = F.when(n >= 2 * shortest, F.sequence(F.lit(shortest), F.least(F.lit(longest), F.floor(n / 2).cast("int")))).otherwise(F.array().cast("array<int>"))
-
+    def best(codes: Column) -> Column:
         def score(p: Column) -> Column:
-            same = F.zip_with(F.slice(chars, F.lit(1), n - p), F.slice(chars, p + 1, n - p), lambda a, b: a == b)
-            return F.struct((F.size(F.filter(same, lambda x: x)) / (n - p)).alias("score"), (-p).alias("p"))
+            same = F.filter(codes, lambda x, i: x == F.get(codes, i + p))  # letters that come again after p
+            return F.struct((F.size(same) / (n - p)).alias("score"), (-p).alias("p"))
 
+        periods = F.when(n >= 2 * shortest, F.sequence(F.lit(shortest), F.least(F.lit(longest), F.floor(n / 2).cast("int")))).otherwise(F.array().cast("array<int>"))
         return F.array_max(F.transform(periods, score))
 
     def out(b: Column) -> Column:
@@ -134,12 +177,12 @@ def repeat_pattern_analyzer(seq: Column, shortest: int = PERIODS[0], longest: in
             F.when(found, F.substring(seq, F.lit(1), -b["p"])).alias("example_repeat_unit"),
         )
 
-    return let(let(letters(seq), best), out)
+    return let(let(F.transform(letters(seq), F.ascii), best), out)
 
 
 def disorder_prediction_chplot(seq: Column) -> Column:
     charge = F.abs(charge_profile(seq)["mean_net_charge_per_residue"])
-    hydropathy = (_mean(_values(seq, HYDROPATHY, 0.0)) + 4.5) / 9.0
+    hydropathy = (let(_values(seq, HYDROPATHY, 0.0), lambda v: _mean(v, _scale(HYDROPATHY))) + 4.5) / 9.0
     boundary = (charge + 1.151) / 2.785
     some = F.length(seq) > 0
     number = lambda x, name: F.when(some, py_round(x, 4)).otherwise(0.0).alias(name)

@@ -47,12 +47,6 @@ def diversity(traces: DataFrame, prompt: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_prompts"), F.count_if(F.col("n") > 1).alias("n_diverse"), F.coalesce(F.try_divide(F.count_if(F.col("n") > 1), F.count("*")), F.lit(0.0)).alias("diverse_fraction"))
 
 
-def _candidates(traces: DataFrame, prompt: str, key: str, chosen: str, rejected: str, kind: str, seed: int, extra: list[str]) -> DataFrame:
-    a = traces.where(F.col("bucket") == chosen).select(prompt, F.col(key).alias("chosen"), *[F.col(c).alias(f"a_{c}") for c in extra])
-    b = traces.where(F.col("bucket") == rejected).select(prompt, F.col(key).alias("rejected"), *[F.col(c).alias(f"b_{c}") for c in extra])
-    return a.join(b, prompt).select("*", F.lit(kind).alias("pair_type"), seeded(seed, F.lit(kind), F.col("chosen"), F.col("rejected")).alias("rnd"))
-
-
 def build_pairs(traces: DataFrame, prompt: str, key: str, config: PairConfig = PairConfig(), answer: str = "final_answer") -> DataFrame:  # noqa: B008
     """prompt, pair_type, chosen, rejected, pair_rank. traces: prompt, unique key, bucket and answer.
 
@@ -60,25 +54,32 @@ def build_pairs(traces: DataFrame, prompt: str, key: str, config: PairConfig = P
     ``max_pairs * anti_ratio`` (half-even) of wrong but grounded against wrong shortcut; then grounded against
     wrong shortcut of the correct ones for what is left of the budget, and correct shortcut against wrong grounded for what that leaves.
     The list is cut to the budget; a budget of 0 cuts nothing.
+
+    One self-join on the prompt finds the pairs of all types, and every later step needs the same partitioning, so the
+    keys are shuffled once.
     """
     budget = config.max_pairs
     anti_limit = max(0, round(budget * config.anti_ratio))
+    slim = traces.select(prompt, key, "bucket", answer)
+    a = slim.select(prompt, F.col(key).alias("chosen"), F.col("bucket").alias("a_bucket"), F.col(answer).alias("a_answer"))
+    b = slim.select(prompt, F.col(key).alias("rejected"), F.col("bucket").alias("b_bucket"), F.col(answer).alias("b_answer"))
+    both = lambda chosen, rejected: (F.col("a_bucket") == chosen) & (F.col("b_bucket") == rejected)
+    place = (
+        F.when(both(GROUNDED_CORRECT, SHORTCUT_CORRECT) & config.agree(F.col("a_answer"), F.col("b_answer")), 0)
+        .when(both(GROUNDED_INCORRECT, SHORTCUT_INCORRECT), 1)
+        .when(both(GROUNDED_CORRECT, SHORTCUT_INCORRECT), 2)
+        .when(both(SHORTCUT_CORRECT, GROUNDED_INCORRECT), 3)
+    )
+    kinds = F.array(*[F.lit(k) for k in ("same_answer", "anti_shortcut", "standard", "standard_fallback")])
+    found = a.join(b, prompt).withColumn("place", place).where("place is not null").withColumn("pair_type", kinds[F.col("place")])
+    found = found.select(prompt, "place", "pair_type", "chosen", "rejected", seeded(config.seed, F.col("pair_type"), F.col("chosen"), F.col("rejected")).alias("rnd"))
     per = Window.partitionBy(prompt)
-    ranked = per.orderBy("rnd", "chosen", "rejected")
-    make = lambda a, b, kind, extra=(): _candidates(traces, prompt, key, a, b, kind, config.seed, list(extra))
-    columns = [prompt, "pair_type", "chosen", "rejected", "rnd"]
-    same = make(GROUNDED_CORRECT, SHORTCUT_CORRECT, "same_answer", [answer]).where(config.agree(F.col(f"a_{answer}"), F.col(f"b_{answer}"))).select(columns)
-    anti = make(GROUNDED_INCORRECT, SHORTCUT_INCORRECT, "anti_shortcut").withColumn("n", F.row_number().over(ranked)).where(f"n <= {anti_limit}").select(columns)
-    # The limits of the last two kinds depend on counts of the others, so all meet in one window on the prompt.
-    standard = make(GROUNDED_CORRECT, SHORTCUT_INCORRECT, "standard").withColumn("n", F.row_number().over(ranked)).where(f"n <= {budget}").select(columns)
-    fallback = make(SHORTCUT_CORRECT, GROUNDED_INCORRECT, "standard_fallback").withColumn("n", F.row_number().over(ranked)).where(f"n <= {budget}").select(columns)
-    every = same.unionByName(anti).unionByName(standard).unionByName(fallback)
-    kind = F.col("pair_type")
-    place = F.when(kind == "same_answer", 0).when(kind == "anti_shortcut", 1).when(kind == "standard", 2).otherwise(3)
-    remaining = F.greatest(F.lit(0), F.lit(budget - anti_limit) - F.count_if(kind == "same_answer").over(per))
-    in_kind = F.row_number().over(Window.partitionBy(prompt, "pair_type").orderBy("rnd", "chosen", "rejected"))
-    counted = every.withColumn("place", place).withColumn("remaining", remaining).withColumn("n_standard", F.least(F.count_if(kind == "standard").over(per), F.col("remaining"))).withColumn("n", in_kind)
-    limit = F.when(F.col("place") == 2, F.col("remaining")).when(F.col("place") == 3, F.col("remaining") - F.col("n_standard")).otherwise(F.col("n"))
+    counted = found.select(
+        "*", F.row_number().over(Window.partitionBy(prompt, "place").orderBy("rnd", "chosen", "rejected")).alias("n"),
+        F.greatest(F.lit(0), F.lit(budget - anti_limit) - F.count_if(F.col("place") == 0).over(per)).alias("remaining"), F.count_if(F.col("place") == 2).over(per).alias("n_standard"),
+    )
+    left = F.col("remaining") - F.least("n_standard", "remaining")
+    limit = F.when(F.col("place") == 0, F.col("n")).when(F.col("place") == 1, F.lit(anti_limit)).when(F.col("place") == 2, F.col("remaining")).otherwise(left)
     kept = counted.where(F.col("n") <= limit).withColumn("pair_rank", F.row_number().over(per.orderBy("place", "rnd", "chosen", "rejected")))
     return (kept.where(f"pair_rank <= {budget}") if budget else kept).select(prompt, "pair_type", "chosen", "rejected", "pair_rank")
 

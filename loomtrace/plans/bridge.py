@@ -14,15 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, source, lang, seq: 200 letters at most of English documents and of benchmark texts."""
-    seq = F.substring(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), 1, 200).alias("seq")
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "source", seq)
+    """id, source, seq: the letters A to Z of every document and benchmark text, in upper case."""
+    seq = F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", seq)
     return docs.unionByName(table(spark, sf_dir, "benchmark").select((F.col("item_id") + 100000000).alias("id"), F.lit("benchmark").alias("source"), seq))
 
 
 SEQUENCES = """
-sequences AS (SELECT doc_id AS id, source, substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 200) AS seq FROM documents WHERE lang = 'en'
-  UNION ALL SELECT item_id + 100000000, 'benchmark', substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 200) FROM benchmark)"""
+sequences AS (SELECT doc_id AS id, source, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents
+  UNION ALL SELECT item_id + 100000000, 'benchmark', upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) FROM benchmark)"""
 
 
 def silk(spark: SparkSession, sf_dir: str) -> DataFrame:

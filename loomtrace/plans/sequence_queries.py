@@ -61,40 +61,34 @@ def seq_disorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir, "disorder_prediction_chplot")
 
 
-def _lookup(values: dict[str, float]) -> str:
-    return "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in values.items()) + "}"
-
-
-_KD, _CF = _lookup(sequence.HYDROPATHY), [_lookup({k: v[i] for k, v in sequence.PROPENSITY.items()}) for i in range(3)]
-_SUM = "list_reduce(list_prepend(0.0::DOUBLE, {v}), lambda x, y: x + y)"
-_CHARS = "CASE WHEN seq = '' THEN []::VARCHAR[] ELSE string_split(seq, '') END"
-
-
-def _values(table: str, other: float) -> str:
-    return f"list_transform({_CHARS}, lambda ch: coalesce(({table})[ch], {other}::DOUBLE))"
-
-
 def _round(x: str, d: int) -> str:
     return f"(printf('%.{d}f', {x})::DOUBLE + 0.0::DOUBLE)"
 
 
-def _mean(v: str) -> str:
-    return f"CASE WHEN len({v}) > 0 THEN {_SUM.format(v=v)} / len({v}) ELSE 0.0::DOUBLE END"
+_CHARS = """chars AS (SELECT id, length(seq) AS n, unnest(string_split(seq, '')) AS ch, generate_subscripts(string_split(seq, ''), 1) AS pos FROM silk WHERE seq <> '')"""
+
+
+def _values(name: str, values: dict[str, float], other: float) -> str:
+    """Each residue's value in whole hundredths; and each sequence's mean."""
+    whole = {k: round(v * 100) for k, v in values.items()}
+    return f"""{name} AS (SELECT id, n, pos, coalesce(t.v, {other * 100:.0f})::BIGINT AS v FROM chars LEFT JOIN (VALUES {", ".join(f"('{k}', {v})" for k, v in whole.items())}) t(ch, v) USING (ch)),
+{name}_mean AS (SELECT id, sum(v)::DOUBLE / 100.0::DOUBLE / any_value(n) AS m FROM {name} GROUP BY id)"""
 
 
-def _slide(v: str, w: str) -> str:
-    return f"list_transform(range(1, len({v}) - {w} + 2), lambda i: {_SUM.format(v=f'list_slice({v}, i, i + {w} - 1)')} / {w})"
+def _slide(name: str, width: int) -> str:
+    """Means of all windows, the window shrunk to the sequence where that is shorter."""
+    return f"{name}_w AS (SELECT id, n, w, pos, s, s::DOUBLE / 100.0::DOUBLE / w AS m FROM (SELECT id, n, least({width}, n) AS w, pos, sum(v) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {width - 1} FOLLOWING)::BIGINT AS s FROM {name}) WHERE pos <= n - w + 1)"
 
 
+_PARTS = [{k: v[i] for k, v in sequence.PROPENSITY.items()} for i in range(3)]
 _CHARGE = """(length(seq) - length(regexp_replace(seq, '[KR]', '', 'g')))::INT AS plus, (length(seq) - length(regexp_replace(seq, '[DE]', '', 'g')))::INT AS minus"""
-_MOTIFS = " UNION ALL ".join(f"SELECT id, '{n}' AS motif, seq, '{p}' AS p, regexp_extract_all(seq, '{p}') AS m, string_split(regexp_replace(seq, '{p}', chr(1), 'g'), chr(1)) AS g FROM silk" for n, p in sequence.MOTIFS.items())
-_SPANS = f"""WITH {bridge.SILK}, found AS ({_MOTIFS}), each AS (SELECT id, motif, m, g, unnest(range(0, len(m))) AS pos FROM found),
-spans AS (SELECT id, motif, pos::INT AS pos, (list_sum(list_transform(list_slice(g, 1, pos + 1), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, pos), lambda x: length(x))), 0))::INT AS lo, length(m[pos + 1])::INT AS n FROM each)"""
-_HYD = f"""WITH {bridge.SILK}, v AS (SELECT id, {_values(_KD, 0.0)} AS v FROM silk), w AS (SELECT id, v, greatest(1, least(9, len(v)))::INT AS w FROM v),
-m AS (SELECT id, v, w, {_slide("v", "w")} AS m FROM w), x AS (SELECT *, list_max(m) AS hi, list_min(m) AS lo FROM m), y AS (SELECT *, list_position(m, hi) - 1 AS i, list_position(m, lo) - 1 AS j FROM x)"""
-_BETA = f"""WITH {bridge.SILK}, v AS (SELECT id, {_values(_CF[1], 1.0)} AS v FROM silk), m AS (SELECT id, {_slide("v", "6")} AS m FROM v),
-e AS (SELECT id, unnest(m) AS x, generate_subscripts(m, 1) - 1 AS i FROM m), h AS (SELECT id, i, i - row_number() OVER (PARTITION BY id ORDER BY i) AS island FROM e WHERE x >= 1.05::DOUBLE),
-r AS (SELECT id, min(i)::INT AS lo, (max(i) + 5)::INT AS hi FROM h GROUP BY id, island)"""
+_MOTIFS = " UNION ALL ".join(f"SELECT id, '{n}' AS motif, regexp_extract_all(seq, '{p}') AS m, string_split(regexp_replace(seq, '{p}', chr(1), 'g'), chr(1)) AS g FROM silk" for n, p in sequence.MOTIFS.items())
+_SPANS = f"""WITH {bridge.SILK}, found AS ({_MOTIFS}), each AS (SELECT id, motif, unnest(m) AS m, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) - 1 AS pos FROM found),
+spans AS (SELECT id, motif, pos::INT AS pos, (sum(length(g) + length(m)) OVER (PARTITION BY id, motif ORDER BY pos) - length(m))::INT AS lo, length(m)::INT AS n FROM each)"""
+_HYD = f"""WITH {bridge.SILK}, {_CHARS}, {_values("h", sequence.HYDROPATHY, 0.0)}, {_slide("h", 9)},
+x AS (SELECT id, any_value(w) AS w, max(m) AS hi, min(m) AS lo FROM h_w GROUP BY id), y AS (SELECT id, x.w, hi, lo, min(pos) FILTER (m = hi) - 1 AS i, min(pos) FILTER (m = lo) - 1 AS j FROM x JOIN h_w USING (id) GROUP BY ALL)"""
+_BETA = f"""WITH {bridge.SILK}, {_CHARS}, {_values("b", _PARTS[1], 1.0)}, {_slide("b", 6)},
+h AS (SELECT id, pos - 1 AS i, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS island FROM b_w WHERE s >= 630 AND n >= 6), r AS (SELECT id, min(i)::INT AS lo, (max(i) + 5)::INT AS hi FROM h GROUP BY id, island)"""
 
 ORACLES = {
     "seq_composition": f"""WITH {bridge.SEQUENCES}, c AS (SELECT source, seq, {_CHARGE} FROM sequences),
@@ -104,17 +98,18 @@ SELECT source, count(*) AS n, {_round("avg(charge)", 4)} AS mean_charge, {_round
 CASE WHEN seq = '' THEN 0.0::DOUBLE ELSE {_round("(plus - minus)::DOUBLE / length(seq)", 4)} END AS mean_net_charge_per_residue FROM c""",
     "seq_motif_spans": f"{_SPANS} SELECT id, motif, pos, lo, lo + n - 1 AS hi FROM spans",
     "seq_motif_counts": f"WITH {bridge.SILK}, found AS ({_MOTIFS}) SELECT motif, count(*) AS n_sequences, sum(len(m))::BIGINT AS n_spans FROM found WHERE len(m) > 0 GROUP BY motif",
-    "seq_hydropathy": f"""{_HYD} SELECT id, {_round(_mean("v"), 3)} AS mean_hydropathy, w AS window_size, CASE WHEN len(m) > 0 THEN concat(i, '-', i + w - 1) END AS most_hydrophobic_span,
-CASE WHEN len(m) > 0 THEN concat(j, '-', j + w - 1) END AS most_hydrophilic_span, {_round("hi", 3)} AS max_window_value, {_round("lo", 3)} AS min_window_value FROM y""",
-    "seq_propensity": f"""WITH {bridge.SILK}, v AS (SELECT id, {_values(_CF[0], 1.0)} AS a, {_values(_CF[1], 1.0)} AS b, {_values(_CF[2], 1.0)} AS t FROM silk)
-SELECT id, {_round(_mean("a"), 3)} AS mean_alpha_propensity, {_round(_mean("b"), 3)} AS mean_beta_propensity, {_round(_mean("t"), 3)} AS mean_turn_propensity FROM v""",
+    "seq_hydropathy": f"""{_HYD} SELECT silk.id, coalesce({_round("h_mean.m", 3)}, 0.0::DOUBLE) AS mean_hydropathy, coalesce(w, 1)::INT AS window_size, CASE WHEN w > 0 THEN concat(i, '-', i + w - 1) END AS most_hydrophobic_span,
+CASE WHEN w > 0 THEN concat(j, '-', j + w - 1) END AS most_hydrophilic_span, {_round("hi", 3)} AS max_window_value, {_round("lo", 3)} AS min_window_value FROM silk LEFT JOIN y USING (id) LEFT JOIN h_mean USING (id)""",
+    "seq_propensity": f"""WITH {bridge.SILK}, {_CHARS}, {_values("a", _PARTS[0], 1.0)}, {_values("b", _PARTS[1], 1.0)}, {_values("t", _PARTS[2], 1.0)}
+SELECT silk.id, coalesce({_round("a_mean.m", 3)}, 0.0::DOUBLE) AS mean_alpha_propensity, coalesce({_round("b_mean.m", 3)}, 0.0::DOUBLE) AS mean_beta_propensity, coalesce({_round("t_mean.m", 3)}, 0.0::DOUBLE) AS mean_turn_propensity
+FROM silk LEFT JOIN a_mean USING (id) LEFT JOIN b_mean USING (id) LEFT JOIN t_mean USING (id)""",
     "seq_beta_spans": f"{_BETA} SELECT id, (row_number() OVER (PARTITION BY id ORDER BY lo) - 1)::INT AS pos, lo, hi FROM r",
-    "seq_period": f"""WITH {bridge.SILK}, c AS (SELECT id, seq, {_CHARS} AS ch FROM silk), p AS (SELECT id, seq, ch, unnest(range(2, least(50, len(ch) // 2) + 1)) AS p FROM c),
-s AS (SELECT id, p, len(list_filter(range(1, len(ch) - p + 1), lambda i: ch[i] = ch[i + p]))::DOUBLE / (len(ch) - p) AS s FROM p),
+    "seq_period": f"""WITH {bridge.SILK}, c AS (SELECT id, string_split(seq, '') AS ch FROM silk WHERE seq <> ''), p AS (SELECT id, ch, unnest(range(2, least(50, len(ch) // 2) + 1)) AS p FROM c),
+s AS (SELECT id, p, len(list_filter(list_zip(ch[1:len(ch) - p], ch[p + 1:len(ch)]), lambda z: z[1] = z[2]))::DOUBLE / (len(ch) - p) AS s FROM p),
 b AS (SELECT id, p, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, p) AS rn FROM s)
 SELECT silk.id, b.p::INT AS dominant_period, coalesce({_round("b.s", 3)}, 0.0::DOUBLE) AS repeat_score, substr(seq, 1, b.p) AS example_repeat_unit FROM silk LEFT JOIN b ON b.id = silk.id AND b.rn = 1 AND b.s > 0""",
-    "seq_disorder": f"""WITH {bridge.SILK}, c AS (SELECT id, seq, {_CHARGE}, {_values(_KD, 0.0)} AS v FROM silk),
-x AS (SELECT id, seq, abs({_round("(plus - minus)::DOUBLE / length(seq)", 4)}) AS q, ({_mean("v")} + 4.5::DOUBLE) / 9.0::DOUBLE AS h FROM c),
+    "seq_disorder": f"""WITH {bridge.SILK}, {_CHARS}, {_values("h", sequence.HYDROPATHY, 0.0)}, c AS (SELECT id, seq, {_CHARGE} FROM silk),
+x AS (SELECT id, seq, abs({_round("(plus - minus)::DOUBLE / length(seq)", 4)}) AS q, (m + 4.5::DOUBLE) / 9.0::DOUBLE AS h FROM c LEFT JOIN h_mean USING (id)),
 y AS (SELECT *, (q + 1.151::DOUBLE) / 2.785::DOUBLE AS b FROM x)
 SELECT id, CASE WHEN seq = '' THEN 0.0::DOUBLE ELSE {_round("q", 4)} END AS mean_charge, CASE WHEN seq = '' THEN 0.0::DOUBLE ELSE {_round("h", 4)} END AS mean_hydropathy_normalized,
 CASE WHEN seq = '' THEN 0.0::DOUBLE ELSE {_round("b", 4)} END AS boundary_value, seq <> '' AND h < b AS predicted_disordered FROM y""",
