@@ -13,10 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out anew where a small input has fewer splits than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, source, seq: the letters A to Z of every document and benchmark text, in upper case."""
     seq = F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", seq)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id").select(F.col("doc_id").alias("id"), "source", seq)
     return docs.unionByName(table(spark, sf_dir, "benchmark").select((F.col("item_id") + 100000000).alias("id"), F.lit("benchmark").alias("source"), seq))
 
 
@@ -79,7 +85,7 @@ COMPLETIONS = f"""SELECT id, t, a, b, c, {BODY} AS body,
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, the numbers, body, completion and truth."""
-    parts = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "doc_id % 8 AS t", "doc_id % 37 AS a", "doc_id % 53 AS b", "doc_id % 97 AS c", "char(10) AS nl")
+    parts = spread(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").selectExpr("doc_id AS id", "doc_id % 8 AS t", "doc_id % 37 AS a", "doc_id % 53 AS b", "doc_id % 97 AS c", "char(10) AS nl")
     found = parts.selectExpr("id", "t", "a", "b", "c", f"{BODY} AS body", f"concat(IF(t IN (4, 7), '', '<reasoning>'), {BODY}, IF(t IN (4, 7), '', '</reasoning>'), {ANSWER}, {CONFIDENCE}) AS completion", "round(a / 37, 2) AS truth_strength", "round(b / 53, 2) AS truth_toughness")
     return found.withColumn("truth", F.create_map(F.lit("strength"), "truth_strength", F.lit("toughness"), "truth_toughness"))
 
