@@ -15,4 +15,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_extendible_hash_shards": sharding.ORACLE, "op6_poisson_mix": mixing.ORACLE, "op10_hamming_topk": topk.ORACLE}
+    return {"op1_extendible_hash_shards": sharding.ORACLE, "op5_rlz_substrings": rlz.ORACLE, "op6_poisson_mix": mixing.ORACLE, "op10_hamming_topk": topk.ORACLE}

@@ -174,3 +174,14 @@ def dedup_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "text")
 def op5_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY phrase ORDER BY doc_id, i) AS n FROM p) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS i FROM g),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT x.doc_id, count(c.i) AS n_removed, list(x.word ORDER BY x.i) FILTER (c.i IS NULL) AS kept FROM x LEFT JOIN c USING (doc_id, i) GROUP BY x.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
