@@ -65,14 +65,15 @@ def _names(words: int) -> list[str]:
     return [f"f{i}" for i in range(words)]
 
 
-def fingerprints(docs: DataFrame, ident: str, text: str, shingle: int, words: int = 1) -> DataFrame:
-    """ident and the fingerprint as ``words`` longs, the first the plain 64 bits."""
+def fingerprints(docs: DataFrame, ident: str, text: str, shingle: int, words: int = 1, repeats: bool = True) -> DataFrame:
+    """ident and the fingerprint as ``words`` longs, the first the plain 64 bits. repeats: whether a shingle counts as often as it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[list[int]] = [[] for _ in range(words)]
             for body in batch.column(1).to_pylist():
                 hashes = shingle_hashes(body, shingle)
+                hashes = hashes if repeats else np.unique(hashes)
                 for out in found:
                     out.append(majority(hashes))
                     hashes = remix(hashes)
@@ -201,13 +202,13 @@ def near_links(nodes: DataFrame, radius: int, segments: int, limit: int, words:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
 
 
-def near_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3, limit: int | None = None, words: int = 1) -> DataFrame:
+def near_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3, limit: int | None = None, words: int = 1, repeats: bool = True) -> DataFrame:
     """ident, the fingerprint's longs, and component_id: the smallest id that links reach.
 
     ``radius`` bounds the first 64 bits, ``limit`` (by default the same) the distance over all ``words`` times 64.
     """
     names = _names(words)
-    prints = cut(fingerprints(docs, ident, text, shingle, words))
+    prints = cut(fingerprints(docs, ident, text, shingle, words, repeats))
     nodes = prints.groupBy(*names).agg(F.min(ident).cast("long").alias("id"))
     links = near_links(nodes.where("id is not null"), radius, segments, radius if limit is None else limit, words)
     joined = nodes.join(components(links, "a", "b"), F.col("id") == F.col("node"), "left")

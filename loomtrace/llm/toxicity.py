@@ -35,9 +35,10 @@ from .common import crc_mod, cut, table
 
 DECAY, SPAN, LONGEST, STRIDE, POWER = 0.6, 8, 16, 6, 3
 FLOOR = 0.05  # smaller kernel values count as 0
-TRAIN_ROWS, TOXIC_LANDMARKS, OTHER_LANDMARKS, MISSPELT = 8000, 40, 12, 12
-STEM, SAME = range(4, 9), 0.8  # lengths of stems; landmarks more alike than this are one
+TRAIN_ROWS, TOXIC_LANDMARKS, OTHER_LANDMARKS, MISSPELT = 8000, 64, 12, 12
+STEM, SAME = range(4, 9), 0.9  # lengths of stems; landmarks more alike than this are one
 FOLDS = 5
+PART, CACHED = 1000, 300_000  # texts scored at once, and words held
 _SIGNS = 27
 _TABLE = bytes(32 if c in b" \t\n\r\x0b\x0c" else c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 123 for c in range(256))
 _DROPPED = bytes(c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122 or c in b" \t\n\r\x0b\x0c"))
@@ -110,16 +111,38 @@ class Landmarks:
         return out
 
 
-def text_kernels(texts: list[str | None], marks: Landmarks) -> np.ndarray:
+class Cache:
+    """Kernel values of the words met so far, each worked out once; most have none. It starts anew when ``CACHED`` are held."""
+
+    def __init__(self, marks: Landmarks):
+        self.marks = marks
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.rows = np.zeros((1, len(self.marks.words)), np.float32)
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.at) + len(words) > CACHED:
+            self.clear()
+        new = list(words - self.at.keys())
+        values = self.marks.kernel(new)
+        some = values.any(1) if new else np.zeros(0, bool)
+        self.at.update(zip(new, np.where(some, np.cumsum(some) + len(self.rows) - 1, 0).tolist(), strict=True))
+        self.rows = np.concatenate([self.rows, values[some]])
+
+
+def text_kernels(texts: list[str | None], marks: Landmarks, cache: Cache | None = None) -> np.ndarray:
     """For each text and landmark, the kernel value of the text's best word."""
-    vocabulary: dict[bytes, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
-    values = marks.kernel(list(vocabulary))
-    some = values.any(1) if len(values) else np.zeros(0, bool)
+    cache = cache or Cache(marks)
+    words = [words_of(t) for t in texts]
+    cache.learn(set().union(*words))
     out = np.zeros((len(texts), len(marks.words)), np.float32)
-    for i, own in enumerate(ids):
-        if len(own) and len(own := own[some[own]]):
-            out[i] = values[own].max(0)
+    at = cache.at
+    for i, own in enumerate(words):
+        found = [k for w in own if (k := at[w])]
+        if found:
+            out[i] = cache.rows[found].max(0)
     return out
 
 
@@ -256,9 +279,10 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Landmarks(model.landmarks)
+        cache = Cache(marks)
         for batch in batches:
-            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
-                score = model.score(text_kernels(part.column(len(keep)).to_pylist(), marks))
+            for part in (batch.slice(i, PART) for i in range(0, batch.num_rows, PART)):
+                score = model.score(text_kernels(part.column(len(keep)).to_pylist(), marks, cache))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, out])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` double"])
