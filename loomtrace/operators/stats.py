@@ -38,17 +38,30 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, *group: str) -> Data
     return three.select(*group, F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), below).alias("partial_rho"))
 
 
-def bootstrap_spearman(df: DataFrame, x: str, y: str, item: str, *group: str, reps: int = REPS, seed: int = 0) -> DataFrame:
-    """2.5 and 97.5 percentiles of the correlation over resamples of each group; the same draws for every group of n items.
+def resample(df: DataFrame, item: str, group: list[str], reps: int, seed: int) -> DataFrame:
+    """Each group's rows drawn with replacement, ``reps`` times over, with a column ``rep``; the same draws for every group of n items.
 
-    item: numbers 0 to n - 1 in each group. Each draw is an index by hash, so a rep's rows are drawn where they are joined.
+    item: numbers 0 to n - 1 in each group. A draw is an index by hash, so draws are made where they are joined.
     """
-    sized = df.withColumn("n", F.count("*").over(Window.partitionBy(*group)))
+    sized = df.select(*group, item).withColumn("n", F.count("*").over(Window.partitionBy(*group)))
     draws = sized.select(*group, "n", F.col(item).alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    draws = draws.select(*group, "rep", hashed_index(F.col("n"), F.lit(seed), F.col("rep"), F.col("slot")).alias("pick"))
-    values = df.select(*group, F.col(item).cast("bigint").alias("pick"), F.col(x).alias("vx"), F.col(y).alias("vy"))
-    each = spearman(draws.join(values, [*group, "pick"]), "vx", "vy", *group, "rep")
-    return each.groupBy(*group).agg(F.percentile("rho", F.lit(LOW)).alias("ci_low"), F.percentile("rho", F.lit(HIGH)).alias("ci_high"), F.count("rho").alias("n_reps"))
+    draws = draws.select(*group, "rep", hashed_index(F.col("n"), F.lit(seed), F.col("rep"), F.col("slot")).alias(item))
+    return draws.join(df.withColumn(item, F.col(item).cast("bigint")), [*group, item])
+
+
+def interval(each: DataFrame, value: str, *group: str) -> DataFrame:
+    """2.5 and 97.5 percentiles, with linear interpolation, of a statistic of each rep."""
+    return each.groupBy(*group).agg(F.percentile(value, F.lit(LOW)).alias("ci_low"), F.percentile(value, F.lit(HIGH)).alias("ci_high"), F.count(value).alias("n_reps"))
+
+
+def bootstrap_spearman(df: DataFrame, x: str, y: str, item: str, *group: str, reps: int = REPS, seed: int = 0) -> DataFrame:
+    drawn = resample(df.select(*group, item, F.col(x).alias("vx"), F.col(y).alias("vy")), item, list(group), reps, seed)
+    return interval(spearman(drawn, "vx", "vy", *group, "rep"), "rho", *group)
+
+
+def bootstrap_partial(df: DataFrame, x: str, y: str, z: str, item: str, *group: str, reps: int = REPS, seed: int = 0) -> DataFrame:
+    drawn = resample(df.select(*group, item, F.col(x).alias("vx"), F.col(y).alias("vy"), F.col(z).alias("vz")), item, list(group), reps, seed)
+    return interval(partial_spearman(drawn, "vx", "vy", "vz", *group, "rep"), "partial_rho", *group)
 
 
 def metric_matrix(wide: DataFrame, item: str, predictors: list[str], targets: list[str]) -> DataFrame:

@@ -54,28 +54,40 @@ def grounded_claims(completed: DataFrame, *keys: str) -> DataFrame:
     return grounding.ground(grounding.explode_claims(ready, "reasoning")).drop("tools", "reasoning")
 
 
-def pilot_batch(samples: DataFrame, key: str, llm: Callable[[str], str] = mock_llm) -> dict[str, DataFrame]:
+def pilot_batch(samples: DataFrame, key: str, llm: Callable[[str], str] = mock_llm, pause: float = 0.0) -> dict[str, DataFrame]:
     """claims, reports, errors and audit of one trace a sample."""
     tools = sequence.with_tools(samples, "sequence")
-    done = complete(tools.withColumn("prompt", prompt(True)), "prompt", llm)
+    done = complete(tools.withColumn("prompt", prompt(True)), "prompt", llm, pause)
     claims = grounded_claims(done.where("error is null"), key).persist()  # read by the reports and by the sink
     reports = grounding.report(claims, key)
     return {"claims": claims, "reports": reports, "errors": done.where("error is not null").select(key, "error"), "audit": grounding.audit(reports)}
 
 
-def scored_pool(samples: DataFrame, k_grounded: int, k_shortcut: int, llm: Callable[[str], str] = mock_llm, tolerance: float = 0.1) -> DataFrame:
-    """A row for each slot: answer, error, grounding and correctness. samples: prompt_id, sequence and truth."""
-    tools = sequence.with_tools(samples.where(F.size("ground_truth") > 0), "sequence")
-    slots = fan_out(tools, k_grounded, k_shortcut).withColumn("prompt", F.when(F.col("trace_kind") == "grounded", prompt(True)).otherwise(prompt(False)))
-    slots = slots.withColumn("trace_id", F.concat_ws("/", "prompt_id", "trace_kind", "k"))
-    done = complete(slots, "prompt", llm)
-    scores = grounding.report(grounded_claims(done.where("error is null"), "trace_id"), "trace_id").select("trace_id", "grounding_score")
-    pred = answer(F.col("completion"))
-    rows = done.select("trace_id", "prompt_id", "trace_kind", "k", "sequence", "protein_category", "ground_truth", "error", F.col("completion").alias("trace_text"), pred.alias("final_answer"))
-    judged = rows.withColumn("mae", mean_abs_error(F.col("final_answer"), F.col("ground_truth"))).withColumn("is_correct", is_correct(F.col("final_answer"), F.col("ground_truth"), tolerance))
+def slots(samples: DataFrame, k_grounded: int, k_shortcut: int) -> DataFrame:
+    """A row for each slot of each sample that has a truth. samples: prompt_id, sequence, its metadata and truth."""
+    found = fan_out(samples.where(F.size("ground_truth") > 0), k_grounded, k_shortcut)
+    return found.withColumn("trace_id", F.concat_ws("/", "prompt_id", "trace_kind", "k"))
+
+
+def answered(wanted: DataFrame, llm: Callable[[str], str] = mock_llm, pause: float = 0.0) -> DataFrame:
+    """The slots with their completion or error."""
+    asked = sequence.with_tools(wanted, "sequence").withColumn("prompt", F.when(F.col("trace_kind") == "grounded", prompt(True)).otherwise(prompt(False)))
+    return complete(asked.select(*wanted.columns, "prompt"), "prompt", llm, pause).drop("prompt")
+
+
+def score(done: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """Answer, grounding and correctness of each completion. Tools run again: they cost less than keeping their outputs."""
+    scores = grounding.report(grounded_claims(sequence.with_tools(done.where("error is null"), "sequence"), "trace_id"), "trace_id").select("trace_id", "grounding_score")
+    rows = done.select("trace_id", "prompt_id", "trace_kind", "k", "sequence", "protein_category", "ground_truth", "error", F.col("completion").alias("trace_text"), answer(F.col("completion")).alias("final_answer"))
+    pred, truth = F.col("final_answer"), F.col("ground_truth")
+    judged = rows.withColumn("mae", mean_abs_error(pred, truth)).withColumn("is_correct", is_correct(pred, truth, tolerance))
     return judged.join(scores, "trace_id", "left")
 
 
+def scored_pool(samples: DataFrame, k_grounded: int, k_shortcut: int, llm: Callable[[str], str] = mock_llm, tolerance: float = 0.1) -> DataFrame:
+    return score(answered(slots(samples, k_grounded, k_shortcut), llm), tolerance)
+
+
 def preference_run(pool: DataFrame, config: PairConfig | None = None) -> dict[str, DataFrame]:
     """Buckets, diversity, pairs and their summary of a scored pool."""
     config = config or PairConfig(agree=same_answer(0.05))
