@@ -6,11 +6,10 @@ unless both are numbers). Rows without a sequence are dropped and counted.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.compat import number, seeded
 
@@ -32,19 +31,18 @@ DEMO = [
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as they are: text for CSV. Unknown suffixes and missing files raise; so does a malformed JSON line."""
+    """CSV: all columns as text. JSON: a variant column ``row`` for each record. Unknown suffixes and missing files
+    raise; so does a malformed JSON line."""
     suffix = path.rpartition(".")[2].lower()
     if suffix == "csv":
         return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    if suffix not in ("json", "jsonl"):
+        raise ValueError(f"unsupported dataset suffix: {path}")
+    found = spark.read.option("singleVariantColumn", "row").option("multiLine", suffix == "json").option("mode", "FAILFAST").json(path)
     if suffix == "jsonl":
-        return spark.read.option("mode", "FAILFAST").json(path)
-    if suffix == "json":
-        found = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-        kind = found.schema["data"].dataType if "data" in found.columns else None
-        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-            return found.select(F.inline("data"))
         return found
-    raise ValueError(f"unsupported dataset suffix: {path}")
+    listed = F.coalesce(F.try_variant_get("row", "$", "array<variant>"), F.try_variant_get("row", "$.data", "array<variant>"), F.array().cast("array<variant>"))
+    return found.select(F.explode(listed).alias("row"))
 
 
 def resolve(columns: list[str], target: str) -> str | None:
@@ -53,33 +51,42 @@ def resolve(columns: list[str], target: str) -> str | None:
     return next((by[a] for a in ALIASES[target] if a in by), None)
 
 
-def to_samples(raw: DataFrame, ragged: bool = False) -> DataFrame:
-    """ragged: aliases are resolved for each row by the first that is not null, as JSON rows may differ.
+def _samples(rows: DataFrame, pick: Callable[[str], Column], text: Callable[[str], Column]) -> DataFrame:
+    strength, toughness = number(pick("strength")), number(pick("toughness"))
+    truth = F.when(strength.isNotNull() & toughness.isNotNull(), F.create_map(F.lit("strength"), strength, F.lit("toughness"), toughness))
+    kept = rows.where(pick("sequence").isNotNull() & (pick("sequence") != ""))
+    return kept.select(F.trim(pick("sequence")).alias("sequence"), *[text(t).alias(t) for t in TEXTS], truth.alias("ground_truth"))
 
-    Spark reads a key that is missing and one that is null alike, so both give an empty text.
-    """
+
+def from_columns(raw: DataFrame) -> DataFrame:
+    """Aliases are resolved once, by the columns that exist. A CSV field that is empty and one that its row lacks read alike: as an empty text."""
 
     def pick(target: str) -> Column:
-        if ragged:
-            by = {c.lower(): c for c in raw.columns}
-            names = [by[a] for a in ALIASES[target] if a in by]
-            return reduce(lambda a, b: F.coalesce(a, b), [F.col(f"`{n}`").cast("string") for n in names]) if names else F.lit(None).cast("string")
         name = resolve(raw.columns, target)
         return F.col(f"`{name}`").cast("string") if name else F.lit(None).cast("string")
 
-    def text(target: str) -> Column:
-        return F.coalesce(pick(target), F.lit("")).alias(target)
+    return _samples(raw, pick, lambda t: F.coalesce(pick(t), F.lit("")))
 
-    strength, toughness = number(pick("strength")), number(pick("toughness"))
-    truth = F.when(strength.isNotNull() & toughness.isNotNull(), F.create_map(F.lit("strength"), strength, F.lit("toughness"), toughness))
-    rows = raw.where(pick("sequence").isNotNull() & (pick("sequence") != ""))
-    return rows.select(F.trim(pick("sequence")).alias("sequence"), *[text(t) for t in TEXTS], truth.alias("ground_truth"))
+
+def from_records(raw: DataFrame) -> DataFrame:
+    """Aliases are resolved for each record, by the keys it has. A key that is null reads "None", one that is missing ""."""
+    fields = F.map_entries(F.try_variant_get("row", "$", "map<string,variant>"))
+    lowered = F.transform(fields, lambda e: F.struct(F.lower(e["key"]).alias("key"), F.try_variant_get(e["value"], "$", "string").alias("value")))
+    rows = raw.select(lowered.alias("fields"))
+
+    def found(target: str) -> Column:
+        """The last field of the first alias that the record has."""
+        last = lambda alias: F.try_element_at(F.filter("fields", lambda e: e["key"] == alias), F.lit(-1))
+        return F.coalesce(*[last(a) for a in ALIASES[target]])
+
+    pick = lambda t: found(t)["value"]
+    return _samples(rows, pick, lambda t: F.when(found(t).isNull(), "").otherwise(F.coalesce(pick(t), F.lit("None"))))
 
 
 def load_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """The samples, and how many rows were dropped; raises if none is left."""
     raw = read_raw(spark, path)
-    samples = to_samples(raw, ragged=not path.lower().endswith(".csv"))
+    samples = from_columns(raw) if path.lower().endswith(".csv") else from_records(raw)
     total, usable = raw.count(), samples.count()
     if not usable:
         raise ValueError(f"no usable rows in {path}")

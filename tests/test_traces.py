@@ -223,6 +223,15 @@ def test_json_and_jsonl(spark, tmp_path):
         assert sorted((r["sequence"], r["protein_category"]) for r in got.collect()) == [("AC", "m"), ("GG", "")] and dropped == 0
 
 
+def test_ragged_records(spark, tmp_path):
+    rows = [{"FASTA": "AC", "family": None, "strength_norm": "", "strength": 1, "toughness": 2}, {"seq": "GG", "Sequence": "first", "toughness": "0.5", "strength": 0.25}, {"seq": None, "genus": "g"}, {"genus": 7, "seq": " K "}]
+    got, dropped = datasets.load_dataset(spark, write(tmp_path / "r.jsonl", "\n".join(map(json.dumps, rows))))
+    found = {r["sequence"]: r for r in got.collect()}
+    assert set(found) == {"AC", "first", "K"} and dropped == 1
+    assert found["AC"]["family"] == "None" and found["first"]["family"] == "" and found["K"]["genus"] == "7"
+    assert found["AC"]["ground_truth"] is None and found["first"]["ground_truth"] == {"strength": 0.25, "toughness": 0.5}
+
+
 def test_bad_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         datasets.load_dataset(spark, write(tmp_path / "x.txt", "a"))
