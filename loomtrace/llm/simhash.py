@@ -26,6 +26,7 @@ from .common import cut, table
 from .graph import components
 
 SEED = 42
+WHOLE = 512  # rows under a key that are compared all at once
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -118,6 +119,26 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
+def _closest_forest(d: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """The forest of least distances: every row keeps the link to its nearest."""
+    i, j = np.nonzero(np.triu(d <= limit, 1))
+    parent, links = list(range(len(d))), []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for k in np.argsort(d[i, j], kind="stable").tolist():
+        a, b = find(int(i[k])), find(int(j[k]))
+        if a != b:
+            parent[b] = a
+            links.append((int(i[k]), int(j[k])))
+            if len(links) == len(d) - 1:
+                break
+    return links
+
+
 def forest(f: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Links (row numbers) that connect what links within the limit connect, fewer than the rows.
 
@@ -125,6 +146,8 @@ def forest(f: np.ndarray, limit: int) -> list[tuple[int, int]]:
     further look, so a dense group costs little more than its size.
     """
     n = len(f)
+    if n <= WHOLE:
+        return _closest_forest(distances(f, f), limit)
     label, size, done = np.arange(n), np.ones(n, np.int64), np.zeros(n, bool)
     links: list[tuple[int, int]] = []
     while len(rest := np.nonzero(~done & (label != size.argmax()))[0]):
@@ -202,15 +225,40 @@ def near_links(nodes: DataFrame, radius: int, segments: int, limit: int, words:
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
 
 
-def near_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3, limit: int | None = None, words: int = 1, repeats: bool = True) -> DataFrame:
+def similar(docs: DataFrame, links: DataFrame, ident: str, text: str, shingle: int, least: float) -> DataFrame:
+    """Those links a, b whose texts' sets of shingles have at least this Jaccard similarity; empty texts are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+
+    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(docs[ident].cast("long").alias("id"), docs[text].alias("text")).join(ids, "id", "left_semi")
+    sets = cut(texts.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"]))
+    both = links.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("all"))
+    return shared.where(F.coalesce(F.try_divide(F.col("n"), F.col("all") - F.col("n")), F.lit(1.0)) >= least).select("a", "b")
+
+
+def near_components(
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3, limit: int | None = None, words: int = 1, repeats: bool = True, least: float | None = None
+) -> DataFrame:
     """ident, the fingerprint's longs, and component_id: the smallest id that links reach.
 
     ``radius`` bounds the first 64 bits, ``limit`` (by default the same) the distance over all ``words`` times 64.
+    ``least``: links must also have this Jaccard similarity of their sets of shingles. Looked at are the links of each
+    key's forest of least distances, and each text with the smallest id that it reaches by fingerprints: at most a few
+    for each text. In a large group of which only some texts are that similar, a pair may be missed that neither holds.
     """
     names = _names(words)
     prints = cut(fingerprints(docs, ident, text, shingle, words, repeats))
     nodes = prints.groupBy(*names).agg(F.min(ident).cast("long").alias("id"))
     links = near_links(nodes.where("id is not null"), radius, segments, radius if limit is None else limit, words)
+    if least is not None:
+        links = cut(links)
+        first = components(links, "a", "b").where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+        links = similar(docs, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(first).distinct(), ident, text, shingle, least)
     joined = nodes.join(components(links, "a", "b"), F.col("id") == F.col("node"), "left")
     of = joined.select(*names, F.coalesce("component", "id").alias("component_id"))
     return prints.join(of, names).select(ident, *names, "component_id")

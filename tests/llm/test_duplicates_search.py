@@ -224,3 +224,52 @@ def test_op10_and_op8_and_op5_over_files(spark, tmp_path):
     assert Counter(r["query_id"] for r in topk.op10_hamming_topk(spark, str(tmp_path)).collect()) == {0: 10, 20: 10, 40: 10}
     assert simhash.op8_simhash_mih(spark, str(tmp_path)).columns == ["doc_id", "fingerprint", "component_id"]
     assert rlz.op5_rlz_substrings(spark, str(tmp_path)).columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
+
+
+def jaccard(a, b, k=5):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+    x, y = shingles(a or ""), shingles(b or "")
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_least_similarity_is_exact(spark):
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(900)]
+    data = []
+    for g in range(15):
+        base = rng.choices(words, k=200)
+        for c in range(4):
+            w = list(base)
+            for _ in range(c * 4):
+                w[rng.randrange(200)] = rng.choice(words)
+            data.append((g * 10 + c, " ".join(w)))
+    data += [(900, ""), (901, None), (902, "same"), (903, "Same")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(df, shingle=5, radius=11, segments=4, limit=52, words=4, repeats=False, least=0.8).collect()}
+    parent = {i: i for i, _ in data}
+    for i, a in data:
+        for j, b in data:
+            if i < j and jaccard(a, b) >= 0.8:
+                x, y = sorted((parent[i], parent[j]))
+                parent = {k: x if v == y else v for k, v in parent.items()}
+    right = sum(got[i] == parent[i] for i in parent)
+    assert right >= len(parent) - 2  # fingerprints may miss a pair
+    texts = dict(data)
+    for i, c in got.items():
+        if c != i:
+            assert any(got[j] == c and j != i and jaccard(texts[i], texts[j]) >= 0.8 for j in texts)
+    assert got[901] == got[900] and got[903] == 902
+
+
+def test_closest_forest_keeps_nearest_links():
+    rng = random.Random(6)
+    f = np.array([[rng.getrandbits(64) & 0xFFF] for _ in range(120)], np.uint64)
+    f = np.unique(f, axis=0)
+    links = simhash.forest(f, 4)
+    d = simhash.distances(f, f).astype(int) + np.eye(len(f), dtype=int) * 99
+    for i in range(len(f)):
+        if d[i].min() <= 4:
+            assert any(i in x and d[x[0], x[1]] == d[i].min() for x in links)
