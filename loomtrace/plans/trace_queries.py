@@ -98,6 +98,13 @@ def calibration_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", py_round(F.col("calibration"), 4).alias("calibration"))
 
 
+def calibration_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibration rewards of each prompt's samples, in order; four documents count as one prompt."""
+    rows = rewards.reward_columns(bridge.completions(spark, sf_dir), "completion", "truth").withColumn("prompt", F.expr("id div 4"))
+    said = F.transform("rewards", lambda x: F.call_function("format_number", x, F.lit("0.0000")))
+    return rewards.grouped_calibration(rows, "prompt", "id").select("prompt", F.array_join(said, ",").alias("rewards"))
+
+
 def _rewarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rewards.reward_columns(bridge.completions(spark, sf_dir), "completion", "truth")
     score = grounding.report(_grounded(spark, sf_dir), "id").select("id", F.col("grounding_score").alias("tool_use"))
@@ -190,10 +197,11 @@ sum(n_contrastive)::BIGINT AS n_contrastive_mentions, {_r('sum(n_contrastive - n
     "outcome_reward": f"{_C}, {_ANSWER} SELECT id, {_r('outcome')} AS outcome, {_r('mae')} AS mae, coalesce(mae <= 0.1::DOUBLE, false) AS is_correct FROM rew",
     "expressed_confidence": f"{_C}, {_ANSWER} SELECT id, confidence FROM ans",
     "calibration_reward": f"{_C}, {_ANSWER} SELECT id, {_r('calibration')} AS calibration FROM rew",
+    "calibration_grouped": f"{_C}, {_ANSWER} SELECT id // 4 AS prompt, string_agg(printf('%.4f', calibration), ',' ORDER BY id) AS rewards FROM rew GROUP BY 1",
     "staged_reward": f"""{_ALL}, {_ANSWER} SELECT id, {_r('outcome * 0.6::DOUBLE + coherence * 0.4::DOUBLE', 3)} AS stage_1,
 {_r('outcome * 0.5::DOUBLE + coherence * 0.25::DOUBLE + grounding_score * 0.25::DOUBLE', 3)} AS stage_2 FROM rew JOIN report USING (id)""",
 }
 QUERIES = [
     claims_numeric, claims_position, claims_motif, claim_roles, ground_numeric, ground_position, ground_motif, trace_report, batch_audit, audit_kinds, worst_traces, trace_assemble,
-    reasoning_steps, answer_parse, outcome_reward, expressed_confidence, calibration_reward, staged_reward, staged_reward_judged, seq_validation, mock_pilot, prompt_build,
+    reasoning_steps, answer_parse, outcome_reward, expressed_confidence, calibration_reward, calibration_grouped, staged_reward, staged_reward_judged, seq_validation, mock_pilot, prompt_build,
 ]
