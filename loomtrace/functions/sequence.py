@@ -145,8 +145,9 @@ def beta_sheet_propensity(seq: Column, window: int = BETA_WINDOW, threshold: flo
     def runs(hot: Column) -> Column:
         """hot: whether each window reaches the threshold."""
         at = F.transform(hot, lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.coalesce(F.get(hot, i - 1), F.lit(False)).alias("before"), F.coalesce(F.get(hot, i + 1), F.lit(False)).alias("after")))
-        first, last = F.filter(at, lambda x: x["h"] & ~x["before"]), F.filter(at, lambda x: x["h"] & ~x["after"])
-        return F.zip_with(first, last, lambda a, b: _span(a["i"], b["i"] + window - 1))
+        first = lambda x: F.filter(x, lambda w: w["h"] & ~w["before"])
+        last = lambda x: F.filter(x, lambda w: w["h"] & ~w["after"])
+        return let(at, lambda x: F.zip_with(first(x), last(x), lambda a, b: _span(a["i"], b["i"] + window - 1)))
 
     scale = _scale(sheet)
     # Whole hundredths: a window reaches the threshold exactly or not at all.
