@@ -13,13 +13,14 @@ is that of its fingerprint, null if no other row has it. Empty table: no rows. E
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -27,6 +28,9 @@ from .graph import components
 
 SEED = 42
 WHOLE = 512  # rows under a key that are compared all at once
+BLOCK = 1 << 15  # rows of a key in one part: a task holds two parts at most
+FEW = 16  # sets of no more shingles are looked at whatever their fingerprints
+SAMPLE, OFTEN, COMMON = 32, 16, 100_000  # one text in so many is counted; the counts and number of common shingles
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -187,6 +191,36 @@ def bucket_links(key: np.ndarray, ids: np.ndarray, f: np.ndarray, limit: int, sm
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups; rows are sorted by their first ``by`` columns, and a group may go on over batches."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        other = np.zeros(len(cols[0]), bool)
+        for c in cols[:by]:
+            other |= c != c[-1]
+        at = int(np.nonzero(other)[0][-1]) + 1 if other.any() else 0
+        if held and (at or any(h[-1] != c[0] for h, c in zip(held[-1][:by], cols[:by], strict=True))):
+            ends = [np.concatenate(x) for x in zip(*held, [c[:at] for c in cols], strict=True)]
+            yield ends
+            held = []
+        elif at:
+            yield [c[:at] for c in cols]
+        held.append([c[at:] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def in_parts(rows: DataFrame, n: Column) -> DataFrame:
+    """Rows with ``part`` and ``side``: a key of n rows over ``BLOCK`` is dealt into blocks by id, and each pair of blocks is a part."""
+    blocks = rows.withColumn("__m", F.ceil(n / F.lit(BLOCK))).withColumn("__own", F.pmod(F.xxhash64("id"), F.col("__m")))
+    pairs = blocks.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__m") - 1)))
+    low, high = F.least("__own", "__other"), F.greatest("__own", "__other")
+    return pairs.withColumn("part", low * F.col("__m") + high).withColumn("side", (F.col("__own") > low).cast("int")).drop("__m", "__own", "__other")
+
+
 def near_links(nodes: DataFrame, radius: int, segments: int, limit: int, words: int) -> DataFrame:
     """a, b: ids whose fingerprints lie within ``limit`` bits in all their words, as far as connection needs them.
 
@@ -203,23 +237,9 @@ def near_links(nodes: DataFrame, radius: int, segments: int, limit: int, words:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c[rows]) for c in cols)], names=["key", "id", *names])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def found(cols: list[np.ndarray]) -> pa.RecordBatch:
+        for cols in grouped(batches, 1):
             a, b = bucket_links(cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64), limit)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            at = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on
-            if at:
-                yield found([c[:at] for c in cols])
-            held = [c[at:] for c in cols]
-        if held is not None:
-            yield found(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     dealt = nodes.select("id", *names).mapInArrow(deal, fields)
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
@@ -241,24 +261,149 @@ def similar(docs: DataFrame, links: DataFrame, ident: str, text: str, shingle: i
     return shared.where(F.coalesce(F.try_divide(F.col("n"), F.col("all") - F.col("n")), F.lit(1.0)) >= least).select("a", "b")
 
 
+def common_shingles(docs: DataFrame, ident: str, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the shingles that many texts of a sample share, at most ``COMMON``; they come last in the order of
+    prefixes. Any order gives the same links, so neither the sample nor the bound decides what is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, shingle)).view(np.int64))], names=["h"])
+
+    some = docs.where(F.pmod(F.xxhash64(docs[ident]), F.lit(SAMPLE)) == 0).select(docs[text])
+    rows = some.mapInArrow(run, "h long").groupBy("h").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    h, c = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def prefix(s: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, in an order that all sets share: two sets of this similarity have one of them in common."""
+    h, c = common
+    if len(h) and len(s):
+        at = np.minimum(np.searchsorted(h, s), len(h) - 1)
+        rank = np.where(h[at] == s, c[at], 0)
+        s = s[np.lexsort((s, rank))]
+    return s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
+
+
+def sketches(docs: DataFrame, ident: str, text: str, shingle: int, words: int, repeats: bool, least: float) -> DataFrame:
+    """What ``fingerprints`` gives, with the number of different shingles and the prefix of their set."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, ident, text, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list[int]] = [[] for _ in range(words)]
+            sizes, firsts = [], []
+            for body in batch.column(1).to_pylist():
+                hashes = shingle_hashes(body, shingle)
+                once = np.unique(hashes)
+                sizes.append(len(once))
+                firsts.append(prefix(once, least, shared.value).view(np.int64))
+                hashes = hashes if repeats else once
+                for out in found:
+                    out.append(majority(hashes))
+                    hashes = remix(hashes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in found), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=[ident, *_names(words), "n", "keys"]
+            )
+
+    kind = docs.schema[ident].dataType.simpleString()
+    return docs.select(docs[ident], docs[text]).mapInArrow(run, ", ".join([f"`{ident}` {kind}", *(f"{x} long" for x in _names(words)), "n int", "keys array<long>"]))
+
+
+def outside(ids: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, f: np.ndarray, limit: int, least: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Links of each row to its ``most`` nearest of another label, and whether any row has more than that.
+
+    Sets whose sizes alone rule out the similarity do not link, nor do fingerprints over the limit unless a set has ``FEW`` shingles or
+    fewer. Rows of two sides link across only.
+    """
+    left, right, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], False
+    across = side.any() and not side.all()
+    for s in range(0, len(ids), 64):
+        own = slice(s, s + 64)
+        d = distances(f[own], f)
+        ok = (label[own, None] != label) & ((d <= limit) | (n[own, None] <= FEW) | (n <= FEW)) & (least * np.maximum(n[own, None], n) <= np.minimum(n[own, None], n) + 1e-9)
+        if across:
+            ok &= side[own, None] != side
+        for i in np.nonzero(ok.sum(1) > most)[0]:
+            more = True
+            at = np.nonzero(ok[i])[0]
+            ok[i, at[np.argsort(d[i, at], kind="stable")[most:]]] = False
+        i, j = np.nonzero(ok)
+        left.append(ids[s + i])
+        right.append(ids[j])
+    a, b = np.concatenate(left), np.concatenate(right)
+    return np.minimum(a, b), np.maximum(a, b), more
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: str, text: str, shingle: int, least: float, limit: int, words: int) -> DataFrame:
+    """a, b: links of at least this similarity that connect all that such links connect.
+
+    Nodes that share a shingle of their prefixes are candidates. After each round's exact look every node searches again, among the
+    nodes outside its confirmed component, for more of its nearest than in the round before, until no key has any left.
+    """
+    spark, names = docs.sparkSession, _names(words)
+    own = prints.select(F.col(ident).cast("long").alias("id"), "n", *names, "keys").join(nodes.select("id"), "id", "left_semi")
+    dealt = own.select("id", F.explode("keys").alias("key")).distinct()
+    per = Window.partitionBy("key")
+    met = dealt.withColumn("rows", F.count("*").over(per)).where("rows > 1")
+    held = cut(met.join(own.drop("keys").dropDuplicates(["id"]), "id"))
+    # First, neighbours under a key: most copies join by these.
+    pairs = held.select("id", "n", *names, F.lag(F.struct("id", "n", *names)).over(per.orderBy("f0", "id")).alias("p")).where("p is not null")
+    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"p.{x}"))) for x in names), F.lit(0))
+    few, many = F.least("n", "p.n"), F.greatest("n", "p.n")
+    near = pairs.where(((apart <= limit) | (few <= FEW)) & (F.lit(least) * many <= few + F.lit(1e-9)))
+    tried = cut(near.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
+    confirmed = cut(similar(docs, tried, ident, text, shingle, least))
+    again, most = None, 16
+
+    def search(most: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for cols in grouped(batches, 2):
+                starts = np.r_[np.nonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])[0], len(cols[0])]
+                f = np.stack(cols[6:], 1).view(np.uint64)
+                for s, e in zip(starts[:-1], starts[1:], strict=True):
+                    a, b, more = outside(*(c[s:e] for c in cols[2:6]), f[s:e], limit, least, most)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "again"])
+                    if more:
+                        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(cols[0][s : s + 1])], names=["a", "b", "again"])
+
+        return run
+
+    while True:
+        of = components(confirmed, "a", "b")
+        rows = held.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        mixed = mixed if again is None else mixed.join(again, "key", "left_semi")
+        split = in_parts(rows.join(mixed, "key"), F.col("rows")).select("key", "part", "id", "label", "n", "side", *names)
+        found = cut(split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(search(most), "a long, b long, again long").distinct())
+        new = cut(found.where("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        confirmed = cut(confirmed.unionByName(similar(docs, new, ident, text, shingle, least)))
+        again = found.where("again is not null").select(F.col("again").alias("key")).distinct()
+        if again.isEmpty():
+            return confirmed
+        tried, most = tried.unionByName(new), most * 16
+
+
 def near_components(
     docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3, limit: int | None = None, words: int = 1, repeats: bool = True, least: float | None = None
 ) -> DataFrame:
     """ident, the fingerprint's longs, and component_id: the smallest id that links reach.
 
     ``radius`` bounds the first 64 bits, ``limit`` (by default the same) the distance over all ``words`` times 64.
-    ``least``: links must also have this Jaccard similarity of their sets of shingles. Looked at are the links of each
-    key's forest of least distances, and each text with the smallest id that it reaches by fingerprints: at most a few
-    for each text. In a large group of which only some texts are that similar, a pair may be missed that neither holds.
+    ``least``: links are the pairs whose sets of shingles have this Jaccard similarity. Candidates come from prefixes of these sets and not
+    from segments, so ``radius`` plays no part; ``limit`` spares the exact look at candidates of more than ``FEW`` shingles.
     """
     names = _names(words)
-    prints = cut(fingerprints(docs, ident, text, shingle, words, repeats))
+    limit = radius if limit is None else limit
+    prints = cut(fingerprints(docs, ident, text, shingle, words, repeats) if least is None else sketches(docs, ident, text, shingle, words, repeats, least))
     nodes = prints.groupBy(*names).agg(F.min(ident).cast("long").alias("id"))
-    links = near_links(nodes.where("id is not null"), radius, segments, radius if limit is None else limit, words)
-    if least is not None:
-        links = cut(links)
-        first = components(links, "a", "b").where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-        links = similar(docs, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(first).distinct(), ident, text, shingle, least)
+    if least is None:
+        links = near_links(nodes.where("id is not null"), radius, segments, limit, words)
+    else:
+        links = similar_links(docs, prints, nodes.where("id is not null"), ident, text, shingle, least, limit, words)
     joined = nodes.join(components(links, "a", "b"), F.col("id") == F.col("node"), "left")
     of = joined.select(*names, F.coalesce("component", "id").alias("component_id"))
     return prints.join(of, names).select(ident, *names, "component_id")

@@ -273,3 +273,51 @@ def test_closest_forest_keeps_nearest_links():
     for i in range(len(f)):
         if d[i].min() <= 4:
             assert any(i in x and d[x[0], x[1]] == d[i].min() for x in links)
+
+
+def exact_components(data, least=0.8, k=5):
+    sets = {i: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} for i, t in data if (w := t.split())}
+    parent = {i: i for i, _ in data}
+    ids = sorted(parent)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if parent[i] != parent[j] and (both := len(sets[i] & sets[j])) >= least * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((parent[i], parent[j]))
+                parent = {a: x if b == y else b for a, b in parent.items()}
+    return parent
+
+
+HOW = {"shingle": 5, "radius": 11, "segments": 4, "words": 4, "repeats": False, "least": 0.8}
+
+
+def test_large_family_of_pairs_keeps_every_pair(spark):
+    """Over 512 texts near one centre, of which only pairs are similar enough: no link to the centre may stand for a pair."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(900)]
+    base = rng.choices(words, k=200)
+
+    def changed(w, n):
+        w = list(w)
+        for at in rng.sample(range(200), n):
+            w[at] = rng.choice(words)
+        return w
+
+    data = [(0, " ".join(base))]
+    for i in range(300):
+        b = changed(base, 9)
+        data += [(2 * i + 1, " ".join(b)), (2 * i + 2, " ".join(changed(b, 2)))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(df, limit=50, **HOW).collect()}
+    assert got == exact_components(data)
+
+
+def test_search_goes_on_past_many_rejected(spark, monkeypatch):
+    """Parts of few rows and rounds give what one look at all pairs gives."""
+    monkeypatch.setattr(simhash, "BLOCK", 20)
+    rng = random.Random(10)
+    words = [f"v{i}" for i in range(300)]
+    base = rng.choices(words, k=60)
+    data = [(i, " ".join(rng.choice(words) if rng.random() < 0.03 else w for w in base)) for i in range(90)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(df, limit=96, **HOW).collect()}
+    assert got == exact_components(data)
