@@ -10,6 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from loomtrace.llm import graph, rlz, simhash, topk
 
 
@@ -321,3 +322,18 @@ def test_search_goes_on_past_many_rejected(spark, monkeypatch):
     df = spark.createDataFrame(data, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(df, limit=96, **HOW).collect()}
     assert got == exact_components(data)
+
+
+def test_short_texts_and_pairs_at_the_least_similarity(spark):
+    """Texts of 8 words and one word more, and of 200 words at 0.8 to 0.85: none is lost."""
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(5000)]
+    data = []
+    for i in range(300):
+        w = rng.choices(words, k=8)
+        data += [(4 * i, " ".join(w)), (4 * i + 1, " ".join([*w, rng.choice(words)]))]
+        w = rng.choices(words, k=100)
+        data += [(4 * i + 2, " ".join(w)), (4 * i + 3, " ".join([*w, *rng.choices(words, k=23)]))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
+    assert kept == {i for i, _ in data if i % 2 == 0}
