@@ -75,6 +75,20 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches; of each, the longest part up to a space or its end that passes its check. Where none does, the search goes on
+    after the match's first character, so a word before a number hides nothing."""
+    out, m = [], IBAN.search(text)
+    while m:
+        start, end = m.span()
+        while len(own := text[start:end].replace(" ", "")) >= 15 and not mod97(own):
+            end = max(start, text.rfind(" ", start, end))
+        if len(own) >= 15:
+            out.append((start, end))
+        m = IBAN.search(text, end if len(own) >= 15 else start + 1)
+    return out
+
+
 def _digits(text: str) -> str:
     return "".join([c for c in text if "0" <= c <= "9"])
 
@@ -89,7 +103,7 @@ def propose(text: str) -> list[tuple[int, str, int]]:
             out.append((m.start(), 2, m.end()))
     if "+" in text:
         out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
-    out += [(m.start(), 4, m.end()) for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    out += [(s, 4, e) for s, e in _ibans(text)]
     if "-" in text:
         out += [(m.start(), 5, m.end()) for m in NINE.finditer(text)]
     return [(s, KINDS[k], e) for s, k, e in sorted(out)]

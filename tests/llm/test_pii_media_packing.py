@@ -209,3 +209,12 @@ def test_packed_documents(spark):
     assert Counter(r["doc_id"] for r in rows)[5] == 2  # 4096 words and an end
     assert sum(r["n_words"] for r in rows if r["doc_id"] == 1) == 9000
     assert packing.best_fit(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("after", [" BIC COBADEFFXXX", " EUR", " 5 times", " BIC COBADEFF", "", ".", " GB29 NWBK 6016 1331 9268 19"])
+@pytest.mark.parametrize("number", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"])
+@pytest.mark.parametrize("before", ["", "AB12 ", "to "])
+def test_iban_next_to_capitals_and_numbers(before, number, after):
+    text = before + number + after
+    found = [text[s:e] for s, k, e, _ in pii.scan(text) if k == "iban"]
+    assert found == [number, *([after[1:]] if after.startswith(" GB") else [])]
