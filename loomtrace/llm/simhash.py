@@ -237,12 +237,15 @@ def near_links(nodes: DataFrame, radius: int, segments: int, limit: int, words:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c[rows]) for c in cols)], names=["key", "id", *names])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in grouped(batches, 1):
-            a, b = bucket_links(cols[0], cols[1], np.stack(cols[2:], 1).view(np.uint64), limit)
+        for cols in grouped(batches, 2):
+            part = np.cumsum(np.r_[False, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
+            a, b = bucket_links(part, cols[2], np.stack(cols[3:], 1).view(np.uint64), limit)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     dealt = nodes.select("id", *names).mapInArrow(deal, fields)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct()
+    heavy = dealt.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK)
+    split = in_parts(dealt.join(F.broadcast(heavy), "key", "left"), F.coalesce("rows", F.lit(1))).select("key", "part", "id", *names)
+    return split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(link, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, links: DataFrame, ident: str, text: str, shingle: int, least: float) -> DataFrame:

@@ -337,3 +337,21 @@ def test_short_texts_and_pairs_at_the_least_similarity(spark):
     df = spark.createDataFrame(data, "doc_id long, text string")
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()}
     assert kept == {i for i, _ in data if i % 2 == 0}
+
+
+def test_heavy_keys_are_split(spark, monkeypatch):
+    """200 fingerprints that share a segment: no task sees them together, and they are connected as before."""
+    monkeypatch.setattr(simhash, "BLOCK", 30, raising=False)
+    plain = simhash.bucket_links
+
+    def bounded(key, ids, f, limit):
+        if np.unique(key, return_counts=True)[1].max() > 120:
+            raise ValueError("too many rows under a key")
+        return plain(key, ids, f, limit)
+
+    monkeypatch.setattr(simhash, "bucket_links", bounded)
+    rng = random.Random(12)
+    prints = sorted({rng.getrandbits(7) for _ in range(600)} | {(1 << 20) + rng.getrandbits(7) for _ in range(600)})
+    nodes = spark.createDataFrame(list(enumerate(prints)), "id long, f0 long")
+    found = simhash.components(simhash.near_links(nodes, 4, 3, 4, 1), "a", "b")
+    assert {r["component"] for r in found.collect()} == {0} and found.count() == len(prints) > 200
