@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses spark.checkpoint.dir; sets a local folder only for a local session that has none."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomtrace-"))
 
@@ -41,3 +44,44 @@ def stored(df: DataFrame) -> DataFrame:
 def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
+
+def packed(rows: DataFrame, n_bytes: int = 1 << 22) -> DataFrame:
+    """``bucket`` and the arrays ``ids`` and ``texts``: rows (an id and a text) put together to about ``n_bytes`` of text each, as a table.
+
+    Rows stay in the task that reads them, so no group of rows meets anywhere.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, made = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                held.append(part)
+                size += part.nbytes
+                if size >= n_bytes:
+                    yield _row(made, held)
+                    held, size, made = [], 0, made + 1
+        if held:
+            yield _row(made, held)
+
+    kind = rows.schema[0].dataType.simpleString()
+    return stored(rows.mapInArrow(run, f"bucket long, ids array<{kind}>, texts array<string>"))
+
+
+def _row(bucket: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    whole = pa.Table.from_batches(parts).combine_chunks()
+    ends = pa.array([0, whole.num_rows], pa.int32())
+    cols = [whole.column(i).chunk(0) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(pa.ListArray.from_arrays(ends, c) for c in cols)], names=["bucket", "ids", "texts"])
+
+
+def text_bytes(texts: DataFrame, text: str) -> int:
+    return texts.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+
+
+def let_go(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for table_ in tables:
+        for file in {f.rpartition("/")[0] for f in table_.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,280 +1,373 @@
-"""Language-model scores from a log-frequency Bloom filter of quantised bigram counts.
-
-Learning counts every token of the learning rows (a shuffled aggregate, written to the shared folder), takes the most
-frequent tokens as vocabulary (at most ``VOCABULARY``; the others are one class), counts bigrams of vocabulary entries, and
-puts those seen at least ``least`` times into a Bloom filter: under its key with the numbers 1 to level, where
-level is the count's base-2 logarithm rounded down. A count is read back by probing levels until one is missing. The
-filter has ``FILTER_BITS`` bits whatever the input, the vocabulary a bounded number of entries, so both are broadcast;
-should more than ``MAX_FILL`` of the bits be set, ``least`` is doubled and the filter built again.
-
-p(v|u) = max(q(u v) - D, 0) / c(u) + rest(u) * p1(v): absolute discounting of the quantised counts q, where rest(u) is what
-the discounted counts leave of 1, and p1(v) is add-one over all tokens. A token outside the vocabulary is its class's
-probability times its own share of the class by add-one; its exact count comes from a join, since the table of
-all counts grows with the corpus and is never broadcast.
-
-Cases. Null or empty text: the end token alone. Null ids are learned from. Repeated rows are scored one by one. No
-learning rows: counts are 0. Empty table: no rows. Extra columns are ignored.
+"""Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
+
+Tokens are lower-cased words and one end a text, known by 64-bit hashes; there is no vocabulary, and every n-gram of every
+learning row is kept. The keys' highest bits deal n-grams to segments. A segment's task adds up the counts that the other tasks
+send it (each text chunk's n-grams are counted before), and puts each n-gram into the segment's part of the filter under
+its levels 1 to j, where the j-th of ``STEPS`` is the largest that its count reaches; the part has ``BITS`` bits for each entry. A
+count is read back by probing levels until one is missing. The filter grows with the corpus. Up to ``BROADCAST_BYTES``,
+measured before, it is broadcast; a larger one stays dealt, and buckets of texts send their n-grams to the segments and get
+levels back. Both ways give the same scores.
+
+With v the token before w and u the one before v: p(w|v) = (q(v w) + m p(w)) / (Q(v) + m) and, from order 3 on,
+p(w|u v) = (q(u v w) + m p(w|v)) / (Q(u v) + m), down to add-one p(w). q is the least count of the level that was read, Q the greatest, so
+the probabilities of all tokens add up to 1 at most (but for false hits). m is the mean number of different n-grams that go on
+from a context. ``ORDER`` is 2 in the query; see the README on 3.
+
+Cases. Null or empty text: the end token alone. Null ids are learned from. Repeated rows and ties are scored one by one. A very
+long text is a chunk of its own. No learning rows: counts are 0. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, fields
-from functools import cached_property
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stored, table
-from .simhash import remix
-
-VOCABULARY, FILTER_BITS, PROBES, MIN_COUNT, MAX_FILL = 1 << 16, 1 << 27, 3, 2, 0.5
-SEGMENTS, STEPS = 64, 16  # parts of the filter on its way to the driver; buckets of the count histogram for each doubling
-PART = 1000  # rows that a task holds as words at once
-END = b""  # no word is empty
+from . import words
+from .common import crc_mod, let_go, packed, stored, table, text_bytes
+from .words import remix
+
+ORDER, BITS, PROBES = 2, 8, 4
+SEGMENT_TEXT = 1 << 22  # bytes of text for each segment
+CHUNK = 1 << 21  # bytes of text whose n-grams are counted at once
+BROADCAST_BYTES = 160 << 20  # of filter and token counts together
+KEY = 6  # bytes of a key below its segment's bits that are kept
+#: Counts from which levels begin: 1, 2, 3, 4, 6, 8, 12, ...
+STEPS = np.array([1, 2, *(x for i in range(1, 61) for x in (3 << (i - 1), 2 << i))], np.uint64)
+START, END = np.uint64(0x51AFD7ED558CCD01), np.uint64(0xC4CEB9FE1A85EC55)
 FOLDS, HELD_OUT = 7, 2
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return [*(text or "").encode().lower().split(), END]
+@dataclass
+class Tokens:
+    """The tokens of some texts in a row, two starts before each text; ``event``: where a token stands that is predicted."""
 
+    hashes: np.ndarray
+    event: np.ndarray
+    first: np.ndarray  # of each text's events
 
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield from (batch.slice(i, PART) for i in range(0, batch.num_rows, PART))
 
+def tokens_of(texts: pa.Array) -> Tokens:
+    w = words.split(texts, lower=True)
+    n = np.diff(w.starts)
+    starts = w.starts[:-1] + 3 * np.arange(len(n))
+    hashes = np.full(len(w.hashes) + 3 * len(n), START, np.uint64)
+    hashes[np.arange(len(w.hashes)) + 3 * np.repeat(np.arange(len(n)), n) + 2] = w.hashes
+    hashes[starts + n + 2] = END
+    events = np.ones(len(hashes), bool)
+    events[starts] = events[starts + 1] = False
+    return Tokens(hashes, np.flatnonzero(events), np.cumsum(np.r_[0, n[:-1] + 1]) if len(n) else n)
 
-def count_tokens(texts: DataFrame) -> DataFrame:
-    """token, c."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches):
-            seen: Counter[bytes] = Counter()
-            for text in part.column(0).to_pylist():
-                seen.update(tokens_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
+def keys_of(t: Tokens, order: int) -> np.ndarray:
+    """Keys of the n-grams that end at each place; those that begin before a text's two starts are none of the text's."""
+    out = t.hashes
+    with np.errstate(over="ignore"):
+        for back in range(1, order):
+            out = remix(out * np.uint64(0x9E3779B97F4A7C15) + np.r_[np.full(back, START), t.hashes[:-back]])
+        return remix(out + np.uint64(order))
 
-    return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
+def learned_keys(t: Tokens, order: int, last: bool) -> np.ndarray:
+    """What a chunk adds to the counts: its events and, but for the last order, each text's starts as contexts."""
+    keys = keys_of(t, order)
+    return keys[t.event] if last else np.r_[keys[t.event], keys[t.event[t.first] - 1]]
 
-@dataclass
-class Words:
-    """The vocabulary and the totals. Entry 0 stands for all other tokens."""
 
-    index: dict[bytes, int]
-    counts: np.ndarray  # of entries; the first: of all other tokens
-    total: int
-    types: int
-    rest_types: int
-
-    @cached_property
-    def p1(self) -> np.ndarray:
-        """Add-one probabilities; the class has one type more, for tokens never seen."""
-        extra = np.ones(len(self.counts))
-        extra[0] = self.rest_types + 1
-        return (self.counts + extra) / (self.total + self.types + 1)
-
-    @property
-    def log_class(self) -> float:
-        return math.log10(self.counts[0] + self.rest_types + 1)
-
-
-def learn_words(counts: DataFrame, size: int = VOCABULARY) -> Words:
-    """As many of the highest buckets of the count histogram as hold ``size`` tokens at most."""
-    bucket = F.floor(F.log2("c") * STEPS).cast("int")
-    rows = counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("types"), F.sum("c").alias("total")).orderBy(F.desc("b")).collect()  # 64 * STEPS at most
-    low, held, held_total = None, 0, 0
-    for r in rows:
-        if held + r["types"] > size:
-            break
-        low, held, held_total = r["b"], held + r["types"], held_total + r["total"]
-    total, types = sum(r["total"] for r in rows), sum(r["types"] for r in rows)
-    top = counts.where(bucket >= low).collect() if low is not None else []  # ``size`` at most
-    found = {bytes(r["token"]): r["c"] for r in top}
-    if END not in found and types:  # every text has it, so contexts need it
-        end = counts.where(F.col("token") == F.lit(b"")).first()["c"]
-        found[END], held, held_total = end, held + 1, held_total + end
-    found.setdefault(END, 0)
-    order = sorted(found, key=lambda t: (-found[t], t))
-    return Words({t: i + 1 for i, t in enumerate(order)}, np.array([total - held_total, *(found[t] for t in order)], np.float64), total, types, types - held)
-
-
-def bigram_keys(ids: np.ndarray, end: int, size: int) -> np.ndarray:
-    """Keys of all neighbours; the first text begins after an end, and the others do, since each text ends with one."""
-    return np.r_[end, ids[:-1]] * size + ids
-
-
-def count_bigrams(texts: DataFrame, words) -> DataFrame:
-    """key, c for bigrams of vocabulary entries; words: their index, broadcast."""
+def narrow(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys with what lies under ``KEY`` bytes below the segment's bits set to 0."""
+    drop = np.uint64(max(0, 64 - bits - 8 * KEY))
+    return keys >> drop << drop
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = words.value
-        size, end = len(index) + 1, index[END]
-        for part in parts(batches):
-            ids = np.array([index.get(t, 0) for text in part.column(0).to_pylist() for t in tokens_of(text)], np.int64)
-            key, n = np.unique(bigram_keys(ids, end, size), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+def to_bytes(keys: np.ndarray, bits: int) -> bytes:
+    shift = np.uint64(max(0, 64 - bits - 8 * KEY))
+    return np.ascontiguousarray((keys >> shift).view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
 
 
-def positions(keys: np.ndarray, level: int | np.ndarray, probe: int, bits: int) -> np.ndarray:
-    """Where a key of a level sets or probes its bit."""
-    with np.errstate(over="ignore"):
-        seed = np.asarray(level).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(probe) * np.uint64(0xD6E8FEB86659FD93)
-        return remix(keys.astype(np.uint64) + seed) & np.uint64(bits - 1)
+def from_bytes(raw: bytes, segment: int, bits: int) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY, 8), np.uint8)
+    out[:, :KEY] = np.frombuffer(raw, np.uint8).reshape(-1, KEY)
+    low = out.view(np.uint64)[:, 0] << np.uint64(max(0, 64 - bits - 8 * KEY))
+    mask = np.uint64((1 << (64 - bits)) - 1)
+    return low & mask | np.uint64(segment << (64 - bits))
 
 
-def levels(counts: np.ndarray) -> np.ndarray:
-    return np.frexp(counts.astype(np.float64))[1] - 1
+def cut_by(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Segments of sorted keys."""
+    segment = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    edge = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(keys) else np.empty(0, np.int64)
+    for a, b in zip(edge, np.r_[edge[1:], len(keys)], strict=True):
+        yield int(segment[a]), slice(a, b)
 
 
-def build_filter(bigrams: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Each task sets bits in an array of its own; the arrays' parts are joined by OR on the executors."""
-    part = bits // 8 // SEGMENTS
+def places(keys: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
+    """Which of ``size`` bits (under 2 ** 32) a key of a level sets or probes."""
+    with np.errstate(over="ignore"):
+        x = remix(keys + np.uint64(level * 0x9E3779B97F4A7C15 + probe * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+        return (x >> np.uint64(32)) * np.uint64(size) >> np.uint64(32) if np.isscalar(size) else (x >> np.uint64(32)) * size >> np.uint64(32)
 
-    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            key, c = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            level = levels(c)
-            for j in range(1, int(level.max(initial=0)) + 1):
-                own = key[level >= j]
-                for p in range(PROBES):
-                    at = positions(own, j, p, bits)
-                    np.bitwise_or.at(array, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        for s in range(SEGMENTS):
-            piece = array[s * part : (s + 1) * part]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["segment", "bits"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[s] = held.get(s, np.zeros(part, np.uint8)) | np.frombuffer(b, np.uint8)
-        for s, a in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([a.tobytes()], pa.binary())], names=["segment", "bits"])
-
-    pieces = bigrams.select("key", "c").mapInArrow(set_bits, "segment int, bits binary").repartition(SEGMENTS, "segment").mapInArrow(join, "segment int, bits binary")
-    array = np.zeros(bits // 8, np.uint8)
-    for r in pieces.toLocalIterator():
-        array[r["segment"] * part : (r["segment"] + 1) * part] = np.frombuffer(r["bits"], np.uint8)
-    return array
-
-
-def read_counts(array: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    """Quantised counts: 2 to the highest level whose probes, and those of all levels below, are set."""
-    out, left, j = np.zeros(len(keys)), np.arange(len(keys)), 1
-    while len(left):
+
+def build_part(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A segment's part of the filter: whole 64-bit words, a bit for each place."""
+    level = np.searchsorted(STEPS, counts, "right")
+    size = 64 * max(1, math.ceil(int(level.sum()) * BITS / 64))
+    bits = np.zeros(size, bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        own = keys[level >= j]
         for p in range(PROBES):
-            at = positions(keys[left], j, p, bits)
-            left = left[array[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1]
-        out[left] = 2.0**j
-        j += 1
-    return out
+            bits[places(own, j, p, size)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+@dataclass
+class Filter:
+    """Parts of some segments, one after the other; ``at`` and ``size`` (in bits) by segment."""
+
+    bits: int
+    data: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level all of whose probes, and those of the levels below, are set; 0: none."""
+        keys = narrow(keys, self.bits)
+        segment = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, size = self.at[segment], self.size[segment].astype(np.uint64)
+        out, left, j = np.zeros(len(keys), np.uint8), np.flatnonzero(size), 1
+        while len(left):
+            for p in range(PROBES):
+                place = at[left] + places(keys[left], j, p, size[left]).astype(np.int64)
+                left = left[self.data[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1]
+            out[left] = j
+            j += 1
+        return out
 
 
 @dataclass
 class Model:
-    words: Words
-    bits: np.ndarray
-    rest: np.ndarray  # by context
-    discount: float
-    least: int
-
-    def log10(self, ids: np.ndarray) -> np.ndarray:
-        """Of each token's class given the one before; texts may follow each other, since each ends with an end."""
-        size, end = len(self.words.counts), self.words.index[END]
-        before = np.r_[end, ids[:-1]]
-        q = read_counts(self.bits, bigram_keys(ids, end, size), len(self.bits) * 8)
-        seen = np.maximum(q - self.discount, 0) * (q >= self.least) / np.maximum(self.words.counts[before], 1)
-        return np.log10(np.minimum(1.0, seen + self.rest[before] * self.words.p1[ids]))
-
-
-def plain(x: Model | Words) -> dict:
-    """The fields: a broadcast of them needs no class on the executors."""
-    return {f.name: getattr(x, f.name) for f in fields(x)}
-
-
-def learn(texts: DataFrame, bits: int = FILTER_BITS, vocabulary: int = VOCABULARY) -> tuple[Model, DataFrame]:
-    """The model, and the table of all token counts. texts: a column of texts."""
-    spark = texts.sparkSession
-    counts = stored(count_tokens(texts))
-    words = learn_words(counts, vocabulary)
-    shared = spark.sparkContext.broadcast(words.index)
-    seen = Observation()
-    bigrams = stored(count_bigrams(texts, shared).observe(seen, F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).where(f"c >= {MIN_COUNT}"))
-    n1, n2 = seen.get["n1"], seen.get["n2"]
-    discount, least, size = n1 / max(1, n1 + 2 * n2), MIN_COUNT, len(words.counts)
-    while True:
-        kept = bigrams.where(f"c >= {least}")
-        array = build_filter(kept, bits)
-        if np.bitwise_count(array).sum() <= MAX_FILL * bits:
-            break
-        least *= 2
-    quantised = F.expr("power(2.0D, floor(log2(c) + 1e-9))")
-    used = np.zeros(size)
-    for r in kept.groupBy(F.expr(f"key div {size}").alias("u")).agg(F.sum(quantised - discount).alias("s")).collect():  # a row for each vocabulary entry at most
-        used[r["u"]] = r["s"]
-    rest = np.clip(1 - used / np.maximum(words.counts, 1), 1e-6, 1.0)
-    return Model(words, array, rest, discount, least), counts
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, ident: str, text: str) -> DataFrame:
+    """``segments``: segment, part, tokens, counts as a table; and the totals."""
+
+    segments: DataFrame
+    bits: int
+    order: int
+    total: int
+    types: int
+    more: list[float]  # m of order 2, 3, ...
+    n_bytes: int
+
+
+SEGMENT = "segment int, part binary, tokens binary, counts binary, total long, distinct array<long>"
+
+
+def learn(texts: DataFrame, order: int = ORDER, segment_text: int = SEGMENT_TEXT) -> Model:
+    """texts: a column of texts."""
+    if not 1 <= order <= 3:
+        raise ValueError("order: 1 to 3")
+    column = texts.columns[0]
+    bits = words.segment_bits(text_bytes(texts, column), segment_text)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in words.chunks(batch, 0, CHUNK):
+                t = tokens_of(chunk.column(0))
+                rows: list[tuple] = []
+                tokens, n = np.unique(t.hashes[t.event], return_counts=True)
+                for s, own in cut_by(tokens, bits):
+                    rows.append((s, 0, tokens[own].tobytes(), n[own].astype(np.uint32).tobytes()))
+                for k in range(1, order + 1):
+                    keys, n = np.unique(narrow(learned_keys(t, k, k == order), bits), return_counts=True)
+                    for s, own in cut_by(keys, bits):
+                        rows.append((s, k, to_bytes(keys[own], bits), n[own].astype(np.uint32).tobytes()))
+                cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["segment", "k", "keys", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for segment, rows in groupby(_rows(batches), lambda r: r[0]):
+            found = {k: _sums([(np.frombuffer(a, np.uint64) if k == 0 else from_bytes(a, segment, bits), np.frombuffer(n, np.uint32)) for _, _, a, n in own]) for k, own in groupby(rows, lambda r: r[1])}
+            none = (np.empty(0, np.uint64), np.empty(0, np.uint64))
+            grams = [found.get(k, none) for k in range(1, order + 1)]
+            part = build_part(np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams]))
+            tokens, n = found.get(0, none)
+            values = [[segment], [part.tobytes()], [tokens.tobytes()], [n.tobytes()], [int(n.sum())], [[len(tokens), *(len(g[0]) for g in grams[1:])]]]
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(v, x) for v, x in zip(values, kinds, strict=True)], names=["segment", "part", "tokens", "counts", "total", "distinct"])
+
+    counted = texts.mapInArrow(count, "segment int, k int, keys binary, n binary")
+    segments = stored(counted.repartition("segment").sortWithinPartitions("segment", "k").mapInArrow(merge, SEGMENT))
+    sums = segments.agg(F.sum("total"), *[F.sum(F.get("distinct", F.lit(k))) for k in range(order)], F.sum(F.octet_length("part") + F.octet_length("tokens") + F.octet_length("counts"))).first()
+    total, *distinct, n_bytes = [x or 0 for x in sums]
+    return Model(segments, bits, order, total, distinct[0], [max(1.0, b / max(1, a)) for a, b in zip(distinct, distinct[1:], strict=False)], n_bytes)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n, first)
+
+
+@dataclass
+class Totals:
+    order: int
+    total: int
+    types: int
+    more: list[float]
+
+
+def text_scores(t: Tokens, totals: Totals, counts: Callable[[np.ndarray], np.ndarray], levels: Callable[[np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """n_tokens, n_known, base and score of each text. counts: of tokens; levels: of keys."""
+    if not len(t.first):
+        return [np.empty(0)] * 4
+    low = np.r_[np.uint64(0), STEPS].astype(np.float64)
+    high = np.r_[0.0, STEPS[1:].astype(np.float64) - 1, np.inf]
+
+    def once(x: np.ndarray, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        distinct, where = np.unique(x, return_inverse=True)
+        return f(distinct)[where]
+
+    c = once(t.hashes[t.event], counts).astype(np.float64)
+    base = np.log10((c + 1) / (totals.total + totals.types + 1))
+    p = before = None
+    for k in range(1, totals.order + 1):
+        level = once(keys_of(t, k), levels)
+        q = low[level[t.event]]
+        if k == 1:
+            p = (q + 1) / (totals.total + totals.types + 1)
+        else:
+            m = totals.more[k - 2]
+            p = np.minimum(1.0, (q + m * p) / (before + m))
+        before = high[level[t.event - 1]]
+    per = lambda x: np.add.reduceat(x, t.first)
+    return [np.diff(np.r_[t.first, len(t.event)]), per((c > 0).astype(np.int64)), per(base), per(np.log10(p))]
+
+
+def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Values of sorted keys; 0 for those that are missing."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0)
+
+
+NAMES = ["n_tokens", "n_known", "base_score", "score"]
+
+
+def _batch(ids: pa.Array, ident: str, scores: list[np.ndarray]) -> pa.RecordBatch:
+    kinds = (np.int64, np.int64, np.float64, np.float64)
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(np.asarray(x).astype(k)) for x, k in zip(scores, kinds, strict=True))], names=[ident, *NAMES])
+
+
+def score(docs: DataFrame, model: Model, ident: str, text: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """ident, n_tokens, n_known, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(plain(model) | {"words": plain(model.words)})
+    rows = docs.select(docs[ident], docs[text])
+    totals = Totals(model.order, model.total, model.types, model.more)
+    schema = f"`{ident}` {rows.schema[0].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"
+    return _by_broadcast(rows, model, totals, ident, schema) if model.n_bytes <= broadcast_bytes else _by_exchange(rows, model, totals, ident, schema)
+
+
+def _by_broadcast(rows: DataFrame, model: Model, totals: Totals, ident: str, schema: str) -> DataFrame:
+    """The filter and the token counts, of ``BROADCAST_BYTES`` at most, go to every worker."""
+    n, at = 1 << model.bits, 0
+    where, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    data, tokens, counts = [], [], []
+    for r in model.segments.orderBy("segment").select("segment", "part", "tokens", "counts").toLocalIterator():
+        where[r["segment"]], size[r["segment"]] = at, 8 * len(r["part"])
+        at += 8 * len(r["part"])
+        data.append(np.frombuffer(r["part"], np.uint8))
+        tokens.append(np.frombuffer(r["tokens"], np.uint64))
+        counts.append(np.frombuffer(r["counts"], np.uint64).astype(np.uint32 if model.total < 1 << 32 else np.uint64))
+    none = np.empty(0, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast((np.concatenate([none, *data]), where, size, np.concatenate([np.empty(0, np.uint64), *tokens]), np.concatenate([np.empty(0, np.uint32), *counts])))
+    bits = model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(**shared.value | {"words": Words(**shared.value["words"])})
-        index, row = m.words.index, TaskContext.get().partitionId() << 36
-        log_count = np.log10(m.words.counts + 1)
-        names = ["row", "token", "n", "id", "n_tokens", "known", "base", "model", "n_rest"]
-        for part in parts(batches):
-            texts = [tokens_of(x) for x in part.column(1).to_pylist()]
-            ids = np.array([index.get(t, 0) for tokens in texts for t in tokens], np.int64)
-            starts = np.cumsum([0, *map(len, texts)])
-            add = lambda x: np.add.reduceat(x, starts[:-1]) if len(texts) else x  # noqa: E731,B023
-            own = [np.diff(starts), add(((m.words.counts[ids] > 0) & (ids > 0)).astype(np.int64)), add(np.where(ids > 0, log_count[ids], 0.0)), add(m.log10(ids)), add((ids == 0).astype(np.int64))]
-            rows, others, n, first = [], [], [], row
-            for tokens, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
-                rest = Counter([tokens[i] for i in np.flatnonzero(ids[a:b] == 0)])
-                rows += [row] * len(rest)
-                others += list(rest)
-                n += list(rest.values())
-                row += 1
-            none = pa.nulls(len(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(others, pa.binary()), pa.array(n, pa.int64()), none.cast(part.column(0).type), *(none.cast(k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], names=names)
-            # The row of the text itself: its token has a space, so it joins nothing, and no two are alike.
-            at = range(first, row)
-            cols = [pa.array(np.asarray(x).astype(k)) for x, k in zip(own, (np.int64, np.int64, np.float64, np.float64, np.int64), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([b" %d" % i for i in at], pa.binary()), pa.nulls(len(at), pa.int64()), part.column(0), *cols], names=names)
-
-    kind = docs.schema[ident].dataType.simpleString()
-    split = docs.select(docs[ident], docs[text]).mapInArrow(run, f"row long, token binary, n long, id {kind}, n_tokens long, known long, base double, model double, n_rest long")
-    joined = split.join(counts, "token", "left").select("*", F.coalesce("c", F.lit(0)).alias("seen"))
-    sums = joined.groupBy("row").agg(
-        F.max("id").alias(ident), F.max("n_tokens").alias("n_tokens"), F.max("known").alias("known"), F.max("base").alias("base"), F.max("model").alias("model"), F.max("n_rest").alias("n_rest"),
-        F.coalesce(F.sum(F.when(F.col("seen") > 0, F.col("n"))), F.lit(0)).alias("more"), F.coalesce(F.sum(F.col("n") * F.log10(F.col("seen") + 1.0)), F.lit(0.0)).alias("logs"),
-    )
-    words = model.words
-    return sums.select(
-        ident, "n_tokens", (F.col("known") + F.col("more")).alias("n_known"),
-        (F.col("base") + F.col("logs") - F.col("n_tokens") * F.lit(math.log10(words.total + words.types + 1))).alias("base_score"),
-        (F.col("model") + F.col("logs") - F.col("n_rest") * F.lit(words.log_class)).alias("score"),
-    )
+        data, where, size, tokens, counts = shared.value
+        held = Filter(bits, data, where, size)
+        for batch in batches:
+            for chunk in words.chunks(batch, 1):
+                yield _batch(chunk.column(0), ident, text_scores(tokens_of(chunk.column(1)), totals, lambda x: _found(tokens, counts, x), held.levels))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _by_exchange(rows: DataFrame, model: Model, totals: Totals, ident: str, schema: str) -> DataFrame:
+    """Buckets of texts ask the segments: for the counts of their tokens, and for the levels of their keys."""
+    buckets = packed(rows)
+    bits, order = model.bits, model.order
+    names = ["segment", "bucket", "what", "a", "b", "c"]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    fields = "segment int, bucket long, what int, a binary, b binary, c binary"
+
+    def as_batch(rows_: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows_, strict=True)) if rows_ else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    def asked(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(t.hashes[t.event]), np.unique(np.concatenate([narrow(keys_of(t, k), bits) for k in range(1, order + 1)]))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = asked(tokens_of(batch.column(2)[i].values))
+                yield as_batch([(s, batch.column(0)[i].as_py(), what, keys[at].tobytes(), None, None) for what, keys in enumerate(own, 1) for s, at in cut_by(keys, bits)])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for segment, own in groupby(_rows(batches), lambda r: r[0]):
+            tokens, counts, held = np.empty(0, np.uint64), np.empty(0, np.uint64), None
+            for _, bucket, what, a, b, c in own:
+                if what == 0:  # the segment itself comes first
+                    size = np.zeros(1 << bits, np.int64)
+                    size[segment] = 8 * len(a)
+                    held = Filter(bits, np.frombuffer(a, np.uint8), np.zeros(1 << bits, np.int64), size)
+                    tokens, counts = np.frombuffer(b, np.uint64), np.frombuffer(c, np.uint64)
+                    continue
+                keys = np.frombuffer(a, np.uint64)
+                found = _found(tokens, counts, keys).astype(np.uint64) if what == 1 else held.levels(keys) if held else np.zeros(len(keys), np.uint8)
+                yield as_batch([(segment, bucket, what, found.tobytes(), None, None)])
+
+    def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: dict[int, list[bytes]] = {1: [], 2: []}
+        for batch in batches:
+            what = batch.column(2).to_pylist()
+            for i in range(batch.num_rows):
+                if what[i] < 3:
+                    said[what[i]].append(batch.column(3)[i].as_py())
+                    continue
+                t = tokens_of(batch.column(5)[i].values)
+                tokens, keys = asked(t)
+                counts, levels = np.frombuffer(b"".join(said[1]), np.uint64), np.frombuffer(b"".join(said[2]), np.uint8)
+                yield _batch(batch.column(4)[i].values, ident, text_scores(t, totals, lambda x: _found(tokens, counts, x), lambda x: _found(keys, levels, narrow(x, bits))))  # noqa: B023
+                said = {1: [], 2: []}
+
+    whole = model.segments.select("segment", F.lit(None).cast("long").alias("bucket"), F.lit(0).alias("what"), F.col("part").alias("a"), F.col("tokens").alias("b"), F.col("counts").alias("c"))
+    asks = buckets.mapInArrow(ask, fields).unionByName(whole)
+    answers = asks.repartition("segment").sortWithinPartitions("segment", "what").mapInArrow(answer, fields)
+    texts = buckets.select("bucket", F.lit(None).cast("int").alias("segment"), F.lit(3).alias("what"), F.lit(None).cast("binary").alias("a"), "ids", "texts")
+    nothing = buckets.schema
+    both = answers.select("bucket", "segment", "what", "a", F.lit(None).cast(nothing["ids"].dataType).alias("ids"), F.lit(None).cast(nothing["texts"].dataType).alias("texts"))
+    ready = both.unionByName(texts).repartition("bucket").sortWithinPartitions("bucket", "what", "segment")
+    return ready.mapInArrow(use, schema)
 
 
 def op2_log_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    model, counts = learn(docs.where(~held_out).select("text"))
-    found = score(docs, model, counts, "doc_id", "text")
-    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.words.total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
+    model = learn(docs.where(~held_out).select("text"))
+    found = score(docs, model, "doc_id", "text")
+    if model.n_bytes <= BROADCAST_BYTES:
+        let_go(spark, model.segments)  # the workers have it all
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
