@@ -31,13 +31,12 @@ from pyspark.sql import functions as F
 
 from . import words
 from .common import crc_mod, let_go, packed, stored, table, text_bytes
-from .words import remix
+from .words import batch_of, cut_by, found_at, from_bytes, narrow, remix, rows_of, to_bytes
 
 ORDER, BITS, PROBES = 2, 8, 4
 SEGMENT_TEXT = 1 << 22  # bytes of text for each segment
 CHUNK = 1 << 21  # bytes of text whose n-grams are counted at once
 BROADCAST_BYTES = 160 << 20  # of filter and token counts together
-KEY = 6  # bytes of a key below its segment's bits that are kept
 #: Counts from which levels begin: 1, 2, 3, 4, 6, 8, 12, ...
 STEPS = np.array([1, 2, *(x for i in range(1, 61) for x in (3 << (i - 1), 2 << i))], np.uint64)
 START, END = np.uint64(0x51AFD7ED558CCD01), np.uint64(0xC4CEB9FE1A85EC55)
@@ -80,33 +79,6 @@ def learned_keys(t: Tokens, order: int, last: bool) -> np.ndarray:
     return keys[t.event] if last else np.r_[keys[t.event], keys[t.event[t.first] - 1]]
 
 
-def narrow(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Keys with what lies under ``KEY`` bytes below the segment's bits set to 0."""
-    drop = np.uint64(max(0, 64 - bits - 8 * KEY))
-    return keys >> drop << drop
-
-
-def to_bytes(keys: np.ndarray, bits: int) -> bytes:
-    shift = np.uint64(max(0, 64 - bits - 8 * KEY))
-    return np.ascontiguousarray((keys >> shift).view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
-
-
-def from_bytes(raw: bytes, segment: int, bits: int) -> np.ndarray:
-    out = np.zeros((len(raw) // KEY, 8), np.uint8)
-    out[:, :KEY] = np.frombuffer(raw, np.uint8).reshape(-1, KEY)
-    low = out.view(np.uint64)[:, 0] << np.uint64(max(0, 64 - bits - 8 * KEY))
-    mask = np.uint64((1 << (64 - bits)) - 1)
-    return low & mask | np.uint64(segment << (64 - bits))
-
-
-def cut_by(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """Segments of sorted keys."""
-    segment = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    edge = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(keys) else np.empty(0, np.int64)
-    for a, b in zip(edge, np.r_[edge[1:], len(keys)], strict=True):
-        yield int(segment[a]), slice(a, b)
-
-
 def places(keys: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
     """Which of ``size`` bits (under 2 ** 32) a key of a level sets or probes."""
     with np.errstate(over="ignore"):
@@ -185,19 +157,18 @@ def learn(texts: DataFrame, order: int = ORDER, segment_text: int = SEGMENT_TEXT
                     keys, n = np.unique(narrow(learned_keys(t, k, k == order), bits), return_counts=True)
                     for s, own in cut_by(keys, bits):
                         rows.append((s, k, to_bytes(keys[own], bits), n[own].astype(np.uint32).tobytes()))
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["segment", "k", "keys", "n"])
+                yield batch_of(rows, ["segment", "k", "keys", "n"], (pa.int32(), pa.int32(), pa.binary(), pa.binary()))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment, rows in groupby(_rows(batches), lambda r: r[0]):
+        for segment, rows in groupby(rows_of(batches), lambda r: r[0]):
             found = {k: _sums([(np.frombuffer(a, np.uint64) if k == 0 else from_bytes(a, segment, bits), np.frombuffer(n, np.uint32)) for _, _, a, n in own]) for k, own in groupby(rows, lambda r: r[1])}
             none = (np.empty(0, np.uint64), np.empty(0, np.uint64))
             grams = [found.get(k, none) for k in range(1, order + 1)]
             part = build_part(np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams]))
             tokens, n = found.get(0, none)
-            values = [[segment], [part.tobytes()], [tokens.tobytes()], [n.tobytes()], [int(n.sum())], [[len(tokens), *(len(g[0]) for g in grams[1:])]]]
+            row = (segment, part.tobytes(), tokens.tobytes(), n.tobytes(), int(n.sum()), [len(tokens), *(len(g[0]) for g in grams[1:])])
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(v, x) for v, x in zip(values, kinds, strict=True)], names=["segment", "part", "tokens", "counts", "total", "distinct"])
+            yield batch_of([row], ["segment", "part", "tokens", "counts", "total", "distinct"], kinds)
 
     counted = texts.mapInArrow(count, "segment int, k int, keys binary, n binary")
     segments = stored(counted.repartition("segment").sortWithinPartitions("segment", "k").mapInArrow(merge, SEGMENT))
@@ -206,11 +177,6 @@ def learn(texts: DataFrame, order: int = ORDER, segment_text: int = SEGMENT_TEXT
     return Model(segments, bits, order, total, distinct[0], [max(1.0, b / max(1, a)) for a, b in zip(distinct, distinct[1:], strict=False)], n_bytes)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-
 def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their counts."""
     keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.uint64)
@@ -257,10 +223,8 @@ def text_scores(t: Tokens, totals: Totals, counts: Callable[[np.ndarray], np.nda
 
 def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """Values of sorted keys; 0 for those that are missing."""
-    if not len(keys):
-        return np.zeros(len(asked), np.int64)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, values[at], 0)
+    at, there = found_at(keys, asked)
+    return np.where(there, values[at], 0) if len(keys) else np.zeros(len(asked), np.int64)
 
 
 NAMES = ["n_tokens", "n_known", "base_score", "score"]
@@ -312,10 +276,6 @@ def _by_exchange(rows: DataFrame, model: Model, totals: Totals, ident: str, sche
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     fields = "segment int, bucket long, what int, a binary, b binary, c binary"
 
-    def as_batch(rows_: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows_, strict=True)) if rows_ else [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
     def asked(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(t.hashes[t.event]), np.unique(np.concatenate([narrow(keys_of(t, k), bits) for k in range(1, order + 1)]))
 
@@ -323,10 +283,11 @@ def _by_exchange(rows: DataFrame, model: Model, totals: Totals, ident: str, sche
         for batch in batches:
             for i in range(batch.num_rows):
                 own = asked(tokens_of(batch.column(2)[i].values))
-                yield as_batch([(s, batch.column(0)[i].as_py(), what, keys[at].tobytes(), None, None) for what, keys in enumerate(own, 1) for s, at in cut_by(keys, bits)])
+                rows_ = [(s, batch.column(0)[i].as_py(), what, keys[at].tobytes(), None, None) for what, keys in enumerate(own, 1) for s, at in cut_by(keys, bits)]
+                yield batch_of(rows_, names, kinds)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment, own in groupby(_rows(batches), lambda r: r[0]):
+        for segment, own in groupby(rows_of(batches), lambda r: r[0]):
             tokens, counts, held = np.empty(0, np.uint64), np.empty(0, np.uint64), None
             for _, bucket, what, a, b, c in own:
                 if what == 0:  # the segment itself comes first
@@ -337,7 +298,7 @@ def _by_exchange(rows: DataFrame, model: Model, totals: Totals, ident: str, sche
                     continue
                 keys = np.frombuffer(a, np.uint64)
                 found = _found(tokens, counts, keys).astype(np.uint64) if what == 1 else held.levels(keys) if held else np.zeros(len(keys), np.uint8)
-                yield as_batch([(segment, bucket, what, found.tobytes(), None, None)])
+                yield batch_of([(segment, bucket, what, found.tobytes(), None, None)], names, kinds)
 
     def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: dict[int, list[bytes]] = {1: [], 2: []}

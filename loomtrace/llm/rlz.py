@@ -1,174 +1,239 @@
-"""Substring deduplication by a relative Lempel-Ziv parse.
+"""Substring deduplication by relative Lempel-Ziv parsing.
 
-The corpus is its own reference. Its index holds phrases of ``WINDOW`` words with the smallest id that has each, in
-blocks dealt by the phrases' hashes; a document's parse against every block is one aggregate, since a block that lacks a
-phrase cannot begin or extend a factor. Each document is then factored greedily from left to right: where a phrase is in
-the index under a smaller id, or earlier in the document, a factor begins and grows while the next phrase is too; a factor
-ends where it cannot grow, and the phrases across its end are looked up in turn, so none that straddles two factors is
-missed. Factors are ``WINDOW`` words or longer; their words are duplicates.
+The corpus is put into reference blocks of about ``BLOCK_BYTES`` of text, as its tasks read it. A block's index is its
+suffixes in the order of their first ``WINDOW`` words (by hash; a match of fewer words never counts), each with the document
+and word where they begin. A document is factored greedily from left to right: where its next ``WINDOW`` words begin in a document of a
+smaller id, or earlier in the same document, the first such place of all blocks is the source, and the factor grows for as long as
+the document and the source go on alike. A window across a factor's end has its own source and begins a factor of its own, so none that straddles two
+factors is missed. The words of all factors are duplicates.
 
-Phrases that cannot be in two texts are never indexed. Every phrase has an anchor, the least hash of the ``ANCHOR``-word
-runs in it, and equal phrases have equal anchors. One aggregate finds the anchors that texts share; only phrases under
-these are dealt. Texts that equal one of a smaller id are duplicates as a whole and index nothing.
+To find the first place in all blocks, blocks ask in two steps, and no block is compared with another. Every window has an anchor, the
+least hash of the ``ANCHOR``-word runs in it; equal windows have equal anchors. Blocks send their anchors to segments of the hash range and learn
+which of them other texts have too; then windows under shared anchors only, with their first place in the block. A block sends each key once
+however often it has it, so neither a common passage nor a large group of copies is a hot key.
 
 Cases. Null or empty text: no words. Fewer than ``WINDOW`` words: nothing is removed. Rows of equal id do not make each
-other's words duplicates. A null id counts as larger than every other. Empty table: no rows. Extra columns are ignored.
-Phrases are compared by 96 bits of hashes of the words' 64-bit hashes; rows (id and text) by 64 bits.
+other's words duplicates. Ids are whole numbers; a null id counts as larger than every other. Ties: the first place by id, then word. A very long text is a
+block of its own, held in one task (about 200 bytes a word). Empty table: no rows. Extra columns are ignored. Windows
+are compared by 64 bits of hashes within a block, and by over 80 across blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .simhash import remix
+from . import words
+from .common import packed, stored, table, text_bytes
+from .words import batch_of, cut_by, found_at, from_bytes, narrow, remix, rows_of, to_bytes
 
 WINDOW, ANCHOR = 20, 5  # a window has 16 anchor positions
+BLOCK_BYTES, SEGMENT_TEXT = 3 << 20, 1 << 22
 LAST = (1 << 63) - 1
-_B = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def _power(b: np.uint64, n: int) -> np.uint64:
-    return np.uint64(pow(int(b), n, 1 << 64))
-
-
-def rolling(h: np.ndarray, width: int, b: np.uint64) -> np.ndarray:
-    """A hash of every run of ``width`` words, put together from runs of 1, 2, 4, ... words."""
-    out, done, run, size = None, 0, h, 1
-    rest = width
-    while rest:
-        if rest & 1:
-            part = run[done : len(run)] if out is None else run[done:]
-            out = part if out is None else out[: len(part)] * _power(b, size) + part[: len(out)]
-            done += size
-        rest >>= 1
-        if rest:
-            run, size = run[:-size] * _power(b, size) + run[size:], 2 * size
-    return remix(out[: len(h) - width + 1])
-
-
-def phrases(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every window: its hash and its anchor."""
-    least = rolling(h, ANCHOR, _B[2])
-    for step in (1, 2, 4, 8):
-        least = np.minimum(least[:-step], least[step:])
-    return rolling(h, WINDOW, _B[0]), least
-
-
-def factors(known: np.ndarray) -> list[tuple[int, int]]:
-    """(first word, words) of the greedy factors, from which windows are known."""
-    edge = np.flatnonzero(np.diff(np.r_[False, known, False].astype(np.int8)))
-    return [(int(a), int(z - a + WINDOW - 1)) for a, z in zip(edge[::2], edge[1::2], strict=True)]
-
-
-def _anchors(rows: DataFrame) -> DataFrame:
-    """r, t, anchor: the anchors of each text, once each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, out = [], [np.empty(0, np.uint64)]
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                words = (text or "").encode().split()
-                if len(words) >= WINDOW:
-                    found = np.unique(phrases(word_hashes(words))[1])
-                    at.append(np.full(len(found), i))
-                    out.append(found)
-            take = pa.array(np.concatenate([np.empty(0, np.int64), *at]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(out).view(np.int64))], names=["r", "t", "anchor"])
-
-    return rows.select("r", "t", "text").mapInArrow(run, "r long, t long, anchor long")
-
-
-def _phrases(marked: DataFrame) -> DataFrame:
-    """h1, h2, d: phrases of each text under the anchors that it shares, once each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]]
-            for d, text, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                h = word_hashes((text or "").encode().split())
-                first, anchor = phrases(h)
-                at = np.isin(anchor, shared.values.to_numpy().view(np.uint64))
-                one, where = np.unique(first[at], return_index=True)
-                second = rolling(remix(h), WINDOW, _B[1])[at][where] >> np.uint64(32)
-                for col, x in zip(cols, (one.view(np.int64), second.astype(np.uint32).view(np.int32), np.full(len(one), d)), strict=True):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h1", "h2", "d"])
-
-    return marked.where("first and shared is not null").select("d", "text", "shared").mapInArrow(run, "h1 long, h2 int, d long")
-
-
-def parse(text: str | None, first: bool, shared: np.ndarray, own: np.ndarray) -> tuple[int, list[tuple[int, int]], bytes]:
-    """Words, factors, and what is kept. first: no equal text has a smaller id. own: indexed phrases that have their smallest id here."""
-    words = (text or "").encode().split()
-    n = len(words)
-    if n < WINDOW:
-        return n, [], b" ".join(words)
-    if not first:
-        return n, [(0, n)], b""
-    phrase, anchor = phrases(word_hashes(words))
-    known = np.ones(len(phrase), bool)
-    known[np.unique(phrase, return_index=True)[1]] = False  # else it is earlier in the document
-    if len(shared):
-        known |= np.isin(anchor, shared) & ~np.isin(phrase, own)
-    if not known.any():
-        return n, [], b" ".join(words)
-    found, kept, at = factors(known), [], 0
-    for start, length in found:
-        kept += words[at:start]
-        at = max(at, start + length)
-    return n, found, b" ".join(kept + words[at:])
-
-
-def _marks(source: DataFrame) -> DataFrame:
-    """r, shared (the row's anchors that other texts have too), first (no equal text has a smaller id), first_d (its id)."""
-    anchors = _anchors(source)
-    shared = anchors.groupBy("anchor").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("anchor")
-    shared = anchors.select("r", "anchor").join(shared, "anchor").groupBy("r").agg(F.collect_set("anchor").alias("shared"))
-    firsts = source.groupBy("t", F.md5("text").alias("digest")).agg(F.min("d").alias("first_d"))
-    firsts = firsts.select(F.xxhash64("first_d", "t").alias("r"), "first_d", F.lit(True).alias("first")).distinct()
-    return cut(shared.join(firsts, "r", "full_outer"))
+_SALT = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+NAMES = ["bucket", "segment", "what", "a", "b", "c", "d"]
+KINDS = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+FIELDS = "bucket long, segment int, what int, a binary, b binary, c binary, d binary"
+
+
+class Block:
+    """The windows of a block's texts, in order: text number, first word, hashes and anchor."""
+
+    def __init__(self, ids: pa.Array, texts: pa.Array, bits: int):
+        self.ids = np.asarray(ids.fill_null(LAST)).astype(np.int64)
+        self.words = words.split(texts)
+        at, self.text = words.windows(self.words, WINDOW)
+        self.start = (at - self.words.starts[self.text]).astype(np.uint32)
+        h = self.words.hashes
+        if len(at):
+            first = words.runs(h, WINDOW, _SALT[0])[at]
+            second = words.runs(remix(h), WINDOW, _SALT[1])[at]
+            self.first, self.second, self.both = narrow(first, bits), (second >> np.uint64(32)).astype(np.uint32), first ^ (second << np.uint64(1))
+            least = words.runs(h, ANCHOR, _SALT[2])
+            for step in (1, 2, 4, 8):
+                least = np.minimum(least[:-step], least[step:])
+            self.anchor = narrow(least[at], bits)
+        else:
+            self.first = self.both = self.anchor = np.empty(0, np.uint64)
+            self.second = np.empty(0, np.uint32)
+        self.d = self.ids[self.text]
+
+    def anchors(self) -> np.ndarray:
+        return np.unique(self.anchor)
+
+    def _alike(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """These windows: those that no other of them equals, and the rest."""
+        order = np.argsort(self.both[of])
+        key = self.both[of[order]]
+        same = key[1:] == key[:-1]
+        several = np.r_[False, same] | np.r_[same, False] if len(of) else np.empty(0, bool)
+        return of[order[~several]], of[order[several]]
+
+    def _leads(self, order: np.ndarray) -> np.ndarray:
+        return np.r_[True, self.both[order[1:]] != self.both[order[:-1]]] if len(order) else np.empty(0, bool)
+
+    def first_places(self, of: np.ndarray) -> np.ndarray:
+        """Of these windows the first of each hash, by id, then word."""
+        alone, several = self._alike(of)
+        several = several[np.lexsort((self.start[several], self.d[several], self.both[several]))]
+        found = np.r_[alone, several[self._leads(several)]]
+        return found[np.argsort(self.first[found])]
+
+    def sources(self, key: np.ndarray, second: np.ndarray, d: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window the first place where it begins before: id and word, -1 where it does not.
+
+        key and what follows: windows that other blocks have first, sorted by key.
+        """
+        n = len(self.first)
+        src, word = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        _, several = self._alike(np.arange(n))
+        # Earlier in the same text.
+        order = several[np.lexsort((self.start[several], self.text[several], self.both[several]))]
+        lead = self._leads(order)
+        lead[1:] |= self.text[order[1:]] != self.text[order[:-1]]
+        head = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+        src[order[~lead]], word[order[~lead]] = self.d[order[~lead]], self.start[head[~lead]]
+        # In another text of the block that has a smaller id.
+        order = several[np.lexsort((self.start[several], self.d[several], self.both[several]))]
+        lead = self._leads(order)
+        head = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+        less = self.d[head] < self.d[order]
+        src[order[less]], word[order[less]] = self.d[head[less]], self.start[head[less]]
+        # In another block. Keys of equal first hashes stand in a row.
+        at, there = found_at(key, self.first)
+        while there.any():
+            i, j = np.flatnonzero(there), at[there]
+            better = (second[j] == self.second[i]) & (d[j] < self.d[i]) & ((src[i] < 0) | (d[j] < src[i]) | (d[j] == src[i]) & (start[j] < word[i]))
+            src[i[better]], word[i[better]] = d[j[better]], start[j[better]]
+            at = at + 1
+            there &= at < len(key)
+            there[there] = key[at[there]] == self.first[there]
+        return src, word
+
+
+def factors(src: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The greedy factors of one text: first word, words, source and the source's first word, a row each."""
+    n = len(src)
+    on = np.r_[False, (src[1:] >= 0) & (src[1:] == src[:-1]) & (word[1:] == word[:-1] + 1)] if n else np.empty(0, bool)
+    first = np.flatnonzero((src >= 0) & ~on)
+    if not len(first):
+        return np.empty((0, 4), np.int64)
+    stop = np.flatnonzero(np.r_[~on[1:], True] & (src >= 0))
+    return np.stack([first, stop - first + WINDOW, src[first], word[first]], 1)
+
+
+def covered(src: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in a window that has a source."""
+    edge = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(src >= 0)
+    edge[at] += 1
+    edge[at + WINDOW] -= 1
+    return np.cumsum(edge)[:n] > 0
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())]))
+
+
+def _with_texts(answers: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each block's answers by segment, then the block itself."""
+    none = [F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in ("ids", "texts")]
+    own = [F.lit(None).cast("int").alias("segment"), F.lit(9).alias("what"), *[F.lit(None).cast("binary").alias(c) for c in "abcd"]]
+    both = answers.select(*NAMES, *none).unionByName(blocks.select("bucket", *own, "ids", "texts"))
+    return both.repartition("bucket").sortWithinPartitions("bucket", "what", "segment")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[int, Block, list[tuple]]]:
+    """Of ``_with_texts``: a block's number, its windows, and the answers."""
+    said: list[tuple] = []
+    for batch in batches:
+        what = batch.column(2).to_pylist()
+        for i in range(batch.num_rows):
+            if what[i] != 9:
+                said.append(tuple(batch.column(k)[i].as_py() for k in range(7)))
+                continue
+            yield batch.column(0)[i].as_py(), Block(batch.column(7)[i].values, batch.column(8)[i].values, bits), said
+            said = []
 
 
 def dedup_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """ident, n_words, factors (first word and words of each; neighbours may overlap), n_removed, and kept_text."""
-    source = docs.select(F.coalesce(docs[ident].cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(docs[text]).alias("t"), docs[text].alias("text"))
-    source = source.withColumn("r", F.xxhash64("d", "t"))
-    marks = _marks(source)
-    marked = source.select("r", "d", "text").join(marks.select("r", "shared", "first"), "r", "left")
-    index = _phrases(marked).groupBy("h1", "h2").agg(F.min("d").alias("d"))
-    own = index.groupBy("d").agg(F.collect_list("h1").alias("own"))
-    own = marks.where("first").select("r", F.col("first_d").alias("d")).join(own, "d").select("r", "own")
-    ready = marked.join(own, "r", "left").select("d", "text", F.coalesce("first", F.lit(False)).alias("first"), "shared", "own")
-    none = np.empty(0, np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        as_array = lambda x: x.values.to_numpy().view(np.uint64) if x.is_valid else none
+    """ident, n_words, factors (first word, words, source document and its first word; neighbours may overlap), n_removed, and kept_text."""
+    rows = docs.select(docs[ident].cast("long").alias("id"), docs[text].alias("text"))
+    bits = words.segment_bits(text_bytes(rows, "text"), SEGMENT_TEXT)
+    blocks = packed(rows, BLOCK_BYTES)
+
+    def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for body, first, mine, own_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
-                n, found, kept = parse(body, first, as_array(mine), as_array(own_))
-                removed, at = 0, 0
-                for start, length in found:
-                    removed += max(0, start + length - max(at, start))
-                    at = max(at, start + length)
-                for col, v in zip(out, (n, [{"start": s, "length": x} for s, x in found], removed, kept.decode()), strict=True):
-                    col.append(v)
-            spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], spans), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())], names=["d", "n_words", "factors", "n_removed", "kept_text"])
-
-    found = ready.mapInArrow(run, "d long, n_words long, factors array<struct<start:long,length:long>>, n_removed long, kept_text string")
-    return found.select(F.nullif("d", F.lit(LAST)).alias(ident), "n_words", "factors", "n_removed", "kept_text")
+            for i in range(batch.num_rows):
+                anchors, bucket = Block(batch.column(1)[i].values, batch.column(2)[i].values, bits).anchors(), batch.column(0)[i].as_py()
+                yield batch_of([(bucket, s, 0, to_bytes(anchors[at], bits), None, None, None) for s, at in cut_by(anchors, bits)], NAMES, KINDS)
+
+    def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for segment, own in groupby(rows_of(batches), lambda r: r[1]):
+            asked = [(r[0], from_bytes(r[3], segment, bits)) for r in own]
+            key = np.sort(np.concatenate([a for _, a in asked]))
+            several = np.unique(key[1:][key[1:] == key[:-1]])
+            found = [(bucket, segment, 0, np.packbits(found_at(several, a)[1]).tobytes(), len(a).to_bytes(8, "little"), None, None) for bucket, a in asked]
+            yield batch_of(found, NAMES, KINDS)
+
+    def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, block, said in _blocks(batches, bits):
+            flags = [np.unpackbits(np.frombuffer(r[3], np.uint8), count=int.from_bytes(r[4], "little")) for r in said]
+            shared = block.anchors()[np.concatenate([np.empty(0, np.uint8), *flags]).astype(bool)]
+            own = block.first_places(np.flatnonzero(found_at(shared, block.anchor)[1]))
+            cols = block.first[own], block.second[own], block.d[own], block.start[own]
+            yield batch_of([(bucket, s, 1, to_bytes(cols[0][at], bits), *(c[at].tobytes() for c in cols[1:])) for s, at in cut_by(cols[0], bits)], NAMES, KINDS)
+
+    def first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for segment, own in groupby(rows_of(batches), lambda r: r[1]):
+            asked = list(own)
+            part = np.repeat(np.arange(len(asked)), [len(r[3]) // words.KEY for r in asked])
+            key = np.concatenate([from_bytes(r[3], segment, bits) for r in asked])
+            second, d, start = (np.concatenate([np.frombuffer(r[k], kind) for r in asked]) for k, kind in ((4, np.uint32), (5, np.int64), (6, np.uint32)))
+            order = np.lexsort((start, d, second, key))
+            lead = np.r_[True, (key[order][1:] != key[order][:-1]) | (second[order][1:] != second[order][:-1])]
+            best = np.empty(len(order), np.int64)
+            best[order] = order[np.flatnonzero(lead)][np.cumsum(lead) - 1]
+            gone = d[best] < d
+            ends = np.searchsorted(part, np.arange(len(asked) + 1))
+            found = []
+            for i, r in enumerate(asked):
+                at = ends[i] + np.flatnonzero(gone[ends[i] : ends[i + 1]])
+                if len(at):
+                    found.append((r[0], segment, 1, to_bytes(key[at], bits), second[at].tobytes(), d[best[at]].tobytes(), start[best[at]].tobytes()))
+            yield batch_of(found, NAMES, KINDS)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block, said in _blocks(batches, bits):
+            key = np.concatenate([np.empty(0, np.uint64), *(from_bytes(r[3], r[1], bits) for r in said)])
+            others = [np.concatenate([np.empty(0, k), *(np.frombuffer(r[i], k) for r in said)]) for i, k in ((4, np.uint32), (5, np.int64), (6, np.uint32))]
+            src, word = block.sources(key, *others)
+            w, out = block.words, []
+            edge = np.searchsorted(block.text, np.arange(len(block.ids) + 1))
+            some = np.bincount(block.text[src >= 0], minlength=len(block.ids))
+            for i, ident_ in enumerate(block.ids.tolist()):
+                own, n = slice(edge[i], edge[i + 1]), int(w.starts[i + 1] - w.starts[i])
+                ident_ = None if ident_ == LAST else ident_
+                if not some[i]:
+                    out.append((ident_, n, [], 0, w.text(i).decode()))
+                    continue
+                gone = covered(src[own], n)
+                spans = [{"start": a, "length": b, "source": None if c == LAST else c, "source_start": e} for a, b, c, e in factors(src[own], word[own]).tolist()]
+                out.append((ident_, n, spans, int(gone.sum()), w.text(i, ~gone).decode()))
+            yield batch_of(out, ["id", "n_words", "factors", "n_removed", "kept_text"], (pa.int64(), pa.int64(), SPANS, pa.int64(), pa.string()))
+
+    def answered(asks: DataFrame, answer) -> DataFrame:
+        return asks.repartition("segment").sortWithinPartitions("segment", "bucket").mapInArrow(answer, FIELDS)
+
+    shared = answered(blocks.mapInArrow(ask_anchors, FIELDS), shared_anchors)
+    places = stored(answered(_with_texts(shared, blocks).mapInArrow(ask_windows, FIELDS), first_places))
+    spans = "array<struct<start:long,length:long,source:long,source_start:long>>"
+    found = _with_texts(places, blocks).mapInArrow(parse, f"id long, n_words long, factors {spans}, n_removed long, kept_text string")
+    return found.select(F.col("id").alias(ident), "n_words", "factors", "n_removed", "kept_text")
 
 
 def op5_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

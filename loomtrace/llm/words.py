@@ -61,9 +61,14 @@ class Words:
         begin, end = self.begin[own], self.end[own]
         if keep is not None:
             begin, end = begin[keep], end[keep]
-        raw = self.data.tobytes() if len(self.starts) == 2 else self.data[begin[0] : end[-1]].tobytes() if len(begin) else b""
-        at = 0 if len(self.starts) == 2 else int(begin[0]) if len(begin) else 0
-        return b" ".join([raw[a:b] for a, b in zip((begin - at).tolist(), (end - at).tolist(), strict=True)])
+        if not len(begin):
+            return b""
+        at = int(begin[0])
+        raw = self.data[at : end[-1]].tobytes()
+        # Words that have one space between them stay as they stand.
+        apart = np.flatnonzero((begin[1:] != end[:-1] + 1) | (self.data[end[:-1]] != 32))
+        begin, end = np.r_[begin[0], begin[1:][apart]] - at, np.r_[end[:-1][apart], end[-1]] - at
+        return b" ".join([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +140,52 @@ def windows(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, of[at]
 
 
-def dealt(keys: np.ndarray, bits: int, *more: np.ndarray) -> Iterator[tuple]:
-    """Sorted keys cut by their highest ``bits``: segment, keys and more, as bytes."""
-    if not len(keys):
-        return
-    segment = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    edge = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+KEY = 6  # bytes of a key below its segment's bits that are kept
+
+
+def narrow(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys with what lies under ``KEY`` bytes below the segment's bits set to 0."""
+    drop = np.uint64(max(0, 64 - bits - 8 * KEY))
+    return keys >> drop << drop
+
+
+def to_bytes(keys: np.ndarray, bits: int) -> bytes:
+    shift = np.uint64(max(0, 64 - bits - 8 * KEY))
+    return np.ascontiguousarray((keys >> shift).view(np.uint8).reshape(-1, 8)[:, :KEY]).tobytes()
+
+
+def from_bytes(raw: bytes, segment: int, bits: int) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY, 8), np.uint8)
+    out[:, :KEY] = np.frombuffer(raw, np.uint8).reshape(-1, KEY)
+    low = out.view(np.uint64)[:, 0] << np.uint64(max(0, 64 - bits - 8 * KEY))
+    mask = np.uint64((1 << (64 - bits)) - 1)
+    return low & mask | np.uint64(segment << (64 - bits))
+
+
+def cut_by(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Segments of sorted keys: those that have the same highest bits."""
+    segment = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    edge = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(keys) else np.empty(0, np.int64)
     for a, b in zip(edge, np.r_[edge[1:], len(keys)], strict=True):
-        yield int(segment[a]), keys[a:b].tobytes(), *(m[a:b].tobytes() for m in more)
+        yield int(segment[a]), slice(a, b)
+
+
+def found_at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked key would stand among the sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def batch_of(rows: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
 def segment_bits(n_bytes: int, each: int) -> int:
