@@ -164,8 +164,10 @@ def from_bytes(raw: bytes, segment: int, bits: int) -> np.ndarray:
 
 def cut_by(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """Segments of sorted keys: those that have the same highest bits."""
+    if not len(keys):
+        return
     segment = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    edge = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if len(keys) else np.empty(0, np.int64)
+    edge = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
     for a, b in zip(edge, np.r_[edge[1:], len(keys)], strict=True):
         yield int(segment[a]), slice(a, b)
 
