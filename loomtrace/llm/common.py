@@ -46,9 +46,9 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 
 def packed(rows: DataFrame, n_bytes: int = 1 << 22) -> DataFrame:
-    """``bucket`` and the arrays ``ids`` and ``texts``: rows (an id and a text) put together to about ``n_bytes`` of text each, as a table.
+    """``bucket``, ``ids`` and ``texts``: rows (an id and a text) put together to about ``n_bytes`` of text each, as a table.
 
-    Rows stay in the task that reads them, so no group of rows meets anywhere.
+    ids is an array; texts is one, too, compressed (see ``texts_in``). Rows stay in the task that reads them, so no group of rows meets anywhere.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,14 +64,22 @@ def packed(rows: DataFrame, n_bytes: int = 1 << 22) -> DataFrame:
             yield _row(made, held)
 
     kind = rows.schema[0].dataType.simpleString()
-    return stored(rows.mapInArrow(run, f"bucket long, ids array<{kind}>, texts array<string>"))
+    return stored(rows.mapInArrow(run, f"bucket long, ids array<{kind}>, texts binary"))
 
 
 def _row(bucket: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     whole = pa.Table.from_batches(parts).combine_chunks()
-    ends = pa.array([0, whole.num_rows], pa.int32())
-    cols = [whole.column(i).chunk(0) for i in (0, 1)]
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(pa.ListArray.from_arrays(ends, c) for c in cols)], names=["bucket", "ids", "texts"])
+    ids = pa.ListArray.from_arrays(pa.array([0, whole.num_rows], pa.int32()), whole.column(0).chunk(0))
+    sink = pa.BufferOutputStream()
+    texts = whole.select([1])
+    with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(texts)
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), ids, pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "ids", "texts"])
+
+
+def texts_in(packed_texts: pa.Scalar) -> pa.Array:
+    """The texts of a row of ``packed``."""
+    return pa.ipc.open_stream(packed_texts.as_buffer()).read_all().column(0).combine_chunks()
 
 
 def text_bytes(texts: DataFrame, text: str) -> int:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import crc_mod, let_go, packed, stored, table, text_bytes
+from .common import crc_mod, let_go, packed, stored, table, text_bytes, texts_in
 from .words import batch_of, cut_by, found_at, from_bytes, narrow, remix, rows_of, to_bytes
 
 ORDER, BITS, PROBES = 2, 8, 4
@@ -282,7 +282,7 @@ def _by_exchange(rows: DataFrame, model: Model, totals: Totals, ident: str, sche
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = asked(tokens_of(batch.column(2)[i].values))
+                own = asked(tokens_of(texts_in(batch.column(2)[i])))
                 rows_ = [(s, batch.column(0)[i].as_py(), what, keys[at].tobytes(), None, None) for what, keys in enumerate(own, 1) for s, at in cut_by(keys, bits)]
                 yield batch_of(rows_, names, kinds)
 
@@ -308,7 +308,7 @@ def _by_exchange(rows: DataFrame, model: Model, totals: Totals, ident: str, sche
                 if what[i] < 3:
                     said[what[i]].append(batch.column(3)[i].as_py())
                     continue
-                t = tokens_of(batch.column(5)[i].values)
+                t = tokens_of(texts_in(batch.column(5)[i]))
                 tokens, keys = asked(t)
                 counts, levels = np.frombuffer(b"".join(said[1]), np.uint64), np.frombuffer(b"".join(said[2]), np.uint8)
                 yield _batch(batch.column(4)[i].values, ident, text_scores(t, totals, lambda x: _found(tokens, counts, x), lambda x: _found(keys, levels, narrow(x, bits))))  # noqa: B023

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import packed, stored, table, text_bytes
-from .words import batch_of, cut_by, found_at, from_bytes, narrow, remix, rows_of, to_bytes
+from .common import packed, table, text_bytes, texts_in
+from .words import batch_of, by_halves, cut_by, found_at, from_bytes, from_halves, narrow, remix, rows_of, to_bytes
 
 WINDOW, ANCHOR = 20, 5  # a window has 16 anchor positions
 BLOCK_BYTES, SEGMENT_TEXT = 3 << 20, 1 << 22
@@ -57,7 +57,7 @@ class Block:
             least = words.runs(h, ANCHOR, _SALT[2])
             for step in (1, 2, 4, 8):
                 least = np.minimum(least[:-step], least[step:])
-            self.anchor = narrow(least[at], bits)
+            self.anchor = narrow(remix(least[at]), bits)  # the least of 16 are small; mixed again they spread over the segments
         else:
             self.first = self.both = self.anchor = np.empty(0, np.uint64)
             self.second = np.empty(0, np.uint32)
@@ -156,7 +156,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[int,
             if what[i] != 9:
                 said.append(tuple(batch.column(k)[i].as_py() for k in range(7)))
                 continue
-            yield batch.column(0)[i].as_py(), Block(batch.column(7)[i].values, batch.column(8)[i].values, bits), said
+            yield batch.column(0)[i].as_py(), Block(batch.column(7)[i].values, texts_in(batch.column(8)[i]), bits), said
             said = []
 
 
@@ -169,7 +169,7 @@ def dedup_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                anchors, bucket = Block(batch.column(1)[i].values, batch.column(2)[i].values, bits).anchors(), batch.column(0)[i].as_py()
+                anchors, bucket = Block(batch.column(1)[i].values, texts_in(batch.column(2)[i]), bits).anchors(), batch.column(0)[i].as_py()
                 yield batch_of([(bucket, s, 0, to_bytes(anchors[at], bits), None, None, None) for s, at in cut_by(anchors, bits)], NAMES, KINDS)
 
     def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,14 +186,14 @@ def dedup_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "text")
             shared = block.anchors()[np.concatenate([np.empty(0, np.uint8), *flags]).astype(bool)]
             own = block.first_places(np.flatnonzero(found_at(shared, block.anchor)[1]))
             cols = block.first[own], block.second[own], block.d[own], block.start[own]
-            yield batch_of([(bucket, s, 1, to_bytes(cols[0][at], bits), *(c[at].tobytes() for c in cols[1:])) for s, at in cut_by(cols[0], bits)], NAMES, KINDS)
+            yield batch_of([(bucket, s, 1, to_bytes(cols[0][at], bits), *(by_halves(c[at]) for c in cols[1:])) for s, at in cut_by(cols[0], bits)], NAMES, KINDS)
 
     def first_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segment, own in groupby(rows_of(batches), lambda r: r[1]):
             asked = list(own)
             part = np.repeat(np.arange(len(asked)), [len(r[3]) // words.KEY for r in asked])
             key = np.concatenate([from_bytes(r[3], segment, bits) for r in asked])
-            second, d, start = (np.concatenate([np.frombuffer(r[k], kind) for r in asked]) for k, kind in ((4, np.uint32), (5, np.int64), (6, np.uint32)))
+            second, d, start = (np.concatenate([from_halves(r[k], kind) for r in asked]) for k, kind in ((4, np.uint32), (5, np.int64), (6, np.uint32)))
             order = np.lexsort((start, d, second, key))
             lead = np.r_[True, (key[order][1:] != key[order][:-1]) | (second[order][1:] != second[order][:-1])]
             best = np.empty(len(order), np.int64)
@@ -204,13 +204,13 @@ def dedup_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "text")
             for i, r in enumerate(asked):
                 at = ends[i] + np.flatnonzero(gone[ends[i] : ends[i + 1]])
                 if len(at):
-                    found.append((r[0], segment, 1, to_bytes(key[at], bits), second[at].tobytes(), d[best[at]].tobytes(), start[best[at]].tobytes()))
+                    found.append((r[0], segment, 1, to_bytes(key[at], bits), by_halves(second[at]), by_halves(d[best[at]]), by_halves(start[best[at]])))
             yield batch_of(found, NAMES, KINDS)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block, said in _blocks(batches, bits):
             key = np.concatenate([np.empty(0, np.uint64), *(from_bytes(r[3], r[1], bits) for r in said)])
-            others = [np.concatenate([np.empty(0, k), *(np.frombuffer(r[i], k) for r in said)]) for i, k in ((4, np.uint32), (5, np.int64), (6, np.uint32))]
+            others = [np.concatenate([np.empty(0, k), *(from_halves(r[i], k) for r in said)]) for i, k in ((4, np.uint32), (5, np.int64), (6, np.uint32))]
             src, word = block.sources(key, *others)
             w, out = block.words, []
             edge = np.searchsorted(block.text, np.arange(len(block.ids) + 1))
@@ -230,7 +230,7 @@ def dedup_substrings(docs: DataFrame, ident: str = "doc_id", text: str = "text")
         return asks.repartition("segment").sortWithinPartitions("segment", "bucket").mapInArrow(answer, FIELDS)
 
     shared = answered(blocks.mapInArrow(ask_anchors, FIELDS), shared_anchors)
-    places = stored(answered(_with_texts(shared, blocks).mapInArrow(ask_windows, FIELDS), first_places))
+    places = answered(_with_texts(shared, blocks).mapInArrow(ask_windows, FIELDS), first_places)
     spans = "array<struct<start:long,length:long,source:long,source_start:long>>"
     found = _with_texts(places, blocks).mapInArrow(parse, f"id long, n_words long, factors {spans}, n_removed long, kept_text string")
     return found.select(F.col("id").alias(ident), "n_words", "factors", "n_removed", "kept_text")

@@ -162,6 +162,17 @@ def from_bytes(raw: bytes, segment: int, bits: int) -> np.ndarray:
     return low & mask | np.uint64(segment << (64 - bits))
 
 
+def by_halves(x: np.ndarray) -> bytes:
+    """All lower halves, then all upper ones: where numbers are small, the latter compress to nothing."""
+    half = np.dtype(f"u{x.itemsize // 2}")
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(half).reshape(-1, 2).T).tobytes()
+
+
+def from_halves(raw: bytes, kind: type) -> np.ndarray:
+    half = np.dtype(f"u{np.dtype(kind).itemsize // 2}")
+    return np.ascontiguousarray(np.frombuffer(raw, half).reshape(2, -1).T).view(kind).ravel()
+
+
 def cut_by(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """Segments of sorted keys: those that have the same highest bits."""
     if not len(keys):
