@@ -17,16 +17,18 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     A round connects each node's larger neighbours, then its smaller ones, to the least node it knows. Rounds grow with the logarithm
     of the longest path. Only the number of links and a checksum of them reach the driver; each round's links are
-    checkpointed. Joins on a node with many links can be split, since no aggregate needs its rows together.
+    checkpointed. The least nodes are written before they are joined: a join of two tables as read is one whose large keys Spark can split,
+    which it does not do where one side comes out of an aggregate with the same partitioning.
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     pairs = cut(pairs)
     state = _state(pairs)
     while state[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(pairs)

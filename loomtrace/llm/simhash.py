@@ -23,15 +23,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from . import words as hashed
+from .common import cut, stored, table
 from .graph import components
+from .words import remix
 
 SEED = 42
+_SALT = 0xA0761D6478BD642F
 WHOLE = 512  # rows under a key that are compared all at once
 BLOCK = 1 << 15  # rows of a key in one part: a task holds two parts at most
 FEW = 16  # sets of no more shingles are looked at whatever their fingerprints
 SAMPLE, OFTEN, COMMON = 32, 16, 100_000  # one text in so many is counted; the counts and number of common shingles
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -48,26 +50,24 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.array([digest(body[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])], np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """Bits set in over half the hashes."""
-    total = np.zeros(64, np.int64)
-    if len(hashes):
-        by = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
-        total = np.concatenate([np.bincount(by[:, i], minlength=256) @ _BITS for i in range(8)])
-    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
+def majorities(hashes: np.ndarray, n_words: int) -> list[int]:
+    """Bits set in over half the hashes; further words from hashes mixed again."""
+    mixed = [hashes]
+    for _ in range(n_words - 1):
+        mixed.append(remix(mixed[-1]))
+    bits = np.unpackbits(np.stack(mixed, 1).view(np.uint8), axis=1, bitorder="little")
+    total = np.zeros(64 * n_words, np.int64)
+    for i in range(0, len(bits), 255):  # sums of bytes
+        total += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64).tolist()
 
 
-def remix(hashes: np.ndarray) -> np.ndarray:
-    """Other hashes from these: independent bits for a longer fingerprint."""
-    h = hashes ^ (hashes >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def majority(hashes: np.ndarray) -> int:
+    return majorities(hashes, 1)[0]
 
 
-def _names(words: int) -> list[str]:
-    return [f"f{i}" for i in range(words)]
+def _names(n_words: int) -> list[str]:
+    return [f"f{i}" for i in range(n_words)]
 
 
 def fingerprints(docs: DataFrame, ident: str, text: str, shingle: int, words: int = 1, repeats: bool = True) -> DataFrame:
@@ -75,14 +75,12 @@ def fingerprints(docs: DataFrame, ident: str, text: str, shingle: int, words: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list[int]] = [[] for _ in range(words)]
+            found = []
             for body in batch.column(1).to_pylist():
                 hashes = shingle_hashes(body, shingle)
-                hashes = hashes if repeats else np.unique(hashes)
-                for out in found:
-                    out.append(majority(hashes))
-                    hashes = remix(hashes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in found)], names=[ident, *_names(words)])
+                found.append(majorities(hashes if repeats else np.unique(hashes), words))
+            longs = np.array(found, np.uint64).reshape(-1, words).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in longs)], names=[ident, *_names(words)])
 
     kind = docs.schema[ident].dataType.simpleString()
     return docs.select(docs[ident], docs[text]).mapInArrow(run, ", ".join([f"`{ident}` {kind}", *(f"{x} long" for x in _names(words))]))
@@ -248,20 +246,18 @@ def near_links(nodes: DataFrame, radius: int, segments: int, limit: int, words:
     return split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(link, "a long, b long").distinct()
 
 
-def similar(docs: DataFrame, links: DataFrame, ident: str, text: str, shingle: int, least: float) -> DataFrame:
-    """Those links a, b whose texts' sets of shingles have at least this Jaccard similarity; empty texts are alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
-
-    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(docs[ident].cast("long").alias("id"), docs[text].alias("text")).join(ids, "id", "left_semi")
-    sets = cut(texts.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"]))
-    both = links.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("all"))
-    return shared.where(F.coalesce(F.try_divide(F.col("n"), F.col("all") - F.col("n")), F.lit(1.0)) >= least).select("a", "b")
+def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes; fewer words than ``width``: one shingle of all."""
+    w = hashed.split(texts, lower=True)
+    n = np.diff(w.starts)
+    h, (at, of) = hashed.runs(w.hashes, width, _SALT), hashed.windows(w, width)
+    edge = np.searchsorted(of, np.arange(len(n) + 1))
+    short = {int(k): hashed.runs(w.hashes, int(k), _SALT) for k in np.unique(n[(n > 0) & (n < width)])}
+    for i in range(len(n)):
+        if n[i] >= width:
+            yield np.unique(h[at[edge[i] : edge[i + 1]]])
+        else:
+            yield short[int(n[i])][w.starts[i] : w.starts[i] + 1] if n[i] else np.empty(0, np.uint64)
 
 
 def common_shingles(docs: DataFrame, ident: str, text: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,12 +266,14 @@ def common_shingles(docs: DataFrame, ident: str, text: str, shingle: int) -> tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, shingle)).view(np.int64))], names=["h"])
+            for chunk in hashed.chunks(batch, 0):
+                h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_sets(chunk.column(0), shingle)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     some = docs.where(F.pmod(F.xxhash64(docs[ident]), F.lit(SAMPLE)) == 0).select(docs[text])
-    rows = some.mapInArrow(run, "h long").groupBy("h").count().where(f"count >= {OFTEN}").orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    h, c = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
+    counted = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {OFTEN}")
+    rows = counted.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, c = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(h)
     return h[order], c[order]
 
@@ -284,35 +282,56 @@ def prefix(s: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -
     """The first shingles of a set, in an order that all sets share: two sets of this similarity have one of them in common."""
     h, c = common
     if len(h) and len(s):
-        at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-        rank = np.where(h[at] == s, c[at], 0)
-        s = s[np.lexsort((s, rank))]
+        at, there = hashed.found_at(h, s)
+        s = s[np.lexsort((s, np.where(there, c[at], 0)))]
     return s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
 
 
-def sketches(docs: DataFrame, ident: str, text: str, shingle: int, words: int, repeats: bool, least: float) -> DataFrame:
-    """What ``fingerprints`` gives, with the number of different shingles and the prefix of their set."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, ident, text, shingle))
+def sketches(docs: DataFrame, ident: str, text: str, shingle: int, n_words: int, least: float) -> DataFrame:
+    """ident, the fingerprint of the set of shingles as ``n_words`` longs, their number, and the prefix of their set."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, ident, text, shingle))  # 16 bytes each, ``COMMON`` at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list[int]] = [[] for _ in range(words)]
-            sizes, firsts = [], []
-            for body in batch.column(1).to_pylist():
-                hashes = shingle_hashes(body, shingle)
-                once = np.unique(hashes)
-                sizes.append(len(once))
-                firsts.append(prefix(once, least, shared.value).view(np.int64))
-                hashes = hashes if repeats else once
-                for out in found:
-                    out.append(majority(hashes))
-                    hashes = remix(hashes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in found), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=[ident, *_names(words), "n", "keys"]
-            )
+            for chunk in hashed.chunks(batch, 1):
+                found, sizes, firsts = [], [], []
+                for s in shingle_sets(chunk.column(1), shingle):
+                    sizes.append(len(s))
+                    firsts.append(prefix(s, least, shared.value).view(np.int64))
+                    found.append(majorities(s, n_words))
+                longs = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in np.array(found, np.uint64).reshape(-1, n_words).T]
+                yield pa.RecordBatch.from_arrays([chunk.column(0), *longs, pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=[ident, *_names(n_words), "n", "keys"])
 
     kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(docs[ident], docs[text]).mapInArrow(run, ", ".join([f"`{ident}` {kind}", *(f"{x} long" for x in _names(words)), "n int", "keys array<long>"]))
+    return docs.select(docs[ident], docs[text]).mapInArrow(run, ", ".join([f"`{ident}` {kind}", *(f"{x} long" for x in _names(n_words)), "n int", "keys array<long>"]))
+
+
+def similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those links a, b whose sets have at least this Jaccard similarity; empty sets are alike. sets: id, s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_ = [[np.frombuffer(x, np.uint64) for x in c.to_pylist()] for c in batch.columns[2:]]
+            keep = []
+            for x, y in zip(*sets_, strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = links.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _sets(docs: DataFrame, ids: DataFrame, ident: str, text: str, shingle: int) -> DataFrame:
+    """id and s: the hashes of the texts of these ids, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in hashed.chunks(batch, 1):
+                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([s.tobytes() for s in shingle_sets(chunk.column(1), shingle)], pa.binary())], names=["id", "s"])
+
+    texts = docs.select(docs[ident].cast("long").alias("id"), docs[text].alias("text")).join(ids, "id", "left_semi")
+    return texts.mapInArrow(run, "id long, s binary").dropDuplicates(["id"])
 
 
 def outside(ids: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, f: np.ndarray, limit: int, least: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -340,71 +359,86 @@ def outside(ids: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray,
     return np.minimum(a, b), np.maximum(a, b), more
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: str, text: str, shingle: int, least: float, limit: int, words: int) -> DataFrame:
+def _searcher(limit: int, least: float, most: int):
+    """For ``mapInArrow``: the links of ``outside`` under each key and part, and the keys where more are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in grouped(batches, 2):
+            starts = np.r_[np.nonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])[0], len(cols[0])]
+            f = np.stack(cols[6:], 1).view(np.uint64)
+            left, right, again = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                a, b, more = outside(*(c[s:e] for c in cols[2:6]), f[s:e], limit, least, most)
+                left.append(a)
+                right.append(b)
+                if more:
+                    again.append(int(cols[0][s]))
+            a, b = np.concatenate(left), np.concatenate(right)
+            none = pa.nulls(len(again), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "again"])
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(again, pa.int64())], names=["a", "b", "again"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: str, text: str, shingle: int, least: float, limit: int, n_words: int) -> DataFrame:
     """a, b: links of at least this similarity that connect all that such links connect.
 
-    Nodes that share a shingle of their prefixes are candidates. After each round's exact look every node searches again, among the
-    nodes outside its confirmed component, for more of its nearest than in the round before, until no key has any left.
+    Nodes that share a shingle of their prefixes are candidates; of keys that hold the same nodes one is looked at. First each node is tried
+    with its key's node of least id. After each round's exact look every node searches again, among the nodes outside its confirmed component,
+    for more of its nearest than in the round before, until no key has any left.
     """
-    spark, names = docs.sparkSession, _names(words)
+    names = _names(n_words)
     own = prints.select(F.col(ident).cast("long").alias("id"), "n", *names, "keys").join(nodes.select("id"), "id", "left_semi")
-    dealt = own.select("id", F.explode("keys").alias("key")).distinct()
-    per = Window.partitionBy("key")
-    met = dealt.withColumn("rows", F.count("*").over(per)).where("rows > 1")
-    held = cut(met.join(own.drop("keys").dropDuplicates(["id"]), "id"))
-    # First, neighbours under a key: most copies join by these.
-    pairs = held.select("id", "n", *names, F.lag(F.struct("id", "n", *names)).over(per.orderBy("f0", "id")).alias("p")).where("p is not null")
+    dealt = own.select("id", F.explode("keys").alias("key"))
+    same = dealt.groupBy("key").agg(F.count("*").alias("rows"), F.expr("bit_xor(xxhash64(id))").alias("of"), F.min("id").alias("hub"), F.max("id").alias("last"))
+    keys = stored(same.where("hub < last").groupBy("rows", "of", "hub", "last").agg(F.min("key").alias("key")).select("key", "rows", "hub"))
+    slim = own.drop("keys").dropDuplicates(["id"])
+    held = stored(dealt.join(keys, "key").distinct().join(slim, "id"))
+    hubs = slim.select(F.col("id").alias("hub"), F.struct("n", *names).alias("p"))
+    pairs = held.where("id <> hub").join(hubs, "hub")
     apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"p.{x}"))) for x in names), F.lit(0))
     few, many = F.least("n", "p.n"), F.greatest("n", "p.n")
     near = pairs.where(((apart <= limit) | (few <= FEW)) & (F.lit(least) * many <= few + F.lit(1e-9)))
-    tried = cut(near.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
-    confirmed = cut(similar(docs, tried, ident, text, shingle, least))
+    tried = stored(near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    sets = stored(_sets(docs, held.select("id").distinct(), ident, text, shingle))
+    confirmed = stored(similar(tried, sets, least))
     again, most = None, 16
-
-    def search(most: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for cols in grouped(batches, 2):
-                starts = np.r_[np.nonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])[0], len(cols[0])]
-                f = np.stack(cols[6:], 1).view(np.uint64)
-                for s, e in zip(starts[:-1], starts[1:], strict=True):
-                    a, b, more = outside(*(c[s:e] for c in cols[2:6]), f[s:e], limit, least, most)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "again"])
-                    if more:
-                        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array(cols[0][s : s + 1])], names=["a", "b", "again"])
-
-        return run
-
     while True:
         of = components(confirmed, "a", "b")
         rows = held.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         mixed = mixed if again is None else mixed.join(again, "key", "left_semi")
         split = in_parts(rows.join(mixed, "key"), F.col("rows")).select("key", "part", "id", "label", "n", "side", *names)
-        found = cut(split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(search(most), "a long, b long, again long").distinct())
-        new = cut(found.where("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        confirmed = cut(confirmed.unionByName(similar(docs, new, ident, text, shingle, least)))
+        found = stored(split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_searcher(limit, least, most), "a long, b long, again long").distinct())
+        new = stored(found.where("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            more = confirmed
+        else:
+            more = stored(confirmed.unionByName(similar(new, sets, least)))
         again = found.where("again is not null").select(F.col("again").alias("key")).distinct()
         if again.isEmpty():
-            return confirmed
-        tried, most = tried.unionByName(new), most * 16
+            return more
+        confirmed, tried, most = more, tried.unionByName(new), most * 16
 
 
 def near_components(
-    docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, segments: int = 3, limit: int | None = None, words: int = 1, repeats: bool = True, least: float | None = None
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, segments: int | None = None, limit: int | None = None, words: int = 1, repeats: bool = True, least: float | None = None
 ) -> DataFrame:
     """ident, the fingerprint's longs, and component_id: the smallest id that links reach.
 
     ``radius`` bounds the first 64 bits, ``limit`` (by default the same) the distance over all ``words`` times 64.
+    ``segments``: by default as few as keep the keys' mean number of rows small, given the number of nodes.
     ``least``: links are the pairs whose sets of shingles have this Jaccard similarity. Candidates come from prefixes of these sets and not
-    from segments, so ``radius`` plays no part; ``limit`` spares the exact look at candidates of more than ``FEW`` shingles.
+    from segments, so ``radius`` and ``repeats`` play no part; ``limit`` spares the exact look at candidates of more than ``FEW`` shingles.
     """
     names = _names(words)
     limit = radius if limit is None else limit
-    prints = cut(fingerprints(docs, ident, text, shingle, words, repeats) if least is None else sketches(docs, ident, text, shingle, words, repeats, least))
+    prints = stored(fingerprints(docs, ident, text, shingle, words, repeats) if least is None else sketches(docs, ident, text, shingle, words, least))
     nodes = prints.groupBy(*names).agg(F.min(ident).cast("long").alias("id"))
     if least is None:
-        links = near_links(nodes.where("id is not null"), radius, segments, limit, words)
+        nodes = stored(nodes)
+        links = near_links(nodes.where("id is not null"), radius, segments or segments_for(nodes.count(), radius), limit, words)
     else:
         links = similar_links(docs, prints, nodes.where("id is not null"), ident, text, shingle, least, limit, words)
     joined = nodes.join(components(links, "a", "b"), F.col("id") == F.col("node"), "left")
@@ -412,6 +446,15 @@ def near_components(
     return prints.join(of, names).select(ident, *names, "component_id")
 
 
+def segments_for(n: int, radius: int) -> int:
+    """The number of segments of the widest keys that ``layout`` allows for few keys a node, so that rows a key stay near 1.
+
+    Wider keys need balls of a larger radius: up to 2**20 nodes segments are near 21 bits at radius 4, beyond that 32 bits.
+    """
+    narrow, wide = max(1, math.ceil((radius + 1) / 2)), max(1, math.ceil((radius + 1) / 3))
+    return narrow if n <= 1 << 20 else wide
+
+
 def keep_one(docs: DataFrame, ident: str = "doc_id", **how) -> DataFrame:
     """The rows whose id is the least of its group; the columns stay as they are. Rows without an id stay."""
     extra = near_components(docs, ident, **how).where(F.col("component_id") < F.col(ident)).select(F.col(ident).alias("__gone")).distinct()
