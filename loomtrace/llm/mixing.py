@@ -30,8 +30,9 @@ def _key(*parts: Column) -> Column:
 
 
 def uniform(seed: int, ident: Column, part: Column) -> Column:
-    """A number in [0, 1) of 52 bits."""
-    return F.conv(F.substring(_key(F.lit("draw"), F.lit(seed), ident, part), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    """A number in [0, 1) of 52 bits, another for each part."""
+    drawn = F.when(part == 1, _key(F.lit(seed), ident)).otherwise(_key(F.lit(seed), ident, F.lit("part"), part))
+    return F.conv(F.substring(drawn, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, total: int | None, source: str = "source") -> DataFrame:
@@ -100,7 +101,7 @@ k AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BI
 f AS (SELECT *, sum(CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE ln(k::DOUBLE) END) OVER (PARTITION BY source ORDER BY k) AS lf FROM k),
 c AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lf)) OVER (PARTITION BY source ORDER BY k) AS cdf FROM f),
 p AS (SELECT d.doc_id, d.source, unnest(range(1, parts + 1)) AS part FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-u AS (SELECT *, ('0x' || substr(md5('draw:{SEED}:' || doc_id::VARCHAR || ':' || part::VARCHAR), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE AS u FROM p),
+u AS (SELECT *, ('0x' || substr(md5('{SEED}:' || doc_id::VARCHAR || CASE WHEN part = 1 THEN '' ELSE ':part:' || part::VARCHAR END), 1, 13))::BIGINT / {float(1 << 52)!r}::DOUBLE AS u FROM p),
 n AS (SELECT u.doc_id, u.part, count(*) AS copies FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf <= u.u GROUP BY u.doc_id, u.part)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, g.copy::BIGINT AS copy, md5('{SEED}:' || d.doc_id::VARCHAR || ':' || g.copy::VARCHAR) AS shuffle_key
 FROM documents d JOIN n USING (doc_id), LATERAL (SELECT (n.part - 1) * {STRIDE} + unnest(range(1, n.copies + 1)) AS copy) g

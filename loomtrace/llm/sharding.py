@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, stored, table
 
 HASH_BITS, BITS = 60, 12
 LIMIT = 1 << 20
@@ -49,6 +49,7 @@ def _directory(rows: DataFrame, depth: int, limit: int) -> DataFrame:
 def extendible_shards(docs: DataFrame, key: str, text: str, limit: int = LIMIT) -> DataFrame:
     """key, n_bytes, shard (its prefix as 0s and 1s), depth, shard_bytes and shard_docs of every row."""
     rows = docs.select(docs[key].alias("k"), key_hash(docs[key]).alias("h"), F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = stored(rows)  # every round reads these few bytes a row, and the texts are read once
     done: list[DataFrame] = []
     for depth in range(0, HASH_BITS, BITS):
         directory = _directory(rows, depth, limit)
@@ -60,13 +61,13 @@ def extendible_shards(docs: DataFrame, key: str, text: str, limit: int = LIMIT)
         done.append(found.where("level is not null").select(F.col("k").alias(key), "n_bytes", shard.alias("shard"), (F.lit(depth) + F.col("level")).alias("depth"), "shard_bytes", "shard_docs"))
         if not directory.where("level is null").take(1):
             break
-        rows = found.where("level is null").select("k", "h", "n_bytes")
+        rows = stored(found.where("level is null").select("k", "h", "n_bytes"))
     return reduce(DataFrame.unionByName, done)
 
 
 def write_shards(docs: DataFrame, key: str, text: str, path: str, limit: int = LIMIT) -> None:
-    """The rows as Parquet, one folder a shard. Keys must be unique."""
-    shards = extendible_shards(docs, key, text, limit).select(F.col(key).alias("__key"), "shard")
+    """The rows as Parquet, one folder a shard. Rows of equal key share theirs."""
+    shards = extendible_shards(docs, key, text, limit).select(F.col(key).alias("__key"), "shard").distinct()
     joined = docs.join(shards, docs[key].eqNullSafe(shards["__key"])).drop("__key")
     joined.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
 
