@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as hashed
-from .common import cut, stored, table
+from .common import let_go, stored, table
 from .graph import components
 from .words import remix
 
@@ -306,16 +306,29 @@ def sketches(docs: DataFrame, ident: str, text: str, shingle: int, n_words: int,
     return docs.select(docs[ident], docs[text]).mapInArrow(run, ", ".join([f"`{ident}` {kind}", *(f"{x} long" for x in _names(n_words)), "n int", "keys array<long>"]))
 
 
+SET = 5  # bytes of a shingle's hash that the exact look compares
+
+
 def similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those links a, b whose sets have at least this Jaccard similarity; empty sets are alike. sets: id, s."""
 
+    def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        column = column.cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        out = np.zeros(((at[-1] - at[0]) // SET, 8), np.uint8)
+        if len(out):
+            out[:, :SET] = np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(-1, SET)
+        return out.view(np.uint64)[:, 0], (at - at[0]) // SET
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets_ = [[np.frombuffer(x, np.uint64) for x in c.to_pylist()] for c in batch.columns[2:]]
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            (x, at), (y, to) = unpacked(batch.column(2)), unpacked(batch.column(3))
             keep = []
-            for x, y in zip(*sets_, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            for i in range(batch.num_rows):
+                s, t = x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(both >= least * (len(s) + len(t) - both) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = links.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -323,15 +336,17 @@ def similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, ident: str, text: str, shingle: int) -> DataFrame:
-    """id and s: the hashes of the texts of these ids, 8 bytes each."""
+    """id and s: the hashes of the texts of these ids, ``SET`` bytes each, as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in hashed.chunks(batch, 1):
-                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([s.tobytes() for s in shingle_sets(chunk.column(1), shingle)], pa.binary())], names=["id", "s"])
+                found = [np.unique(s >> np.uint64(64 - 8 * SET)).view(np.uint8).reshape(-1, 8)[:, :SET].tobytes() for s in shingle_sets(chunk.column(1), shingle)]
+                yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(found, pa.binary())], names=["id", "s"])
 
     texts = docs.select(docs[ident].cast("long").alias("id"), docs[text].alias("text")).join(ids, "id", "left_semi")
-    return texts.mapInArrow(run, "id long, s binary").dropDuplicates(["id"])
+    sets = stored(texts.mapInArrow(run, "id long, s binary"))
+    return sets if sets.count() == ids.count() else stored(sets.dropDuplicates(["id"]))
 
 
 def outside(ids: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, f: np.ndarray, limit: int, least: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -388,20 +403,24 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: s
     with its key's node of least id. After each round's exact look every node searches again, among the nodes outside its confirmed component,
     for more of its nearest than in the round before, until no key has any left.
     """
-    names = _names(n_words)
+    names, spark = _names(n_words), docs.sparkSession
+    ends = lambda links: links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     own = prints.select(F.col(ident).cast("long").alias("id"), "n", *names, "keys").join(nodes.select("id"), "id", "left_semi")
     dealt = own.select("id", F.explode("keys").alias("key"))
-    same = dealt.groupBy("key").agg(F.count("*").alias("rows"), F.expr("bit_xor(xxhash64(id))").alias("of"), F.min("id").alias("hub"), F.max("id").alias("last"))
-    keys = stored(same.where("hub < last").groupBy("rows", "of", "hub", "last").agg(F.min("key").alias("key")).select("key", "rows", "hub"))
+    met = dealt.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
+    met = stored(dealt.join(stored(met), "key").distinct())
+    same = met.groupBy("key", "hub").agg(F.count("*").alias("rows"), F.expr("bit_xor(xxhash64(id))").alias("of"), F.max("id").alias("last"))
+    keys = stored(same.groupBy("rows", "of", "hub", "last").agg(F.min("key").alias("key")).select("key", "rows"))
     slim = own.drop("keys").dropDuplicates(["id"])
-    held = stored(dealt.join(keys, "key").distinct().join(slim, "id"))
+    held = stored(met.join(keys, "key").join(slim, "id"))
+    let_go(spark, met)
     hubs = slim.select(F.col("id").alias("hub"), F.struct("n", *names).alias("p"))
     pairs = held.where("id <> hub").join(hubs, "hub")
     apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"p.{x}"))) for x in names), F.lit(0))
     few, many = F.least("n", "p.n"), F.greatest("n", "p.n")
     near = pairs.where(((apart <= limit) | (few <= FEW)) & (F.lit(least) * many <= few + F.lit(1e-9)))
     tried = stored(near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    sets = stored(_sets(docs, held.select("id").distinct(), ident, text, shingle))
+    sets = _sets(docs, stored(ends(tried)), ident, text, shingle)
     confirmed = stored(similar(tried, sets, least))
     again, most = None, 16
     while True:
@@ -412,14 +431,13 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: s
         split = in_parts(rows.join(mixed, "key"), F.col("rows")).select("key", "part", "id", "label", "n", "side", *names)
         found = stored(split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_searcher(limit, least, most), "a long, b long, again long").distinct())
         new = stored(found.where("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            more = confirmed
-        else:
-            more = stored(confirmed.unionByName(similar(new, sets, least)))
+        if not new.isEmpty():
+            sets = sets.unionByName(_sets(docs, stored(ends(new).join(sets, "id", "left_anti")), ident, text, shingle))
+            confirmed = stored(confirmed.unionByName(similar(new, sets, least)))
         again = found.where("again is not null").select(F.col("again").alias("key")).distinct()
         if again.isEmpty():
-            return more
-        confirmed, tried, most = more, tried.unionByName(new), most * 16
+            return confirmed
+        tried, most = tried.unionByName(new), most * 16
 
 
 def near_components(

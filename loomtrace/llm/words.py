@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20  # bytes of text that a task turns into hashes at once; a longer text is a chunk of its own
+CHUNK = 1 << 19  # bytes of text that a task turns into hashes at once; a longer text is a chunk of its own
 _B = 0xD6E8FEB86659FD95
 _INVERSE = pow(_B, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
