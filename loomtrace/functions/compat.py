@@ -25,19 +25,25 @@ def letters(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
+def running_sums(values: Column) -> Column:
+    """Sums up to each entry, by steps of 1, 2, 4, ... entries: an array of n takes n log n additions and is never copied entry by entry."""
+    n = F.size(values)
+    steps = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    add = lambda acc, k: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+    return F.aggregate(steps, values, add)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All leftmost matches as structs of start, end (exclusive) and text. The text must not hold U+0001."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(F.regexp_replace(text, pattern, MARK), MARK, -1)
-    pairs = F.zip_with(found, between, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        one = F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("text"))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(one["end"].alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
+    def placed(m: Column) -> Column:
+        sizes = F.zip_with(m, F.slice(between, F.lit(1), F.size(m)), lambda x, g: F.length(x) + F.length(g))
+        one = lambda x, end: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("text"))
+        return let(sizes, lambda n: F.zip_with(m, running_sums(n), one))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    return let(found, placed)
 
 
 def seeded(seed: int, *keys: Column) -> Column:

@@ -143,11 +143,9 @@ def beta_sheet_propensity(seq: Column, window: int = BETA_WINDOW, threshold: flo
     helix, sheet, turn = ({k: v[i] for k, v in PROPENSITY.items()} for i in range(3))
 
     def runs(hot: Column) -> Column:
-        """hot: whether each window reaches the threshold."""
-        at = F.transform(hot, lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.coalesce(F.get(hot, i - 1), F.lit(False)).alias("before"), F.coalesce(F.get(hot, i + 1), F.lit(False)).alias("after")))
-        first = lambda x: F.filter(x, lambda w: w["h"] & ~w["before"])
-        last = lambda x: F.filter(x, lambda w: w["h"] & ~w["after"])
-        return let(at, lambda x: F.zip_with(first(x), last(x), lambda a, b: _span(a["i"], b["i"] + window - 1)))
+        """hot: whether each window reaches the threshold. A run begins where the window before is not hot, and ends where the next is not."""
+        edges = lambda step: F.array_compact(F.transform(hot, lambda h, i: F.when(h & ~F.coalesce(F.get(hot, i + step), F.lit(False)), i)))
+        return F.zip_with(edges(-1), edges(1), lambda a, b: _span(a, b + window - 1))
 
     scale = _scale(sheet)
     # Whole hundredths: a window reaches the threshold exactly or not at all.
@@ -211,8 +209,9 @@ def proline_fraction(seq: Column) -> Column:
     return F.when(F.length(seq) > 0, F.regexp_count(seq, F.lit("P")) / F.length(seq)).otherwise(0.0)
 
 
-# A made-up repeat with every dragline motif, and a real proline-rich sequence.
-MASP_UNIT, MASP_COPIES = "GGAGQGGYGGLGSQGAGRGGLGGQGAGAAAAAAAA", 3
+#: A unit put together for this check from the motifs of a dragline repeat: GGX runs, then alanines.
+MASP_UNIT, MASP_COPIES = "GGQ" * 3 + "GGS" * 2 + "SVR" + "A" * 9, 4
+# A real proline-rich sequence.
 PYSP = (
     "SSSAYSGTSTGGSSVSQSQPIISSAPVYFNAQTLTSSLASSLQSDRALNFISSGQLSASDVSTSVSSAVAQTLGISQSSVQNIISQQMSSVRTGASSSSVSQAIANAVSSAVQASGAATPGQEQ"
     "SIAQRVYSSISTYLSQLISQRTAPAPAPAPRPAPMPAPAPRPAPMPAPAPRPRPAPAPRPAPVYAPAPVVSQIQAAASSQSSAQQSSFAQAQQSAYAQSQQSSSAYSGASTGGSSVSQSQPIIS"
@@ -220,21 +219,33 @@ PYSP = (
 )
 
 
+def _motif_names(seq: Column) -> Column:
+    return F.array_join(F.map_keys(motif_spans(seq)), " ")
+
+
+def passed_fraction(checks: DataFrame) -> DataFrame:
+    """One row: the number of checks, and the share that passed (1 without any)."""
+    return checks.agg(F.count("*").alias("n_checks"), F.coalesce(F.avg(F.col("passed").cast("int")), F.lit(1.0)).alias("passed_fraction"))
+
+
 def validate(spark: SparkSession) -> DataFrame:
-    """sequence_name, check, passed: what the tools must say of the two control sequences; two checks only report."""
+    """sequence_name, check, passed, detail: what the tools must say of the two control sequences; two checks only report."""
     both = spark.createDataFrame([(MASP_UNIT * MASP_COPIES, PYSP)], "masp string, pysp string")
     masp, pysp = F.col("masp"), F.col("pysp")
     has = lambda seq, name: F.map_contains_key(motif_spans(seq), name)
     period, beta = repeat_pattern_analyzer(masp), beta_sheet_propensity(masp)
     rows = [
-        ("masp_like", "poly_alanine detected", has(masp, "poly_alanine")),
-        ("masp_like", "GGX_repeat detected", has(masp, "GGX_repeat")),
-        ("masp_like", "repeat period detected", period["dominant_period"].isNotNull() & (period["repeat_score"] > 0.5)),
-        ("masp_like", "report: motif and propensity differ on poly_alanine", F.lit(True) | has(masp, "poly_alanine") & (beta["mean_beta_propensity"] < BETA_THRESHOLD)),
-        ("pysp", "proline_rich_turn detected", has(pysp, "proline_rich_turn")),
-        ("pysp", "poly_alanine absent", ~has(pysp, "poly_alanine")),
-        ("pysp", "more proline than masp_like", proline_fraction(pysp) > proline_fraction(masp)),
-        ("pysp", "report: turn propensity and proline content may differ", F.lit(True)),
-    ]
-    checks = F.array(*[F.struct(F.lit(s).alias("sequence_name"), F.lit(c).alias("check"), p.alias("passed")) for s, c, p in rows])
+        ("masp_like", "poly_alanine detected", has(masp, "poly_alanine"), _motif_names(masp)),
+        ("masp_like", "GGX_repeat detected", has(masp, "GGX_repeat"), _motif_names(masp)),
+        ("masp_like", "repeat period detected", period["dominant_period"].isNotNull() & (period["repeat_score"] > 0.5), F.concat_ws(" ", period["dominant_period"], period["repeat_score"])),
+        (
+            "masp_like", "report: motif and propensity differ on poly_alanine", F.lit(True),
+            F.when(has(masp, "poly_alanine") & (beta["mean_beta_propensity"] < BETA_THRESHOLD), "they differ").otherwise("they agree"),
+        ),
+        ("pysp", "proline_rich_turn detected", has(pysp, "proline_rich_turn"), _motif_names(pysp)),
+        ("pysp", "poly_alanine absent", ~has(pysp, "poly_alanine"), _motif_names(pysp)),
+        ("pysp", "more proline than masp_like", proline_fraction(pysp) > proline_fraction(masp), F.concat_ws(" ", py_round(proline_fraction(pysp), 3), py_round(proline_fraction(masp), 3))),
+        ("pysp", "report: turn propensity and proline content may differ", F.lit(True), beta_sheet_propensity(pysp)["mean_turn_propensity"].cast("string")),
+    ]
+    checks = F.array(*[F.struct(F.lit(s).alias("sequence_name"), F.lit(c).alias("check"), p.alias("passed"), d.alias("detail")) for s, c, p, d in rows])
     return both.select(F.explode(checks).alias("x")).select("x.*")

@@ -58,6 +58,8 @@ def run_pairs(
 ) -> dict[str, DataFrame]:
     """A scored pool and its preference pairs, written to the output. resume_from: an earlier output of the same
     settings, whose rows are kept and of which only failed slots run again."""
+    if resume_from and resume_from.rstrip("/") == output.rstrip("/"):
+        raise ValueError("resume_from must not be the output: it is read while the output is written")
     batch = _batch(spark, data_path, n_prompts, seed, need_truth=True)
     call = llm if llm is completions.mock_llm else completions.with_retry(llm, max_retries)
     settings = {"n_prompts": n_prompts, "k_samples": k_samples, "k_shortcut_samples": k_shortcut_samples}

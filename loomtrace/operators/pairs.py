@@ -63,15 +63,14 @@ def build_pairs(traces: DataFrame, prompt: str, key: str, config: PairConfig = P
     slim = traces.select(prompt, key, "bucket", answer)
     a = slim.select(prompt, F.col(key).alias("chosen"), F.col("bucket").alias("a_bucket"), F.col(answer).alias("a_answer"))
     b = slim.select(prompt, F.col(key).alias("rejected"), F.col("bucket").alias("b_bucket"), F.col(answer).alias("b_answer"))
-    both = lambda chosen, rejected: (F.col("a_bucket") == chosen) & (F.col("b_bucket") == rejected)
-    place = (
-        F.when(both(GROUNDED_CORRECT, SHORTCUT_CORRECT) & config.agree(F.col("a_answer"), F.col("b_answer")), 0)
-        .when(both(GROUNDED_INCORRECT, SHORTCUT_INCORRECT), 1)
-        .when(both(GROUNDED_CORRECT, SHORTCUT_INCORRECT), 2)
-        .when(both(SHORTCUT_CORRECT, GROUNDED_INCORRECT), 3)
-    )
+    # A trace meets only the bucket that its own is paired with.
+    meets = {GROUNDED_CORRECT: [(0, SHORTCUT_CORRECT), (2, SHORTCUT_INCORRECT)], GROUNDED_INCORRECT: [(1, SHORTCUT_INCORRECT)], SHORTCUT_CORRECT: [(3, GROUNDED_INCORRECT)]}
+    wanted = lambda own: F.array(*[F.struct(F.lit(place).alias("place"), F.lit(other).alias("b_bucket")) for place, other in meets[own]])
+    sides = F.when(F.col("a_bucket") == GROUNDED_CORRECT, wanted(GROUNDED_CORRECT)).when(F.col("a_bucket") == GROUNDED_INCORRECT, wanted(GROUNDED_INCORRECT)).when(F.col("a_bucket") == SHORTCUT_CORRECT, wanted(SHORTCUT_CORRECT))
+    a = a.select(prompt, "chosen", "a_answer", F.explode(sides).alias("w")).select(prompt, "chosen", "a_answer", "w.*")
     kinds = F.array(*[F.lit(k) for k in ("same_answer", "anti_shortcut", "standard", "standard_fallback")])
-    found = a.join(b, prompt).withColumn("place", place).where("place is not null").withColumn("pair_type", kinds[F.col("place")])
+    met = a.join(b, [prompt, "b_bucket"])
+    found = met.where((F.col("place") > 0) | config.agree(F.col("a_answer"), F.col("b_answer"))).withColumn("pair_type", kinds[F.col("place")])
     found = found.select(prompt, "place", "pair_type", "chosen", "rejected", seeded(config.seed, F.col("pair_type"), F.col("chosen"), F.col("rejected")).alias("rnd"))
     per = Window.partitionBy(prompt)
     counted = found.select(

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.compat import hashed_index
 
 REPS, LOW, HIGH = 2000, 0.025, 0.975
+GROUP_ROWS, BLOCK_REPS = 1 << 18, 40  # items of a group that one task draws from, and repetitions that it draws at once
 
 
 def average_rank(value: str, *group: str) -> Column:
@@ -54,14 +60,76 @@ def interval(each: DataFrame, value: str, *group: str) -> DataFrame:
     return each.groupBy(*group).agg(F.percentile(value, F.lit(LOW)).alias("ci_low"), F.percentile(value, F.lit(HIGH)).alias("ci_high"), F.count(value).alias("n_reps"))
 
 
+def _drawn_ranks(code: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """Average ranks within each row of picks; code: each item's place among the distinct values."""
+    drawn = code[picks]
+    k = int(code.max()) + 1
+    counts = np.bincount((drawn + np.arange(len(drawn))[:, None] * k).ravel(), minlength=len(drawn) * k).reshape(-1, k)
+    mean = np.cumsum(counts, 1) - (counts - 1) / 2.0
+    return np.take_along_axis(mean, drawn, 1)
+
+
+def _corr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pearson by row; NaN where a side does not vary."""
+    n, sa, sb = a.shape[1], a.sum(1), b.sum(1)
+    flat = (a.max(1) <= a.min(1)) | (b.max(1) <= b.min(1))
+    below = np.sqrt(n * (a * a).sum(1) - sa * sa) * np.sqrt(n * (b * b).sum(1) - sb * sb)
+    return np.where(flat, np.nan, (n * (a * b).sum(1) - sa * sb) / np.where(flat, 1.0, below))
+
+
+def _reps_of_small(df: DataFrame, values: list[str], item: str, group: list[str], reps: int, seed: int) -> DataFrame:
+    """group, rep and the statistic: Spearman of two values, partial of three. A group is a row of arrays, ``GROUP_ROWS`` items at most; a task draws
+    ``BLOCK_REPS`` repetitions for all groups that it gets, so each index is drawn once."""
+    own = F.array_sort(F.collect_list(F.struct(item, *values)))
+    rows = df.groupBy(*group).agg(own.alias("__items")).select(*group, *[F.col(f"__items.{v}").alias(f"__{v}") for v in values])
+    blocks = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // BLOCK_REPS)))).repartition("__block").sortWithinPartitions("__block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, np.ndarray] = (-1, np.empty((0, 0), np.int64))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.column("__block")[i].as_py()
+                cols = [np.asarray(batch.column(f"__{v}")[i].values, np.float64) for v in values]
+                first, n = block * BLOCK_REPS, len(cols[0])
+                some = range(first, min(reps, first + BLOCK_REPS))
+                if held[0] != block or held[1].shape[1] < n:
+                    words = [[int(md5(f"{seed}:{rep}:{slot}".encode()).hexdigest()[:8], 16) for slot in range(n)] for rep in some]
+                    held = block, np.array(words, np.int64)
+                picks = held[1][:, :n] % n
+                ranks = [_drawn_ranks(np.unique(c, return_inverse=True)[1], picks) for c in cols]
+                rho = _corr(ranks[0], ranks[1])
+                if len(ranks) == 3:
+                    xz, yz = _corr(ranks[0], ranks[2]), _corr(ranks[1], ranks[2])
+                    below = np.sqrt((1 - xz * xz) * (1 - yz * yz))
+                    rho = np.where(below > 0, (rho - xz * yz) / np.where(below > 0, below, 1.0), np.nan)
+                keys = [batch.column(g).take(pa.array([i] * len(rho))) for g in group]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.array(some)), pa.array(rho, from_pandas=True)], names=[*group, "rep", "value"])
+
+    fields = ", ".join([*(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group), "rep long, value double"])
+    return blocks.mapInArrow(run, fields)
+
+
+def _bootstrap(df: DataFrame, values: list[str], item: str, group: list[str], reps: int, seed: int, by_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Groups of at most ``GROUP_ROWS`` items in arrays, larger ones by rows that Spark deals; both draw the same."""
+    sized = df.withColumn("__n", F.count("*").over(Window.partitionBy(*group)))
+    small = _reps_of_small(sized.where(f"__n <= {GROUP_ROWS}"), values, item, group, reps, seed)
+    large = by_rows(resample(sized.where(f"__n > {GROUP_ROWS}").drop("__n"), item, group, reps, seed))
+    return interval(small.unionByName(large.select(*group, F.col("rep").cast("long").alias("rep"), "value")), "value", *group)
+
+
 def bootstrap_spearman(df: DataFrame, x: str, y: str, item: str, *group: str, reps: int = REPS, seed: int = 0) -> DataFrame:
-    drawn = resample(df.select(*group, item, F.col(x).alias("vx"), F.col(y).alias("vy")), item, list(group), reps, seed)
-    return interval(spearman(drawn, "vx", "vy", *group, "rep"), "rho", *group)
+    rows = df.select(*group, item, F.col(x).cast("double").alias("vx"), F.col(y).cast("double").alias("vy"))
+    return _bootstrap(rows, ["vx", "vy"], item, list(group), reps, seed, lambda d: spearman(d, "vx", "vy", *group, "rep").withColumnRenamed("rho", "value"))
 
 
 def bootstrap_partial(df: DataFrame, x: str, y: str, z: str, item: str, *group: str, reps: int = REPS, seed: int = 0) -> DataFrame:
-    drawn = resample(df.select(*group, item, F.col(x).alias("vx"), F.col(y).alias("vy"), F.col(z).alias("vz")), item, list(group), reps, seed)
-    return interval(partial_spearman(drawn, "vx", "vy", "vz", *group, "rep"), "partial_rho", *group)
+    rows = df.select(*group, item, *[F.col(c).cast("double").alias(v) for c, v in ((x, "vx"), (y, "vy"), (z, "vz"))])
+    return _bootstrap(rows, ["vx", "vy", "vz"], item, list(group), reps, seed, lambda d: partial_spearman(d, "vx", "vy", "vz", *group, "rep").withColumnRenamed("partial_rho", "value"))
+
+
+def bootstrap(df: DataFrame, statistic: Callable[[DataFrame], DataFrame], item: str, *group: str, reps: int = REPS, seed: int = 0) -> DataFrame:
+    """Interval of any statistic: a function from rows with the group's columns and ``rep`` to a row for each of these, with ``value``."""
+    return interval(statistic(resample(df, item, list(group), reps, seed)), "value", *group)
 
 
 def metric_matrix(wide: DataFrame, item: str, predictors: list[str], targets: list[str]) -> DataFrame:

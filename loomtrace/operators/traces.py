@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence
 from ..functions.text import answer, tagged
 from ..sources.completions import complete, fan_out, mock_llm
+from ..sources.scratch import written
 from . import grounding
 from .pairs import PairConfig, bucket, build_pairs, diversity, same_answer, summarize
 from .rewards import is_correct, mean_abs_error
@@ -55,10 +56,11 @@ def grounded_claims(completed: DataFrame, *keys: str) -> DataFrame:
 
 
 def pilot_batch(samples: DataFrame, key: str, llm: Callable[[str], str] = mock_llm, pause: float = 0.0) -> dict[str, DataFrame]:
-    """claims, reports, errors and audit of one trace a sample."""
-    tools = sequence.with_tools(samples, "sequence")
-    done = complete(tools.withColumn("prompt", prompt(True)), "prompt", llm, pause)
-    claims = grounded_claims(done.where("error is null"), key).persist()  # read by the reports and by the sink
+    """claims, reports, errors and audit of one trace a sample. Completions are written before anything reads them: each is asked for once."""
+    asked = sequence.with_tools(samples, "sequence").withColumn("prompt", prompt(True))
+    done = written(complete(asked.select(*samples.columns, "prompt"), "prompt", llm, pause).drop("prompt"))
+    tools = sequence.with_tools(done.where("error is null").select(key, "sequence", "completion"), "sequence")
+    claims = written(grounded_claims(tools, key))  # read by the reports and by the sink
     reports = grounding.report(claims, key)
     return {"claims": claims, "reports": reports, "errors": done.where("error is not null").select(key, "error"), "audit": grounding.audit(reports)}
 
@@ -95,3 +97,17 @@ def preference_run(pool: DataFrame, config: PairConfig | None = None) -> dict[st
     pairs = build_pairs(traces, "prompt_id", "trace_id", config)
     by_type, total = summarize(pairs)
     return {"traces": traces, "diversity": diversity(traces, "prompt_id"), "pairs": pairs, "pairs_by_type": by_type, "pairs_total": total}
+
+
+def structured_claims(traces: DataFrame, key: str, trace: str = "trace") -> DataFrame:
+    """A row for each claim of every reasoning step, with ``step_index``, checked against the tool calls before that step only.
+
+    trace: an array of steps in order, structs of step_type ("tool_call" or "reasoning"), text, and tool (name, numbers, ranges, text and keys, as in
+    ``grounding``). The latest tool that has evidence counts. A trace without reasoning steps keeps one row of nulls.
+    """
+    steps = F.transform(trace, lambda s, i: F.struct(i.alias("step_index"), s.alias("step")))
+    reasoned = F.filter(steps, lambda x: x["step"]["step_type"] == "reasoning")
+    before = lambda i: F.transform(F.filter(F.slice(trace, F.lit(1), i), lambda s: s["step_type"] == "tool_call"), lambda s: s["tool"])
+    each = F.transform(reasoned, lambda x: F.struct(x["step_index"].alias("step_index"), x["step"]["text"].alias("reasoning"), before(x["step_index"]).alias("tools")))
+    rows = traces.select(key, F.explode_outer(each).alias("x")).select(key, "x.*")
+    return grounding.ground(grounding.explode_claims(rows, "reasoning")).drop("tools", "reasoning")

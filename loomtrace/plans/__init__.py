@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pair_queries, sequence_queries, stats_queries, trace_queries
+from . import pair_queries, sequence_queries, source_queries, stats_queries, trace_queries
 
-_MODULES = [sequence_queries, trace_queries, pair_queries, stats_queries]
+_MODULES = [sequence_queries, trace_queries, source_queries, pair_queries, stats_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -15,8 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows dealt out anew where a small input has fewer splits than there are cores; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.compat import py_round
 from ..operators import stats
 from . import bridge
 
-REPS = 50
+REPS = stats.REPS
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,21 @@ def staged_reward_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seq_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.validate(spark)
+    return sequence.validate(spark).drop("detail")
+
+
+def validation_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.passed_fraction(sequence.validate(spark))
+
+
+def interleaved_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces of a reasoning step before, between and after two tool calls: each step knows only the tools before it."""
+    rows = bridge.facts(spark, sf_dir)
+    tool = lambda i: F.struct(F.lit("tool_call").alias("step_type"), F.lit(None).cast("string").alias("text"), F.get("tools", F.lit(i)).alias("tool"))
+    none = F.get("tools", F.lit(9))
+    said = F.struct(F.lit("reasoning").alias("step_type"), F.col("body").alias("text"), none.alias("tool"))
+    claims = traces.structured_claims(rows.select("id", F.array(said, tool(0), said, tool(1), said).alias("trace")), "id")
+    return claims.where("kind is not null").select("id", "step_index", "kind", "claim_ord", "grounded", "evidence_tool")
 
 
 def mock_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +193,20 @@ ORACLES = {
     "seq_validation": """SELECT * FROM (VALUES ('masp_like', 'poly_alanine detected', true), ('masp_like', 'GGX_repeat detected', true), ('masp_like', 'repeat period detected', true),
 ('masp_like', 'report: motif and propensity differ on poly_alanine', true), ('pysp', 'proline_rich_turn detected', true), ('pysp', 'poly_alanine absent', true), ('pysp', 'more proline than masp_like', true),
 ('pysp', 'report: turn propensity and proline content may differ', true)) v(sequence_name, "check", passed)""",
+    "validation_passed": "SELECT 8::BIGINT AS n_checks, 1.0::DOUBLE AS passed_fraction",
+    "interleaved_trace": f"""{_C}, {_NUMERIC}, {_POSITION}, {_MOTIF},
+every AS (SELECT id, 'numeric' AS kind, 0 AS k, num, NULL::INT AS lo, NULL::INT AS hi, NULL AS term FROM num UNION ALL SELECT id, 'position', 1, NULL, lo, hi, NULL FROM pos UNION ALL SELECT id, 'motif', 2, NULL, NULL, NULL, term FROM mot),
+-- Claims of a kind stand in the order of the text: of the two numbers of template 1 the sum comes first, of the motifs of template 4 the region.
+ord AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, CASE WHEN kind = 'numeric' AND t = 1 AND num = c AND NOT first THEN 1 ELSE 0 END, term) - 1 AS claim_ord
+  FROM (SELECT e.*, c.a, c.b, c.c, c.t, row_number() OVER (PARTITION BY e.id, e.kind ORDER BY CASE WHEN e.num = c.a + c.b THEN 0 ELSE 1 END) = 1 AND e.num = c.a + c.b AS first FROM every e JOIN completions c USING (id))),
+s AS (SELECT * FROM ord, (VALUES (0, 0), (2, 1), (4, 2)) v(step_index, n_tools)),
+leaves AS (SELECT s.id, s.step_index, s.claim_ord, x.tool FROM s, LATERAL (VALUES (1, c::DOUBLE), (1, 0.1::DOUBLE + a / 1000.0::DOUBLE), (1, a + 0.5::DOUBLE), (2, (-b - 101)::DOUBLE), (2, (c + 1020)::DOUBLE)) x(tool, v)
+  WHERE kind = 'numeric' AND tool <= n_tools AND abs(v - num) <= greatest(0.02::DOUBLE, abs(v) * 0.03::DOUBLE)),
+hit AS (SELECT id, step_index, claim_ord, max(tool) AS tool FROM leaves GROUP BY ALL),
+g AS (SELECT s.*, CASE kind WHEN 'numeric' THEN hit.tool WHEN 'position' THEN CASE WHEN n_tools >= 2 AND lo >= a AND hi <= a + 20 THEN 2 WHEN n_tools >= 1 AND hi <= 50 THEN 1 END
+  ELSE CASE WHEN n_tools >= 2 AND (term = 'random coil' OR term IN ('beta-sheet', 'alpha-helix') AND b % 3 = 0) THEN 2 WHEN n_tools >= 1 AND term IN ('poly-alanine', 'glycine rich') AND b % 2 = 0 THEN 1 END END AS tool
+  FROM s LEFT JOIN hit USING (id, step_index, claim_ord))
+SELECT id, step_index::INT AS step_index, kind, claim_ord::INT AS claim_ord, tool IS NOT NULL AS grounded, CASE tool WHEN 1 THEN 'first' WHEN 2 THEN 'second' END AS evidence_tool FROM g""",
     "claims_numeric": f"{_C}, {_NUMERIC} SELECT id, raw, num, 'direct' AS role FROM num",
     "claims_position": f"{_C}, {_POSITION} SELECT id, raw, lo, hi, 'direct' AS role FROM pos",
     "claims_motif": f"{_C}, {_MOTIF} SELECT id, term AS raw, term, role FROM mot",
@@ -198,10 +226,19 @@ sum(n_contrastive)::BIGINT AS n_contrastive_mentions, {_r('sum(n_contrastive - n
     "expressed_confidence": f"{_C}, {_ANSWER} SELECT id, confidence FROM ans",
     "calibration_reward": f"{_C}, {_ANSWER} SELECT id, {_r('calibration')} AS calibration FROM rew",
     "calibration_grouped": f"{_C}, {_ANSWER} SELECT id // 4 AS prompt, string_agg(printf('%.4f', calibration), ',' ORDER BY id) AS rewards FROM rew GROUP BY 1",
+    "staged_reward_judged": f"""{_ALL}, {_ANSWER}, steps AS (SELECT id, unnest(CASE t WHEN 0 THEN [concat('The mean value is 0.', a + 100, ' overall.'), concat('Because of that, residues ', a, '-', a + b + 1, ' fold into a beta-sheet.')]
+  WHEN 1 THEN ['1.', concat('A poly-alanine run spans positions ', a, ' to ', a + b, '.'), '12.', concat('Therefore the share is ', c, '% of it.')]
+  WHEN 2 THEN ['The chain lacks an alpha-helix here and shows nothing else that one could name at all in the whole of this rather long sentence.', concat('Charge is -', b + 100, ' in total.')]
+  WHEN 3 THEN [concat('Only one step with energy ', a, '.5 kcal/mol at residue ', c)] WHEN 5 THEN ['Nothing follows.', 'Zebra quartz.', 'Jumping vixens.', concat('residue 0.', b + 1000)]
+  WHEN 6 THEN ['The spacer is glycine rich.', concat('The spacer is proline-rich turn like, since ', c + 1000, ' of them show.')] ELSE [] END) AS step FROM completions),
+judged AS (SELECT id, avg(least(1.0::DOUBLE, length(step) / 100)) AS quality FROM steps GROUP BY id),
+j AS (SELECT rew.*, grounding_score, coalesce(quality, 0.0::DOUBLE) AS quality FROM rew JOIN report USING (id) LEFT JOIN judged USING (id))
+SELECT id, {_r('outcome * 0.4::DOUBLE + coherence * 0.15::DOUBLE + grounding_score * 0.15::DOUBLE + quality * 0.3::DOUBLE', 3)} AS stage_3,
+{_r('outcome * 0.35::DOUBLE + coherence * 0.1::DOUBLE + grounding_score * 0.15::DOUBLE + quality * 0.25::DOUBLE + calibration * 0.15::DOUBLE', 3)} AS stage_4 FROM j""",
     "staged_reward": f"""{_ALL}, {_ANSWER} SELECT id, {_r('outcome * 0.6::DOUBLE + coherence * 0.4::DOUBLE', 3)} AS stage_1,
 {_r('outcome * 0.5::DOUBLE + coherence * 0.25::DOUBLE + grounding_score * 0.25::DOUBLE', 3)} AS stage_2 FROM rew JOIN report USING (id)""",
 }
 QUERIES = [
     claims_numeric, claims_position, claims_motif, claim_roles, ground_numeric, ground_position, ground_motif, trace_report, batch_audit, audit_kinds, worst_traces, trace_assemble,
-    reasoning_steps, answer_parse, outcome_reward, expressed_confidence, calibration_reward, calibration_grouped, staged_reward, staged_reward_judged, seq_validation, mock_pilot, prompt_build,
+    reasoning_steps, answer_parse, outcome_reward, expressed_confidence, calibration_reward, calibration_grouped, staged_reward, staged_reward_judged, seq_validation, validation_passed, interleaved_trace, mock_pilot, prompt_build,
 ]
