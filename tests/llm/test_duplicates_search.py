@@ -5,13 +5,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from loomtrace.llm import graph, rlz, simhash, topk
+from loomtrace.llm import graph, rlz, simhash, topk, words
 
 
 def plain_fingerprint(text, width=4):
@@ -186,11 +187,42 @@ def test_substrings_match_brute_force(spark, seed):
 
 
 @pytest.mark.parametrize("width", [1, 2, 3, 5, 7, 20])
-def test_rolling_hash(width):
+def test_hashes_of_runs(width):
     h = np.random.default_rng(1).integers(0, 2**63, 50, dtype=np.uint64)
-    b = rlz._B[0]
-    want = np.array([sum(int(h[i + j]) * pow(int(b), width - 1 - j, 1 << 64) for j in range(width)) % (1 << 64) for i in range(50 - width + 1)], np.uint64)
-    assert (rlz.rolling(h, width, b) == simhash.remix(want)).all()
+    b = 0x9E3779B97F4A7C15
+    want = np.array([sum(int(h[i + j]) * pow(b, width - 1 - j, 1 << 64) for j in range(width)) % (1 << 64) for i in range(50 - width + 1)], np.uint64)
+    assert (words.runs(h, width, b) == words.remix(want)).all()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aBé\t\n  xy\x1f", max_size=25)), max_size=6))
+def test_words_of_many_texts(texts):
+    w, low = words.split(pa.array(texts, pa.string())), words.split(pa.array(texts, pa.string()), lower=True)
+    plain = [(t or "").encode().split() for t in texts]
+    assert np.diff(w.starts).tolist() == [len(p) for p in plain]
+    flat = [x for p in plain for x in p]
+    assert [[a == b for b in flat] for a in flat] == (w.hashes[:, None] == w.hashes).tolist()
+    assert [[a.lower() == b.lower() for b in flat] for a in flat] == (low.hashes[:, None] == low.hashes).tolist()
+    for i, p in enumerate(plain):
+        assert w.text(i) == b" ".join(p)
+        assert w.text(i, np.arange(len(p)) % 2 == 0) == b" ".join(p[::2])
+
+
+@pytest.mark.parametrize("size", [1, 3000])
+def test_factors_stand_whole_in_their_sources(spark, monkeypatch, size):
+    """Blocks of a few texts or of one: every factor's words are its source's, and the removal is the same."""
+    monkeypatch.setattr(rlz, "BLOCK_BYTES", size)
+    rows = substring_rows(3)
+    got = rlz.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    mine = sorted(((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in got), key=str)
+    assert mine == plain_removal(rows)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append((t or "").encode().split())
+    for r in got:
+        for f in r["factors"]:
+            a, n, b = f["start"], f["length"], f["source_start"]
+            assert any(x[a : a + n] == y[b : b + n] for x in texts[r["doc_id"]] for y in texts[f["source"]])
 
 
 def plain_topk(codes, queries, k):
