@@ -476,6 +476,7 @@ def segments_for(n: int, radius: int) -> int:
 def keep_one(docs: DataFrame, ident: str = "doc_id", **how) -> DataFrame:
     """The rows whose id is the least of its group; the columns stay as they are. Rows without an id stay."""
     extra = near_components(docs, ident, **how).where(F.col("component_id") < F.col(ident)).select(F.col(ident).alias("__gone")).distinct()
+    extra = stored(extra)  # Spark sees its size: few ids are broadcast, and texts then stay where they are
     return docs.join(extra, docs[ident] == extra["__gone"], "left_anti")
 
 

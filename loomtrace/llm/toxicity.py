@@ -38,7 +38,7 @@ FLOOR = 0.05  # smaller kernel values count as 0
 TRAIN_ROWS, TOXIC_LANDMARKS, OTHER_LANDMARKS, MISSPELT = 8000, 64, 12, 12
 STEM, SAME = range(4, 9), 0.9  # lengths of stems; landmarks more alike than this are one
 FOLDS = 5
-PART, CACHED = 500, 300_000  # texts scored at once, and words held
+PART, CACHED = 500, 200_000  # texts scored at once, and words held
 _SIGNS = 27
 _TABLE = bytes(32 if c in b" \t\n\r\x0b\x0c" else c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 123 for c in range(256))
 _DROPPED = bytes(c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122 or c in b" \t\n\r\x0b\x0c"))
