@@ -210,7 +210,7 @@ def proline_fraction(seq: Column) -> Column:
 
 
 #: A unit put together for this check from the motifs of a dragline repeat: GGX runs, then alanines.
-MASP_UNIT, MASP_COPIES = "GGQ" * 3 + "GGS" * 2 + "SVR" + "A" * 9, 4
+MASP_UNIT, MASP_COPIES = "GGQ" * 4 + "GGS" * 3 + "SVR" + "A" * 11, 3  # 35 letters
 # A real proline-rich sequence.
 PYSP = (
     "SSSAYSGTSTGGSSVSQSQPIISSAPVYFNAQTLTSSLASSLQSDRALNFISSGQLSASDVSTSVSSAVAQTLGISQSSVQNIISQQMSSVRTGASSSSVSQAIANAVSSAVQASGAATPGQEQ"
