@@ -1,21 +1,24 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel, with Nyström landmarks.
 
-The kernel of two strings counts the three-letter subsequences they share, each weighted by ``DECAY`` to the power of the
-stretch it spans (``SPAN`` letters at most); it is normalised and raised to ``POWER``, which is a kernel again. A letter
-inserted, dropped or changed leaves a good part of it.
+The kernel of two words counts the three-letter subsequences they share, each weighted by ``DECAY`` to the power of the
+stretch it spans (``SPAN`` letters at most); it is normalised and raised to the whole number ``POWER``, which is a kernel again. A letter
+inserted, dropped or changed leaves a good part of it. The kernel of two texts is the sum over all pairs of their distinct words: a
+convolution kernel, positive semidefinite like that of words, and with no threshold in it. A landmark is a text of one word. The Nyström map
+turns a text's kernel values with the landmarks into coordinates, a linear machine with squared hinge loss separates
+them, and a sigmoid fitted to its margins gives the score. Since sums run over words, so do margins: each word adds a number of its own, which is worked out once.
+
 Landmarks are words and stems (beginnings of words) of labelled rows: those that toxic rows have far more often than
-chance allows, and some frequent others. A sentence's kernel with a landmark is that of its best word, a text's that of its best sentence. The Nyström map
-turns these values into coordinates, a linear machine with squared hinge loss separates them, and a sigmoid fitted to its
-margins gives the score. Misspelt copies of the toxic landmarks (a letter inserted, doubled or dropped) count as toxic
-examples, so that the margin leaves room for them.
+chance allows, and some frequent others. Misspelt copies of the toxic landmarks (a letter inserted, doubled or dropped) count as toxic
+examples, so that the margin leaves room for them. The constants were chosen by folds 1 to 4 within the learning rows, fold 0 never among them.
 
-Words keep A-Z letters, lower-cased, and one sign for each byte of other letters; punctuation and digits inside them go,
-and three or more single letters in a row are one word ("i d i o t"). Words over ``LONGEST`` letters are read through
+Words keep A-Z letters, lower-cased, and signs for the later bytes of other letters (a small and a capital letter mostly share theirs); punctuation and digits inside them go,
+and three or more single letters in a row are one word ("i d i o t"). Words over ``LONGEST`` letters count as their
 overlapping windows. Learning uses at most ``TRAIN_ROWS`` labelled rows, those of least hash of their id.
 
-Cases. Null or empty text: the score of a text without any landmark. No labels, or of one kind only, or no word that sets
+Cases. Null or empty text: the score of a text without any word. No labels, or of one kind only, or no word that sets
 toxic rows apart: every text gets the share of toxic rows (0 without labels). Null labels and ids are not learned from. A
-doc_id with several labels counts as toxic if one says so. Repeated rows: alike. Empty table: no rows.
+doc_id with several labels counts as toxic if one says so. Repeated rows: alike; of rows with one id the least text is learned from. Very long texts: read whole.
+Empty table: no rows. Extra columns, whatever their names, are kept if named.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,14 +37,15 @@ from pyspark.sql import functions as F
 from .common import crc_mod, cut, table
 
 DECAY, SPAN, LONGEST, STRIDE, POWER = 0.6, 8, 16, 6, 3
-FLOOR = 0.05  # smaller kernel values count as 0
-TRAIN_ROWS, TOXIC_LANDMARKS, OTHER_LANDMARKS, MISSPELT = 8000, 64, 12, 12
-STEM, SAME = range(4, 9), 0.9  # lengths of stems; landmarks more alike than this are one
+TRAIN_ROWS, TOXIC_LANDMARKS, OTHER_LANDMARKS, MISSPELT = 8000, 128, 12, 12
+CHANCE = 2.5  # a toxic landmark's log-likelihood ratio at least, in logs of the number of words; the most extreme by chance has some 2
+STEM, SAME = range(3, 9), 0.965  # lengths of stems; landmarks more alike than this are one
+SOFT = 3.0  # the machine's constant
 FOLDS = 5
-PART, CACHED = 500, 200_000  # texts scored at once, and words held
-_SIGNS = 27
-_TABLE = bytes(32 if c in b" \t\n\r\x0b\x0c" else c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 123 for c in range(256))
-_DROPPED = bytes(c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122 or c in b" \t\n\r\x0b\x0c"))
+PART, CACHED, CELLS = 500, 200_000, 1 << 22  # texts scored at once, words held, and values held
+_SIGNS = 30
+_TABLE = bytes(32 if c in b" \t\n\r\x0b\x0c" else c + 32 if 65 <= c <= 90 else c if c < 128 else 123 + c % 4 for c in range(256))
+_DROPPED = bytes(c for c in range(256) if not (65 <= c <= 90 or 97 <= c <= 122 or c in b" \t\n\r\x0b\x0c" or 128 <= c < 192))
 _SPACED = re.compile(rb"(?<![^ ])[a-z](?: +[a-z]){2,}(?![^ ])")
 
 
@@ -51,6 +55,12 @@ def words_of(text: str | None) -> set[bytes]:
     return set(_SPACED.sub(lambda m: m[0].replace(b" ", b""), body).split())
 
 
+def landmark_words(text: str | None) -> set[bytes]:
+    """The distinct words and stems of a text that may be landmarks."""
+    every = {x for w in words_of(text) for x in (w, *(w[:k] for k in STEM if len(w) > k))}
+    return {x for x in every if STEM[0] <= len(x) <= LONGEST}
+
+
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions i < j < k of a word of n letters that span at most ``SPAN``, and their weights."""
     found = [(i, j, k) for i in range(n) for j in range(i + 1, n) for k in range(j + 1, min(n, i + SPAN))]
@@ -88,12 +98,12 @@ class Landmarks:
         by: dict[int, list[tuple[int, bytes]]] = {}
         for i, w in enumerate(words):
             if len(w) > LONGEST:
-                for s in {*range(0, len(w) - LONGEST, STRIDE), len(w) - LONGEST}:
+                for s in sorted({*range(0, len(w) - LONGEST, STRIDE), len(w) - LONGEST}):
                     by.setdefault(LONGEST, []).append((i, w[s : s + LONGEST]))
             elif len(w) > 2:
                 by.setdefault(len(w), []).append((i, w))
         for n, group in by.items():
-            step = max(1, 200_000 // len(_triples(n)[0]))  # so that a block of values with all landmarks stays small
+            step = max(1, 100_000 // len(_triples(n)[0]))  # so that a block of values with all landmarks stays small
             for s in range(0, len(group), step):
                 part = group[s : s + step]
                 row, code, value = _sparse([w for _, w in part])
@@ -105,50 +115,43 @@ class Landmarks:
                 first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
                 sums = np.add.reduceat(self.rows[self.at[code]] * value[:, None].astype(np.float32), first, axis=0)
                 of = np.array([i for i, _ in part])[row[first]]
-                np.maximum.at(out, of, (sums / norm[row[first], None]).astype(np.float32))
-        out **= POWER
-        out[out < FLOOR] = 0
+                values = (sums / norm[row[first], None]).astype(np.float32) ** POWER
+                if n == LONGEST:
+                    np.add.at(out, of, values)
+                else:
+                    out[of] = values
         return out
 
 
-class Cache:
-    """Kernel values of the words met so far, each worked out once; most have none. It starts anew when ``CACHED`` are held."""
+class Memo:
+    """Values of the words met so far, ``width`` for each, worked out once. It starts anew when it is full."""
 
-    def __init__(self, marks: Landmarks):
-        self.marks = marks
+    def __init__(self, values: Callable[[list[bytes]], np.ndarray], width: int):
+        self.values, self.width = values, width
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.rows = np.zeros((1, len(self.marks.words)), np.float32)
+        self.rows = np.zeros((0, self.width), np.float32)
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.at) + len(words) > CACHED:
+    def sums(self, texts: list[str | None]) -> np.ndarray:
+        """For each text, the sums over its distinct words."""
+        words = [words_of(t) for t in texts]
+        met = set().union(*words)
+        if len(self.at) + len(met) > min(CACHED, CELLS // self.width):
             self.clear()
-        new = list(words - self.at.keys())
-        values = self.marks.kernel(new)
-        some = values.any(1) if new else np.zeros(0, bool)
-        self.at.update(zip(new, np.where(some, np.cumsum(some) + len(self.rows) - 1, 0).tolist(), strict=True))
-        self.rows = np.concatenate([self.rows, values[some]])
-
-
-def text_kernels(texts: list[str | None], marks: Landmarks, cache: Cache | None = None) -> np.ndarray:
-    """For each text and landmark, the kernel value of the text's best word."""
-    cache = cache or Cache(marks)
-    words = [words_of(t) for t in texts]
-    cache.learn(set().union(*words))
-    out = np.zeros((len(texts), len(marks.words)), np.float32)
-    at = cache.at
-    for i, own in enumerate(words):
-        found = [k for w in own if (k := at[w])]
-        if found:
-            out[i] = cache.rows[found].max(0)
-    return out
+        new = sorted(met - self.at.keys())
+        self.at.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+        self.rows = np.concatenate([self.rows, self.values(new)])
+        at, out = self.at, np.zeros((len(texts), self.width))
+        for i, own in enumerate(words):
+            out[i] = np.sort(self.rows[[at[w] for w in own]], axis=0).sum(0, dtype=np.float64) if own else 0
+        return out
 
 
 @dataclass
 class Model:
-    """score = sigmoid(slope * (kernel values . weights + bias) + shift); without landmarks, ``constant``."""
+    """score = sigmoid(slope * (sum over words of kernel values . weights + bias) + shift); without landmarks, ``constant``."""
 
     landmarks: list[bytes] = field(default_factory=list)
     weights: np.ndarray | None = None
@@ -157,8 +160,13 @@ class Model:
     shift: float = 0.0
     constant: float = 0.0
 
-    def score(self, kernels: np.ndarray) -> np.ndarray:
-        margin = kernels.astype(np.float64) @ self.weights + self.bias
+    def memo(self) -> Memo:
+        """What each word adds to the margin."""
+        marks = Landmarks(self.landmarks)
+        return Memo(lambda words: (marks.kernel(words) @ self.weights).astype(np.float32)[:, None], 1)
+
+    def score(self, texts: list[str | None], memo: Memo | None = None) -> np.ndarray:
+        margin = (memo or self.memo()).sums(texts)[:, 0] + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
 
@@ -169,7 +177,7 @@ def nystrom(marks: Landmarks) -> np.ndarray:
     return vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0) -> np.ndarray:
+def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = SOFT) -> np.ndarray:
     """Squared hinge loss by Newton steps; the last entry is the bias. y: -1 or 1."""
     x = np.c_[x, np.ones(len(x))]
     w, keep = np.zeros(x.shape[1]), np.eye(x.shape[1])
@@ -224,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, ident: str, text: str, toxic: str)
     known = labels.select(labels[ident].alias("i"), labels[toxic].cast("int").alias("toxic")).where("i is not null and toxic is not null").groupBy("i").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("i"), "i").limit(TRAIN_ROWS)
     texts = docs.select(docs[ident].alias("d"), docs[text].alias("text"))
-    sample = cut(texts.join(F.broadcast(chosen), F.col("d") == F.col("i")).select("text", "toxic"))  # TRAIN_ROWS ids at most
+    one = texts.join(F.broadcast(chosen), F.col("d") == F.col("i")).groupBy("i").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    sample = cut(one.select("text", "toxic"))  # TRAIN_ROWS at most
     counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_all = counts.get(1, 0), sum(counts.values())
     if not n_toxic or n_toxic == n_all:
@@ -232,15 +241,16 @@ def train(docs: DataFrame, labels: DataFrame, ident: str, text: str, toxic: str)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted({x for w in words_of(t) for x in (*(w[:k] for k in STEM if len(w) > k), w) if STEM[0] <= len(x) <= LONGEST}) for t in batch.column(0).to_pylist()]
-            at = np.repeat(np.arange(len(words)), [len(w) for w in words])
-            yield pa.RecordBatch.from_arrays([pa.array([x.decode() for w in words for x in w], pa.string()), batch.column(1).take(pa.array(at))], names=["word", "toxic"])
+            for some in (batch.slice(i, 32) for i in range(0, batch.num_rows, 32)):
+                found = [landmark_words(t) for t in some.column(0).to_pylist()]
+                at = np.repeat(np.arange(len(found)), [len(w) for w in found])
+                yield pa.RecordBatch.from_arrays([pa.array([x.decode() for w in found for x in w], pa.string()), some.column(1).take(pa.array(at))], names=["word", "toxic"])
 
     seen = cut(sample.select("text", "toxic").mapInArrow(split, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("df")))
     share = n_toxic / n_all
     part = lambda n, p: F.when(n > 0, n * F.ln(n / (F.col("df") * p))).otherwise(0.0)
     against = 2 * (part(F.col("a"), share) + part(F.col("df") - F.col("a"), 1 - share))  # log-likelihood ratio
-    least = 4 * math.log(max(seen.count(), 2))  # far above what the most extreme of so many words reaches by chance
+    least = CHANCE * math.log(max(seen.count(), 2))
     rated = seen.withColumn("g", against).withColumn("more", F.col("a") > F.col("df") * share)
     bad = [r["word"].encode() for r in rated.where(F.col("more") & (F.col("g") >= least)).orderBy(F.desc("g"), F.length("word"), "word").limit(20 * TOXIC_LANDMARKS).collect()]
     other = [r["word"].encode() for r in rated.where(~F.col("more")).orderBy(F.desc("df"), "word").limit(OTHER_LANDMARKS).collect()]
@@ -250,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, ident: str, text: str, toxic: str)
     marks = Landmarks(bad + other)
     rows = _kernels(sample.select("toxic", "text"), "toxic", marks.words).collect()
     kernels, y = np.array([r["kernels"] for r in rows], np.float64), np.array([2 * r["toxic"] - 1 for r in rows], np.float64)
-    spelt = marks.kernel([v for w in bad for v in misspell(w, MISSPELT)]).astype(np.float64)
+    spelt = marks.kernel([v for w in bad for v in misspell(w, MISSPELT)])
     project = nystrom(marks)
     x = np.concatenate([kernels, spelt]) @ project
     labels_ = np.r_[y, np.ones(len(spelt))]
@@ -264,11 +274,13 @@ def train(docs: DataFrame, labels: DataFrame, ident: str, text: str, toxic: str)
 def _kernels(rows: DataFrame, keep: str, landmarks: list[bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Landmarks(landmarks)
+        memo = Memo(marks.kernel, len(landmarks))
         for batch in batches:
-            found = text_kernels(batch.column(1).to_pylist(), marks)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(found), pa.list_(pa.float32()))], names=[keep, "kernels"])
+            for part in (batch.slice(i, 50) for i in range(0, batch.num_rows, 50)):
+                found = memo.sums(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(found), pa.list_(pa.float64()))], names=[keep, "kernels"])
 
-    return rows.mapInArrow(run, f"{keep} {rows.schema[keep].dataType.simpleString()}, kernels array<float>")
+    return rows.mapInArrow(run, f"{keep} {rows.schema[keep].dataType.simpleString()}, kernels array<double>")
 
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
@@ -277,16 +289,18 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
     if not model.landmarks:
         return docs.select(*kept, F.lit(model.constant).alias(out))
 
+    at = keep.index(text) if text in keep else len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Landmarks(model.landmarks)
-        cache = Cache(marks)
+        memo = model.memo()
         for batch in batches:
             for part in (batch.slice(i, PART) for i in range(0, batch.num_rows, PART)):
-                score = model.score(text_kernels(part.column(len(keep)).to_pylist(), marks, cache))
+                score = model.score(part.column(at).to_pylist(), memo)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, out])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` double"])
-    return docs.select(*kept, docs[text].alias("__text")).mapInArrow(run, schema)
+    rows = docs.select(*kept) if text in keep else docs.select(*kept, docs[text].alias("__text"))
+    return rows.mapInArrow(run, schema)
 
 
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:

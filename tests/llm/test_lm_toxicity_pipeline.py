@@ -162,7 +162,7 @@ def test_gapped_and_inserted_letters(spark, toxic_tables):
     model = toxicity.fitted(spark, common.table(spark, path, "documents"), path)
     said = ["you b l o r g e l you", "bl-or-gel", "blorrgel", "sn.ark.it", "snarkkit", "GRUMPUS", "grummpus"]
     clean = ["you are", "some more of the rest", "storm lines are", "", None]
-    score = model.score(toxicity.text_kernels([*said, *clean], toxicity.Landmarks(model.landmarks)))
+    score = model.score([*said, *clean])
     assert (score[: len(said)] > 0.5).all() and (score[len(said) :] < 0.5).all()
 
 
@@ -186,7 +186,27 @@ def test_kernel_matches_the_definition():
     for i, w in enumerate(words):
         for j, z in enumerate([b"idiot", b"abcabc", b"xx{"]):
             want = plain_kernel(w, z) ** toxicity.POWER
-            assert abs(got[i, j] - (want if want >= toxicity.FLOOR else 0)) < 1e-5
+            assert abs(got[i, j] - want) < 1e-5
+
+
+def test_texts_add_up_their_words_and_the_kernel_is_positive():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdé", k=rng.randint(1, 20))) for _ in range(60)]
+    said = [" ".join(rng.choices(words, k=rng.randint(0, 30))) for _ in range(40)] + ["", None]
+    marks = toxicity.Landmarks(sorted(w for w in toxicity.words_of(" ".join(words)) if 3 <= len(w) <= toxicity.LONGEST))
+    got = toxicity.Memo(marks.kernel, len(marks.words)).sums(said)
+    for i, t in enumerate(said):
+        own = sorted(toxicity.words_of(t))
+        assert np.allclose(got[i], marks.kernel(own).sum(0) if own else 0, atol=1e-4)
+    assert np.linalg.eigvalsh(marks.kernel(marks.words).astype(float)).min() > -1e-4
+    counts = np.array([[w in toxicity.words_of(t) for w in marks.words] for t in said], float)
+    assert np.linalg.eigvalsh(counts @ marks.kernel(marks.words) @ counts.T).min() > -1e-3
+
+
+def test_capital_and_accented_letters():
+    assert toxicity.words_of("ÉTÉ") == toxicity.words_of("été") != toxicity.words_of("ôtô")
+    assert toxicity.words_of("a.b-c i d i o t") == {b"abc", b"idiot"}
+    assert toxicity.landmark_words("ass") == {b"ass"}
 
 
 @pytest.mark.parametrize("toxic", [[], [0, 0], [1, 1]])
