@@ -103,7 +103,7 @@ class Landmarks:
             elif len(w) > 2:
                 by.setdefault(len(w), []).append((i, w))
         for n, group in by.items():
-            step = max(1, 100_000 // len(_triples(n)[0]))  # so that a block of values with all landmarks stays small
+            step = max(1, 8000 // len(_triples(n)[0]))  # so that a block of values with all landmarks stays small
             for s in range(0, len(group), step):
                 part = group[s : s + step]
                 row, code, value = _sparse([w for _, w in part])
@@ -297,6 +297,8 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
             for part in (batch.slice(i, PART) for i in range(0, batch.num_rows, PART)):
                 score = model.score(part.column(at).to_pylist(), memo)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, out])
+        memo.clear()
+        pa.default_memory_pool().release_unused()  # workers stay for the stages after this one
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` double"])
     rows = docs.select(*kept) if text in keep else docs.select(*kept, docs[text].alias("__text"))
