@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +32,24 @@ def remix(hashes: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _all_powers(base: int, n: int) -> np.ndarray:
-    held = np.full(n, base, np.uint64)
-    held[0] = 1
-    return np.multiply.accumulate(held)
+class _Held(dict):
+    """What a process has worked out for itself: it doesn't travel with functions that use it."""
+
+    def __reduce__(self) -> tuple:
+        return _Held, ()
+
+
+_POWERS = _Held()  # by base; a cached function would be pickled by name, and workers have no copy of this package
 
 
 def _power(base: int, n: int) -> np.ndarray:
     """base ** 0 ... base ** (n - 1), modulo 2 ** 64."""
-    return _all_powers(base, max(2 * CHUNK, 1 << (n - 1).bit_length()) if n else 1)[:n]
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(2 * CHUNK, 1 << max(0, n - 1).bit_length()), base, np.uint64)
+        held[0] = 1
+        _POWERS[base] = held = np.multiply.accumulate(held)
+    return held[:n]
 
 
 @dataclass
