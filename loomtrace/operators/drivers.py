@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compat import seeded
@@ -18,9 +18,10 @@ KINDS = ("grounded", "shortcut")
 
 
 def _numbered(samples: DataFrame, seed: int) -> DataFrame:
-    """prompt_id by place in the seeded order; the batch has few rows."""
-    order = Window.orderBy(seeded(seed, F.col("sequence")), "sequence", "family", "genus", "species", "protein_category")
-    return samples.withColumn("prompt_id", F.concat(F.lit("sample_"), F.row_number().over(order) - 1))
+    """prompt_id by place in the seeded order."""
+    order = ["__rnd", "sequence", "family", "genus", "species", "protein_category"]
+    placed = stats.numbered(samples.withColumn("__rnd", seeded(seed, F.col("sequence"))), "__place", *order)
+    return placed.select(*samples.columns, F.concat(F.lit("sample_"), F.col("__place").cast("string")).alias("prompt_id"))
 
 
 def _batch(spark: SparkSession, data_path: str | None, n: int, seed: int, need_truth: bool) -> DataFrame:
@@ -96,7 +97,7 @@ def compare(answers: DataFrame, fitted: dict[str, DataFrame], dataset: DataFrame
     for i, (name, f) in enumerate(fitted.items()):
         truth = [F.col("strength").alias("truth_strength"), F.col("log10_toughness").alias("truth_toughness")] if i == 0 else []
         wide = stats.align(wide, f.select("seq", *truth, F.col("pred_strength").alias(f"{name}_strength"), F.col("pred_log10_toughness").alias(f"{name}_toughness")), "seq")
-    wide = wide.withColumn("length", F.length("seq").cast("double")).withColumn("item", F.row_number().over(Window.orderBy("seq")) - 1)
+    wide = stats.numbered(wide.withColumn("length", F.length("seq").cast("double")), "item", "seq")
     labels = [*KINDS, *fitted, "length"]
     pred = lambda label, t: F.col("length") if label == "length" else F.col(f"{label}_{t}")
     cells = [F.struct(F.lit(label).alias("label"), F.lit(t).alias("target"), pred(label, t).alias("pred"), F.col(f"truth_{t}").alias("truth")) for label in labels for t in TARGETS]

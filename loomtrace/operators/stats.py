@@ -3,56 +3,126 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from hashlib import md5
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.compat import hashed_index
+from ..functions.compat import running_sums
+from ..sources.scratch import written
 
 REPS, LOW, HIGH = 2000, 0.025, 0.975
-GROUP_ROWS, BLOCK_REPS = 1 << 18, 40  # items of a group that one task draws from, and repetitions that it draws at once
+GROUP_ROWS, BLOCKS = 1 << 22, 50  # items of a group that one task draws from; parts that the repetitions are cut into at most
+PRIME = (1 << 31) - 1
 
 
-def average_rank(value: str, *group: str) -> Column:
-    """Ranks from 1; ties get their mean."""
-    per = Window.partitionBy(*group)
-    return F.rank().over(per.orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2.0
+def _same(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
+    """Equal keys, nulls included; keys: names on the left and on the right."""
+    return reduce(Column.__and__, [left[a].eqNullSafe(right[b]) for a, b in keys.items()])
 
 
-def safe_corr(a: Column, b: Column) -> Column:
-    """Pearson; null where one side does not vary."""
+def ranks(counted: DataFrame, values: list[str], *group: str) -> DataFrame:
+    """group, which (a value's place among ``values``), value and rank: average ranks, from 1, of each group's values. counted: with ``n``, how often each row counts.
+
+    Distinct values are dealt by range, so that a large group spreads over all tasks. Their counts are summed within each part, and a part starts where the parts before
+    it end: only those sums, one for each group and part, meet. A null ranks below all numbers, NaN above them.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(v).cast("double").alias("value")) for i, v in enumerate(values)]))
+    long = counted.select(*group, "n", each.alias("x")).select(*group, "n", "x.*").groupBy(*group, "which", "value").agg(F.sum("n").alias("n"))
+    # Written, since another run could draw the ranges' bounds otherwise.
+    ranged = written(long.repartitionByRange(*group, "which", "value").withColumn("part", F.spark_partition_id()))
+    key = [*group, "which"]
+    parts = ranged.groupBy(*key, "part").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("part", "n"))).alias("parts"))
+    before = F.explode(F.zip_with("parts", running_sums(F.col("parts.n")), lambda p, upto: F.struct(p["part"].alias("part"), (upto - p["n"]).alias("before"))))
+    starts = parts.select(*key, before.alias("x")).select(*[F.col(k).alias(f"__{k}") for k in key], F.col("x.part").alias("__part"), "x.before")
+    within = ranged.withColumn("upto", F.sum("n").over(Window.partitionBy(*key, "part").orderBy("value")))
+    placed = within.join(starts, _same(within, starts, {k: f"__{k}" for k in [*key, "part"]}))
+    return placed.select(*key, "value", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """The rows, as a table, with their places (from 0) in the order. Rows are sorted by range, each task its own; a part starts where those before it end."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__place")))
+    parts = rows.groupBy("__part").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("__part", "n"))).alias("p"))  # as many entries as there are tasks
+    starts = parts.select(F.map_from_entries(F.zip_with("p", running_sums(F.col("p.n")), lambda p, upto: F.struct(p["__part"], upto - p["n"]))).alias("__starts"))
+    return rows.crossJoin(F.broadcast(starts)).withColumn(name, F.col("__place") + F.try_element_at("__starts", F.col("__part"))).select(*df.columns, name)  # one row
+
+
+def _counted(df: DataFrame, values: list[str], *group: str) -> DataFrame:
+    """Rows of equal values put together, as a table: ``n`` tells how many they are."""
+    return written(df.select(*group, *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)]).groupBy(*group, *[f"v{i}" for i in range(len(values))]).agg(F.count("*").alias("n")))
+
+
+def _ranked(df: DataFrame, values: list[str], *group: str) -> DataFrame:
+    """group, n and the average ranks r0, r1, ... of each combination of values."""
+    rows = _counted(df, values, *group)
+    every = ranks(rows, [f"v{i}" for i in range(len(values))], *group)
+    for i in range(len(values)):
+        side = every.where(F.col("which") == i).select(*[F.col(g).alias(f"__{g}") for g in group], F.col("value").alias("__value"), F.col("rank").alias(f"r{i}"))
+        rows = rows.join(side, _same(rows, side, {**{g: f"__{g}" for g in group}, f"v{i}": "__value"})).drop(*[f"__{g}" for g in group], "__value")
+    return rows
+
+
+def safe_corr(a: Column, b: Column, n: Column) -> Column:
+    """Pearson of rows that count n times; null where one side does not vary."""
     flat = (F.max(a) <= F.min(a)) | (F.max(b) <= F.min(b))
-    n, sa, sb = F.count("*"), F.sum(a), F.sum(b)
-    top = n * F.sum(a * b) - sa * sb
-    below = F.sqrt(n * F.sum(a * a) - sa * sa) * F.sqrt(n * F.sum(b * b) - sb * sb)
+    all_, sa, sb = F.sum(n), F.sum(n * a), F.sum(n * b)
+    top = all_ * F.sum(n * a * b) - sa * sb
+    below = F.sqrt(all_ * F.sum(n * a * a) - sa * sa) * F.sqrt(all_ * F.sum(n * b * b) - sb * sb)
     return F.when(~flat, F.try_divide(top, below))
 
 
 def spearman(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
-    ranked = df.select(*group, average_rank(x, *group).alias("rx"), average_rank(y, *group).alias("ry"))
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), safe_corr(F.col("rx"), F.col("ry")).alias("rho"))
+    n = F.col("n")
+    return _ranked(df, [x, y], *group).groupBy(*group).agg(F.sum(n).alias("n"), safe_corr(F.col("r0"), F.col("r1"), n).alias("rho"))
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str, *group: str) -> DataFrame:
     """Correlation of the ranks of x and y once the rank of z is regressed out of both."""
-    r = df.select(*group, *[average_rank(c, *group).alias(n) for c, n in ((x, "rx"), (y, "ry"), (z, "rz"))])
-    three = r.groupBy(*group).agg(*[safe_corr(F.col(a), F.col(b)).alias(a[1] + b[1]) for a, b in (("rx", "ry"), ("rx", "rz"), ("ry", "rz"))])
+    r = _ranked(df, [x, y, z], *group)
+    three = r.groupBy(*group).agg(*[safe_corr(F.col(a), F.col(b), F.col("n")).alias(name) for name, a, b in (("xy", "r0", "r1"), ("xz", "r0", "r2"), ("yz", "r1", "r2"))])
     below = F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz")))
     return three.select(*group, F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), below).alias("partial_rho"))
 
 
+def _mixed(x: Column | np.ndarray, first: int, second: int, rep: Column | np.ndarray) -> Column | np.ndarray:
+    """Fifth powers modulo a prime (one to one there), twice."""
+    fifth = lambda h: h * h % PRIME * (h * h % PRIME) % PRIME * h % PRIME
+    return fifth((fifth((x + first) % PRIME) * 48271 + rep + second) % PRIME)
+
+
+def drawn(n: Column | np.ndarray, seed: int, rep: Column | np.ndarray, slot: Column | np.ndarray) -> Column | np.ndarray:
+    """An index from 0 to n - 1 for each repetition and slot, in whole numbers below 2**63 only: the same as a column, in NumPy, and in any SQL."""
+    x = rep % PRIME * 16807 + slot % PRIME * 69621 + seed % PRIME
+    return (_mixed(x, 12345, 7, rep) * PRIME + _mixed(x, 54321, 11, rep)) % n
+
+
+def drawn_sql(n: str, seed: int, rep: str, slot: str) -> str:
+    """``drawn`` as SQL."""
+    fifth = lambda h: f"(({h}) * ({h}) % {PRIME} * (({h}) * ({h}) % {PRIME}) % {PRIME} * ({h}) % {PRIME})"
+    x = f"({rep} % {PRIME} * 16807 + {slot} % {PRIME} * 69621 + {seed % PRIME})"
+    mixed = lambda first, second: fifth(f"({fifth(f'({x} + {first}) % {PRIME}')} * 48271 + {rep} + {second}) % {PRIME}")
+    return f"(({mixed(12345, 7)} * {PRIME} + {mixed(54321, 11)}) % {n})"
+
+
+def _sized(df: DataFrame, *group: str) -> DataFrame:
+    """Adds ``__n``, the number of the group's rows."""
+    sizes = df.groupBy(*group).agg(F.count("*").alias("__n")).select(*[F.col(g).alias(f"__{g}") for g in group], "__n")
+    return df.join(sizes, _same(df, sizes, {g: f"__{g}" for g in group})).drop(*[f"__{g}" for g in group]) if group else df.crossJoin(F.broadcast(sizes))  # one row
+
+
 def resample(df: DataFrame, item: str, group: list[str], reps: int, seed: int) -> DataFrame:
     """Each group's rows drawn with replacement, ``reps`` times over, with a column ``rep``; the same draws for every group of n items.
 
     item: numbers 0 to n - 1 in each group. A draw is an index by hash, so draws are made where they are joined.
     """
-    sized = df.select(*group, item).withColumn("n", F.count("*").over(Window.partitionBy(*group)))
-    draws = sized.select(*group, "n", F.col(item).alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    draws = draws.select(*group, "rep", hashed_index(F.col("n"), F.lit(seed), F.col("rep"), F.col("slot")).alias(item))
-    return draws.join(df.withColumn(item, F.col(item).cast("bigint")), [*group, item])
+    draws = _sized(df.select(*group, item), *group).select(*group, "__n", F.col(item).cast("bigint").alias("slot"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    draws = draws.select(*[F.col(g).alias(f"__{g}") for g in group], "rep", drawn(F.col("__n"), seed, F.col("rep").cast("bigint"), F.col("slot")).alias("__item"))
+    rows = df.withColumn(item, F.col(item).cast("bigint"))
+    return draws.join(rows, _same(rows, draws, {**{g: f"__{g}" for g in group}, item: "__item"})).drop(*[f"__{g}" for g in group], "__item")
 
 
 def interval(each: DataFrame, value: str, *group: str) -> DataFrame:
@@ -60,61 +130,88 @@ def interval(each: DataFrame, value: str, *group: str) -> DataFrame:
     return each.groupBy(*group).agg(F.percentile(value, F.lit(LOW)).alias("ci_low"), F.percentile(value, F.lit(HIGH)).alias("ci_high"), F.count(value).alias("n_reps"))
 
 
-def _drawn_ranks(code: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """Average ranks within each row of picks; code: each item's place among the distinct values."""
-    drawn = code[picks]
-    k = int(code.max()) + 1
-    counts = np.bincount((drawn + np.arange(len(drawn))[:, None] * k).ravel(), minlength=len(drawn) * k).reshape(-1, k)
-    mean = np.cumsum(counts, 1) - (counts - 1) / 2.0
-    return np.take_along_axis(mean, drawn, 1)
+def _weighted(code: np.ndarray, weight: np.ndarray, distinct: int) -> np.ndarray:
+    """Average ranks of items that count ``weight`` times; code: each item's place among the distinct values."""
+    counts = np.bincount(code, weight, distinct)
+    return (np.cumsum(counts) - (counts - 1) / 2.0)[code]
 
 
-def _corr(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pearson by row; NaN where a side does not vary."""
-    n, sa, sb = a.shape[1], a.sum(1), b.sum(1)
-    flat = (a.max(1) <= a.min(1)) | (b.max(1) <= b.min(1))
-    below = np.sqrt(n * (a * a).sum(1) - sa * sa) * np.sqrt(n * (b * b).sum(1) - sb * sb)
-    return np.where(flat, np.nan, (n * (a * b).sum(1) - sa * sb) / np.where(flat, 1.0, below))
+def _corr(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
+    """Pearson of items that count ``weight`` times; NaN where a side does not vary."""
+    some = weight > 0
+    if not some.any() or a[some].max() <= a[some].min() or b[some].max() <= b[some].min():
+        return np.nan
+    n, wa, wb = weight.sum(), weight * a, weight * b
+    sa, sb = wa.sum(), wb.sum()
+    return (n * (wa * b).sum() - sa * sb) / (np.sqrt(n * (wa * a).sum() - sa * sa) * np.sqrt(n * (wb * b).sum() - sb * sb))
+
+
+def _statistic(codes: list[tuple[np.ndarray, int]], seed: int, rep: int) -> float:
+    """Spearman of two values, partial of three, of one repetition: draws become weights of the items."""
+    n = len(codes[0][0])
+    weight = np.bincount(drawn(n, seed, np.int64(rep), np.arange(n, dtype=np.int64)), minlength=n).astype(np.float64)
+    r = [_weighted(code, weight, k) for code, k in codes]
+    rho = _corr(r[0], r[1], weight)
+    if len(r) == 3:
+        xz, yz = _corr(r[0], r[2], weight), _corr(r[1], r[2], weight)
+        below = np.sqrt((1 - xz * xz) * (1 - yz * yz))
+        return (rho - xz * yz) / below if below > 0 else np.nan
+    return rho
 
 
 def _reps_of_small(df: DataFrame, values: list[str], item: str, group: list[str], reps: int, seed: int) -> DataFrame:
-    """group, rep and the statistic: Spearman of two values, partial of three. A group is a row of arrays, ``GROUP_ROWS`` items at most; a task draws
-    ``BLOCK_REPS`` repetitions for all groups that it gets, so each index is drawn once."""
-    own = F.array_sort(F.collect_list(F.struct(item, *values)))
-    rows = df.groupBy(*group).agg(own.alias("__items")).select(*group, *[F.col(f"__items.{v}").alias(f"__{v}") for v in values])
-    blocks = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // BLOCK_REPS)))).repartition("__block").sortWithinPartitions("__block")
+    """group, rep and the statistic. A task gets a group's items, ``GROUP_ROWS`` at most, for a share of the repetitions; it turns values into places among the distinct ones
+    once, and each repetition into weights."""
+    spark = df.sparkSession
+    blocks = min(BLOCKS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), reps)
+    dealt = df.select(*group, F.col(item).cast("bigint").alias("__item"), *values).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(*group, "__block").sortWithinPartitions(*group, "__block", "__item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, np.ndarray] = (-1, np.empty((0, 0), np.int64))
+        held: list[pa.RecordBatch] = []
+        key: tuple | None = None
+
+        def out() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held)
+            codes = []
+            for v in values:
+                distinct, code = np.unique(whole.column(v).to_numpy(), return_inverse=True)
+                codes.append((code, len(distinct)))
+            own = np.arange(key[-1], reps, blocks)
+            found = np.array([_statistic(codes, seed, int(rep)) for rep in own])
+            keys = [pa.array([key[i]] * len(own), whole.schema.field(g).type) for i, g in enumerate(group)]
+            return pa.RecordBatch.from_arrays([*keys, pa.array(own, pa.int64()), pa.array(found, pa.float64(), from_pandas=True)], names=[*group, "rep", "value"])
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                block = batch.column("__block")[i].as_py()
-                cols = [np.asarray(batch.column(f"__{v}")[i].values, np.float64) for v in values]
-                first, n = block * BLOCK_REPS, len(cols[0])
-                some = range(first, min(reps, first + BLOCK_REPS))
-                if held[0] != block or held[1].shape[1] < n:
-                    words = [[int(md5(f"{seed}:{rep}:{slot}".encode()).hexdigest()[:8], 16) for slot in range(n)] for rep in some]
-                    held = block, np.array(words, np.int64)
-                picks = held[1][:, :n] % n
-                ranks = [_drawn_ranks(np.unique(c, return_inverse=True)[1], picks) for c in cols]
-                rho = _corr(ranks[0], ranks[1])
-                if len(ranks) == 3:
-                    xz, yz = _corr(ranks[0], ranks[2]), _corr(ranks[1], ranks[2])
-                    below = np.sqrt((1 - xz * xz) * (1 - yz * yz))
-                    rho = np.where(below > 0, (rho - xz * yz) / np.where(below > 0, below, 1.0), np.nan)
-                keys = [batch.column(g).take(pa.array([i] * len(rho))) for g in group]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.array(some)), pa.array(rho, from_pandas=True)], names=[*group, "rep", "value"])
+            if not batch.num_rows:
+                continue
+            names = [*group, "__block"]
+            changed = np.zeros(batch.num_rows, bool)
+            for name in names:
+                c = batch.column(name)
+                changed[1:] |= ~np.array([a == b for a, b in zip(c[1:].to_pylist(), c[:-1].to_pylist(), strict=True)], bool)
+            edges = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                now = tuple(batch.column(name)[a].as_py() for name in names)
+                if now != key and held:
+                    yield out()
+                    held = []
+                key = now
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield out()
 
     fields = ", ".join([*(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group), "rep long, value double"])
-    return blocks.mapInArrow(run, fields)
+    return dealt.mapInArrow(run, fields)
 
 
 def _bootstrap(df: DataFrame, values: list[str], item: str, group: list[str], reps: int, seed: int, by_rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Groups of at most ``GROUP_ROWS`` items in arrays, larger ones by rows that Spark deals; both draw the same."""
-    sized = df.withColumn("__n", F.count("*").over(Window.partitionBy(*group)))
-    small = _reps_of_small(sized.where(f"__n <= {GROUP_ROWS}"), values, item, group, reps, seed)
-    large = by_rows(resample(sized.where(f"__n > {GROUP_ROWS}").drop("__n"), item, group, reps, seed))
-    return interval(small.unionByName(large.select(*group, F.col("rep").cast("long").alias("rep"), "value")), "value", *group)
+    """Groups of at most ``GROUP_ROWS`` items in one task for a share of the repetitions, larger ones by rows that Spark deals; both draw the same."""
+    sized = _sized(df, *group)
+    each = _reps_of_small(sized.where(f"__n <= {GROUP_ROWS}"), values, item, group, reps, seed)
+    if sized.where(f"__n > {GROUP_ROWS}").take(1):
+        large = by_rows(resample(sized.where(f"__n > {GROUP_ROWS}").drop("__n"), item, group, reps, seed))
+        each = each.unionByName(large.select(*group, F.col("rep").cast("long").alias("rep"), "value"))
+    return interval(each, "value", *group)
 
 
 def bootstrap_spearman(df: DataFrame, x: str, y: str, item: str, *group: str, reps: int = REPS, seed: int = 0) -> DataFrame:

@@ -95,7 +95,7 @@ ORACLES = {
     "partial_spearman": f"""WITH p AS (SELECT p_brand, p_size AS x, p_retailprice AS y, p_partkey % 101 AS z FROM part), r AS (SELECT p_brand, {_rank('x', 'p_brand')} AS x, {_rank('y', 'p_brand')} AS y, {_rank('z', 'p_brand')} AS z FROM p),
 c AS (SELECT p_brand, {_rho('x', 'y')} AS xy, {_rho('x', 'z')} AS xz, {_rho('y', 'z')} AS yz FROM r GROUP BY p_brand) SELECT p_brand, {_r('(xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz))', 6)} AS partial_rho FROM c""",
     "bootstrap_ci": f"""WITH p AS (SELECT p_brand, p_size::DOUBLE AS vx, p_retailprice AS vy, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS item, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
-d AS (SELECT p_brand, rep, ('0x' || substr(md5(concat('0:', rep, ':', item)), 1, 8))::BIGINT % n AS pick FROM p, range(0, {REPS}) g(rep)), v AS (SELECT d.p_brand, d.rep, p.vx, p.vy FROM d JOIN p ON p.p_brand = d.p_brand AND p.item = d.pick),
+d AS (SELECT p_brand, rep, {stats.drawn_sql('n', 0, 'rep', 'item')} AS pick FROM p, range(0, {REPS}) g(rep)), v AS (SELECT d.p_brand, d.rep, p.vx, p.vy FROM d JOIN p ON p.p_brand = d.p_brand AND p.item = d.pick),
 r AS (SELECT p_brand, rep, {_rank('vx', 'p_brand, rep')} AS x, {_rank('vy', 'p_brand, rep')} AS y FROM v), c AS (SELECT p_brand, rep, {_rho('x', 'y')} AS rho FROM r GROUP BY 1, 2)
 SELECT p_brand, {_r('quantile_cont(rho, 0.025)', 6)} AS ci_low, {_r('quantile_cont(rho, 0.975)', 6)} AS ci_high, count(rho) AS n_reps FROM c GROUP BY 1""",
     "metric_matrix": f"""WITH w AS (SELECT l_orderkey, avg(l_quantity) AS mean_quantity, count(*)::DOUBLE AS n_lines, max(l_extendedprice) AS max_price, min(l_discount) AS min_discount FROM lineitem GROUP BY 1),
