@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence
+from ..functions.compat import let
 from ..functions.text import claims
 
 TOLERANCE, RELATIVE = 0.02, 0.03
@@ -34,15 +35,28 @@ def normalise(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"(?U)[-_\s]+", "")
 
 
+#: The fields of each tool's struct, in order, and what they hold.
+FIELDS = {
+    "motif_detector": [("motifs", "list"), ("spans", "motif_spans"), ("sequence_length", "number")],
+    "hydropathy_profile": [("mean_hydropathy", "number"), ("window_size", "number"), ("most_hydrophobic_span", "span"), ("most_hydrophilic_span", "span"), ("max_window_value", "number"), ("min_window_value", "number")],
+    "charge_profile": [("positive_residues", "number"), ("negative_residues", "number"), ("net_charge", "number"), ("mean_net_charge_per_residue", "number")],
+    "beta_sheet_propensity": [("mean_alpha_propensity", "number"), ("mean_beta_propensity", "number"), ("mean_turn_propensity", "number"), ("beta_rich_spans", "spans"), ("beta_threshold", "number")],
+    "repeat_pattern_analyzer": [("dominant_period", "number"), ("repeat_score", "number"), ("example_repeat_unit", "text")],
+    "disorder_prediction_chplot": [("mean_charge", "number"), ("mean_hydropathy_normalized", "number"), ("boundary_value", "number"), ("predicted_disordered", "flag")],
+}
+
+
 def tool_outputs() -> Column:
     """The six tools' structs of ``sequence.with_tools`` as ``tools``."""
     span = lambda c: F.transform(F.filter(F.array(c), lambda s: s.isNotNull()), lambda s: s)
     ends = lambda spans: F.flatten(F.transform(spans, lambda s: F.array(s["lo"].cast("double"), s["hi"].cast("double"))))
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(" ", s["lo"], s["hi"])), " ")
 
     def tool(name: str, leaves: list[tuple[str, str]]) -> Column:
-        numbers, ranges, texts, keys = [], [], [], [F.array(*[F.lit(k) for k, _ in leaves])]
+        numbers, ranges, texts, keys = [], [], [], []
         for key, kind in leaves:
             c = F.col(name)[key]
+            keys.append(F.array(F.lit(key)))
             if kind == "number":
                 numbers.append(F.filter(F.array(c.cast("double")), lambda x: x.isNotNull()))
                 texts.append(F.coalesce(c.cast("string"), F.lit("None")))
@@ -50,13 +64,13 @@ def tool_outputs() -> Column:
                 list_ = span(c) if kind == "span" else c
                 numbers.append(ends(list_))
                 ranges.append(list_)
-                texts.append(F.when(F.size(list_) > 0, F.concat_ws(" ", ends(list_).cast("array<string>"))).otherwise("None" if kind == "span" else ""))
+                texts.append(F.when(F.size(list_) > 0, said(list_)).otherwise("None" if kind == "span" else ""))
             elif kind == "motif_spans":
                 flat = F.flatten(F.map_values(c))
                 numbers.append(ends(flat))
                 ranges.append(flat)
                 keys.append(F.map_keys(c))
-                texts.append(F.concat_ws(" ", ends(flat).cast("array<string>")))
+                texts.append(said(flat))
             elif kind == "list":
                 texts.append(F.concat_ws(" ", c))
             elif kind == "flag":
@@ -68,14 +82,60 @@ def tool_outputs() -> Column:
             normalise(F.concat_ws(" ", *texts)).alias("text"), F.transform(F.concat(*keys), normalise).alias("keys"),
         )
 
-    return F.array(
-        tool("motif_detector", [("motifs", "list"), ("spans", "motif_spans"), ("sequence_length", "number")]),
-        tool("hydropathy_profile", [("mean_hydropathy", "number"), ("window_size", "number"), ("most_hydrophobic_span", "span"), ("most_hydrophilic_span", "span"), ("max_window_value", "number"), ("min_window_value", "number")]),
-        tool("charge_profile", [("positive_residues", "number"), ("negative_residues", "number"), ("net_charge", "number"), ("mean_net_charge_per_residue", "number")]),
-        tool("beta_sheet_propensity", [("mean_alpha_propensity", "number"), ("mean_beta_propensity", "number"), ("mean_turn_propensity", "number"), ("beta_rich_spans", "spans"), ("beta_threshold", "number")]),
-        tool("repeat_pattern_analyzer", [("dominant_period", "number"), ("repeat_score", "number"), ("example_repeat_unit", "text")]),
-        tool("disorder_prediction_chplot", [("mean_charge", "number"), ("mean_hydropathy_normalized", "number"), ("boundary_value", "number"), ("predicted_disordered", "flag")]),
-    )
+    return F.array(*[tool(name, leaves) for name, leaves in FIELDS.items()])
+
+
+def output_json(name: str) -> Column:
+    """A tool's struct as JSON: its fields in order, nulls included, spans as lists of two numbers."""
+    pair = lambda s: F.when(s.isNotNull(), F.array(s["lo"], s["hi"]))
+    kinds = {"span": pair, "spans": lambda c: F.transform(c, pair), "motif_spans": lambda c: F.transform_values(c, lambda _, v: F.transform(v, pair))}
+    return F.to_json(F.struct(*[kinds.get(kind, lambda c: c)(F.col(name)[key]).alias(key) for key, kind in FIELDS[name]]), {"ignoreNullFields": "false"})
+
+
+_ITEM = "struct<kind:string,t:string,v:variant,num:double,lo:int,hi:int>"
+_NUMBER = "^(BIGINT|INT|DECIMAL|DOUBLE|FLOAT)"
+
+
+def _item(kind: str, **fields: Column) -> Column:
+    types = {"t": "string", "v": "variant", "num": "double", "lo": "int", "hi": "int"}
+    return F.struct(F.lit(kind).alias("kind"), *[fields.get(f, F.lit(None)).cast(t).alias(f) for f, t in types.items()])
+
+
+def _opened(x: Column) -> Column:
+    """What stands for a value: an object's keys and values in order, a list's values (behind a range, where it is two numbers), or a leaf."""
+    fields, entries = F.try_variant_get(x["v"], "$", "map<string,variant>"), F.map_entries(F.from_json(x["t"], "map<string,string>"))
+    listed, texts = F.try_variant_get(x["v"], "$", "array<variant>"), F.from_json(x["t"], "array<string>")
+    kind = F.schema_of_variant(x["v"])
+    of_object = F.flatten(F.transform(entries, lambda e: F.array(_item("key", t=e["key"]), _item("value", t=e["value"], v=F.try_element_at(fields, e["key"])))))
+    of_list = F.zip_with(texts, listed, lambda t, v: _item("value", t=t, v=v))
+    whole = lambda v: F.coalesce(F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "boolean").cast("double")).try_cast("int")
+    two = (F.size(listed) == 2) & F.forall(listed, lambda v: F.schema_of_variant(v).rlike(_NUMBER + "|^BOOLEAN"))
+    range_ = F.when(two, F.array(_item("range", lo=whole(listed[0]), hi=whole(listed[1])))).otherwise(F.array().cast(f"array<{_ITEM}>"))
+    text = F.when(kind == "STRING", F.try_variant_get(x["v"], "$", "string")).when(kind == "BOOLEAN", F.initcap(F.try_variant_get(x["v"], "$", "string"))).when(kind == "VOID", "None").otherwise(x["t"])
+    leaf = F.array(_item("leaf", t=text, num=F.when(kind.rlike(_NUMBER), F.try_variant_get(x["v"], "$", "double"))))
+    return F.when(x["kind"] != "value", F.array(x)).when(fields.isNotNull(), of_object).when(listed.isNotNull(), F.concat(range_, of_list)).otherwise(leaf)
+
+
+def facts(name: Column, output: Column, depth: int = 8) -> Column:
+    """A tool's output, any JSON, as an entry of ``tools``.
+
+    Values are opened level by level, each in its place, so leaves stay in order: keys as the text has them, depth first. Numbers, booleans and null as leaves read as
+    in the text, "True" or "False", and "None"; any list of just two numbers is a range. What is no JSON has no leaves; deeper nesting than ``depth`` raises.
+    """
+    parsed = F.try_parse_json(output)
+    items = F.when(parsed.isNotNull(), F.array(_item("value", t=output, v=parsed))).otherwise(F.array().cast(f"array<{_ITEM}>"))
+    for _ in range(depth):
+        items = F.flatten(F.transform(items, _opened))
+
+    def of(found: Column) -> Column:
+        only = lambda kind: F.filter(found, lambda x: x["kind"] == kind)
+        deep = F.when(F.exists(found, lambda x: x["kind"] == "value"), F.raise_error(F.lit(f"a tool's output is nested deeper than {depth}")))
+        numbers = F.filter(F.transform(only("leaf"), lambda x: x["num"]), lambda v: v.isNotNull())
+        ranges = F.filter(F.transform(only("range"), lambda x: F.struct(x["lo"].alias("lo"), x["hi"].alias("hi"))), lambda r: r["lo"].isNotNull() & r["hi"].isNotNull())
+        text = normalise(F.array_join(F.transform(only("leaf"), lambda x: x["t"]), " "))
+        return F.struct(F.coalesce(deep.cast("string"), name).alias("name"), numbers.alias("numbers"), ranges.alias("ranges"), text.alias("text"), F.transform(only("key"), lambda x: normalise(x["t"])).alias("keys"))
+
+    return let(items, of)
 
 
 def _closest(numbers: Column, value: Column, tolerance: float) -> Column:

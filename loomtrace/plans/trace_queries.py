@@ -9,7 +9,13 @@ from ..functions import sequence
 from ..functions.compat import py_round
 from ..functions.text import answer, coherence, confidence, steps, tagged
 from ..operators import grounding, rewards, traces
-from . import bridge
+from ..sources.scratch import written
+from . import bridge, sequence_queries
+
+
+#: What ``ground_tools`` claims: values of tools, times a factor by id.
+CLAIMED = [("hydropathy_profile", "mean_hydropathy"), ("beta_sheet_propensity", "mean_beta_propensity"), ("disorder_prediction_chplot", "boundary_value"), ("repeat_pattern_analyzer", "repeat_score"), ("motif_detector", "sequence_length"), ("charge_profile", "positive_residues")]
+OFF = [1.0, 1.029, 1.031, 0.5]
 
 
 def _claims(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -130,6 +136,21 @@ def validation_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.passed_fraction(sequence.validate(spark))
 
 
+def ground_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims made from the tools' own values, some off by 2.9 or 3.1 % or by half, and spans moved by up to four residues, against the tools' outputs as nested JSON."""
+    rows = sequence.with_tools(bridge.silk(spark, sf_dir), "seq")
+    off = F.element_at(F.array(*[F.lit(x) for x in OFF]), (F.pmod("id", F.lit(4)) + 1).cast("int"))
+    said = lambda tool, field: F.call_function("format_number", F.col(tool)[field].cast("double") * off, F.lit("0.0000"))
+    numbers = F.concat(*[x for tool, field in CLAIMED for x in (F.lit(f"The {field.replace('_', ' ')} is "), said(tool, field), F.lit(". "))])
+    span, by = F.col("hydropathy_profile")["most_hydrophobic_span"], (F.pmod("id", F.lit(3)) * 2).cast("int")
+    where = F.when(span["hi"] + by < 10000, F.concat(F.lit("So residues "), (span["lo"] + by).cast("string"), F.lit("-"), (span["hi"] + by).cast("string"), F.lit(" fold."))).otherwise("")
+    body = F.concat(numbers, F.coalesce(where, F.lit("")), F.lit(" It has a poly-alanine run and an amorphous region."))
+    called = written(rows.select("id", body.alias("body"), F.array(*[F.struct(F.lit(n).alias("name"), grounding.output_json(n).alias("output")) for n in sequence.TOOLS]).alias("outputs")))
+    opened = called.select("id", "body", F.transform("outputs", lambda o: grounding.facts(o["name"], o["output"])).alias("tools"))
+    claims = grounding.ground(grounding.explode_claims(opened, "body")).where("kind <> 'numeric' or raw like '%.%'")
+    return claims.select("id", "kind", "claim_ord", "grounded", "evidence_tool", py_round(F.col("diff"), 4).alias("diff"))
+
+
 def interleaved_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces of a reasoning step before, between and after two tool calls: each step knows only the tools before it."""
     rows = bridge.facts(spark, sf_dir)
@@ -189,7 +210,28 @@ err AS (SELECT *, CASE WHEN strength IS NOT NULL AND toughness IS NOT NULL THEN
   FROM (SELECT *, CASE WHEN abs(strength - truth_strength) <= 0.15::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r FROM ans)),
 rew AS (SELECT *, coalesce(greatest(0.0::DOUBLE, 1.0::DOUBLE - mae), 0.0::DOUBLE) AS outcome FROM err)"""
 
+_O = sequence_queries.ORACLES
+_TOOL_FACTS = f"""WITH m AS ({_O["seq_motif_spans"]}), h AS ({_O["seq_hydropathy"]}), q AS ({_O["seq_charge"]}), b AS ({_O["seq_propensity"]}), bs AS ({_O["seq_beta_spans"]}), p AS ({_O["seq_period"]}), d AS ({_O["seq_disorder"]}),
+{bridge.SILK.strip()}, ranges AS (SELECT id, 1 AS tool, lo, hi FROM m UNION ALL SELECT id, 4, lo, hi FROM bs
+  UNION ALL SELECT id, 2, split_part(s, '-', 1)::INT, split_part(s, '-', 2)::INT FROM (SELECT id, unnest([most_hydrophobic_span, most_hydrophilic_span]) AS s FROM h) WHERE s IS NOT NULL),
+leaves AS (SELECT id, tool, unnest([lo, hi])::DOUBLE AS v FROM ranges UNION ALL SELECT id, 1, length(seq) FROM silk UNION ALL SELECT id, 2, unnest([mean_hydropathy, window_size, max_window_value, min_window_value]) FROM h
+  UNION ALL SELECT id, 3, unnest([positive_residues, negative_residues, net_charge, mean_net_charge_per_residue]) FROM q UNION ALL SELECT id, 4, unnest([mean_alpha_propensity, mean_beta_propensity, mean_turn_propensity, 1.05::DOUBLE]) FROM b
+  UNION ALL SELECT id, 5, unnest([dominant_period, repeat_score]) FROM p UNION ALL SELECT id, 6, unnest([mean_charge, mean_hydropathy_normalized, boundary_value]) FROM d),
+value AS (SELECT silk.id, length(seq) AS n, [1.0::DOUBLE, 1.029::DOUBLE, 1.031::DOUBLE, 0.5::DOUBLE][((silk.id % 4 + 4) % 4 + 1)::INT] AS off, [mean_hydropathy, mean_beta_propensity, boundary_value, repeat_score, length(seq)::DOUBLE, positive_residues::DOUBLE] AS v
+  FROM silk JOIN h USING (id) JOIN b USING (id) JOIN d USING (id) JOIN p USING (id) JOIN q USING (id)),
+num AS (SELECT id, unnest(range(6)) AS i, printf('%.4f', unnest(v) * off)::DOUBLE AS num FROM value),
+hit AS (SELECT num.id, i, tool, min(abs(v - num)) AS diff FROM num JOIN leaves USING (id) WHERE abs(v - num) <= greatest(0.02::DOUBLE, abs(v) * 0.03::DOUBLE) GROUP BY ALL),
+best AS (SELECT id, i, arg_max(tool, tool) AS tool, arg_max(diff, tool) AS diff FROM hit GROUP BY ALL),
+pos AS (SELECT id, lo + (id % 3 + 3) % 3 * 2 AS lo, hi + (id % 3 + 3) % 3 * 2 AS hi FROM (SELECT id, split_part(most_hydrophobic_span, '-', 1)::INT AS lo, split_part(most_hydrophobic_span, '-', 2)::INT AS hi FROM h WHERE most_hydrophobic_span IS NOT NULL)),
+inside AS (SELECT pos.id, max(tool) AS tool FROM pos LEFT JOIN ranges r ON r.id = pos.id AND pos.lo BETWEEN r.lo AND r.hi AND pos.hi BETWEEN r.lo AND r.hi WHERE pos.hi < 10000 GROUP BY pos.id),
+named AS (SELECT silk.id, count(*) FILTER (motif = 'poly_alanine') > 0 AS ala, count(*) FILTER (motif IN ('glycine_rich_spacer', 'GGX_repeat', 'GPGXX_repeat')) > 0 AS loose FROM silk LEFT JOIN m USING (id) GROUP BY silk.id),
+tool(tool, name) AS (VALUES (1, 'motif_detector'), (2, 'hydropathy_profile'), (3, 'charge_profile'), (4, 'beta_sheet_propensity'), (5, 'repeat_pattern_analyzer'), (6, 'disorder_prediction_chplot'))"""
 ORACLES = {
+    "ground_tools": f"""{_TOOL_FACTS}, g AS (SELECT num.id, 'numeric' AS kind, num.i AS o, best.tool, best.diff FROM num LEFT JOIN best USING (id, i) UNION ALL SELECT id, 'position', 6, tool, NULL FROM inside
+  UNION ALL SELECT id, 'motif', 7, CASE WHEN ala THEN 1 END, NULL FROM named UNION ALL SELECT id, 'motif', 8, CASE WHEN loose THEN 1 END, NULL FROM named),
+-- Ends of three digits and more are numbers too: the first of the position's two, behind the six.
+o AS (SELECT g.id, kind, tool, diff, CASE WHEN kind = 'numeric' THEN o ELSE 6 + CASE WHEN coalesce(pos.lo >= 100 AND pos.hi < 10000, false) THEN 1 ELSE 0 END + row_number() OVER (PARTITION BY g.id, kind = 'numeric' ORDER BY o) - 1 END AS claim_ord FROM g LEFT JOIN pos USING (id))
+SELECT id, kind, claim_ord::INT AS claim_ord, tool.tool IS NOT NULL AS grounded, name AS evidence_tool, {_r('diff')} AS diff FROM o LEFT JOIN tool USING (tool)""",
     "seq_validation": """SELECT * FROM (VALUES ('masp_like', 'poly_alanine detected', true), ('masp_like', 'GGX_repeat detected', true), ('masp_like', 'repeat period detected', true),
 ('masp_like', 'report: motif and propensity differ on poly_alanine', true), ('pysp', 'proline_rich_turn detected', true), ('pysp', 'poly_alanine absent', true), ('pysp', 'more proline than masp_like', true),
 ('pysp', 'report: turn propensity and proline content may differ', true)) v(sequence_name, "check", passed)""",
@@ -240,5 +282,5 @@ SELECT id, {_r('outcome * 0.4::DOUBLE + coherence * 0.15::DOUBLE + grounding_sco
 }
 QUERIES = [
     claims_numeric, claims_position, claims_motif, claim_roles, ground_numeric, ground_position, ground_motif, trace_report, batch_audit, audit_kinds, worst_traces, trace_assemble,
-    reasoning_steps, answer_parse, outcome_reward, expressed_confidence, calibration_reward, calibration_grouped, staged_reward, staged_reward_judged, seq_validation, validation_passed, interleaved_trace, mock_pilot, prompt_build,
+    reasoning_steps, answer_parse, outcome_reward, expressed_confidence, calibration_reward, calibration_grouped, staged_reward, staged_reward_judged, seq_validation, validation_passed, ground_tools, interleaved_trace, mock_pilot, prompt_build,
 ]

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomtrace.functions import text as T
+from loomtrace.functions.sequence import TOOLS as TOOL_NAMES
 from loomtrace.functions.sequence import with_tools
 from loomtrace.operators import grounding, pairs, rewards, stats, traces
 from loomtrace.sources import completions, datasets, sinks
@@ -48,18 +49,50 @@ def test_motif_claims_and_roles(spark):
     assert [(x["term"], x["role"]) for x in of(b, "motif")] == [("beta-sheet", "contrastive"), ("random coil", "direct")]
 
 
-MARKER = re.compile(r"(?m)^(\s*)(\d{1,2})(\.)(\s)")
+def blanked(text):
+    """A number of one or two digits and its dot, alone between a line's leading white space and more of it, give way to spaces."""
+    out = list(text)
+    for start in [0, *(i + 1 for i, c in enumerate(text) if c == "\n")]:
+        first = start
+        while first < len(text) and text[first].isspace():
+            first += 1
+        last = first
+        while last < len(text) and text[last].isdigit():
+            last += 1
+        if 1 <= last - first <= 2 and text[last : last + 1] == "." and text[last + 1 : last + 2].isspace():
+            out[first : last + 1] = " " * (last + 1 - first)
+    return "".join(out)
+
+
+def numbers_in(text):
+    """Signed decimals that don't begin behind a digit or a hyphen, with the unit behind them."""
+    i = 0
+    while i < len(text):
+        start = i + 1 if text[i] == "-" and text[i + 1 : i + 2].isdigit() else i
+        if not text[start].isdigit() or i and (text[i - 1].isdigit() or text[i - 1] == "-"):
+            i += 1
+            continue
+        end = start
+        while end < len(text) and text[end].isdigit():
+            end += 1
+        end += text[end : end + 1] == "."
+        while end < len(text) and text[end].isdigit():
+            end += 1
+        rest = text[end:].lstrip()
+        unit = next((u for u in ("%", "percent", "kcal/mol", "kcal") if rest.startswith(u)), "")
+        if unit or "." in text[i:end] or end - i > 2:
+            yield float(text[i:end])
+        i = end
 
 
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text(alphabet="1. \na-9", max_size=25), min_size=8, max_size=8))
 def test_claims_reproduce_the_text(spark, texts):
     for t, found in zip(texts, claims(spark, *texts), strict=True):
-        masked = MARKER.sub(lambda m: m[1] + " " * (len(m[2]) + 1) + m[4], t)
+        masked = blanked(t)
         for c in found:
             assert masked[c["start"] : c["end"]].strip() == c["raw"].strip()
-        numbers = [m for m in re.finditer(r"(?<![\d-])(-?\d+\.?\d*)\s*(%|percent|kcal(?:/mol)?)?", masked) if m[2] or "." in m[1] or len(m[1]) > 2]
-        assert [c["num"] for c in of(found, "numeric")] == [float(m[1]) for m in numbers]
+        assert [c["num"] for c in of(found, "numeric")] == list(numbers_in(masked))
 
 
 TOOLS = "array<struct<name:string,numbers:array<double>,ranges:array<struct<lo:int,hi:int>>,text:string,keys:array<string>>>"
@@ -85,6 +118,51 @@ def test_tolerance_scales_with_the_tool(spark):
     assert not grounded(spark, "0.5", [])[0]["grounded"]
 
 
+def leaves(x):
+    """A plain walk: leaves, keys, and lists of two numbers."""
+    if isinstance(x, dict):
+        parts = [leaves(v) for v in x.values()]
+        return sum((p[0] for p in parts), []), [k for key, p in zip(x, parts, strict=True) for k in (key, *p[1])], sum((p[2] for p in parts), [])
+    if isinstance(x, list):
+        parts = [leaves(v) for v in x]
+        own = [(int(x[0]), int(x[1]))] if len(x) == 2 and all(isinstance(v, int | float) for v in x) else []
+        return sum((p[0] for p in parts), []), sum((p[1] for p in parts), []), own + sum((p[2] for p in parts), [])
+    return [x], [], []
+
+
+def plain_facts(text):
+    try:
+        found, keys, ranges = leaves(json.loads(text))
+    except (TypeError, ValueError):
+        return [], [], "", []
+    flat = lambda t: re.sub(r"[-_\s]+", "", t.lower())
+    return [float(v) for v in found if isinstance(v, int | float) and not isinstance(v, bool)], ranges, flat(" ".join(str(v) for v in found)), [flat(k) for k in keys]
+
+
+VALUES = st.recursive(st.none() | st.booleans() | st.integers(-999, 999) | st.sampled_from([0.5, -2.25, 17.125]) | st.text(alphabet="aB-_ 1{[\"", max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(alphabet="Kk_-z", max_size=3), x, max_size=3), max_leaves=8)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(VALUES, min_size=12, max_size=12))
+def test_facts_of_any_output(spark, values):
+    texts = [json.dumps(v) for v in values] + [None, "oops", '{"b": 1, "a": {"d": [1, 2], "c": [[3, 4.9], [5, "6"], [true, 2]]}}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", grounding.facts(F.lit("x"), F.col("t"), 12).alias("f")).orderBy("i").collect()
+    for t, r in zip(texts, rows, strict=True):
+        f = r["f"]
+        assert (f["numbers"], [tuple(x) for x in f["ranges"]], f["text"], f["keys"]) == plain_facts(t), t
+
+
+def test_facts_of_the_six_tools(spark):
+    """The walk of their JSON, and what is put together from their fields."""
+    seqs = ["", "A", "GGAGQGGYGGLGSQGAGAAAAAAAAGPGQQGPGGYGPG", "PAPAPAPPAPKRDE" * 3, "VVVVVVIIIIII", "ACD" * 40]
+    rows = with_tools(spark.createDataFrame([(s,) for s in seqs], "s string"), "s").select(grounding.tool_outputs().alias("a"), F.array(*[F.struct(F.lit(n).alias("name"), grounding.output_json(n).alias("output")) for n in TOOL_NAMES]).alias("b")).collect()
+    opened = spark.createDataFrame([(i, r["b"]) for i, r in enumerate(rows)], "i int, b array<struct<name:string,output:string>>").select("i", F.transform("b", lambda o: grounding.facts(o["name"], o["output"])).alias("b")).orderBy("i").collect()
+    for a, b in zip(rows, opened, strict=True):
+        assert a["a"] == b["b"]
+    with pytest.raises(Exception, match="nested deeper"):
+        spark.range(1).select(grounding.facts(F.lit("x"), F.lit("[[[1]]]"), 2)).collect()
+
+
 def test_mock_completion_is_caught(spark):
     samples = spark.createDataFrame([("p", "GGAGQGGYGGLGSQGAG", "f", "g", "s", "c")], "id string, sequence string, family string, genus string, species string, protein_category string")
     out = traces.pilot_batch(samples, "id")
