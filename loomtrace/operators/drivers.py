@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.compat import seeded
 from ..functions.sequence import with_tools
 from ..sources import completions, datasets, sinks
+from ..sources.scratch import written
 from . import grounding, pairs, stats, traces
 
 TARGETS = ("strength", "toughness")
@@ -71,8 +72,9 @@ def run_pairs(
         prior = sinks.read_pool(spark, resume_from, "pool")[0]
         slots, kept = completions.resume(slots, prior, prior.where("error is not null"))
     # What the model said is written before it is scored, so that no later failure asks again.
-    traces.answered(slots, call, pause).write.mode("overwrite").parquet(f"{output}/completions")
-    pool = traces.score(spark.read.parquet(f"{output}/completions"), correctness_tolerance)
+    tools = traces.tool_table(slots)
+    done = written(traces.answered(slots, tools, call, pause), f"{output}/completions")
+    pool = traces.score(done, tools, correctness_tolerance)
     pool = pool.unionByName(kept) if kept is not None else pool
     pool.write.mode("overwrite").parquet(f"{output}/pool")
     pool = spark.read.parquet(f"{output}/pool")

@@ -26,16 +26,34 @@ def _header() -> Column:
     return F.concat(F.lit(SYSTEM + "\n\nSequence: "), "sequence", F.lit("\nMetadata: "), about)
 
 
-def prompt(tools: bool) -> Column:
-    """The prompt of a sample, with or without the tools' outputs."""
-    if not tools:
-        return _header()
-    return F.concat(_header(), F.lit("\nTool outputs: "), F.to_json(F.struct(*sequence.TOOLS)))
+def tools_json() -> Column:
+    """The six tools' outputs as one JSON object, by name in order of calls."""
+    return F.concat(*[x for i, n in enumerate(sequence.TOOLS) for x in (F.lit(f'{", " if i else "{"}"{n}": '), grounding.output_json(n))], F.lit("}"))
+
+
+def tool_table(samples: DataFrame, path: str | None = None) -> DataFrame:
+    """seq_key, outputs (JSON) and tools (as ``grounding`` takes them) of each distinct sequence, as a table: the tools run once for each, whatever reads them."""
+    keyed = samples.select(sequence_key().alias("seq_key"), "sequence").dropDuplicates(["seq_key"])
+    return written(sequence.with_tools(keyed, "sequence").select("seq_key", tools_json().alias("outputs"), grounding.tool_outputs().alias("tools")), path)
+
+
+def sequence_key() -> Column:
+    return F.sha2(F.col("sequence").cast("binary"), 256)
+
+
+def with_outputs(rows: DataFrame, tools: DataFrame, *columns: str) -> DataFrame:
+    """Rows with columns of the ``tool_table`` of their sequence."""
+    return rows.withColumn("seq_key", sequence_key()).join(tools.select("seq_key", *columns), "seq_key").drop("seq_key")
+
+
+def prompt(outputs: Column | None) -> Column:
+    """The prompt of a sample, with the tools' outputs as JSON or without any."""
+    return _header() if outputs is None else F.concat(_header(), F.lit("\nTool outputs: "), outputs)
 
 
 def tool_steps() -> Column:
     """The six calls as steps; the input tells the raw length."""
-    return F.array(*[F.struct(F.lit("tool_call").alias("step_type"), F.lit(n).alias("tool_name"), F.length("sequence").alias("sequence_length"), F.to_json(n).alias("tool_output"), F.lit(None).cast("string").alias("text")) for n in sequence.TOOLS])
+    return F.array(*[F.struct(F.lit("tool_call").alias("step_type"), F.lit(n).alias("tool_name"), F.length("sequence").alias("sequence_length"), grounding.output_json(n).alias("tool_output"), F.lit(None).cast("string").alias("text")) for n in sequence.TOOLS])
 
 
 def reasoning(completion: Column) -> Column:
@@ -50,17 +68,17 @@ def assemble(samples: DataFrame, completion: str = "completion") -> DataFrame:
 
 
 def grounded_claims(completed: DataFrame, *keys: str) -> DataFrame:
-    """A row for each claim of each completion. completed: with the tools' structs (``sequence.with_tools``)."""
-    ready = completed.select(*keys, reasoning(F.col("completion")).alias("reasoning"), grounding.tool_outputs().alias("tools"))
+    """A row for each claim of each completion. completed: with ``tools``."""
+    ready = completed.select(*keys, reasoning(F.col("completion")).alias("reasoning"), "tools")
     return grounding.ground(grounding.explode_claims(ready, "reasoning")).drop("tools", "reasoning")
 
 
 def pilot_batch(samples: DataFrame, key: str, llm: Callable[[str], str] = mock_llm, pause: float = 0.0) -> dict[str, DataFrame]:
-    """claims, reports, errors and audit of one trace a sample. Completions are written before anything reads them: each is asked for once."""
-    asked = sequence.with_tools(samples, "sequence").withColumn("prompt", prompt(True))
-    done = written(complete(asked.select(*samples.columns, "prompt"), "prompt", llm, pause).drop("prompt"))
-    tools = sequence.with_tools(done.where("error is null").select(key, "sequence", "completion"), "sequence")
-    claims = written(grounded_claims(tools, key))  # read by the reports and by the sink
+    """claims, reports, errors and audit of one trace a sample. Tools' outputs and completions are written before anything reads them: each is made once."""
+    tools = tool_table(samples)
+    asked = with_outputs(samples, tools, "outputs").select(*samples.columns, prompt(F.col("outputs")).alias("prompt"))
+    done = written(complete(asked, "prompt", llm, pause).drop("prompt"))
+    claims = written(grounded_claims(with_outputs(done.where("error is null").select(key, "sequence", "completion"), tools, "tools"), key))  # read by the reports and by the sink
     reports = grounding.report(claims, key)
     return {"claims": claims, "reports": reports, "errors": done.where("error is not null").select(key, "error"), "audit": grounding.audit(reports)}
 
@@ -71,15 +89,16 @@ def slots(samples: DataFrame, k_grounded: int, k_shortcut: int) -> DataFrame:
     return found.withColumn("trace_id", F.concat_ws("/", "prompt_id", "trace_kind", "k"))
 
 
-def answered(wanted: DataFrame, llm: Callable[[str], str] = mock_llm, pause: float = 0.0) -> DataFrame:
-    """The slots with their completion or error."""
-    asked = sequence.with_tools(wanted, "sequence").withColumn("prompt", F.when(F.col("trace_kind") == "grounded", prompt(True)).otherwise(prompt(False)))
-    return complete(asked.select(*wanted.columns, "prompt"), "prompt", llm, pause).drop("prompt")
+def answered(wanted: DataFrame, tools: DataFrame, llm: Callable[[str], str] = mock_llm, pause: float = 0.0) -> DataFrame:
+    """The slots with their completion or error. Only grounded slots get the tools' outputs. tools: a ``tool_table``."""
+    grounded = with_outputs(wanted.where("trace_kind = 'grounded'"), tools, "outputs").select(*wanted.columns, prompt(F.col("outputs")).alias("prompt"))
+    asked = grounded.unionByName(wanted.where("trace_kind <> 'grounded'").select("*", prompt(None).alias("prompt")))
+    return complete(asked, "prompt", llm, pause).drop("prompt")
 
 
-def score(done: DataFrame, tolerance: float = 0.1) -> DataFrame:
-    """Answer, grounding and correctness of each completion. Tools run again: they cost less than keeping their outputs."""
-    scores = grounding.report(grounded_claims(sequence.with_tools(done.where("error is null"), "sequence"), "trace_id"), "trace_id").select("trace_id", "grounding_score")
+def score(done: DataFrame, tools: DataFrame, tolerance: float = 0.1) -> DataFrame:
+    """Answer, grounding and correctness of each completion. tools: the ``tool_table`` of their sequences."""
+    scores = grounding.report(grounded_claims(with_outputs(done.where("error is null"), tools, "tools"), "trace_id"), "trace_id").select("trace_id", "grounding_score")
     rows = done.select("trace_id", "prompt_id", "trace_kind", "k", "sequence", "protein_category", "ground_truth", "error", F.col("completion").alias("trace_text"), answer(F.col("completion")).alias("final_answer"))
     pred, truth = F.col("final_answer"), F.col("ground_truth")
     judged = rows.withColumn("mae", mean_abs_error(pred, truth)).withColumn("is_correct", is_correct(pred, truth, tolerance))
@@ -87,7 +106,8 @@ def score(done: DataFrame, tolerance: float = 0.1) -> DataFrame:
 
 
 def scored_pool(samples: DataFrame, k_grounded: int, k_shortcut: int, llm: Callable[[str], str] = mock_llm, tolerance: float = 0.1) -> DataFrame:
-    return score(answered(slots(samples, k_grounded, k_shortcut), llm), tolerance)
+    tools = tool_table(samples.where(F.size("ground_truth") > 0))
+    return score(written(answered(slots(samples, k_grounded, k_shortcut), tools, llm)), tools, tolerance)
 
 
 def preference_run(pool: DataFrame, config: PairConfig | None = None) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ def _said(span: str) -> Column:
     return F.when(F.col(span).isNotNull(), F.concat_ws("-", F.col(span)["lo"], F.col(span)["hi"])).alias(span)
 
 
+def _each(explode: Callable[[Column], Column], listed: Column) -> Column:
+    """A row for each entry, and one of nulls where there is none. Without that Spark infers a filter on the size, which works the list out once more, in the
+    tasks that scan the files."""
+    return explode(listed)
+
+
 def seq_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean net charge and proline share of sequences by source."""
     seq = sequence.clean(F.col("seq"))
@@ -32,13 +40,13 @@ def seq_charge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seq_motif_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bridge.silk(spark, sf_dir).select("id", F.explode(sequence.motif_spans(F.col("seq"))).alias("motif", "spans"))
-    return rows.select("id", "motif", F.posexplode("spans").alias("pos", "s")).select("id", "motif", "pos", "s.lo", "s.hi")
+    rows = bridge.silk(spark, sf_dir).select("id", _each(F.explode_outer, sequence.motif_spans(F.col("seq"))).alias("motif", "spans"))
+    return rows.select("id", "motif", _each(F.posexplode_outer, F.col("spans")).alias("pos", "s")).where("pos is not null").select("id", "motif", "pos", "s.lo", "s.hi")
 
 
 def seq_motif_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = bridge.silk(spark, sf_dir).select(F.explode(sequence.motif_spans(F.col("seq"))).alias("motif", "spans"))
-    return rows.groupBy("motif").agg(F.count("*").alias("n_sequences"), F.sum(F.size("spans")).cast("long").alias("n_spans"))
+    rows = bridge.silk(spark, sf_dir).select(_each(F.explode_outer, sequence.motif_spans(F.col("seq"))).alias("motif", "spans"))
+    return rows.where("motif is not null").groupBy("motif").agg(F.count("*").alias("n_sequences"), F.sum(F.size("spans")).cast("long").alias("n_spans"))
 
 
 def seq_hydropathy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +58,8 @@ def seq_propensity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seq_beta_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(spark, sf_dir, "beta_sheet_propensity").select("id", F.posexplode("beta_rich_spans").alias("pos", "s")).select("id", "pos", "s.lo", "s.hi")
+    rows = _flat(spark, sf_dir, "beta_sheet_propensity").select("id", _each(F.posexplode_outer, F.col("beta_rich_spans")).alias("pos", "s"))
+    return rows.where("pos is not null").select("id", "pos", "s.lo", "s.hi")
 
 
 def seq_period(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,9 +77,7 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two grounded and one shortcut completion for each prompt with a truth, scored; written and read again."""
     path = scratch(spark)
-    slots = traces.slots(_samples(spark, sf_dir), 2, 1)
-    traces.answered(slots).write.parquet(f"{path}/completions")
-    pool = traces.score(spark.read.parquet(f"{path}/completions"))
+    pool = traces.scored_pool(_samples(spark, sf_dir), 2, 1)
     sinks.write_pool(path, {"k_samples": 2}, {"pool": pool})
     pool = sinks.read_pool(spark, path, "pool")[0]
     return pool.select("prompt_id", "trace_kind", F.col("k").cast("int").alias("k"), py_round(F.col("mae"), 4).alias("mae"), "is_correct", py_round(F.col("grounding_score"), 4).alias("grounding_score"))

@@ -169,7 +169,7 @@ def mock_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = bridge.silk(spark, sf_dir).select("id", F.col("seq").alias("sequence"), *[F.lit("").alias(c) for c in ("family", "genus", "species", "protein_category")])
-    return sequence.with_tools(samples, "sequence").select("id", traces.prompt(True).alias("prompt"), traces.prompt(False).alias("shortcut_prompt"))
+    return sequence.with_tools(samples, "sequence").select("id", traces.prompt(traces.tools_json()).alias("prompt"), traces.prompt(None).alias("shortcut_prompt"))
 
 
 _C = f"WITH {bridge.COMPLETIONS_SQL}"

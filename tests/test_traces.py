@@ -163,6 +163,22 @@ def test_facts_of_the_six_tools(spark):
         spark.range(1).select(grounding.facts(F.lit("x"), F.lit("[[[1]]]"), 2)).collect()
 
 
+def test_tools_run_once_for_each_sequence(spark, tmp_path):
+    """Slots of one sequence share a row of tools' outputs, and prompts and grounding read it: no tool is left in their plans."""
+    samples = spark.createDataFrame([(str(i), s, "f", "g", "s", "c", {"strength": 0.5, "toughness": 0.5}) for i, s in enumerate(["GGAGGQAAAA", "GGAGGQAAAA", "AAAAAAA", ""])], "prompt_id string, sequence string, family string, genus string, species string, protein_category string, ground_truth map<string,double>")
+    tools = traces.tool_table(samples, str(tmp_path / "tools"))
+    assert tools.count() == 3
+    wanted = traces.slots(samples, 2, 1)
+    asked = traces.answered(wanted, tools, lambda p: p)
+    rows = {(r["prompt_id"], r["trace_kind"], r["k"]): r["completion"] for r in asked.collect()}
+    assert len(rows) == 12
+    said = json.loads(rows["0", "grounded", 0].partition("Tool outputs: ")[2])
+    assert list(said) == list(TOOL_NAMES) and said["motif_detector"]["spans"]["GGX_repeat"] == [[0, 5]] and said["beta_sheet_propensity"]["beta_rich_spans"] == []
+    assert "Tool outputs" not in rows["0", "shortcut", 0] and rows["1", "grounded", 1] == rows["0", "grounded", 0]
+    for df in (asked, traces.score(asked, tools)):
+        assert "regexp_extract_all(seq" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mock_completion_is_caught(spark):
     samples = spark.createDataFrame([("p", "GGAGQGGYGGLGSQGAG", "f", "g", "s", "c")], "id string, sequence string, family string, genus string, species string, protein_category string")
     out = traces.pilot_batch(samples, "id")
@@ -380,7 +396,7 @@ def test_pool_and_sinks(spark, tmp_path):
     sinks.check_same_run(spark, str(tmp_path / "pool"), n_prompts=1)
     with pytest.raises(ValueError):
         sinks.check_same_run(spark, str(tmp_path / "pool"), k=3)
-    claims_ = traces.grounded_claims(completions.complete(with_tools(samples, "sequence").withColumn("p", traces.prompt(True)), "p", completions.mock_llm), "prompt_id").withColumnRenamed("prompt_id", "trace_id")
+    claims_ = traces.grounded_claims(completions.complete(traces.with_outputs(samples, traces.tool_table(samples), "outputs", "tools").withColumn("p", traces.prompt(F.col("outputs"))), "p", completions.mock_llm), "prompt_id").withColumnRenamed("prompt_id", "trace_id")
     sinks.write_pilot(str(tmp_path / "pilot"), grounding.report(claims_, "trace_id"), claims_, spark.createDataFrame([], "trace_id string, error string"), grounding.audit(grounding.report(claims_, "trace_id")))
     assert spark.read.json(str(tmp_path / "pilot/traces")).count() == 2
     (tmp_path / "old.json").write_text(json.dumps({"scored_traces": [{"metadata": {"sequence": "AC", "trace_kind": "grounded"}, "final_answer": {"strength": 0.1, "toughness": 0.2}}, {"metadata": {"sequence": "AC", "trace_kind": "shortcut"}, "final_answer": None}]}))
