@@ -1,7 +1,8 @@
 """Preference pairs of traces of one prompt, within a budget.
 
-Pairs are chosen as pairs of keys; texts join in once the pairs are known. Random choices follow an MD5 of the seed and
-the keys, so they do not depend on the order or number of partitions.
+Pairs are chosen as pairs of keys; texts join in once the pairs are known. Pairs of a prompt that any trace of one bucket may form with any of another are never put
+together: they are numbered, and the first few of a seeded permutation of the numbers are taken. Random choices follow an MD5 of the seed
+and the keys, so they do not depend on the order or number of partitions.
 """
 
 from __future__ import annotations
@@ -12,19 +13,31 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.compat import seeded
+from ..functions.compat import hashed_index, running_sums, seeded
 
 GROUNDED_CORRECT, SHORTCUT_CORRECT, GROUNDED_INCORRECT, SHORTCUT_INCORRECT = "grounded_correct", "shortcut_correct", "grounded_incorrect", "shortcut_incorrect"
 
 
-def same_answer(tolerance: float) -> Callable[[Column, Column], Column]:
+@dataclass(frozen=True)
+class same_answer:  # noqa: N801
     """Two property maps agree if they share properties and differ nowhere by more than the tolerance."""
 
-    def agree(a: Column, b: Column) -> Column:
+    tolerance: float
+
+    def __call__(self, a: Column, b: Column) -> Column:
         shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
-        return (F.size(shared) > 0) & F.forall(shared, lambda k: F.abs(F.try_element_at(a, k) - F.try_element_at(b, k)) <= tolerance)
+        return (F.size(shared) > 0) & F.forall(shared, lambda k: F.abs(F.try_element_at(a, k) - F.try_element_at(b, k)) <= self.tolerance)
+
+    def cells(self, answer: Column, reach: int) -> Column:
+        """Each property with its value's cell, and cells up to ``reach`` away: values within the tolerance of each other lie in neighbouring ones."""
+        width = (self.tolerance or 1.0) * 1.001
+        cell = lambda v: F.floor(F.greatest(F.least(v.cast("double") / width, F.lit(1e18)), F.lit(-1e18)))
+        known = F.filter(F.map_entries(answer), lambda e: e["value"].isNotNull() & ~F.isnan(e["value"].cast("double")))
+        return F.flatten(F.transform(known, lambda e: F.array(*[F.struct(e["key"].alias("prop"), (cell(e["value"]) + by).alias("cell")) for by in range(-reach, reach + 1)])))
 
-    return agree
+    def meets_at(self, a: Column, b: Column) -> Column:
+        """The property by whose cells a pair is found, once."""
+        return F.array_min(F.array_intersect(F.map_keys(a), F.map_keys(b)))
 
 
 @dataclass(frozen=True)
@@ -47,40 +60,90 @@ def diversity(traces: DataFrame, prompt: str) -> DataFrame:
     return per.agg(F.count("*").alias("n_prompts"), F.count_if(F.col("n") > 1).alias("n_diverse"), F.coalesce(F.try_divide(F.count_if(F.col("n") > 1), F.count("*")), F.lit(0.0)).alias("diverse_fraction"))
 
 
+ROUNDS = 4
+#: Types of pairs in order: name, and the buckets of the chosen and of the rejected trace.
+SAME = ("same_answer", GROUNDED_CORRECT, SHORTCUT_CORRECT)
+LIMITED = [("anti_shortcut", GROUNDED_INCORRECT, SHORTCUT_INCORRECT), ("standard", GROUNDED_CORRECT, SHORTCUT_INCORRECT), ("standard_fallback", SHORTCUT_CORRECT, GROUNDED_INCORRECT)]
+
+
+def permuted(rows: DataFrame, *salt: Column) -> DataFrame:
+    """Adds i and j: where a permutation of the p * d pairs, drawn by the salt, puts pair number r, as a place below p and one below d. rows: with r, p and d.
+
+    Each round moves one place by a hash of the other, which can be undone, so no two numbers meet. A column for each step: nested, they would be worked out over and over.
+    """
+    rows = rows.withColumn("i", F.floor(F.col("r") / F.col("d")).cast("bigint")).withColumn("j", F.pmod("r", "d"))
+    for turn in range(ROUNDS):
+        for side, n, other in (("i", "p", "j"), ("j", "d", "i")):
+            rows = rows.withColumn(side, F.pmod(F.col(side) + hashed_index(F.col(n), *salt, F.lit(turn), F.lit(side), F.col(other)), n))
+    return rows
+
+
+def _same(slim: DataFrame, prompt: str, key: str, answer: str, config: PairConfig) -> DataFrame:
+    """prompt, chosen, rejected and rnd of all pairs of equal answers. Where answers have cells, only those in neighbouring ones meet."""
+    side = lambda bucket_, name: slim.where(F.col("bucket") == bucket_).select(F.col(prompt).alias("p"), F.col(key).alias(name), F.col(answer).alias(f"{name}_answer"))
+    a, b = side(SAME[1], "chosen"), side(SAME[2], "rejected")
+    agree, on = config.agree(F.col("chosen_answer"), F.col("rejected_answer")), ["p"]
+    if isinstance(config.agree, same_answer):
+        a = a.select("*", F.explode(config.agree.cells(F.col("chosen_answer"), 0)).alias("c")).select("*", "c.*").drop("c")
+        b = b.select("*", F.explode(config.agree.cells(F.col("rejected_answer"), 1)).alias("c")).select("*", "c.*").drop("c")
+        agree, on = agree & (F.col("prop") == config.agree.meets_at(F.col("chosen_answer"), F.col("rejected_answer"))), ["p", "prop", "cell"]
+    found = a.join(b, on).where(agree)
+    return found.select(F.col("p").alias(prompt), "chosen", "rejected", seeded(config.seed, F.lit(SAME[0]), F.col("chosen"), F.col("rejected")).alias("rnd"))
+
+
 def build_pairs(traces: DataFrame, prompt: str, key: str, config: PairConfig = PairConfig(), answer: str = "final_answer") -> DataFrame:  # noqa: B008
     """prompt, pair_type, chosen, rejected, pair_rank. traces: prompt, unique key, bucket and answer.
 
     Per prompt: pairs of equal answers (correct and grounded against correct shortcut), without limit; then
     ``max_pairs * anti_ratio`` (half-even) of wrong but grounded against wrong shortcut; then grounded against
     wrong shortcut of the correct ones for what is left of the budget, and correct shortcut against wrong grounded for what that leaves.
-    The list is cut to the budget; a budget of 0 cuts nothing.
+    The list is cut to the budget; a budget of 0 cuts nothing. Traces of a null prompt make no pairs.
 
-    One self-join on the prompt finds the pairs of all types, and every later step needs the same partitioning, so the
-    keys are shuffled once.
+    Of limited types only the pairs that are kept are made: as numbers, turned into places within the two buckets, and these into
+    keys. A bucket's places run through parts by hash of the key, so a prompt with many traces spreads over tasks.
     """
     budget = config.max_pairs
     anti_limit = max(0, round(budget * config.anti_ratio))
-    slim = traces.select(prompt, key, "bucket", answer)
-    a = slim.select(prompt, F.col(key).alias("chosen"), F.col("bucket").alias("a_bucket"), F.col(answer).alias("a_answer"))
-    b = slim.select(prompt, F.col(key).alias("rejected"), F.col("bucket").alias("b_bucket"), F.col(answer).alias("b_answer"))
-    # A trace meets only the bucket that its own is paired with.
-    meets = {GROUNDED_CORRECT: [(0, SHORTCUT_CORRECT), (2, SHORTCUT_INCORRECT)], GROUNDED_INCORRECT: [(1, SHORTCUT_INCORRECT)], SHORTCUT_CORRECT: [(3, GROUNDED_INCORRECT)]}
-    wanted = lambda own: F.array(*[F.struct(F.lit(place).alias("place"), F.lit(other).alias("b_bucket")) for place, other in meets[own]])
-    sides = F.when(F.col("a_bucket") == GROUNDED_CORRECT, wanted(GROUNDED_CORRECT)).when(F.col("a_bucket") == GROUNDED_INCORRECT, wanted(GROUNDED_INCORRECT)).when(F.col("a_bucket") == SHORTCUT_CORRECT, wanted(SHORTCUT_CORRECT))
-    a = a.select(prompt, "chosen", "a_answer", F.explode(sides).alias("w")).select(prompt, "chosen", "a_answer", "w.*")
-    kinds = F.array(*[F.lit(k) for k in ("same_answer", "anti_shortcut", "standard", "standard_fallback")])
-    met = a.join(b, [prompt, "b_bucket"])
-    found = met.where((F.col("place") > 0) | config.agree(F.col("a_answer"), F.col("b_answer"))).withColumn("pair_type", kinds[F.col("place")])
-    found = found.select(prompt, "place", "pair_type", "chosen", "rejected", seeded(config.seed, F.col("pair_type"), F.col("chosen"), F.col("rejected")).alias("rnd"))
-    per = Window.partitionBy(prompt)
-    counted = found.select(
-        "*", F.row_number().over(Window.partitionBy(prompt, "place").orderBy("rnd", "chosen", "rejected")).alias("n"),
-        F.greatest(F.lit(0), F.lit(budget - anti_limit) - F.count_if(F.col("place") == 0).over(per)).alias("remaining"), F.count_if(F.col("place") == 2).over(per).alias("n_standard"),
+    slim = traces.where(F.col(prompt).isNotNull()).select(prompt, key, "bucket", answer)
+    per = Window.partitionBy(prompt).orderBy("rnd", "chosen", "rejected")
+    same = _same(slim, prompt, key, answer, config).withColumn("pair_rank", F.row_number().over(per))
+    out = [prompt, "pair_type", "chosen", "rejected", "pair_rank"]
+    if budget <= 0:
+        return same.select(prompt, F.lit(SAME[0]).alias("pair_type"), "chosen", "rejected", "pair_rank")
+    same = same.where(f"pair_rank <= {budget}")
+    keyed = slim.select(F.col(prompt).alias("p"), "bucket", F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 2).alias("part"), F.col(key).alias("k"))
+    sizes = keyed.groupBy("p", "bucket", "part").agg(F.count("*").alias("n")).groupBy("p").agg(F.array_sort(F.collect_list(F.struct("bucket", "part", "n"))).alias("parts"))  # 1024 at most
+    counts = same.groupBy(F.col(prompt).alias("p")).agg(F.count("*").alias("n_same"))
+    sized = sizes.join(counts, "p", "left").withColumn("n_same", F.coalesce("n_same", F.lit(0)).cast("bigint"))
+    for b in (GROUNDED_CORRECT, SHORTCUT_CORRECT, GROUNDED_INCORRECT, SHORTCUT_INCORRECT):
+        own = F.filter("parts", (lambda b: lambda x: x["bucket"] == b)(b))
+        sized = sized.withColumn(b, F.zip_with(own, running_sums(F.transform(own, lambda x: x["n"])), lambda x, upto: F.struct(x["part"].alias("part"), (upto - x["n"]).alias("start"), upto.alias("end"))))
+    total = lambda b: F.coalesce(F.get(F.col(b), F.size(b) - 1)["end"], F.lit(0))
+    every = {name: total(a) * total(b) for name, a, b in LIMITED}
+    remaining = F.greatest(F.lit(0), F.lit(budget - anti_limit) - F.col("n_same"))
+    limits = {"anti_shortcut": F.least(F.lit(anti_limit).cast("bigint"), every["anti_shortcut"]), "standard": F.least(remaining, every["standard"])}
+    limits["standard_fallback"] = F.least(remaining - limits["standard"], every["standard_fallback"])
+    before, wanted = F.col("n_same"), []
+    for name, a, b in LIMITED:
+        wanted.append(F.struct(F.lit(name).alias("pair_type"), limits[name].alias("limit"), before.alias("before"), F.lit(a).alias("a_bucket"), F.lit(b).alias("b_bucket"), F.col(a).alias("a"), F.col(b).alias("b")))
+        before = before + limits[name]
+    each = sized.select("p", F.explode(F.array(*wanted)).alias("w")).select("p", "w.*").where("limit > 0")
+    numbered = each.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("limit") - 1)).alias("r")).where(F.col("before") + F.col("r") < budget)
+    size = lambda c: F.get(F.col(c), F.size(c) - 1)["end"]
+    placed = permuted(numbered.withColumnRenamed("p", "prompt").withColumn("p", size("a")).withColumn("d", size("b")), F.lit(str(config.seed)), F.col("pair_type"), F.col("prompt").cast("string"))
+    at = lambda parts, place: F.get(F.filter(parts, lambda x: F.col(place) < x["end"]), F.lit(0))
+    picked = placed.withColumn("a", at("a", "i")).withColumn("b", at("b", "j")).select(
+        F.col("prompt").alias("p"), "pair_type", (F.col("before") + F.col("r") + 1).cast("int").alias("pair_rank"), "a_bucket", F.col("a.part").alias("a_part"), (F.col("i") - F.col("a.start")).alias("a_at"),
+        "b_bucket", F.col("b.part").alias("b_part"), (F.col("j") - F.col("b.start")).alias("b_at"),
     )
-    left = F.col("remaining") - F.least("n_standard", "remaining")
-    limit = F.when(F.col("place") == 0, F.col("n")).when(F.col("place") == 1, F.lit(anti_limit)).when(F.col("place") == 2, F.col("remaining")).otherwise(left)
-    kept = counted.where(F.col("n") <= limit).withColumn("pair_rank", F.row_number().over(per.orderBy("place", "rnd", "chosen", "rejected")))
-    return (kept.where(f"pair_rank <= {budget}") if budget else kept).select(prompt, "pair_type", "chosen", "rejected", "pair_rank")
+    placed = keyed.withColumn("at", F.row_number().over(Window.partitionBy("p", "bucket", "part").orderBy("k")) - 1)
+    for s, name in (("a", "chosen"), ("b", "rejected")):
+        own = placed.select(F.col("p").alias("__p"), F.col("bucket").alias("__bucket"), F.col("part").alias("__part"), F.col("at").cast("bigint").alias("__at"), F.col("k").alias(name))
+        # Plain equality would have Spark check places for nulls, by working the whole permutation out again below.
+        met = [picked[a].eqNullSafe(own[b]) for a, b in (("p", "__p"), (f"{s}_bucket", "__bucket"), (f"{s}_part", "__part"), (f"{s}_at", "__at"))]
+        picked = picked.join(own, met).drop("__p", "__bucket", "__part", "__at")
+    rest = picked.select(F.col("p").alias(prompt), "pair_type", "chosen", "rejected", "pair_rank")
+    return same.withColumn("pair_type", F.lit(SAME[0])).select(*out).unionByName(rest)
 
 
 def with_texts(pairs: DataFrame, traces: DataFrame, key: str, text: str = "trace_text") -> DataFrame:

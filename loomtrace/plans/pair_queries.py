@@ -93,13 +93,34 @@ def _cand(kind: str, chosen: str, rejected: str, where: str = "true") -> str:
     return f"SELECT a.prompt_id, '{kind}' AS pair_type, a.trace_key AS chosen, b.trace_key AS rejected, {_rnd(kind)} AS rnd FROM bucketed a JOIN bucketed b ON a.prompt_id = b.prompt_id AND a.bucket = '{chosen}' AND b.bucket = '{rejected}' WHERE {where}"
 
 
-_PAIRS = f"""{_T}, cand AS ({_cand("same_answer", "grounded_correct", "shortcut_correct", _AGREE)} UNION ALL {_cand("anti_shortcut", "grounded_incorrect", "shortcut_incorrect")}
-  UNION ALL {_cand("standard", "grounded_correct", "shortcut_incorrect")} UNION ALL {_cand("standard_fallback", "shortcut_correct", "grounded_incorrect")}),
-num AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, pair_type ORDER BY rnd, chosen, rejected) AS n FROM cand),
-tot AS (SELECT prompt_id, greatest(0, 3 - count(*) FILTER (pair_type = 'same_answer')) AS remaining, count(*) FILTER (pair_type = 'standard') AS n_standard FROM cand GROUP BY prompt_id),
-sel AS (SELECT num.*, CASE pair_type WHEN 'same_answer' THEN 0 WHEN 'anti_shortcut' THEN 1 WHEN 'standard' THEN 2 ELSE 3 END AS place FROM num JOIN tot USING (prompt_id)
-  WHERE pair_type = 'same_answer' OR pair_type = 'anti_shortcut' AND n <= 1 OR pair_type = 'standard' AND n <= remaining OR pair_type = 'standard_fallback' AND n <= remaining - least(n_standard, remaining)),
-pairs AS (SELECT prompt_id, pair_type, chosen, rejected, pair_rank FROM (SELECT *, (row_number() OVER (PARTITION BY prompt_id ORDER BY place, rnd, chosen, rejected))::INT AS pair_rank FROM sel) WHERE pair_rank <= 4)"""
+def _moved(n: str, turn: int, side: str, other: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', '0', pair_type, prompt_id, '{turn}', '{side}', {other})), 1, 8))::BIGINT % {n}"
+
+
+def _rounds() -> str:
+    """The permutation of ``pairs.permuted``, a table for each half of a round."""
+    out, last = [], "r0"
+    for turn in range(pairs.ROUNDS):
+        for side, n, other in (("i", "p", "j"), ("j", "d", "i")):
+            name = f"r{turn}{side}"
+            out.append(f"{name} AS (SELECT * REPLACE (({side} + {_moved(n, turn, side, other)}) % {n} AS {side}) FROM {last})")
+            last = name
+    return ", ".join([*out, f"moved AS (SELECT * FROM {last})"])
+
+
+_LIMITED = " UNION ALL ".join(f"SELECT prompt_id, n_same, '{name}' AS pair_type, {place} AS place, '{a}' AS a_bucket, '{b}' AS b_bucket, n_{a} AS p, n_{b} AS d FROM sizes" for place, (name, a, b) in enumerate(pairs.LIMITED))
+_PAIRS = f"""{_T}, same AS ({_cand("same_answer", "grounded_correct", "shortcut_correct", _AGREE)}),
+same_n AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY rnd, chosen, rejected) AS n FROM same),
+spot AS (SELECT prompt_id, bucket, trace_key, row_number() OVER (PARTITION BY prompt_id, bucket ORDER BY substr(md5(trace_key), 1, 2), trace_key) - 1 AS place FROM bucketed),
+sizes AS (SELECT prompt_id, coalesce(any_value(s.n_same), 0) AS n_same, {", ".join(f"count(*) FILTER (bucket = '{b}') AS n_{b}" for b in ("grounded_correct", "shortcut_correct", "grounded_incorrect", "shortcut_incorrect"))}
+  FROM bucketed LEFT JOIN (SELECT prompt_id, count(*) AS n_same FROM same GROUP BY 1) s USING (prompt_id) GROUP BY prompt_id),
+kinds AS (SELECT *, p * d AS every, greatest(0, 3 - n_same) AS remaining FROM ({_LIMITED})),
+standard AS (SELECT prompt_id, least(remaining, every) AS n FROM kinds WHERE place = 1),
+limits AS (SELECT kinds.*, CASE place WHEN 0 THEN least(1, every) WHEN 1 THEN standard.n ELSE least(remaining - standard.n, every) END AS k FROM kinds JOIN standard USING (prompt_id)),
+r0 AS (SELECT *, r // d AS i, r % d AS j FROM (SELECT *, unnest(range(k)) AS r FROM limits WHERE k > 0)), {_rounds()},
+cand AS (SELECT prompt_id, 'same_answer' AS pair_type, chosen, rejected, -1 AS place, n FROM same_n UNION ALL SELECT m.prompt_id, pair_type, a.trace_key, b.trace_key, m.place, r FROM moved m
+  JOIN spot a ON a.prompt_id = m.prompt_id AND a.bucket = a_bucket AND a.place = i JOIN spot b ON b.prompt_id = m.prompt_id AND b.bucket = b_bucket AND b.place = j),
+pairs AS (SELECT prompt_id, pair_type, chosen, rejected, pair_rank FROM (SELECT *, (row_number() OVER (PARTITION BY prompt_id ORDER BY place, n))::INT AS pair_rank FROM cand) WHERE pair_rank <= 4)"""
 _SLOTS = """WITH slots AS (SELECT o_orderkey AS prompt_id, o_orderpriority AS sequence, s.trace_kind, s.k FROM orders, (VALUES ('grounded', 0, 0), ('grounded', 1, 0), ('shortcut', 0, 2)) s(trace_kind, k, plus)),
 f AS (SELECT *, (prompt_id * 3 + k + CASE trace_kind WHEN 'grounded' THEN 0 ELSE 2 END) % 7 = 0 AS failed FROM slots)"""
 

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -296,6 +297,40 @@ def test_pairs_do_not_depend_on_partitions(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("p,d", [(1, 1), (3, 5), (7, 7), (1, 40), (16, 2)])
+def test_pair_numbers_are_permuted(spark, p, d):
+    rows = spark.range(p * d).select(F.col("id").alias("r"), F.lit(p).cast("bigint").alias("p"), F.lit(d).cast("bigint").alias("d"))
+    got = [(x["i"], x["j"]) for x in pairs.permuted(rows, F.lit("0")).orderBy("r").collect()]
+    assert sorted(got) == [(i, j) for i in range(p) for j in range(d)]
+    assert p * d < 10 or got != sorted(got)
+
+
+def test_a_prompt_of_many_traces(spark):
+    """100,000 traces of one prompt: some billion pairs of each limited type, of which none but those kept are made."""
+    n = 100_000
+    kinds = F.element_at(F.array(*[F.lit(b) for b in ("grounded_correct", "shortcut_correct", "grounded_incorrect", "shortcut_incorrect")]), (F.col("id") % 4 + 1).cast("int"))
+    df = spark.range(n).select(F.lit("hot").alias("prompt"), F.concat(F.lit("k"), F.col("id")).alias("key"), kinds.alias("bucket"), F.create_map(F.lit("s"), F.col("id") % 4 * 1000.0 + F.col("id")).alias("final_answer"))
+    began = time.monotonic()
+    found = pairs.build_pairs(df, "prompt", "key", pairs.PairConfig(max_pairs=40, agree=pairs.same_answer(0.05))).collect()
+    assert time.monotonic() - began < 60
+    assert Counter(r["pair_type"] for r in found) == {"anti_shortcut": 10, "standard": 30}
+    assert len({(r["chosen"], r["rejected"]) for r in found}) == 40 and sorted(r["pair_rank"] for r in found) == list(range(1, 41))
+    assert all(int(r["chosen"][1:]) % 4 in (0, 2) and int(r["rejected"][1:]) % 4 == 3 for r in found)
+
+
+def test_equal_answers_meet_by_cells(spark):
+    """Values at edges of cells, of several properties, infinite, null or without any in common."""
+    rng = random.Random(8)
+    value = lambda: rng.choice([rng.uniform(0, 0.5), round(rng.uniform(-1, 1), 1), 1e300, float("inf"), float("nan"), None])
+    rows = [("p", f"k{i}", rng.choice(["grounded_correct", "shortcut_correct"]), {k: value() for k in rng.sample("abc", rng.randint(0, 3))}) for i in range(120)]
+    df = spark.createDataFrame(rows, "prompt string, key string, bucket string, final_answer map<string,double>")
+    for tolerance in (0.05, 0.0):
+        agree = lambda a, b, t=tolerance: bool(shared := set(a) & set(b)) and all(a[k] is not None and b[k] is not None and abs(a[k] - b[k]) <= t for k in shared)
+        want = {(x[1], y[1]) for x in rows for y in rows if x[2] == "grounded_correct" and y[2] == "shortcut_correct" and agree(x[3], y[3])}
+        got = pairs.build_pairs(df, "prompt", "key", pairs.PairConfig(max_pairs=0, agree=pairs.same_answer(tolerance))).collect()
+        assert len(got) == len(want) and {(r["chosen"], r["rejected"]) for r in got} == want
+
+
 def write(path, text):
     path.write_text(text)
     return str(path)
