@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compat import let
 from ..functions.text import answer, coherence, confidence, steps, tagged
+from ..sources.scratch import written
 
 CORRECT, RIGHT = 0.1, 0.15
 
@@ -42,9 +43,11 @@ def is_correct(pred: Column, truth: Column, tolerance: float = CORRECT) -> Colum
 
 
 def calibration(text: Column, pred: Column, truth: Column, prop: str) -> Column:
-    """1 less the squared gap between the expressed confidence and being right; 0.5 where either is missing."""
+    """1 less the squared gap between the expressed confidence and being right; 0.5 where either is missing. A truth that lacks the property raises where both are there."""
     said = confidence(text)
-    right = F.when(F.abs(F.try_element_at(pred, F.lit(prop)) - F.try_element_at(truth, F.lit(prop))) <= RIGHT, 1.0).otherwise(0.0)
+    lacks = F.raise_error(F.concat(F.lit(f"the truth has no {prop}: "), F.coalesce(F.to_json(truth), F.lit("null")))).cast("double")
+    true = F.coalesce(F.try_element_at(truth, F.lit(prop)), lacks)
+    right = F.when(F.abs(F.try_element_at(pred, F.lit(prop)) - true) <= RIGHT, 1.0).otherwise(0.0)
     known = said.isNotNull() & F.try_element_at(pred, F.lit(prop)).isNotNull()
     return F.when(known, F.greatest(F.lit(0.0), 1.0 - (said - right) * (said - right))).otherwise(0.5)
 
@@ -54,15 +57,21 @@ def no_judge(step: str, context: str | None) -> float:
 
 
 def reasoning_quality(completions: DataFrame, key: str, text: str, judge: Callable[[str, str | None], float] = no_judge, context: str | None = None) -> DataFrame:
-    """key, reasoning_quality: the judge's mean score of the steps; 0 without any. The judge runs in Arrow batches."""
+    """key, reasoning_quality: the judge's mean score of the steps; 0 without any.
+
+    The judge runs in Arrow batches, once for each distinct step and context; its scores are written before they meet the steps again.
+    """
 
     @F.pandas_udf("double")
     def rate(step: pd.Series, given: pd.Series) -> pd.Series:
         return pd.Series([None if s is None else float(judge(s, c)) for s, c in zip(step, given, strict=True)], dtype="float64")
 
     given = F.col(context) if context else F.lit(None).cast("string")
-    each = completions.select(key, given.alias("__context"), F.explode_outer(steps(tagged(F.col(text), "reasoning"))).alias("__step"))
-    scored = each.where("__step is not null").select(key, rate("__step", "__context").alias("s")).groupBy(key).agg(F.avg("s").alias("s"))
+    each = completions.select(key, given.alias("__context"), F.explode_outer(steps(tagged(F.col(text), "reasoning"))).alias("__step")).where("__step is not null")
+    uses = each.groupBy(key, "__context", "__step").agg(F.count("*").alias("n"))
+    rated = written(uses.select("__context", "__step").distinct().withColumn("s", rate("__step", "__context")))
+    judged = rated.select(F.col("__context").alias("__c"), F.col("__step").alias("__s"), "s")
+    scored = uses.join(judged, uses["__step"].eqNullSafe(judged["__s"]) & uses["__context"].eqNullSafe(judged["__c"])).groupBy(key).agg((F.sum(F.col("s") * F.col("n")) / F.sum(F.when(F.col("s").isNotNull(), F.col("n")))).alias("s"))
     return completions.select(key).distinct().join(scored, key, "left").select(key, F.coalesce("s", F.lit(0.0)).alias("reasoning_quality"))
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compat import py_round
 from ..operators import pairs
 from ..sources import completions, datasets
+from ..sources.ledger import complete_once
+from ..sources.scratch import scratch, written
 from . import bridge
 
 CONFIG = pairs.PairConfig(agree=pairs.same_answer(0.05))
@@ -79,6 +84,27 @@ def resume_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("trace_kind", "k").agg(F.count("*").alias("n"))
 
 
+def _flaky() -> Callable[[str], str]:
+    """Fails as often as the prompt's number modulo 4 tells, and then answers."""
+    asked: Counter[str] = Counter()
+
+    def call(prompt: str) -> str:
+        asked[prompt] += 1
+        if asked[prompt] <= int(prompt.split()[1]) % 4:
+            raise ConnectionError(f"no answer to {prompt}")
+        return f"answer to {prompt}"
+
+    return call
+
+
+def ask_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of a sampled order's prompts, asked through a connector that fails at times; asked again from the ledger, with a connector that is gone."""
+    slots = slots_fan_out(spark, sf_dir).withColumn("prompt", F.concat_ws(" ", F.lit("order"), "prompt_id", "trace_kind", "k"))
+    ledger = scratch(spark)
+    written(complete_once(slots, "prompt", completions.SLOT, ledger, _flaky(), retries=3, base_delay=0.0, buckets=16, every=500))
+    return complete_once(slots, "prompt", completions.SLOT, ledger, completions.no_llm, buckets=16).drop("prompt")
+
+
 _T = f"WITH {bridge.TRACES}"
 
 
@@ -136,7 +162,9 @@ b.is_correct AS rejected_correct, b.grounding_score AS rejected_grounding FROM p
     "pair_totals": f"{_PAIRS} SELECT count(*) AS n_pairs, printf('%.4f', count(*) FILTER (pair_type = 'anti_shortcut') / count(*))::DOUBLE AS chosen_incorrect_fraction FROM pairs",
     "sample_seeded": "SELECT doc_id, lang, source FROM documents ORDER BY md5('0:' || doc_id::VARCHAR), doc_id LIMIT 100",
     "slots_fan_out": f"{_SLOTS} SELECT prompt_id, trace_kind, k FROM slots",
+    "ask_ledger": f"""{_SLOTS}, a AS (SELECT prompt_id, trace_kind, k, concat_ws(' ', 'order', prompt_id, trace_kind, k) AS prompt FROM slots)
+SELECT prompt_id, trace_kind, k, CASE WHEN prompt_id % 4 < 3 THEN 'answer to ' || prompt END AS completion, CASE WHEN prompt_id % 4 = 3 THEN 'ConnectionError: no answer to ' || prompt END AS error, least(3, prompt_id % 4 + 1)::INT AS attempts FROM a""",
     "resume_slots": f"{_SLOTS} SELECT prompt_id, sequence, trace_kind, k FROM f WHERE failed",
     "resume_kept": f"{_SLOTS} SELECT trace_kind, k, count(*) AS n FROM f WHERE NOT failed GROUP BY 1, 2",
 }
-QUERIES = [bucket_counts, bucket_diversity, pairs_budgeted, pairs_unbounded, pairs_with_meta, pair_summary, pair_totals, sample_seeded, slots_fan_out, resume_slots, resume_kept]
+QUERIES = [bucket_counts, bucket_diversity, pairs_budgeted, pairs_unbounded, pairs_with_meta, pair_summary, pair_totals, sample_seeded, slots_fan_out, ask_ledger, resume_slots, resume_kept]

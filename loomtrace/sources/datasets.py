@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compat import number, seeded
+from .scratch import written
 
 # Accepted names of each column; the first that exists counts.
 ALIASES = {
@@ -25,8 +26,8 @@ ALIASES = {
 }
 TEXTS = ["family", "genus", "species", "protein_category"]
 DEMO = [
-    ("GGAGQGGYGGLGSQGAGRGGLGGQGAGAAAAAAAA", "Araneidae", "Demo", "example", "MaSp"),
-    ("SSAPAPAPRPAPMPAPAPRPSQSVSSAVSSA", "Araneidae", "Demo", "example", "PySp"),
+    ("GGQGGSGGQGGS" + "A" * 9 + "GPGQSGPGQS", "Araneidae", "Demo", "example", "MaSp"),
+    ("SVQAPAPAPKPAPAPAPQVS", "Araneidae", "Demo", "example", "PySp"),
 ]
 
 
@@ -84,13 +85,17 @@ def from_records(raw: DataFrame) -> DataFrame:
 
 
 def load_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """The samples, and how many rows were dropped; raises if none is left."""
-    raw = read_raw(spark, path)
+    """The samples, as a table, and how many rows were dropped; raises if none is left.
+
+    The file is read once: rows are counted on their way into the table, before and behind the filter that drops those without a sequence.
+    """
+    read, kept = Observation(), Observation()
+    raw = read_raw(spark, path).observe(read, F.count(F.lit(1)).alias("n"))
     samples = from_columns(raw) if path.lower().endswith(".csv") else from_records(raw)
-    total, usable = raw.count(), samples.count()
-    if not usable:
+    table = written(samples.observe(kept, F.count(F.lit(1)).alias("n")))
+    if not kept.get["n"]:
         raise ValueError(f"no usable rows in {path}")
-    return samples, total - usable
+    return table, read.get["n"] - kept.get["n"]
 
 
 def demo(spark: SparkSession) -> DataFrame:

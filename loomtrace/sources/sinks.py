@@ -44,6 +44,8 @@ def write_comparison(path: str, metrics: DataFrame) -> None:
 
 
 def read_scored_traces(spark: SparkSession, path: str) -> DataFrame:
-    """seq, kind and the answer's two properties of each scored trace in a pool's JSON; rows without an answer go."""
+    """seq, kind and the answer's two properties of each scored trace in a pool's JSON. Rows without an answer, or with an empty one, go; an answer that lacks one of the two raises."""
     pool = spark.read.option("multiLine", True).json(path).select(F.explode("scored_traces").alias("t"))
-    return pool.where("t.final_answer is not null").select(F.col("t.metadata.sequence").alias("seq"), F.col("t.metadata.trace_kind").alias("kind"), "t.final_answer.strength", "t.final_answer.toughness")
+    rows = pool.select(F.col("t.metadata.sequence").alias("seq"), F.col("t.metadata.trace_kind").alias("kind"), "t.final_answer.strength", "t.final_answer.toughness")
+    must = lambda name: F.coalesce(F.col(name), F.raise_error(F.concat(F.lit(f"an answer without {name}: "), F.coalesce("seq", F.lit("null")))).cast("double")).alias(name)
+    return rows.where("strength is not null or toughness is not null").select("seq", "kind", must("strength"), must("toughness"))

@@ -255,6 +255,47 @@ def test_judge(spark):
         rewards.reasoning_quality(df, "id", "t").collect()
 
 
+def test_a_step_is_judged_once(spark, tmp_path):
+    """Steps that many completions share, and repeat, are rated once for each context; the means stay those of all steps."""
+
+    def judge(step, context):
+        (tmp_path / f"{step}-{context}-{random.random()}").write_text("")
+        return float(len(step) + (context == "y"))
+
+    rows = [(i, f"<reasoning>Same. Other{i % 3}. Same.</reasoning>", "x" if i % 2 else "y") for i in range(60)] + [(60, "<reasoning>Same.</reasoning>", None), (61, None, "x")]
+    got = {r["id"]: r["reasoning_quality"] for r in rewards.reasoning_quality(spark.createDataFrame(rows, "id int, t string, c string").repartition(5), "id", "t", judge, "c").collect()}
+    assert len(got) == 62 and got[60] == 5.0 and got[61] == 0.0
+    assert all(abs(got[i] - (5 + 7 + 5 + 3 * (i % 2 == 0)) / 3) < 1e-12 for i in range(60))
+    assert Counter(p.name.rpartition("-")[0] for p in tmp_path.iterdir()) == Counter([f"{s}-{c}" for s in ("Same.", "Other0.", "Other1.", "Other2.") for c in "xy"] + ["Same.-None"])
+
+
+def test_truth_without_the_property_raises(spark):
+    run = lambda truth, text: spark.createDataFrame([(text, {"strength": 0.5}, truth)], "t string, p map<string,double>, u map<string,double>").select(rewards.calibration(F.col("t"), F.col("p"), F.col("u"), "strength").alias("x")).first()["x"]
+    assert run({"strength": 0.5}, "confidence: 100%") == 1.0
+    assert run({"toughness": 0.5}, "says nothing") == 0.5  # not looked at
+    with pytest.raises(Exception, match="no strength"):
+        run({"toughness": 0.5}, "confidence: 100%")
+
+
+def test_answers_must_have_both_properties(spark, tmp_path):
+    def read(*answers):
+        (tmp_path / "p.json").write_text(json.dumps({"scored_traces": [{"metadata": {"sequence": "AC", "trace_kind": "grounded"}, "final_answer": a} for a in answers]}))
+        return [tuple(r) for r in sinks.read_scored_traces(spark, str(tmp_path / "p.json")).collect()]
+
+    assert read({"strength": 0.1, "toughness": 0.2}, None, {}) == [("AC", "grounded", 0.1, 0.2)]
+    with pytest.raises(Exception, match="without toughness"):
+        read({"strength": 0.1, "toughness": 0.2}, {"strength": 0.3})
+
+
+def test_datasets_are_read_once(spark, tmp_path):
+    """The samples are a table; the file may go."""
+    path = tmp_path / "d.jsonl"
+    path.write_text("".join(json.dumps({"seq": "" if i % 4 == 0 else f"A{'C' * i}", "strength": 1, "toughness": i}) + "\n" for i in range(40)))
+    samples, dropped = datasets.load_dataset(spark, str(path))
+    path.unlink()
+    assert dropped == 10 and samples.count() == 30 and samples.where("ground_truth['toughness'] = 7").first()["sequence"] == "A" + "C" * 7
+
+
 def random_traces(seed):
     rng = random.Random(seed)
     return [(f"p{rng.randrange(12)}", f"k{i}", rng.choice(["grounded_correct", "shortcut_correct", "grounded_incorrect", "shortcut_incorrect"]), {"s": rng.choice([0.1, 0.2, 0.9])}) for i in range(90)]
