@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence
 from ..functions.compat import let
-from ..functions.text import claims
+from ..functions.text import MOTIF_TERMS, claims
 
 TOLERANCE, RELATIVE = 0.02, 0.03
 WORST = 10
@@ -139,9 +139,9 @@ def facts(name: Column, output: Column, depth: int = 8) -> Column:
 
 
 def _closest(numbers: Column, value: Column, tolerance: float) -> Column:
-    """The nearest number within tolerance (of the tool's value), the first of equals; else null."""
+    """The nearest number within tolerance (of the tool's value), the first of equals; else null. NaN bears out nothing."""
     rated = F.transform(numbers, lambda v, i: F.struct(F.abs(v - value).alias("diff"), i.alias("i"), v.alias("v")))
-    return F.array_min(F.filter(rated, lambda x: x["diff"] <= F.greatest(F.lit(tolerance), F.abs(x["v"]) * RELATIVE)))
+    return F.array_min(F.filter(rated, lambda x: ~F.isnan(x["v"]) & (x["diff"] <= F.greatest(F.lit(tolerance), F.abs(x["v"]) * RELATIVE))))
 
 
 def _in_range(ranges: Column, lo: Column, hi: Column) -> Column:
@@ -173,6 +173,47 @@ def ground(claimed: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return with_first.select(*claimed.columns, c("__e").isNotNull().alias("grounded"), c("__e")["name"].alias("evidence_tool"), c("__e")["v"].alias("matched"), c("__e")["diff"].alias("diff"))
 
 
+def _axis(x: Column, tolerance: float) -> Column:
+    """A scale on which a number and a claim that it bears out lie within 1.05 of each other: even as far as the tolerance is, logarithmic beyond."""
+    turn = tolerance / RELATIVE
+    far = F.when(F.abs(x) <= turn, F.abs(x) / tolerance).otherwise(1 / RELATIVE + F.log(F.abs(x) / turn) / RELATIVE)
+    return F.when(x < 0, -far).otherwise(far)
+
+
+def ground_asof(claimed: DataFrame, tools: DataFrame, key: str, tolerance: float = TOLERANCE) -> DataFrame:
+    """As ``ground``, with tools as rows: the latest tool call before a claim's step that has evidence counts.
+
+    claimed: key, step_index and a claim; tools: key, step_index and ``tool``. Each distinct claim of a trace meets the numbers in bins near its own, the distinct
+    ranges, and the tools that name its term; what bears it out becomes a list by step, in which each place of the claim looks up the last entry before it.
+    """
+    c = F.col
+    which = ["kind", "num", "lo", "hi", "term"]
+    wanted = claimed.where("kind is not null").select(c(key).alias("k"), *which).distinct()
+    own = tools.select(c(key).alias("k"), c("step_index").alias("step"), "tool")
+    width = 1.1
+    bin_ = lambda x: F.floor(_axis(x, tolerance) / width)
+    asked = wanted.where("kind = 'numeric'").select("k", "num", F.explode(F.array(*[bin_(c("num")) + by for by in (-1, 0, 1)])).alias("bin"))
+    leaves = own.select("k", "step", c("tool.name").alias("name"), F.posexplode("tool.numbers").alias("i", "v")).where("not isnan(v)").withColumn("bin", bin_(c("v")))
+    near = leaves.join(asked, ["k", "bin"]).withColumn("diff", F.abs(c("v") - c("num"))).where(c("diff") <= F.greatest(F.lit(tolerance), F.abs("v") * RELATIVE))
+    null = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    best = near.groupBy("k", "num", "step").agg(F.min(F.struct("diff", "i", "v", "name")).alias("b"))
+    found = best.select("k", F.lit("numeric").alias("kind"), "num", null("lo", "int"), null("hi", "int"), null("term", "string"), F.struct("step", c("b.name").alias("name"), c("b.v").alias("v"), c("b.diff").alias("diff")).alias("e"))
+    bare = F.struct("step", "name", null("v", "double"), null("diff", "double")).alias("e")
+    ranges = own.select("k", "step", c("tool.name").alias("name"), F.explode("tool.ranges").alias("r")).groupBy("k", F.least("r.lo", "r.hi").alias("from"), F.greatest("r.lo", "r.hi").alias("to")).agg(F.collect_set(F.struct("step", "name")).alias("calls"))
+    inside = ranges.join(wanted.where("kind = 'position'"), "k").where("lo between `from` and `to` and hi between `from` and `to`")
+    held = inside.select("k", "lo", "hi", F.explode("calls").alias("call")).distinct().select("k", "lo", "hi", "call.*")
+    found = found.unionByName(held.select("k", F.lit("position").alias("kind"), null("num", "double"), "lo", "hi", null("term", "string"), bare))
+    terms = F.filter(F.array(*[F.lit(t) for t in MOTIF_TERMS]), lambda t: _named(c("tool"), t))
+    named = own.select("k", "step", c("tool.name").alias("name"), F.explode(terms).alias("term")).join(wanted.where("kind = 'motif'").select("k", "term"), ["k", "term"])
+    found = found.unionByName(named.select("k", F.lit("motif").alias("kind"), null("num", "double"), null("lo", "int"), null("hi", "int"), "term", bare))
+    lists = found.groupBy("k", *which).agg(F.array_sort(F.collect_list("e")).alias("calls")).select(c("k").alias("__k"), *[c(w).alias(f"__{w}") for w in which], "calls")
+    same = [c(a).eqNullSafe(c(b)) for a, b in ((key, "__k"), *((w, f"__{w}") for w in which))]
+    met = claimed.join(lists, same, "left")
+    last = F.element_at(F.filter("calls", lambda e: e["step"] < c("step_index")), -1)
+    with_last = met.withColumn("__e", F.when(F.exists("calls", lambda e: e["step"] < c("step_index")), last))
+    return with_last.select(*claimed.columns, c("__e").isNotNull().alias("grounded"), c("__e")["name"].alias("evidence_tool"), c("__e")["v"].alias("matched"), c("__e")["diff"].alias("diff"))
+
+
 def explode_claims(traces: DataFrame, text: str) -> DataFrame:
     """A row for each claim, with ``claim_ord``; a trace without claims keeps one row of nulls."""
     fields = ["kind", "raw", "num", "lo", "hi", "term", "start", "end", "role"]

@@ -119,12 +119,28 @@ def preference_run(pool: DataFrame, config: PairConfig | None = None) -> dict[st
     return {"traces": traces, "diversity": diversity(traces, "prompt_id"), "pairs": pairs, "pairs_by_type": by_type, "pairs_total": total}
 
 
-def structured_claims(traces: DataFrame, key: str, trace: str = "trace") -> DataFrame:
+SHORT = 32  # steps of a trace that is checked within its row
+
+
+def structured_claims(traces: DataFrame, key: str, trace: str = "trace", short: int = SHORT) -> DataFrame:
     """A row for each claim of every reasoning step, with ``step_index``, checked against the tool calls before that step only.
 
     trace: an array of steps in order, structs of step_type ("tool_call" or "reasoning"), text, and tool (name, numbers, ranges, text and keys, as in
-    ``grounding``). The latest tool that has evidence counts. A trace without reasoning steps keeps one row of nulls.
+    ``grounding``). The latest tool that has evidence counts. A trace without reasoning steps keeps one row of nulls. Keys are unique.
+
+    In a trace of few steps each step takes along the tools before it; steps and calls of longer ones become rows that meet by trace and value.
     """
+    few = F.coalesce(F.size(trace), F.lit(0)) <= short
+    within = _claims_within(traces.where(few), key, trace)
+    long = traces.where(~few).select(key, F.posexplode(trace).alias("step_index", "step"))
+    calls = long.where("step.step_type = 'tool_call'").select(key, "step_index", "step.tool")
+    said = long.where("step.step_type = 'reasoning'").select(key, "step_index", F.col("step.text").alias("reasoning"))
+    silent = traces.where(~few & ~F.exists(trace, lambda s: s["step_type"] == "reasoning")).select(key, F.lit(None).cast("int").alias("step_index"), F.lit(None).cast("string").alias("reasoning"))
+    claimed = grounding.explode_claims(said.unionByName(silent), "reasoning").drop("reasoning")
+    return within.unionByName(grounding.ground_asof(claimed, calls, key))
+
+
+def _claims_within(traces: DataFrame, key: str, trace: str) -> DataFrame:
     steps = F.transform(trace, lambda s, i: F.struct(i.alias("step_index"), s.alias("step")))
     reasoned = F.filter(steps, lambda x: x["step"]["step_type"] == "reasoning")
     before = lambda i: F.transform(F.filter(F.slice(trace, F.lit(1), i), lambda s: s["step_type"] == "tool_call"), lambda s: s["tool"])

@@ -153,14 +153,23 @@ def ground_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interleaved_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces of a reasoning step before, between and after two tool calls: each step knows only the tools before it."""
+    return _interleaved(spark, sf_dir, short=traces.SHORT)
+
+
+def _interleaved(spark: SparkSession, sf_dir: str, short: int) -> DataFrame:
     rows = bridge.facts(spark, sf_dir)
     tool = lambda i: F.struct(F.lit("tool_call").alias("step_type"), F.lit(None).cast("string").alias("text"), F.get("tools", F.lit(i)).alias("tool"))
     none = F.get("tools", F.lit(9))
     said = F.struct(F.lit("reasoning").alias("step_type"), F.col("body").alias("text"), none.alias("tool"))
-    claims = traces.structured_claims(rows.select("id", F.array(said, tool(0), said, tool(1), said).alias("trace")), "id")
+    claims = traces.structured_claims(rows.select("id", F.array(said, tool(0), said, tool(1), said).alias("trace")), "id", short=short)
     return claims.where("kind is not null").select("id", "step_index", "kind", "claim_ord", "grounded", "evidence_tool")
 
 
+def interleaved_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same traces, with their steps as rows that meet by trace and value."""
+    return _interleaved(spark, sf_dir, short=0)
+
+
 def mock_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain over the bridge sequences: tools, prompt, injected completion, claims, grounding, report."""
     samples = bridge.silk(spark, sf_dir).select("id", F.col("seq").alias("sequence"), *[F.lit("").alias(c) for c in ("family", "genus", "species", "protein_category")])
@@ -280,7 +289,8 @@ SELECT id, {_r('outcome * 0.4::DOUBLE + coherence * 0.15::DOUBLE + grounding_sco
     "staged_reward": f"""{_ALL}, {_ANSWER} SELECT id, {_r('outcome * 0.6::DOUBLE + coherence * 0.4::DOUBLE', 3)} AS stage_1,
 {_r('outcome * 0.5::DOUBLE + coherence * 0.25::DOUBLE + grounding_score * 0.25::DOUBLE', 3)} AS stage_2 FROM rew JOIN report USING (id)""",
 }
+ORACLES["interleaved_long"] = ORACLES["interleaved_trace"]
 QUERIES = [
     claims_numeric, claims_position, claims_motif, claim_roles, ground_numeric, ground_position, ground_motif, trace_report, batch_audit, audit_kinds, worst_traces, trace_assemble,
-    reasoning_steps, answer_parse, outcome_reward, expressed_confidence, calibration_reward, calibration_grouped, staged_reward, staged_reward_judged, seq_validation, validation_passed, ground_tools, interleaved_trace, mock_pilot, prompt_build,
+    reasoning_steps, answer_parse, outcome_reward, expressed_confidence, calibration_reward, calibration_grouped, staged_reward, staged_reward_judged, seq_validation, validation_passed, ground_tools, interleaved_trace, interleaved_long, mock_pilot, prompt_build,
 ]
