@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compat import seeded
 from ..functions.sequence import with_tools
-from ..sources import completions, datasets, sinks
+from ..sources import completions, datasets, parts, sinks
 from ..sources.scratch import written
 from . import grounding, pairs, stats, traces
 
@@ -79,11 +79,47 @@ def run_pairs(
     pool.write.mode("overwrite").parquet(f"{output}/pool")
     pool = spark.read.parquet(f"{output}/pool")
     run = traces.preference_run(pool, config)
-    full = pairs.with_texts(run["pairs"], run["traces"], "trace_id")
-    sinks.write_pool(output, settings, {"pairs": full, "diversity": run["diversity"], "pairs_by_type": run["pairs_by_type"], "pairs_total": run["pairs_total"], "errors": pool.where("error is not null").select(*completions.SLOT, "error")})
+    sinks.write_pool(output, settings, pool_tables(pool, run))
     return run | {"pool": pool}
 
 
+def pool_tables(pool: DataFrame, run: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables that are kept of a scored pool and its ``traces.preference_run``."""
+    full = pairs.with_texts(run["pairs"], run["traces"], "trace_id")
+    return {"pairs": full, "diversity": run["diversity"], "pairs_by_type": run["pairs_by_type"], "pairs_total": run["pairs_total"], "errors": pool.where("error is not null").select(*completions.SLOT, "error")}
+
+
+def start_pool(spark: SparkSession, path: str, slots: DataFrame, llm: Callable[[str], str] = completions.no_llm, settings: dict | None = None, tolerance: float = 0.1, config: pairs.PairConfig | None = None) -> None:
+    """Answers and scores slots into a folder that ``backfill`` can complete in place (see ``sources.parts``)."""
+    tools = traces.tool_table(slots)
+    pool = written(traces.score(written(traces.answered(slots, tools, llm)), tools, tolerance))
+    parts.put(spark, path, {"pool": pool, **pool_tables(pool, traces.preference_run(pool, config))}, "prompt_id", settings or {})
+
+
+def backfill(spark: SparkSession, path: str, slots: DataFrame, llm: Callable[[str], str] = completions.no_llm, settings: dict | None = None, tolerance: float = 0.1, config: pairs.PairConfig | None = None) -> int:
+    """Asks for the slots that failed once more, and tells how many these were. slots: those of the whole run, which must be as they were.
+
+    Only parts of the pool with a failed slot are written anew; what is kept is not scored again. The tables made from the pool follow, and all of them change at once.
+    """
+    had = parts.manifest(spark, path)["settings"]
+    for name, value in (settings or {}).items():
+        if had.get(name) != value:
+            raise ValueError(f"the prior run had {name}={had.get(name)}, not {value}")
+    prior = parts.read(spark, path, "pool")
+    failed = written(prior.where("error is not null").select(*completions.SLOT))
+    todo, kept = completions.resume(slots, prior, failed)
+    touched = [r[0] for r in failed.select(parts.part(F.col("prompt_id"))).distinct().collect()]  # PARTS at most
+    if not touched:
+        return 0
+    tools = traces.tool_table(todo)
+    new = traces.score(written(traces.answered(todo, tools, llm)), tools, tolerance)
+    filled = written(kept.where(parts.part(F.col("prompt_id")).isin(touched)).unionByName(new))
+    rest = prior.where(~parts.part(F.col("prompt_id")).isin(touched))
+    whole = rest.unionByName(filled)
+    parts.put(spark, path, {"pool": filled, **pool_tables(whole, traces.preference_run(whole, config))}, "prompt_id", only={"pool": touched})
+    return failed.count()
+
+
 def compare(answers: DataFrame, fitted: dict[str, DataFrame], dataset: DataFrame, reps: int = stats.REPS, tolerance: float = 0.1, seed: int = 0) -> DataFrame:
     """section, label, target, metric, value: rank correlations with intervals, length diagnostics, absolute errors, and shares within tolerance.
 

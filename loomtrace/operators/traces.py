@@ -114,7 +114,7 @@ def preference_run(pool: DataFrame, config: PairConfig | None = None) -> dict[st
     """Buckets, diversity, pairs and their summary of a scored pool."""
     config = config or PairConfig(agree=same_answer(0.05))
     traces = pool.where("error is null").withColumn("bucket", bucket(F.col("grounding_score"), F.col("is_correct"), config.threshold))
-    pairs = build_pairs(traces, "prompt_id", "trace_id", config)
+    pairs = written(build_pairs(traces, "prompt_id", "trace_id", config))  # read by both summaries and where texts join in
     by_type, total = summarize(pairs)
     return {"traces": traces, "diversity": diversity(traces, "prompt_id"), "pairs": pairs, "pairs_by_type": by_type, "pairs_total": total}
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compat import py_round
-from ..operators import grounding, traces
-from ..sources import datasets, sinks
+from ..operators import drivers, grounding, traces
+from ..sources import datasets, parts, sinks
 from ..sources.scratch import scratch
 from . import bridge, sequence_queries, trace_queries
 
@@ -83,6 +85,40 @@ def scored_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.select("prompt_id", "trace_kind", F.col("k").cast("int").alias("k"), py_round(F.col("mae"), 4).alias("mae"), "is_correct", py_round(F.col("grounding_score"), 4).alias("grounding_score"))
 
 
+def _spacer(prompt: str) -> str:
+    """With the tools' outputs a claim that they may bear out, without them one that they can't."""
+    claim = "glycine-rich spacer" if "Tool outputs" in prompt else "random coil"
+    return f'<reasoning>It has a {claim}.</reasoning><answer>{{"strength": 0.5, "toughness": 0.5}}</answer>'
+
+
+def _spacer_at_times(prompt: str) -> str:
+    if prompt.partition("Sequence: ")[2][:1] in ("A", "P"):
+        raise ConnectionError("no answer")
+    return _spacer(prompt)
+
+
+def backfilled_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pool whose connector fails for some sequences, completed in place: counts from all of its tables, as read back, and of parts that keep their files."""
+    path = scratch(spark)
+    slots = traces.slots(_samples(spark, sf_dir), 2, 1)
+    drivers.start_pool(spark, path, slots, _spacer_at_times, {"k_samples": 2})
+    first = parts.manifest(spark, path)["tables"]["pool"]["files"]
+    n_failed = drivers.backfill(spark, path, slots, _spacer, {"k_samples": 2})
+    last = parts.manifest(spark, path)["tables"]["pool"]["files"]
+    counts = spark.createDataFrame([("failed at first", n_failed), ("parts that stay", sum(last.get(p) == v for p, v in first.items()))], "name string, n long")
+    read = lambda name: parts.read(spark, path, name)
+    n = F.count("*").alias("n")
+    more = [
+        read("pool").groupBy(F.concat_ws(" ", F.lit("pool"), "trace_kind", "is_correct", F.col("grounding_score").cast("int")).alias("name")).agg(n),
+        read("errors").groupBy(F.lit("errors").alias("name")).agg(n),
+        read("pairs").groupBy(F.concat(F.lit("pairs "), "pair_type").alias("name")).agg(n),
+        read("pairs_by_type").select(F.concat(F.lit("by type "), "pair_type").alias("name"), F.col("n_pairs").alias("n")),
+        read("pairs_total").select(F.lit("total").alias("name"), F.col("n_pairs").alias("n")),
+        read("diversity").select(F.lit("diverse").alias("name"), F.col("n_diverse").alias("n")),
+    ]
+    return reduce(DataFrame.unionByName, more, counts)
+
+
 def pilot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pilot's JSON: claims and grounded claims by kind, as read from its traces."""
     path = scratch(spark)
@@ -125,6 +161,14 @@ ORACLES = {
     "mock_pilot": f"{_MOCK} SELECT id, 4::BIGINT AS n_direct, n AS n_direct_grounded, 0::BIGINT AS n_contrastive, 0::BIGINT AS n_contrastive_grounded, n / 4 AS grounding_score, NULL::DOUBLE AS contrastive_score FROM mock",
     "scored_pool": f"""{_MOCK} SELECT id::VARCHAR AS prompt_id, s.trace_kind, s.k::INT AS k, {_r("mae")} AS mae, mae <= 0.1::DOUBLE AS is_correct, {_r("n / 4")} AS grounding_score
 FROM (SELECT *, (abs(0.5::DOUBLE - ((id % 7) + 7) % 7 / 10.0::DOUBLE) + abs(0.5::DOUBLE - ((id % 5) + 5) % 5 / 10.0::DOUBLE)) / 2 AS mae FROM mock WHERE id % 3 <> 0), (VALUES ('grounded', 0), ('grounded', 1), ('shortcut', 0)) s(trace_kind, k)""",
+    "backfilled_pool": f"""WITH {bridge.SILK}, {_cte(sequence_queries._SPANS)}, has AS (SELECT DISTINCT id FROM spans WHERE motif = 'glycine_rich_spacer'),
+p AS (SELECT id::VARCHAR AS prompt_id, substr(seq, 1, 1) IN ('A', 'P') AS fails, id IN (SELECT id FROM has) AS hit, (abs(0.5::DOUBLE - ((id % 7) + 7) % 7 / 10.0::DOUBLE) + abs(0.5::DOUBLE - ((id % 5) + 5) % 5 / 10.0::DOUBLE)) / 2 <= 0.1::DOUBLE AS ok,
+  ('0x' || substr(md5(id::VARCHAR), 1, 4))::INT % {parts.PARTS} AS part FROM silk WHERE id % 3 <> 0),
+pool AS (SELECT p.*, kind, CASE WHEN kind = 'grounded' AND hit THEN 1 ELSE 0 END AS score FROM p, (VALUES ('grounded'), ('grounded'), ('shortcut')) v(kind)),
+pair AS (SELECT 'same_answer' AS pair_type, 2 * count(*) AS n FROM p WHERE ok AND hit UNION ALL SELECT 'anti_shortcut', count(*) FROM p WHERE NOT ok AND hit),
+t AS (SELECT 'failed at first' AS name, 3 * count(*) AS n FROM p WHERE fails UNION ALL SELECT 'parts that stay', count(*) FROM (SELECT part FROM p GROUP BY part HAVING NOT bool_or(fails))
+UNION ALL SELECT concat_ws(' ', 'pool', kind, ok, score), count(*) FROM pool GROUP BY ALL UNION ALL SELECT 'pairs ' || pair_type, n FROM pair WHERE n > 0 UNION ALL SELECT 'by type ' || pair_type, n FROM pair WHERE n > 0
+UNION ALL SELECT 'total', sum(n) FROM pair UNION ALL SELECT 'diverse', count(*) FROM p WHERE hit) SELECT name, n::BIGINT AS n FROM t""",
     "pilot_files": f"{trace_queries._ALL} SELECT kind, role, count(*) AS n, count(*) FILTER (grounded) AS n_grounded FROM every GROUP BY kind, role",
 }
-QUERIES = [load_csv, load_counts, load_jsonl, load_json, scored_pool, pilot_files, claims_in_texts]
+QUERIES = [load_csv, load_counts, load_jsonl, load_json, scored_pool, backfilled_pool, pilot_files, claims_in_texts]
