@@ -8,7 +8,8 @@ keep what is connected, and number fewer than the nodes.
 
 Cases. Null or empty text: fingerprint zero, linked like any other. Fewer words than a shingle: the whole sequence is the
 one shingle. Repeated rows and equal texts: one node. A null id: the row keeps its fingerprint, and its component
-is that of its fingerprint, null if no other row has it. Empty table: no rows. Extra columns are ignored.
+is that of its fingerprint, null if no other row has it. Rows that share an id count as one document with several fingerprints: what links to one of them is reached
+(``keep_one`` tells them apart). Very long texts are hashed whole, one at a time. Empty table: no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.stats import numbered
 from . import words as hashed
 from .common import let_go, stored, table
 from .graph import components
@@ -422,7 +424,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: s
     tried = stored(near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     sets = _sets(docs, stored(ends(tried)), ident, text, shingle)
     confirmed = stored(similar(tried, sets, least))
-    again, most = None, 16
+    again, most, done = None, 16, [keys, held, tried, sets]
     while True:
         of = components(confirmed, "a", "b")
         rows = held.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
@@ -432,10 +434,13 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: s
         found = stored(split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_searcher(limit, least, most), "a long, b long, again long").distinct())
         new = stored(found.where("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            sets = sets.unionByName(_sets(docs, stored(ends(new).join(sets, "id", "left_anti")), ident, text, shingle))
+            own_sets, before = _sets(docs, stored(ends(new).join(sets, "id", "left_anti")), ident, text, shingle), confirmed
+            sets, done = sets.unionByName(own_sets), [*done, own_sets, before]
             confirmed = stored(confirmed.unionByName(similar(new, sets, least)))
         again = found.where("again is not null").select(F.col("again").alias("key")).distinct()
+        done += [found, new]
         if again.isEmpty():
+            let_go(spark, *done)
             return confirmed
         tried, most = tried.unionByName(new), most * 16
 
@@ -473,9 +478,25 @@ def segments_for(n: int, radius: int) -> int:
     return narrow if n <= 1 << 20 else wide
 
 
-def keep_one(docs: DataFrame, ident: str = "doc_id", **how) -> DataFrame:
-    """The rows whose id is the least of its group; the columns stay as they are. Rows without an id stay."""
-    extra = near_components(docs, ident, **how).where(F.col("component_id") < F.col(ident)).select(F.col(ident).alias("__gone")).distinct()
+def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row of each group: that of least id; the columns stay as they are. Rows without an id stay.
+
+    Where an id has several rows, each of its texts is a document of its own, in the order of a 64-bit hash of the text behind the id; of rows that have
+    id and text in common the least by all columns stays.
+    """
+    if docs.where(docs[ident].isNotNull()).groupBy(ident).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty():
+        return _without(docs, ident, text, how)
+    given = docs.where(docs[ident].isNotNull()).withColumn("__hash", F.xxhash64(text))
+    rows = numbered(given.select(ident, "__hash").distinct(), "__row", ident, "__hash")
+    whole = given.join(rows, [ident, "__hash"]).groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("__d"))
+    single = stored(whole.select("__row", "__d.*"))
+    kept = _without(single, "__row", text, how).drop("__row")
+    return kept.unionByName(docs.where(docs[ident].isNull()))
+
+
+def _without(docs: DataFrame, ident: str, text: str, how: dict) -> DataFrame:
+    """The rows whose id, of which each has one at most, is the least of its group."""
+    extra = near_components(docs, ident, text, **how).where(F.col("component_id") < F.col(ident)).select(F.col(ident).alias("__gone")).distinct()
     extra = stored(extra)  # Spark sees its size: few ids are broadcast, and texts then stay where they are
     return docs.join(extra, docs[ident] == extra["__gone"], "left_anti")
 

@@ -170,6 +170,19 @@ def substring_rows(seed):
     return [*rows, (100, rows[3][1]), (101, rows[3][1]), (None, rows[5][1]), (None, rows[5][1]), (102, None), (103, ""), (104, "x " * 400), (105, "x " * 30), (7, rows[7][1])]
 
 
+@pytest.mark.parametrize("how", [{}, {"shingle": 5, "limit": 96, "words": 4, "repeats": False, "least": 0.8}])
+def test_repeated_ids_lose_no_text(spark, how):
+    """Each text of an id is a document; of equal rows one stays."""
+    a, b, c, t = (" ".join(f"{x}{i}" for i in range(60)) for x in "abct")
+    rows = [(5, a, "x"), (9, a, "x"), (9, b, "x"), (9, c, "x"), (30, t, "y"), (30, t, "y"), (30, t, "a"), (31, t.upper(), "y"), (None, a, "n"), (None, a, "n"), (40, None, "e"), (40, "", "e"), (41, "", "e")]
+    for parts in (1, 4):
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts), **how).collect()
+        found = sorted(((r["doc_id"], r["text"], r["source"]) for r in kept), key=repr)
+        empty = [r for r in found if r[0] in (40, 41)]
+        assert len(empty) == 1 and empty[0][0] == 40
+        assert [r for r in found if r[0] not in (40, 41)] == sorted([(5, a, "x"), (9, b, "x"), (9, c, "x"), (30, t, "a"), (None, a, "n"), (None, a, "n")], key=repr)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substrings_match_brute_force(spark, seed):
     rows = substring_rows(seed)
