@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as hashed
-from .common import table
+from .common import table, thrifty
 
 CAPACITIES = (512, 1024, 2048, 4096)
 BLOCK, BLOCK_CHARS = 8192, 48 << 20
@@ -129,7 +129,7 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, ident: str
         block, made = None, 0
         for batch in batches:
             blocks = batch.column("block").to_pylist()
-            sizes = [len(x) for x in batch.column("text").to_pylist()] if with_text else None
+            sizes = pa.compute.utf8_length(batch.column("text")).to_pylist() if with_text else None
             start = 0
             for i in range(len(blocks)):
                 if blocks[i] != block or n + i - start >= 2 * BLOCK or chars >= BLOCK_CHARS:
@@ -165,13 +165,13 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, ident: str
 
     names = [ident, "piece", "first_word", "n_words", "bin_id", "bin_capacity", "bin_used", "bin_offset", *["text"] * with_text]
     text_field = ", text string" * with_text
-    cut_rows = rows.mapInArrow(cut_up, f"id {kind}, again long, piece int, first_word long, n_words long, length int{text_field}")
+    cut_rows = rows.mapInArrow(thrifty(cut_up), f"id {kind}, again long, piece int, first_word long, n_words long, length int{text_field}")
     h = F.xxhash64("id", "piece", "again")
     block = F.expr(f"shiftrightunsigned(h, {64 - bits})") if bits else F.lit(0).cast("long")
     dealt = cut_rows.withColumn("h", h).select(block.alias("block"), "h", *cut_names)
     ready = dealt.repartition("block").sortWithinPartitions("block", "h", "piece", "length").drop("again", "h")
     schema = f"`{ident}` {kind}, piece int, first_word long, n_words long, bin_id long, bin_capacity int, bin_used int, bin_offset int{text_field}"
-    return ready.mapInArrow(fill, schema)
+    return ready.mapInArrow(thrifty(fill), schema)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

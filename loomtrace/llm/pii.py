@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, thrifty
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "id")
@@ -137,6 +137,7 @@ def mask(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
+SLICE = 512  # rows whose texts are Python strings at a time
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
@@ -149,7 +150,7 @@ def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(rows, SPANS)], names=[*keep, "spans"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "spans array<struct<start:int,kind:string,end:int,score:double>>"])
-    return docs.select(*[docs[c] for c in keep], docs[text].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], docs[text].alias("__text")).mapInArrow(thrifty(run, SLICE), schema)
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -165,7 +166,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
                 cols[i] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run, SLICE), docs.schema)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

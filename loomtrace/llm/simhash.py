@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.stats import numbered
 from . import words as hashed
-from .common import let_go, stored, table
+from .common import let_go, stored, table, thrifty
 from .graph import components
 from .words import remix
 
@@ -305,7 +305,7 @@ def sketches(docs: DataFrame, ident: str, text: str, shingle: int, n_words: int,
                 yield pa.RecordBatch.from_arrays([chunk.column(0), *longs, pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=[ident, *_names(n_words), "n", "keys"])
 
     kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(docs[ident], docs[text]).mapInArrow(run, ", ".join([f"`{ident}` {kind}", *(f"{x} long" for x in _names(n_words)), "n int", "keys array<long>"]))
+    return docs.select(docs[ident], docs[text]).mapInArrow(thrifty(run), ", ".join([f"`{ident}` {kind}", *(f"{x} long" for x in _names(n_words)), "n int", "keys array<long>"]))
 
 
 SET = 5  # bytes of a shingle's hash that the exact look compares
@@ -334,7 +334,7 @@ def similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = links.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(thrifty(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, ident: str, text: str, shingle: int) -> DataFrame:
@@ -347,7 +347,7 @@ def _sets(docs: DataFrame, ids: DataFrame, ident: str, text: str, shingle: int)
                 yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(found, pa.binary())], names=["id", "s"])
 
     texts = docs.select(docs[ident].cast("long").alias("id"), docs[text].alias("text")).join(ids, "id", "left_semi")
-    sets = stored(texts.mapInArrow(run, "id long, s binary"))
+    sets = stored(texts.mapInArrow(thrifty(run), "id long, s binary"))
     return sets if sets.count() == ids.count() else stored(sets.dropDuplicates(["id"]))
 
 
@@ -431,7 +431,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: s
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         mixed = mixed if again is None else mixed.join(again, "key", "left_semi")
         split = in_parts(rows.join(mixed, "key"), F.col("rows")).select("key", "part", "id", "label", "n", "side", *names)
-        found = stored(split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_searcher(limit, least, most), "a long, b long, again long").distinct())
+        found = stored(split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(thrifty(_searcher(limit, least, most)), "a long, b long, again long").distinct())
         new = stored(found.where("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             own_sets, before = _sets(docs, stored(ends(new).join(sets, "id", "left_anti")), ident, text, shingle), confirmed
