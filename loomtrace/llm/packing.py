@@ -145,10 +145,11 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, ident: str
         yield from _filled(held, block, made)
 
     def _filled(held: list[pa.RecordBatch], block: int | None, made: int) -> Iterator[pa.RecordBatch]:
-        held = [b for b in held if b.num_rows]
+        held[:] = [b for b in held if b.num_rows]
         if not held:
             return
         whole = pa.Table.from_batches(held).combine_chunks()
+        held.clear()  # the copy is enough
         lengths = whole.column("length").to_pylist()
         order, ids, caps, used, offsets = [], [], [], [], []
         for i, (capacity, members) in enumerate(pack(lengths, capacities)):
@@ -158,10 +159,12 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, ident: str
                 for col, v in zip((order, ids, caps, used, offsets), (m, (block << 34) + made + i, capacity, own, at), strict=True):
                     col.append(v)
                 at += lengths[m]
-        took = whole.take(pa.array(order, pa.int64())).combine_chunks()
-        col = lambda name: took.column(name).combine_chunks()
-        extra = [pa.array(ids, pa.int64()), pa.array(caps, pa.int32()), pa.array(used, pa.int32()), pa.array(offsets, pa.int32())]
-        yield pa.RecordBatch.from_arrays([col("id"), col("piece"), col("first_word"), col("n_words"), *extra, *([col("text")] if with_text else [])], names=names)
+        for i in range(0, len(order), 512):
+            own = slice(i, i + 512)
+            took = whole.take(pa.array(order[own], pa.int64())).combine_chunks()
+            col = lambda name, took=took: took.column(name).combine_chunks()
+            extra = [pa.array(ids[own], pa.int64()), pa.array(caps[own], pa.int32()), pa.array(used[own], pa.int32()), pa.array(offsets[own], pa.int32())]
+            yield pa.RecordBatch.from_arrays([col("id"), col("piece"), col("first_word"), col("n_words"), *extra, *([col("text")] if with_text else [])], names=names)
 
     names = [ident, "piece", "first_word", "n_words", "bin_id", "bin_capacity", "bin_used", "bin_offset", *["text"] * with_text]
     text_field = ", text string" * with_text

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, table
+from .common import crc_mod, cut, table, thrifty
 
 DECAY, SPAN, LONGEST, STRIDE, POWER = 0.6, 8, 16, 6, 3
 TRAIN_ROWS, TOXIC_LANDMARKS, OTHER_LANDMARKS, MISSPELT = 8000, 128, 12, 12
@@ -280,7 +280,7 @@ def _kernels(rows: DataFrame, keep: str, landmarks: list[bytes]) -> DataFrame:
                 found = memo.sums(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(found), pa.list_(pa.float64()))], names=[keep, "kernels"])
 
-    return rows.mapInArrow(run, f"{keep} {rows.schema[keep].dataType.simpleString()}, kernels array<double>")
+    return rows.mapInArrow(thrifty(run), f"{keep} {rows.schema[keep].dataType.simpleString()}, kernels array<double>")
 
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
@@ -298,11 +298,10 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "tex
                 score = model.score(part.column(at).to_pylist(), memo)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(score, pa.float64())], names=[*keep, out])
         memo.clear()
-        pa.default_memory_pool().release_unused()  # workers stay for the stages after this one
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` double"])
     rows = docs.select(*kept) if text in keep else docs.select(*kept, docs[text].alias("__text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(thrifty(run), schema)
 
 
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
