@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .common import crc_mod, let_go, packed, stored, table, text_bytes, texts_in
+from .common import crc_mod, let_go, packed, stored, table, text_bytes, texts_in, thrifty
 from .words import batch_of, cut_by, found_at, from_bytes, narrow, remix, rows_of, to_bytes
 
 ORDER, BITS, PROBES = 2, 8, 4
@@ -170,8 +170,8 @@ def learn(texts: DataFrame, order: int = ORDER, segment_text: int = SEGMENT_TEXT
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
             yield batch_of([row], ["segment", "part", "tokens", "counts", "total", "distinct"], kinds)
 
-    counted = texts.mapInArrow(count, "segment int, k int, keys binary, n binary")
-    segments = stored(counted.repartition("segment").sortWithinPartitions("segment", "k").mapInArrow(merge, SEGMENT))
+    counted = texts.mapInArrow(thrifty(count), "segment int, k int, keys binary, n binary")
+    segments = stored(counted.repartition("segment").sortWithinPartitions("segment", "k").mapInArrow(thrifty(merge), SEGMENT))
     sums = segments.agg(F.sum("total"), *[F.sum(F.get("distinct", F.lit(k))) for k in range(order)], F.sum(F.octet_length("part") + F.octet_length("tokens") + F.octet_length("counts"))).first()
     total, *distinct, n_bytes = [x or 0 for x in sums]
     return Model(segments, bits, order, total, distinct[0], [max(1.0, b / max(1, a)) for a, b in zip(distinct, distinct[1:], strict=False)], n_bytes)
@@ -265,7 +265,7 @@ def _by_broadcast(rows: DataFrame, model: Model, totals: Totals, ident: str, sch
             for chunk in words.chunks(batch, 1):
                 yield _batch(chunk.column(0), ident, text_scores(tokens_of(chunk.column(1)), totals, lambda x: _found(tokens, counts, x), held.levels))
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(thrifty(run), schema)
 
 
 def _by_exchange(rows: DataFrame, model: Model, totals: Totals, ident: str, schema: str) -> DataFrame:
@@ -315,13 +315,13 @@ def _by_exchange(rows: DataFrame, model: Model, totals: Totals, ident: str, sche
                 said = {1: [], 2: []}
 
     whole = model.segments.select("segment", F.lit(None).cast("long").alias("bucket"), F.lit(0).alias("what"), F.col("part").alias("a"), F.col("tokens").alias("b"), F.col("counts").alias("c"))
-    asks = buckets.mapInArrow(ask, fields).unionByName(whole)
-    answers = asks.repartition("segment").sortWithinPartitions("segment", "what").mapInArrow(answer, fields)
+    asks = buckets.mapInArrow(thrifty(ask), fields).unionByName(whole)
+    answers = asks.repartition("segment").sortWithinPartitions("segment", "what").mapInArrow(thrifty(answer), fields)
     texts = buckets.select("bucket", F.lit(None).cast("int").alias("segment"), F.lit(3).alias("what"), F.lit(None).cast("binary").alias("a"), "ids", "texts")
     nothing = buckets.schema
     both = answers.select("bucket", "segment", "what", "a", F.lit(None).cast(nothing["ids"].dataType).alias("ids"), F.lit(None).cast(nothing["texts"].dataType).alias("texts"))
     ready = both.unionByName(texts).repartition("bucket").sortWithinPartitions("bucket", "what", "segment")
-    return ready.mapInArrow(use, schema)
+    return ready.mapInArrow(thrifty(use), schema)
 
 
 def op2_log_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
