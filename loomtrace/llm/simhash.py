@@ -421,7 +421,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: s
     apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"p.{x}"))) for x in names), F.lit(0))
     few, many = F.least("n", "p.n"), F.greatest("n", "p.n")
     near = pairs.where(((apart <= limit) | (few <= FEW)) & (F.lit(least) * many <= few + F.lit(1e-9)))
-    tried = stored(near.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    # Two hubs are enough to begin with, the nearest and the least: whatever these leave apart, the rounds look at.
+    first = near.select("id", "hub", apart.alias("apart")).groupBy("id").agg(F.min(F.struct("apart", "hub")).alias("nearest"), F.min("hub").alias("least"))
+    tried = stored(first.select(F.explode(F.array_distinct(F.array("nearest.hub", "least"))).alias("a"), F.col("id").alias("b")))
     sets = _sets(docs, stored(ends(tried)), ident, text, shingle)
     confirmed = stored(similar(tried, sets, least))
     again, most, done = None, 16, [keys, held, tried, sets]
