@@ -141,11 +141,15 @@ def compare(answers: DataFrame, fitted: dict[str, DataFrame], dataset: DataFrame
     cells = [F.struct(F.lit(label).alias("label"), F.lit(t).alias("target"), pred(label, t).alias("pred"), F.col(f"truth_{t}").alias("truth")) for label in labels for t in TARGETS]
     long = wide.select("item", "length", F.explode(F.array(*cells)).alias("c")).select("item", "length", "c.*")
     by = ("label", "target")
-    out = [(stats.spearman(long, "pred", "truth", *by), "spearman", ["rho", "n"]), (stats.bootstrap_spearman(long, "pred", "truth", "item", *by, reps=reps, seed=seed), "spearman", ["ci_low", "ci_high"])]
     llm = long.where(F.col("label").isin(*KINDS))
+    # All correlations rank together: a group is one of them.
+    sides = [("spearman", "rho", "pred", "truth"), ("length", "pred_vs_length", "pred", "length"), ("length", "truth_vs_length", "truth", "length")]
+    each = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(m).alias("metric"), F.col(a).alias("a"), F.col(b).alias("b")) for s, m, a, b in sides])
+    both = long.select(*by, F.explode(each).alias("x")).select(*by, "x.*").where((F.col("section") == "spearman") | F.col("label").isin(*KINDS))
+    rho = written(stats.spearman(both, "a", "b", *by, "section", "metric"))
+    out = [(rho.where(F.col("metric") == m).withColumnRenamed("rho", m), s, [m, "n"] if s == "spearman" else [m]) for s, m, _, _ in sides]
     out += [
-        (stats.spearman(llm, "pred", "length", *by).withColumnRenamed("rho", "pred_vs_length"), "length", ["pred_vs_length"]),
-        (stats.spearman(llm, "truth", "length", *by).withColumnRenamed("rho", "truth_vs_length"), "length", ["truth_vs_length"]),
+        (stats.bootstrap_spearman(long, "pred", "truth", "item", *by, reps=reps, seed=seed), "spearman", ["ci_low", "ci_high"]),
         (stats.partial_spearman(llm, "pred", "truth", "length", *by), "length", ["partial_rho"]),
         (stats.bootstrap_partial(llm, "pred", "truth", "length", "item", *by, reps=reps, seed=seed), "length", ["ci_low", "ci_high"]),
     ]
