@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compat import py_round
+from ..functions.text import MOTIF_TERMS
 from ..operators import drivers, grounding, traces
 from ..sources import datasets, parts, sinks
 from ..sources.scratch import scratch
@@ -62,9 +63,9 @@ def load_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of an object each, whose ``data`` lists records."""
+    """Files of an object each, whose ``data`` lists records: those of up to 256 ids."""
     path = f"{scratch(spark)}.json"
-    lists = _raw(spark, sf_dir).groupBy((F.col("id") % 32).alias("file")).agg(F.array_join(F.collect_list(_record()), ",").alias("r"))
+    lists = _raw(spark, sf_dir).groupBy(F.expr("id div 256").alias("file")).agg(F.array_join(F.collect_list(_record()), ",").alias("r"))
     lists.select(F.concat(F.lit('{"data":['), "r", F.lit("]}")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return _loaded(datasets.load_dataset(spark, path)[0])
 
@@ -152,8 +153,23 @@ numbers AS (SELECT id, length(seq) AS v FROM silk UNION ALL SELECT id, lo FROM r
   UNION ALL SELECT id, plus FROM (SELECT id, {sequence_queries._CHARGE} FROM silk) UNION ALL SELECT id, minus FROM (SELECT id, {sequence_queries._CHARGE} FROM silk) UNION ALL SELECT id, plus - minus FROM (SELECT id, {sequence_queries._CHARGE} FROM silk)),
 hits AS (SELECT id, 1 AS hit FROM numbers WHERE abs(v - 98765.4::DOUBLE) <= greatest(0.02::DOUBLE, abs(v) * 0.03::DOUBLE) UNION SELECT id, 4 FROM numbers WHERE abs(v - 9876.0::DOUBLE) <= greatest(0.02::DOUBLE, abs(v) * 0.03::DOUBLE) UNION SELECT id, 2 FROM ranges WHERE lo <= 9876 AND hi >= 9876 UNION SELECT id, 3 FROM spans WHERE motif = 'glycine_rich_spacer'),
 mock AS (SELECT silk.id, count(hit) AS n FROM silk LEFT JOIN hits USING (id) GROUP BY silk.id)"""
+
+
+def _texts_sql() -> str:
+    """Motif terms and percentages of whole texts, without looking behind: chr(2) closes each sign that a number may follow, chr(1) opens the place after it."""
+    blank, digit, a, b = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", r"\p{Nd}", r"\x01", r"\x02"
+    marker = lambda text, n: f"regexp_replace({text}, '(?m)^({blank}*){digit}{{{n}}}\\.({blank})', '\\1' || repeat(chr(2), {n + 1}) || '\\2', 'g')"
+    number = f"{a}-?{digit}+(?:\\.{b})?(?:{a}?{digit}+)?(?:{a}?{blank}{b})*(?:{a}?%)?"
+    terms = "|".join(t.replace("-", "\\-") for t in MOTIF_TERMS)
+    return f"""WITH t AS (SELECT source, text FROM documents UNION ALL SELECT role, text FROM conversations), plain AS (SELECT source, translate(text, chr(1) || chr(2), '') AS text FROM t),
+masked AS (SELECT source, translate({marker(marker("text", 2), 1)}, chr(2), ' ') AS text FROM plain),
+c AS (SELECT source, len(regexp_extract_all(text, '(?i){terms}')) AS motifs, len(list_filter(regexp_extract_all(chr(1) || regexp_replace(text, '([^{digit}-])', '\\1' || chr(2) || chr(1), 'g'), '{number}'), lambda x: contains(x, '%'))) AS percents FROM masked)
+SELECT source, coalesce(sum(motifs), 0)::BIGINT AS n_motif, coalesce(sum(percents), 0)::BIGINT AS n_percent FROM c GROUP BY source"""
+
+
 _r = trace_queries._r
 ORACLES = {
+    "claims_in_texts": _texts_sql(),
     "load_csv": f"{_CSV} SELECT * FROM csv",
     "load_counts": f"{_CSV} SELECT count(*) AS n_samples, count(*) FILTER (strength IS NOT NULL) AS n_with_truth, (SELECT count(*) FROM raw) - count(*) AS n_skipped FROM csv",
     "load_jsonl": _RECORDS,
