@@ -181,6 +181,29 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.with_tools(samples, "sequence").select("id", traces.prompt(traces.tools_json()).alias("prompt"), traces.prompt(None).alias("shortcut_prompt"))
 
 
+#: What ``prompt_fields`` reads of the tools' outputs.
+OUTPUTS = """motif_detector struct<spans:map<string,array<array<int>>>,sequence_length:int>, hydropathy_profile struct<mean_hydropathy:double,window_size:int,most_hydrophobic_span:array<int>,min_window_value:double>,
+charge_profile struct<positive_residues:int,net_charge:int>, beta_sheet_propensity struct<mean_beta_propensity:double,mean_turn_propensity:double,beta_rich_spans:array<array<int>>>,
+repeat_pattern_analyzer struct<dominant_period:int,repeat_score:double,example_repeat_unit:string>, disorder_prediction_chplot struct<boundary_value:double,predicted_disordered:boolean>"""
+
+
+def prompt_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both prompts, read back: the sequence's line, the metadata's and the tools' JSON, and whether the shortcut is the prompt without tools."""
+    family = F.concat(F.lit('a "family"\n'), F.pmod("id", F.lit(4)).cast("string"))
+    samples = bridge.silk(spark, sf_dir).select("id", F.col("seq").alias("sequence"), family.alias("family"), *[F.lit("").alias(c) for c in ("genus", "species", "protein_category")])
+    built = written(traces.with_outputs(samples, traces.tool_table(samples), "outputs").select("id", traces.prompt(F.col("outputs")).alias("prompt"), traces.prompt(None).alias("shortcut")))
+    lines = F.regexp_extract_all("prompt", F.lit("(?m)^(Sequence|Metadata|Tool outputs): (.*)$"), F.lit(2))
+    read = built.select("id", lines.alias("lines"), (F.col("prompt").startswith(F.col("shortcut")) & ~F.col("shortcut").contains("Tool outputs") & (F.regexp_count(F.col("shortcut"), F.lit("\n")) == 3)).alias("shortcut_without_tools"))
+    said = read.select("id", "shortcut_without_tools", F.size("lines").alias("n_lines"), F.get("lines", F.lit(0)).alias("sequence"), F.from_json(F.get("lines", F.lit(1)), "family string")["family"].alias("family"), F.from_json(F.get("lines", F.lit(2)), OUTPUTS).alias("o"))
+    flat = said.select("id", "shortcut_without_tools", "n_lines", "sequence", "family", "o.*")
+    spans = F.aggregate(F.map_values("motif_detector.spans"), F.lit(0), lambda n, x: n + F.size(x))
+    return flat.select(
+        "id", "sequence", "family", "n_lines", "shortcut_without_tools", "motif_detector.sequence_length", spans.alias("n_motif_spans"), "hydropathy_profile.mean_hydropathy", "hydropathy_profile.window_size",
+        F.array_join("hydropathy_profile.most_hydrophobic_span", "-").alias("most_hydrophobic_span"), "hydropathy_profile.min_window_value", "charge_profile.positive_residues", "charge_profile.net_charge", "beta_sheet_propensity.mean_beta_propensity",
+        "beta_sheet_propensity.mean_turn_propensity", F.size("beta_sheet_propensity.beta_rich_spans").alias("n_beta_spans"), "repeat_pattern_analyzer.*", "disorder_prediction_chplot.*",
+    )
+
+
 _C = f"WITH {bridge.COMPLETIONS_SQL}"
 _NUMERIC = """num AS (SELECT id, a, b, c, concat('0.', a + 100) AS raw, concat('0.', a + 100)::DOUBLE AS num FROM completions WHERE t = 0
   UNION ALL SELECT id, a, b, c, concat(a + b, '.'), (a + b)::DOUBLE FROM completions WHERE t = 1 UNION ALL SELECT id, a, b, c, concat(c, '%'), c::DOUBLE FROM completions WHERE t = 1
@@ -235,7 +258,12 @@ pos AS (SELECT id, lo + (id % 3 + 3) % 3 * 2 AS lo, hi + (id % 3 + 3) % 3 * 2 AS
 inside AS (SELECT pos.id, max(tool) AS tool FROM pos LEFT JOIN ranges r ON r.id = pos.id AND pos.lo BETWEEN r.lo AND r.hi AND pos.hi BETWEEN r.lo AND r.hi WHERE pos.hi < 10000 GROUP BY pos.id),
 named AS (SELECT silk.id, count(*) FILTER (motif = 'poly_alanine') > 0 AS ala, count(*) FILTER (motif IN ('glycine_rich_spacer', 'GGX_repeat', 'GPGXX_repeat')) > 0 AS loose FROM silk LEFT JOIN m USING (id) GROUP BY silk.id),
 tool(tool, name) AS (VALUES (1, 'motif_detector'), (2, 'hydropathy_profile'), (3, 'charge_profile'), (4, 'beta_sheet_propensity'), (5, 'repeat_pattern_analyzer'), (6, 'disorder_prediction_chplot'))"""
+_SEVEN = _TOOL_FACTS[: _TOOL_FACTS.index(", ranges AS")]
 ORACLES = {
+    "prompt_fields": f"""{_SEVEN}, ms AS (SELECT id, count(*) AS n FROM m GROUP BY id), bn AS (SELECT id, count(*) AS n FROM bs GROUP BY id)
+SELECT silk.id, seq AS sequence, concat('a "family"', chr(10), (silk.id % 4 + 4) % 4) AS family, 3 AS n_lines, true AS shortcut_without_tools, length(seq)::INT AS sequence_length, coalesce(ms.n, 0)::INT AS n_motif_spans, mean_hydropathy, window_size,
+most_hydrophobic_span, min_window_value, positive_residues, net_charge, mean_beta_propensity, mean_turn_propensity, coalesce(bn.n, 0)::INT AS n_beta_spans, dominant_period, repeat_score, example_repeat_unit, boundary_value, predicted_disordered
+FROM silk JOIN h USING (id) JOIN q USING (id) JOIN b USING (id) JOIN p USING (id) JOIN d USING (id) LEFT JOIN ms ON ms.id = silk.id LEFT JOIN bn ON bn.id = silk.id""",
     "ground_tools": f"""{_TOOL_FACTS}, g AS (SELECT num.id, 'numeric' AS kind, num.i AS o, best.tool, best.diff FROM num LEFT JOIN best USING (id, i) UNION ALL SELECT id, 'position', 6, tool, NULL FROM inside
   UNION ALL SELECT id, 'motif', 7, CASE WHEN ala THEN 1 END, NULL FROM named UNION ALL SELECT id, 'motif', 8, CASE WHEN loose THEN 1 END, NULL FROM named),
 -- Ends of three digits and more are numbers too: the first of the position's two, behind the six.
@@ -292,5 +320,5 @@ SELECT id, {_r('outcome * 0.4::DOUBLE + coherence * 0.15::DOUBLE + grounding_sco
 ORACLES["interleaved_long"] = ORACLES["interleaved_trace"]
 QUERIES = [
     claims_numeric, claims_position, claims_motif, claim_roles, ground_numeric, ground_position, ground_motif, trace_report, batch_audit, audit_kinds, worst_traces, trace_assemble,
-    reasoning_steps, answer_parse, outcome_reward, expressed_confidence, calibration_reward, calibration_grouped, staged_reward, staged_reward_judged, seq_validation, validation_passed, ground_tools, interleaved_trace, interleaved_long, mock_pilot, prompt_build,
+    reasoning_steps, answer_parse, outcome_reward, expressed_confidence, calibration_reward, calibration_grouped, staged_reward, staged_reward_judged, seq_validation, validation_passed, ground_tools, interleaved_trace, interleaved_long, mock_pilot, prompt_build, prompt_fields,
 ]
