@@ -228,6 +228,16 @@ def passed_fraction(checks: DataFrame) -> DataFrame:
     return checks.agg(F.count("*").alias("n_checks"), F.coalesce(F.avg(F.col("passed").cast("int")), F.lit(1.0)).alias("passed_fraction"))
 
 
+def expectations(df: DataFrame, name: str, seq: str, wanted: str, unwanted: str) -> DataFrame:
+    """name, check, passed: whether each sequence shows the motifs that it should (an array of names), and none that it shouldn't. A null array asks for nothing; a null sequence shows nothing."""
+    names = F.map_keys(motif_spans(clean(F.coalesce(seq, F.lit("")))))
+    held = df.select(name, wanted, unwanted, names.alias("__found"))
+    one = lambda word, passed: lambda m: F.struct(F.concat(m, F.lit(word)).alias("check"), passed(m).alias("passed"))
+    there = lambda m: F.array_contains("__found", m)
+    checks = F.concat(F.transform(F.coalesce(wanted, F.array().cast("array<string>")), one(" detected", there)), F.transform(F.coalesce(unwanted, F.array().cast("array<string>")), one(" absent", lambda m: ~there(m))))
+    return held.select(name, F.explode_outer(checks).alias("x")).where("x is not null").select(name, "x.*")
+
+
 def validate(spark: SparkSession) -> DataFrame:
     """sequence_name, check, passed, detail: what the tools must say of the two control sequences; two checks only report."""
     both = spark.createDataFrame([(MASP_UNIT * MASP_COPIES, PYSP)], "masp string, pysp string")

@@ -136,6 +136,23 @@ def validation_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.passed_fraction(sequence.validate(spark))
 
 
+#: The motifs of ``bridge.BLOCKS``, which sequences have at both ends; and letters without which a motif can't be.
+PLANTED = [["poly_alanine"], ["GGX_repeat", "glycine_rich_spacer"], ["GPGXX_repeat"], ["proline_rich_turn"], []]
+NEEDED = {"poly_alanine": "AAA", "GGX_repeat": "GG", "GPGXX_repeat": "GPG"}
+
+
+def planted_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the motifs at a sequence's ends are detected, and those whose letters it lacks are not."""
+    rows = bridge.silk(spark, sf_dir).where("id >= 0")
+    lists = F.array(*[F.array(*[F.lit(m) for m in block]).cast("array<string>") for block in PLANTED])
+    lacking = F.array_compact(F.array(*[F.when(~F.col("seq").contains(letters), F.lit(m)) for m, letters in NEEDED.items()]))
+    return sequence.expectations(rows.withColumns({"wanted": F.get(lists, (F.col("id") % 5).cast("int")), "unwanted": lacking}), "id", "seq", "wanted", "unwanted")
+
+
+def planted_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.passed_fraction(planted_checks(spark, sf_dir))
+
+
 def ground_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims made from the tools' own values, some off by 2.9 or 3.1 % or by half, and spans moved by up to four residues, against the tools' outputs as nested JSON."""
     rows = sequence.with_tools(bridge.silk(spark, sf_dir), "seq")
@@ -258,8 +275,13 @@ pos AS (SELECT id, lo + (id % 3 + 3) % 3 * 2 AS lo, hi + (id % 3 + 3) % 3 * 2 AS
 inside AS (SELECT pos.id, max(tool) AS tool FROM pos LEFT JOIN ranges r ON r.id = pos.id AND pos.lo BETWEEN r.lo AND r.hi AND pos.hi BETWEEN r.lo AND r.hi WHERE pos.hi < 10000 GROUP BY pos.id),
 named AS (SELECT silk.id, count(*) FILTER (motif = 'poly_alanine') > 0 AS ala, count(*) FILTER (motif IN ('glycine_rich_spacer', 'GGX_repeat', 'GPGXX_repeat')) > 0 AS loose FROM silk LEFT JOIN m USING (id) GROUP BY silk.id),
 tool(tool, name) AS (VALUES (1, 'motif_detector'), (2, 'hydropathy_profile'), (3, 'charge_profile'), (4, 'beta_sheet_propensity'), (5, 'repeat_pattern_analyzer'), (6, 'disorder_prediction_chplot'))"""
+_PLANTED = f"""WITH m AS ({_O["seq_motif_spans"]}), {bridge.SILK.strip()}, f AS (SELECT DISTINCT id, motif FROM m), w AS (SELECT id, unnest({PLANTED}[(id % 5 + 1)::INT]) AS motif FROM silk WHERE id >= 0),
+u AS (SELECT id, n.motif FROM silk JOIN (VALUES {', '.join(f"('{m}', '{x}')" for m, x in NEEDED.items())}) n(motif, x) ON NOT contains(seq, n.x) WHERE id >= 0),
+c AS (SELECT w.id, w.motif || ' detected' AS "check", f.id IS NOT NULL AS passed FROM w LEFT JOIN f USING (id, motif) UNION ALL SELECT u.id, u.motif || ' absent', f.id IS NULL FROM u LEFT JOIN f USING (id, motif))"""
 _SEVEN = _TOOL_FACTS[: _TOOL_FACTS.index(", ranges AS")]
 ORACLES = {
+    "planted_checks": f"{_PLANTED} SELECT * FROM c",
+    "planted_fraction": f"{_PLANTED} SELECT count(*) AS n_checks, coalesce(avg(passed::INT), 1.0::DOUBLE) AS passed_fraction FROM c",
     "prompt_fields": f"""{_SEVEN}, ms AS (SELECT id, count(*) AS n FROM m GROUP BY id), bn AS (SELECT id, count(*) AS n FROM bs GROUP BY id)
 SELECT silk.id, seq AS sequence, concat('a "family"', chr(10), (silk.id % 4 + 4) % 4) AS family, 3 AS n_lines, true AS shortcut_without_tools, length(seq)::INT AS sequence_length, coalesce(ms.n, 0)::INT AS n_motif_spans, mean_hydropathy, window_size,
 most_hydrophobic_span, min_window_value, positive_residues, net_charge, mean_beta_propensity, mean_turn_propensity, coalesce(bn.n, 0)::INT AS n_beta_spans, dominant_period, repeat_score, example_repeat_unit, boundary_value, predicted_disordered
@@ -321,4 +343,5 @@ ORACLES["interleaved_long"] = ORACLES["interleaved_trace"]
 QUERIES = [
     claims_numeric, claims_position, claims_motif, claim_roles, ground_numeric, ground_position, ground_motif, trace_report, batch_audit, audit_kinds, worst_traces, trace_assemble,
     reasoning_steps, answer_parse, outcome_reward, expressed_confidence, calibration_reward, calibration_grouped, staged_reward, staged_reward_judged, seq_validation, validation_passed, ground_tools, interleaved_trace, interleaved_long, mock_pilot, prompt_build, prompt_fields,
+    planted_checks, planted_fraction,
 ]

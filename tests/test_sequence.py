@@ -117,3 +117,13 @@ def test_match_offsets(spark, pattern):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", matches(F.col("t"), pattern).alias("m")).collect()
     for r in got:
         assert [tuple(m) for m in r["m"]] == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, r["t"])]
+
+
+def test_expectations(spark):
+    rows = [("a", "a" * 12, ["poly_alanine", "GGX_repeat"], ["proline_rich_turn"]), ("b", "", None, ["poly_alanine"]), ("c", None, ["poly_alanine"], []), ("d", "GG", None, None), ("a", "A" * 12, [], ["poly_alanine"])]
+    got = S.expectations(spark.createDataFrame(rows, "name string, seq string, wanted array<string>, unwanted array<string>"), "name", "seq", "wanted", "unwanted").collect()
+    # Runs of alanine count as the turn too.
+    said = sorted((r["name"], r["check"], r["passed"]) for r in got if r["name"] != "c")
+    assert said == [("a", "GGX_repeat detected", False), ("a", "poly_alanine absent", False), ("a", "poly_alanine detected", True), ("a", "proline_rich_turn absent", False), ("b", "poly_alanine absent", True)]
+    assert [bool(r["passed"]) for r in got if r["name"] == "c"] == [False]
+    assert S.passed_fraction(spark.createDataFrame(got, "name string, check string, passed boolean")).first()["n_checks"] == 6
