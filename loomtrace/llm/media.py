@@ -2,7 +2,9 @@
 
 Cases. A null or empty payload is stored as one block of 64 zero bytes. Bytes that are not Matroska give no
 packets and a message in ``error``; packets found before the fault stay. A null file gives no packets and no
-error. Equal payloads give equal files. Extra columns of the input are kept by ``to_matroska`` (a column named
+error. A block group without a reference to another block is a keyframe. Frames of a lace share their block's duration, or have their track's default one each; without both
+the duration is null and the lace has one time. ``encoding`` tells what stored bytes went through (null: nothing): header, whose cut-off bytes are in ``prefix``, zlib, bzlib, lzo or encrypted;
+``packet_bytes`` undoes the first two. A wrong CRC-32 is an error. A very long text is one file in one task; an empty table gives no rows. Equal payloads give equal files. Extra columns of the input are kept by ``to_matroska`` (a column named
 as the result is replaced) and left out by ``packets``.
 """
 
@@ -11,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,16 @@ TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B,
 DEFAULT_DURATION, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+CUE_BLOCK_NUMBER, REFERENCE_BLOCK, TRACK_TIMESTAMP_SCALE, CRC_32 = 0x5378, 0xFB, 0x23314F, 0xBF
+CONTENT_ENCODINGS, CONTENT_ENCODING, ENCODING_SCOPE, ENCODING_TYPE = 0x6D80, 0x6240, 0x5032, 0x5033
+COMPRESSION, COMPRESSION_ALGO, COMPRESSION_SETTINGS = 0x5034, 0x4254, 0x4255
+ALGORITHMS = {0: "zlib", 1: "bzlib", 2: "lzo", 3: "header"}
 
 #: 8-bit mono samples: 64 samples are 8 ms, so every frame begins at a whole millisecond.
 RATE, UNIT = 8000, 64
 FRAME, FRAMES_A_BLOCK, BLOCKS_A_CLUSTER = 512, 8, 32
-PACKET_SCHEMA = "track long, cluster int, block int, frame int, lacing string, keyframe boolean, timestamp_ns long, byte_offset long, byte_size long, cued boolean"
+PACKET_SCHEMA = "track long, cluster int, block int, frame int, lacing string, keyframe boolean, timestamp_ns long, byte_offset long, byte_size long, cued boolean, duration_ns long, cue_ns long, encoding string, prefix binary"
+CUE_SCHEMA = "time_ns long, track long, cluster_offset long, block_number long"
 
 
 def _size(n: int) -> bytes:
@@ -190,44 +197,159 @@ def demux(b: bytes | None) -> tuple[list[dict], str | None]:
     return rows, None
 
 
-def _walk(b: bytes, rows: list[dict]) -> None:
+def _uint_of(b: bytes, p: int, q: int) -> int:
+    if q - p > 8:
+        raise Fault(f"a number of {q - p} bytes at {p}")
+    return int.from_bytes(b[p:q], "big")
+
+
+def _bounded(*numbers: int | None) -> None:
+    if any(n is not None and abs(n) >= 1 << 62 for n in numbers):
+        raise Fault("times or places past 62 bits")
+
+
+def _inner(b: bytes, p: int, q: int) -> Iterator[tuple[int, int, int, int]]:
+    """Children whose CRC-32, if they begin with one, is right."""
+    if q - p >= 6 and b[p] == CRC_32 and b[p + 1] == 0x84 and zlib.crc32(b[p + 6 : q]) != int.from_bytes(b[p + 2 : p + 6], "little"):
+        raise Fault(f"a wrong CRC-32 at {p}")
+    return _children(b, p, q)
+
+
+class Track:
+    """What a track entry says of its blocks."""
+
+    def __init__(self, b: bytes = b"", p: int = 0, q: int = 0):
+        self.number, self.each, self.scale, self.encoding, self.prefix = 0, 0, 1.0, None, None
+        for k, _, x, y in _children(b, p, q):
+            if k == TRACK_NUMBER:
+                self.number = _uint_of(b, x, y)
+            elif k == DEFAULT_DURATION:
+                self.each = _uint_of(b, x, y)
+            elif k == TRACK_TIMESTAMP_SCALE and y - x in (4, 8):
+                self.scale = struct.unpack(">f" if y - x == 4 else ">d", b[x:y])[0]
+                if not 0 < self.scale < 1e9:
+                    raise Fault(f"no scale of times at {x}")
+            elif k == CONTENT_ENCODINGS:
+                found = [self._encoding(b, u, v) for m, _, u, v in _children(b, x, y) if m == CONTENT_ENCODING]
+                names = [name for name, _ in found if name]
+                self.encoding, self.prefix = "+".join(names) or None, found[0][1] if names == ["header"] else None
+
+    def _encoding(self, b: bytes, p: int, q: int) -> tuple[str | None, bytes | None]:
+        had = {k: (x, y) for k, _, x, y in _children(b, p, q)}
+        if ENCODING_SCOPE in had and not _uint_of(b, *had[ENCODING_SCOPE]) & 1:
+            return None, None  # frames stay as they are
+        if ENCODING_TYPE in had and _uint_of(b, *had[ENCODING_TYPE]):
+            return "encrypted", None
+        inner = {k: (x, y) for k, _, x, y in _children(b, *had[COMPRESSION])} if COMPRESSION in had else {}
+        algo = _uint_of(b, *inner[COMPRESSION_ALGO]) if COMPRESSION_ALGO in inner else 0
+        x, y = inner.get(COMPRESSION_SETTINGS, (0, 0))
+        return ALGORITHMS.get(algo, f"algorithm {algo}"), b[x:y] if algo == 3 else None
+
+
+def _blocks_of(b: bytes, kind: int, p: int, q: int) -> Iterator[tuple[int, int, bool | None, int | None]]:
+    """Start and end of a cluster's block, whether it is a keyframe (null: its flags tell), and its duration in ticks of its track."""
+    if kind == SIMPLE_BLOCK:
+        yield p, q, None, None
+    elif kind == BLOCK_GROUP:
+        inner = list(_children(b, p, q))
+        lasts = next((_uint_of(b, x, y) for k, _, x, y in inner if k == BLOCK_DURATION), None)
+        for k, _, x, y in inner:
+            if k == BLOCK:
+                yield x, y, not any(m[0] == REFERENCE_BLOCK for m in inner), lasts
+
+
+def _cue_points(b: bytes, p: int, q: int) -> Iterator[tuple[int, int, int, int | None]]:
+    """Time in ticks, track, place of the cluster in the segment, and the block's number there, from 1."""
+    for kind, _, x, y in _inner(b, p, q):
+        inner = list(_children(b, x, y)) if kind == CUE_POINT else []
+        time = next((_uint_of(b, u, v) for k, _, u, v in inner if k == CUE_TIME), 0)
+        for k, _, u, v in inner:
+            if k == CUE_TRACK_POSITIONS:
+                at = {m: _uint_of(b, s, t) for m, _, s, t in _children(b, u, v)}
+                if CUE_CLUSTER_POSITION in at:
+                    _bounded(time, *at.values())
+                    yield time, at.get(CUE_TRACK, 0), at[CUE_CLUSTER_POSITION], at.get(CUE_BLOCK_NUMBER)
+
+
+def _segments(b: bytes) -> Iterator[tuple[int, int]]:
     top = _children(b, 0, len(b))
     if next(top, (0,))[0] != EBML:
         raise Fault("no EBML header")
-    uint = lambda p, q: int.from_bytes(b[p:q], "big")
     for ident, _, begin, end in top:
-        if ident != SEGMENT:
-            continue
-        scale, each, cued, cluster, first = 1_000_000, {}, set(), -1, len(rows)
+        if ident == SEGMENT:
+            yield begin, end
+
+
+def _scale(b: bytes, p: int, q: int, had: int) -> int:
+    return next((_uint_of(b, x, y) for k, _, x, y in _inner(b, p, q) if k == TIMESTAMP_SCALE), had)
+
+
+def _walk(b: bytes, rows: list[dict]) -> None:
+    for begin, end in _segments(b):
+        scale, tracks, cues, cluster, first = 1_000_000, {}, set(), -1, len(rows)
         for kind, start, p, q in _children(b, begin, end):
             if kind == INFO:
-                scale = next((uint(x, y) for k, _, x, y in _children(b, p, q) if k == TIMESTAMP_SCALE), scale)
+                scale = _scale(b, p, q, scale)
             elif kind == TRACKS:
-                for k, _, x, y in _children(b, p, q):
-                    if k == TRACK_ENTRY:
-                        entry = {m: uint(u, v) for m, _, u, v in _children(b, x, y) if m in (TRACK_NUMBER, DEFAULT_DURATION)}
-                        each[entry.get(TRACK_NUMBER, 0)] = entry.get(DEFAULT_DURATION, 0)
+                tracks |= {t.number: t for t in (Track(b, x, y) for k, _, x, y in _inner(b, p, q) if k == TRACK_ENTRY)}
             elif kind == CUES:
-                for k, _, x, y in _children(b, p, q):
-                    for m, _, u, v in _children(b, x, y) if k == CUE_POINT else ():
-                        if m == CUE_TRACK_POSITIONS:
-                            cued |= {uint(s, t) for w, _, s, t in _children(b, u, v) if w == CUE_CLUSTER_POSITION}
+                cues |= {(time, track, place) for time, track, place, _ in _cue_points(b, p, q)}
             elif kind == CLUSTER:
                 cluster, base, count = cluster + 1, 0, 0
-                for k, _, x, y in _children(b, p, q):
+                for k, _, x, y in _inner(b, p, q):
                     if k == TIMESTAMP:
-                        base = uint(x, y)
+                        base = _uint_of(b, x, y)
                         continue
-                    blocks = [(x, y, True)] if k == SIMPLE_BLOCK else [(u, v, False) for m, _, u, v in _children(b, x, y) if m == BLOCK] if k == BLOCK_GROUP else []
-                    for u, v, simple in blocks:
-                        track, at, flags, lacing, ranges = _frames(b, u, v)
+                    for u, v, key, lasts in _blocks_of(b, k, x, y):
+                        number, at, flags, lacing, ranges = _frames(b, u, v)
+                        of = tracks.get(number) or Track()
+                        tick = scale if of.scale == 1 else scale * of.scale
+                        each = of.each or None if lasts is None else int(lasts * tick) // len(ranges)
+                        when = base * scale + int(at * tick)
+                        _bounded(when, (each or 0) << 8)
                         rows += [
-                            {"track": track, "cluster": cluster, "block": count, "frame": i, "lacing": lacing, "keyframe": simple and flags >= 128, "timestamp_ns": (base + at) * scale + i * each.get(track, 0), "byte_offset": s, "byte_size": n, "cued": start - begin}
+                            {
+                                "track": number, "cluster": cluster, "block": count, "frame": i, "lacing": lacing, "keyframe": flags >= 128 if key is None else key, "timestamp_ns": when + i * (each or 0),
+                                "byte_offset": s, "byte_size": n, "cued": start - begin, "duration_ns": each, "cue_ns": when, "encoding": of.encoding, "prefix": of.prefix,
+                            }
                             for i, (s, n) in enumerate(ranges)
-                        ]
+                        ]
                         count += 1
+        clusters = {place for _, _, place in cues}
+        times = {(time * scale, track, place) for time, track, place in cues}
         for r in rows[first:]:
-            r["cued"] = r["cued"] in cued
+            place = r["cued"]
+            r["cued"], r["cue_ns"] = place in clusters, r["cue_ns"] if (r["cue_ns"], r["track"], place) in times else None
+
+
+def packet_bytes(b: bytes, row: dict) -> bytes:
+    """A packet as its codec takes it; raises for encodings other than cut-off headers and zlib."""
+    stored = b[row["byte_offset"] : row["byte_offset"] + row["byte_size"]]
+    if row["encoding"] is None:
+        return stored
+    if row["encoding"] == "header":
+        return row["prefix"] + stored
+    if row["encoding"] == "zlib":
+        return zlib.decompress(stored)
+    raise Fault(f"packets are stored by {row['encoding']}")
+
+
+def cue_rows(b: bytes | None) -> tuple[list[dict], str | None]:
+    """The cue points of a file: time, track, place of the cluster in the file, number of the block in it (null where it isn't told), and what is wrong with the file."""
+    rows: list[dict] = []
+    try:
+        for begin, end in _segments(b) if b is not None else ():
+            scale, found = 1_000_000, []
+            for kind, _, p, q in _children(b, begin, end):
+                if kind == INFO:
+                    scale = _scale(b, p, q, scale)
+                elif kind == CUES:
+                    found += _cue_points(b, p, q)
+            _bounded(*(time * scale for time, *_ in found))
+            rows += [{"time_ns": time * scale, "track": track, "cluster_offset": begin + place, "block_number": block} for time, track, place, block in found]
+    except Fault as e:
+        return rows, str(e)
+    return rows, None
 
 
 def to_matroska(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -244,24 +366,34 @@ def to_matroska(docs: DataFrame, text: str = "text", media: str = "media") -> Da
     return kept.mapInArrow(store, schema)
 
 
-def packets(files: DataFrame, ident: str, media: str = "media") -> DataFrame:
-    """A row for each packet: track, cluster, block, frame, lacing, time and byte range; faults as rows with an error."""
-    fields = [x.strip().split(" ") for x in PACKET_SCHEMA.split(",")]
+def _rows_of(files: DataFrame, ident: str, media: str, schema: str, read: Callable[[bytes | None], tuple[list[dict], str | None]]) -> DataFrame:
+    """What ``read`` finds in each file, a row each; faults as rows with an error."""
+    fields = [x.strip().split(" ") for x in schema.split(",")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = [], []
             for i, data in enumerate(batch.column(1).to_pylist()):
-                found, fault = demux(data)
-                found = [r | {"error": None} for r in found] + ([dict.fromkeys((f[0] for f in fields)) | {"error": fault}] if fault else [])
+                found, fault = read(data)
+                found = [r | {"error": None} for r in found] + ([dict.fromkeys(f[0] for f in fields) | {"error": fault}] if fault else [])
                 ids += [i] * len(found)
                 rows += found
-            kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
             cols = [pa.array([r[n] for r in rows], kinds[k]) for n, k in [*fields, ["error", "string"]]]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *cols], names=[ident, *(f[0] for f in fields), "error"])
 
     kind = files.schema[ident].dataType.simpleString()
-    return files.select(ident, media).mapInArrow(parse, f"`{ident}` {kind}, {PACKET_SCHEMA}, error string")
+    return files.select(ident, media).mapInArrow(parse, f"`{ident}` {kind}, {schema}, error string")
+
+
+def packets(files: DataFrame, ident: str, media: str = "media") -> DataFrame:
+    """A row for each packet: track, cluster, block, frame, lacing, time, byte range, duration, cue and encoding."""
+    return _rows_of(files, ident, media, PACKET_SCHEMA, demux)
+
+
+def cues(files: DataFrame, ident: str, media: str = "media") -> DataFrame:
+    """A row for each cue point and track: time, place of the cluster in the file, and block."""
+    return _rows_of(files, ident, media, CUE_SCHEMA, cue_rows)
 
 
 def features(payload: bytes, rows: list[dict]) -> str:
@@ -281,7 +413,7 @@ def media_digest(files: DataFrame, ident: str, n_bytes: str, media: str = "media
                 rows, fault = demux(data)
                 if fault:
                     raise Fault(fault)
-                payload = b"".join([data[r["byte_offset"] : r["byte_offset"] + r["byte_size"]] for r in rows])
+                payload = b"".join([packet_bytes(data, r) for r in rows])
                 for col, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), features(payload, rows)), strict=True):
                     col.append(v)
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

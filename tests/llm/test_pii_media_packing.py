@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 
 import pytest
@@ -131,6 +132,77 @@ def test_faults_are_told():
         media.demux(bytes(b))
 
 
+def tracks(*more):
+    entry = element(media.TRACK_ENTRY, media._uint(media.TRACK_NUMBER, 1) + b"".join(more))
+    return element(media.TRACKS, entry)
+
+
+def whole(*parts):
+    return element(media.EBML, element(media.DOC_TYPE, b"matroska")) + element(media.SEGMENT, b"".join(parts))
+
+
+def test_block_groups():
+    """No reference: a keyframe. A lace shares its block's duration; other blocks have the track's."""
+    lace = element(media.BLOCK, b"\x81\x00\x0a\x04\x01" + b"ab" * 4)
+    plain = element(media.BLOCK, b"\x81\x00\x28\x00" + b"c")
+    cluster = media._uint(media.TIMESTAMP, 100)
+    cluster += element(media.BLOCK_GROUP, lace + media._uint(media.BLOCK_DURATION, 20)) + element(media.BLOCK_GROUP, plain + element(media.REFERENCE_BLOCK, b"\xf6"))
+    for entry, last in ((b"", None), (media._uint(media.DEFAULT_DURATION, 5_000_000), 5_000_000)):
+        rows, fault = media.demux(whole(tracks(entry), element(media.CLUSTER, cluster)))
+        assert fault is None and [r["keyframe"] for r in rows] == [True, True, False]
+        assert [r["timestamp_ns"] for r in rows] == [110_000_000, 120_000_000, 140_000_000]
+        assert [r["duration_ns"] for r in rows] == [10_000_000, 10_000_000, last]
+    # Times of blocks and durations go by the track's scale.
+    scaled = media._uint(media.DEFAULT_DURATION, 5_000_000) + element(media.TRACK_TIMESTAMP_SCALE, b"\x40\x00\x00\x00")
+    rows, _ = media.demux(whole(tracks(scaled), element(media.CLUSTER, cluster)))
+    assert [r["timestamp_ns"] for r in rows] == [120_000_000, 140_000_000, 180_000_000]
+
+
+def test_encodings_and_checks():
+    def encoded(algo, settings=b"", scope=None):
+        inner = media._uint(media.COMPRESSION_ALGO, algo) + (element(media.COMPRESSION_SETTINGS, settings) if settings else b"")
+        one = element(media.COMPRESSION, inner) + (media._uint(media.ENCODING_SCOPE, scope) if scope is not None else b"")
+        return tracks(element(media.CONTENT_ENCODINGS, element(media.CONTENT_ENCODING, one)))
+
+    def cluster(data):
+        return element(media.CLUSTER, media._uint(media.TIMESTAMP, 0) + element(media.SIMPLE_BLOCK, b"\x81\x00\x00\x80" + data))
+
+    for entry, stored, name in ((encoded(3, b"\x01\x02"), b"xyz", "header"), (encoded(0), zlib.compress(b"\x01\x02xyz"), "zlib"), (tracks(), b"\x01\x02xyz", None), (encoded(3, b"\x09", scope=2), b"\x01\x02xyz", None)):
+        file = whole(entry, cluster(stored))
+        (row,), fault = media.demux(file)
+        assert fault is None and row["encoding"] == name and file[row["byte_offset"] :][: row["byte_size"]] == stored
+        assert media.packet_bytes(file, row) == b"\x01\x02xyz"
+    file = whole(encoded(2), cluster(b"xyz"))
+    with pytest.raises(media.Fault, match="lzo"):
+        media.packet_bytes(file, media.demux(file)[0][0])
+    # Numbers that no table holds are faults.
+    huge = element(media.INFO, media._uint(media.TIMESTAMP_SCALE, (1 << 64) - 1)) + element(media.CLUSTER, media._uint(media.TIMESTAMP, 9) + element(media.SIMPLE_BLOCK, b"\x81\x00\x00\x80x"))
+    assert "62 bits" in media.demux(whole(huge))[1]
+    # A CRC-32 stands for what follows it.
+    inner = media._uint(media.TIMESTAMP, 3) + element(media.SIMPLE_BLOCK, b"\x81\x00\x00\x80x")
+    crc = element(media.CRC_32, zlib.crc32(inner).to_bytes(4, "little"))
+    rows, fault = media.demux(whole(cluster(b"a"), element(media.CLUSTER, crc + inner)))
+    assert fault is None and [r["timestamp_ns"] for r in rows] == [0, 3_000_000]
+    rows, fault = media.demux(whole(cluster(b"a"), element(media.CLUSTER, crc + inner[:-1] + b"y")))
+    assert "CRC-32" in fault and len(rows) == 1
+
+
+def test_cue_points(spark):
+    n = 3 * media.FRAME * media.FRAMES_A_BLOCK * media.BLOCKS_A_CLUSTER
+    file = media.mux(media.pad(b"z" * (n - 100)))
+    rows, _ = media.demux(file)
+    found, fault = media.cue_rows(file)
+    assert fault is None and len(found) == 3 and all(r["track"] == 1 and r["block_number"] is None for r in found)
+    assert all(file[r["cluster_offset"] :][:4] == media.CLUSTER.to_bytes(4, "big") for r in found)
+    # Those of the first block of each cluster, and of no other.
+    assert {r["cue_ns"] for r in rows} == {None, *(r["time_ns"] for r in found)} and all((r["cue_ns"] is not None) == (r["block"] == 0) for r in rows)
+    df = spark.createDataFrame([(1, bytearray(file), 7), (2, bytearray(b"junk"), 7), (3, None, 7)], "id long, media binary, track int")
+    table = media.cues(df, "id").collect()
+    assert [r["time_ns"] for r in table if r["id"] == 1] == [r["time_ns"] for r in found]
+    assert [r["error"] is not None for r in table if r["id"] == 2] == [True] and not [r for r in table if r["id"] == 3]
+    assert media.cues(df.limit(0), "id").count() == 0 and "cue_ns" in media.packets(df, "id").columns
+
+
 def test_packet_table(spark):
     df = spark.createDataFrame([(1, bytearray(media.mux(media.pad(b"abc" * 1000)))), (2, bytearray(b"junk")), (3, None)], "id long, media binary")
     rows = media.packets(df, "id").collect()
