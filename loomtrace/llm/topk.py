@@ -3,7 +3,8 @@
 Codes of 64 bits are cut into segments of 16 bits or more, wider ones for more codes, so that few codes share a key. For radius 0, 1, 2, ... a query looks up every key at exactly that
 distance from its own in each segment; each code found has its complete distance verified. After radius r in the first j
 of m segments (and r - 1 in the others) every code within m r + j - 1 bits has been found, so a query ends once its k-th
-distance is covered. Equal codes are one entry that keeps its k + 1 smallest ids, and equal queries are asked once.
+distance is covered. Where the keys of a step would outnumber the codes, the queries that are still open are held against all codes in blocks instead, which is exact too and never
+more work than looking the keys up. Equal codes are one entry that keeps its k + 1 smallest ids, and equal queries are asked once.
 
 Cases. Null or empty vectors, and null entries only, have no code: they are neither found nor asked. Null entries count
 as 0. Ties go to the smaller id. A query is not its own neighbour. Repeated ids with one code count once. Fewer than k
@@ -13,16 +14,18 @@ others: all of them. Empty table: no rows. Vectors of other lengths than 64 are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, let_go, stored, table
 
 K, EVERY = 10, 20
+LEAST_KEYS = 1 << 16  # a step of fewer keys a query is looked up, however few codes there are
+QUERY_BLOCK, CODE_BLOCK = 512, 1 << 14  # a task's part of a comparison with all codes: 64 MB of distances
 
 
 def binarize(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
@@ -52,7 +55,11 @@ def cuts(n: int) -> list[tuple[int, int]]:
 
 def masks(radius: int, width: int) -> np.ndarray:
     """All segment values with so many bits set."""
-    return np.array([sum(1 << b for b in bits) for bits in combinations(range(width), radius)], np.int64)
+    made = [np.zeros(1, np.int64)] + [np.empty(0, np.int64)] * radius
+    for bit in range(width):
+        for r in range(min(radius, bit + 1), 0, -1):
+            made[r] = np.r_[made[r], made[r - 1] | np.int64(1 << bit)]
+    return made[radius]
 
 
 def steps(plan: list[tuple[int, int]]) -> Iterator[tuple[list[tuple[int, int]], int]]:
@@ -87,21 +94,51 @@ def probes(queries: DataFrame, step: list[tuple[int, int]], plan: list[tuple[int
     return dealt.mapInArrow(run, "key long, q long, worst int")
 
 
-def nearest(codes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, id, distance. codes, asked: id and code, ids distinct."""
+def against_all(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """q, distance, id: the nearest of all entries, in blocks of queries and of codes. Of each pair of blocks, the k + 1 codes of least distance and then least id go on."""
+    tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = max(1, entries.count() // (CODE_BLOCK // 2))
+    blocks = stored(entries.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(n_blocks))).groupBy("part").agg(F.array_sort(F.collect_list(F.struct(F.array_min("ids").alias("id"), "code"))).alias("c")).select("part", "c.code"))
+    n_groups = max(1, queries.count() // (QUERY_BLOCK // 2))
+    groups = queries.groupBy(F.pmod(F.xxhash64("q"), F.lit(n_groups)).alias("of")).agg(F.collect_list("q").alias("q"))
+    pairs = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>"))).join(blocks, "part").repartition(min(n_blocks * n_groups, 4 * tasks), "part", "of")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, code = (batch.column(c)[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
+                kept = min(k + 1, len(code))
+                for at in range(0, len(q), QUERY_BLOCK):
+                    own = q[at : at + QUERY_BLOCK]
+                    # Codes stand in the order of their least ids, so a code's place settles ties.
+                    order = np.bitwise_count(own[:, None] ^ code[None, :]).astype(np.int64) * len(code) + np.arange(len(code))
+                    order = np.partition(order, kept - 1, axis=1)[:, :kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, kept).view(np.int64)), pa.array(code[(order % len(code)).ravel()].view(np.int64))], names=["q", "code"])
+
+    found = pairs.select("q", "code").mapInArrow(run, "q long, code long")
+    return found.join(entries, "code").select("q", F.expr("bit_count(q ^ code)").alias("distance"), F.explode("ids").alias("id"))
+
+
+def nearest(codes: DataFrame, asked: DataFrame, k: int, least_keys: int = LEAST_KEYS) -> DataFrame:
+    """query_id, rank, id, distance. codes, asked: id and code, ids distinct. least_keys: see ``LEAST_KEYS``."""
     first = Window.partitionBy("code").orderBy("id")
     entries = codes.withColumn("n", F.row_number().over(first)).where(f"n <= {k + 1}")
     entries = cut(entries.groupBy("code").agg(F.collect_list("id").alias("ids")))  # k + 1 at most
-    plan = cuts(entries.count())
+    n_codes = entries.count()
+    plan = cuts(n_codes)
     key = lambda j, shift, width: F.shiftright("code", shift).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(j << 58))
-    keyed = entries.select("code", "ids", F.explode(F.array(*[key(j, *x) for j, x in enumerate(plan)])).alias("key"))
+    keyed = stored(entries.select("code", "ids", F.explode(F.array(*[key(j, *x) for j, x in enumerate(plan)])).alias("key")))
     best = None
     open_ = cut(asked.select(F.col("code").alias("q")).distinct().withColumn("worst", F.lit(64)))
     per = Window.partitionBy("q").orderBy("distance", "id")
     closed: list[DataFrame] = []
     for step, covered in steps(plan):
-        found = probes(open_, step, plan).join(keyed.hint("shuffle_hash"), "key").where("bit_count(q ^ code) <= worst")
-        rows = found.select("q", F.expr("bit_count(q ^ code)").alias("distance"), F.explode("ids").alias("id"))
+        rest = sum(comb(plan[j][1], r) for r, j in step) > max(n_codes, least_keys)
+        if rest:
+            rows, covered = against_all(open_, entries, k), 64
+        else:
+            found = probes(open_, step, plan).join(keyed, "key").where("bit_count(q ^ code) <= worst")
+            rows = found.select("q", F.expr("bit_count(q ^ code)").alias("distance"), F.explode("ids").alias("id"))
         if best is not None:
             rows = rows.unionByName(best.join(open_.select("q"), "q", "left_semi"))
         rows = rows.distinct().withColumn("n", F.row_number().over(per)).where(f"n <= {k + 1}").drop("n")
@@ -114,6 +151,7 @@ def nearest(codes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             break
     else:
         closed.append(best.join(open_, "q", "left_semi"))  # every key has been looked up
+    let_go(codes.sparkSession, keyed)
     found = closed[0]
     for more in closed[1:]:
         found = found.unionByName(more)
