@@ -101,7 +101,7 @@ def against_all(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
     blocks = stored(entries.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(n_blocks))).groupBy("part").agg(F.array_sort(F.collect_list(F.struct(F.array_min("ids").alias("id"), "code"))).alias("c")).select("part", "c.code"))
     n_groups = max(1, queries.count() // (QUERY_BLOCK // 2))
     groups = queries.groupBy(F.pmod(F.xxhash64("q"), F.lit(n_groups)).alias("of")).agg(F.collect_list("q").alias("q"))
-    pairs = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>"))).join(blocks, "part").repartition(min(n_blocks * n_groups, 4 * tasks), "part", "of")
+    pairs = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>"))).join(blocks.hint("merge"), "part").repartition(min(n_blocks * n_groups, 4 * tasks), "part", "of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,7 +137,7 @@ def nearest(codes: DataFrame, asked: DataFrame, k: int, least_keys: int = LEAST_
         if rest:
             rows, covered = against_all(open_, entries, k), 64
         else:
-            found = probes(open_, step, plan).join(keyed, "key").where("bit_count(q ^ code) <= worst")
+            found = probes(open_, step, plan).join(keyed.hint("merge"), "key").where("bit_count(q ^ code) <= worst")
             rows = found.select("q", F.expr("bit_count(q ^ code)").alias("distance"), F.explode("ids").alias("id"))
         if best is not None:
             rows = rows.unionByName(best.join(open_.select("q"), "q", "left_semi"))
