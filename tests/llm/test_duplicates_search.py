@@ -258,27 +258,6 @@ def test_topk_is_exact(spark, kind):
     assert mine == plain_topk(list(codes.items()), [(i, c) for i, c in codes.items() if i % 20 == 0], 10)
 
 
-def test_topk_against_all_codes_where_keys_outnumber_them(spark, monkeypatch):
-    """Blocks of few codes, ties, repeated codes and several groups of queries: the same rows as by keys alone."""
-    rng = random.Random(9)
-    codes = {i: rng.getrandbits(64) & rng.choice([2**64 - 1, 0xFFFF, 0]) for i in range(400)}
-    df = spark.createDataFrame([(i, c - (1 << 64) if c >> 63 else c) for i, c in codes.items()], "id long, code long")
-    used = []
-    whole = topk.against_all
-    monkeypatch.setattr(topk, "against_all", lambda *a: used.append(1) or whole(*a))
-    monkeypatch.setattr(topk, "CODE_BLOCK", 64)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
-    got = topk.nearest(df, df.where("id % 5 = 0"), 10, least_keys=0)
-    mine = sorted((r["query_id"], r["rank"], r["id"], r["distance"]) for r in got.collect())
-    assert used and mine == plain_topk(list(codes.items()), [(i, c) for i, c in codes.items() if i % 5 == 0], 10)
-
-
-def test_masks():
-    for radius, width in ((0, 5), (1, 16), (3, 7), (7, 7)):
-        got = topk.masks(radius, width).tolist()
-        assert sorted(got) == [x for x in range(1 << width) if x.bit_count() == radius]
-
-
 def test_binarize_odd_vectors(spark):
     data = [(1, [1.0] * 64), (2, None), (3, []), (4, [None, 1.0]), (5, [1.0, -1.0] * 64), (1, [1.0] * 64), (None, [1.0])]
     got = {r["id"]: r["code"] for r in topk.binarize(spark.createDataFrame(data, "vec_id long, embedding array<float>"), "vec_id", "embedding").collect()}
