@@ -1,4 +1,5 @@
-"""Protein sequence features as native columns. Spans are 0-based and inclusive.
+"""Protein sequence features as columns. Spans are 0-based and inclusive. Motifs and charge are native; what slides over residues counts in NumPy, a sequence at
+a time in Arrow batches, in whole numbers: rounding and division are Spark's.
 
 Every builder takes a cleaned sequence (see ``clean``); ``TOOLS`` lists them in the order in which traces call them.
 """
@@ -7,10 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
-from .compat import let, letters, matches, py_round
+from .compat import let, matches, py_round
 
 # Kyte and Doolittle (1982) hydropathy; Chou and Fasman (1978) propensities for helix, sheet and turn.
 HYDROPATHY = {
@@ -49,51 +54,43 @@ def _scale(table: dict[str, float]) -> int:
     return 10 if all(abs(v * 10 - round(v * 10)) < 1e-9 for v in table.values()) else 100
 
 
-def _values(seq: Column, table: dict[str, float], other: float) -> Column:
-    """Each residue's value as a whole number of tenths or hundredths.
+def _table(values: dict[str, float], other: float) -> np.ndarray:
+    """By a letter's code, its value as a whole number of tenths or hundredths."""
+    scale = _scale(values)
+    table = np.full(128, round(other * scale), np.int64)
+    for letter, v in values.items():
+        table[ord(letter)] = round(v * scale)
+    return table
 
-    One pass turns residues into characters whose codes are the values, which costs less than a map lookup for each.
-    """
-    scale, base = _scale(table), 1000
-    code = lambda v: chr(round(v * scale) + base)
-    known = "".join(table)
-    plain = F.regexp_replace(seq, f"[^{known}]", "X")
-    coded = F.translate(plain, known + "X", "".join(code(v) for v in table.values()) + code(other))
-    return F.transform(letters(coded), lambda c: F.ascii(c) - base)
 
+def _per_sequence(seq: Column, of: Callable[[np.ndarray], dict | None], **fields: pa.DataType) -> Column:
+    """A struct for each sequence, from the codes of its letters. A null sequence counts as empty."""
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+    def run(texts: pa.Array) -> pa.Array:
+        found = []
+        for text in texts:
+            raw = text.as_py() or ""
+            codes = np.frombuffer(raw.encode(), np.uint8) if raw.isascii() else np.frombuffer(raw.encode("utf-32-le"), np.uint32)
+            found.append(of(codes))
+        return pa.array(found, pa.struct(fields))
 
+    return F.arrow_udf(run, StructType([StructField(name, from_arrow_type(t)) for name, t in fields.items()]))(seq)
 
-def _mean(values: Column, scale: int) -> Column:
-    """0 for none."""
-    return F.when(F.size(values) > 0, _total(values) / F.lit(float(scale)) / F.size(values)).otherwise(0.0)
-
-
-def _from(values: Column, start: int) -> Column:
-    return F.slice(values, F.lit(start + 1), F.greatest(F.size(values) - start, F.lit(0)))
-
-
-def _add(a: Column, b: Column) -> Column:
-    """Sums as far as both reach."""
-    n = F.least(F.size(a), F.size(b))
-    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x + y)
 
+def _known(codes: np.ndarray) -> np.ndarray:
+    """Codes within a table: those beyond are no residue's."""
+    return np.minimum(codes, 127)
 
-def _sliding(values: Column, width: int, then: Callable[[Column], Column]) -> Column:
-    """``then`` of the sums of all runs of ``width`` values, put together from runs of 1, 2, 4, ... values."""
 
-    def grow(run: Column, size: int, done: Column | None, reach: int, rest: int) -> Column:
-        if rest & 1:
-            joined = run if done is None else _add(done, _from(run, reach))
-            return then(joined) if rest == 1 else let(joined, lambda d: double(run, size, d, reach + size, rest >> 1))
-        return double(run, size, done, reach, rest >> 1)
+def _mean(total: Column, seq: Column, scale: int) -> Column:
+    """0 for none."""
+    return F.when(F.length(seq) > 0, total / F.lit(float(scale)) / F.length(seq)).otherwise(0.0)
 
-    def double(run: Column, size: int, done: Column | None, reach: int, rest: int) -> Column:
-        return let(_add(run, _from(run, size)), lambda r: grow(r, 2 * size, done, reach, rest))
 
-    return grow(values, 1, None, 0, width)
+def _sliding(values: np.ndarray, width: int) -> np.ndarray:
+    """The sums of all runs of ``width`` values."""
+    upto = np.concatenate([[0], np.cumsum(values)])
+    return upto[width:] - upto[:-width]
 
 
 def motif_spans(seq: Column) -> Column:
@@ -108,29 +105,27 @@ def motif_detector(seq: Column) -> Column:
 
 
 def hydropathy_profile(seq: Column, window: int = HYDROPATHY_WINDOW) -> Column:
-    scale = _scale(HYDROPATHY)
-
-    def of(values: Column) -> Column:
-        n = F.size(values)
-        width = F.greatest(F.lit(1), F.least(F.lit(window), n))
-
-        def spans(sums: Column) -> Column:
-            high = F.array_max(F.transform(sums, lambda v, i: F.struct(v.alias("v"), (-i).alias("i"))))
-            low = F.array_min(F.transform(sums, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
-            mean = lambda x: py_round(x / F.lit(float(scale)) / width, 3)
-            out = lambda h, lo: F.struct(
-                py_round(_mean(values, scale), 3).alias("mean_hydropathy"), width.alias("window_size"),
-                F.when(n > 0, _span(-h["i"], -h["i"] + width - 1)).alias("most_hydrophobic_span"),
-                F.when(n > 0, _span(lo["i"], lo["i"] + width - 1)).alias("most_hydrophilic_span"),
-                mean(h["v"]).alias("max_window_value"), mean(lo["v"]).alias("min_window_value"),
-            )
-            return let(high, lambda h: let(low, lambda lo: out(h, lo)))
-
-        # A sequence shorter than the window is one window.
-        short = F.when(n > 0, F.array(_total(values))).otherwise(F.array().cast("array<int>"))
-        return let(F.when(n < window, short).otherwise(_sliding(values, window, lambda sums: sums)), spans)
-
-    return let(_values(seq, HYDROPATHY, 0.0), of)
+    table, scale = _table(HYDROPATHY, 0.0), _scale(HYDROPATHY)
+
+    def of(codes: np.ndarray) -> dict | None:
+        """A sequence shorter than the window is one window."""
+        if not len(codes):
+            return None
+        values = table[_known(codes)]
+        sums = _sliding(values, min(window, len(values)))
+        i, j = int(sums.argmax()), int(sums.argmin())  # the first of equals
+        return {"total": int(values.sum()), "i": i, "high": int(sums[i]), "j": j, "low": int(sums[j])}
+
+    x = _per_sequence(seq, of, total=pa.int64(), i=pa.int32(), high=pa.int64(), j=pa.int32(), low=pa.int64())
+    width = F.greatest(F.lit(1), F.least(F.lit(window), F.coalesce(F.length(seq), F.lit(0))))
+    some = F.length(seq) > 0
+    mean = lambda v: py_round(v / F.lit(float(scale)) / width, 3)
+    return F.struct(
+        py_round(_mean(x["total"], seq, scale), 3).alias("mean_hydropathy"), width.alias("window_size"),
+        F.when(some, _span(x["i"], x["i"] + width - 1)).alias("most_hydrophobic_span"),
+        F.when(some, _span(x["j"], x["j"] + width - 1)).alias("most_hydrophilic_span"),
+        mean(x["high"]).alias("max_window_value"), mean(x["low"]).alias("min_window_value"),
+    )
 
 
 def charge_profile(seq: Column) -> Column:
@@ -140,48 +135,52 @@ def charge_profile(seq: Column) -> Column:
 
 
 def beta_sheet_propensity(seq: Column, window: int = BETA_WINDOW, threshold: float = BETA_THRESHOLD) -> Column:
-    helix, sheet, turn = ({k: v[i] for k, v in PROPENSITY.items()} for i in range(3))
-
-    def runs(hot: Column) -> Column:
-        """hot: whether each window reaches the threshold. A run begins where the window before is not hot, and ends where the next is not."""
-        edges = lambda step: F.array_compact(F.transform(hot, lambda h, i: F.when(h & ~F.coalesce(F.get(hot, i + step), F.lit(False)), i)))
-        return F.zip_with(edges(-1), edges(1), lambda a, b: _span(a, b + window - 1))
-
-    scale = _scale(sheet)
-    # Whole hundredths: a window reaches the threshold exactly or not at all.
-    hot = let(_values(seq, sheet, 1.0), lambda v: _sliding(v, window, lambda sums: F.transform(sums, lambda x: x >= round(threshold * scale * window))))
-    mean = lambda t, name: py_round(let(_values(seq, t, 1.0), lambda v: _mean(v, scale)), 3).alias(name)
+    parts = [{k: v[i] for k, v in PROPENSITY.items()} for i in range(3)]
+    scale = _scale(parts[1])
+    tables = np.stack([_table(t, 1.0) for t in parts], 1)
+    least = round(threshold * scale * window)  # whole hundredths: a window reaches the threshold exactly or not at all
+
+    def of(codes: np.ndarray) -> dict:
+        codes = _known(codes)
+        helix, sheet, turn = (np.bincount(codes, minlength=128) @ tables).tolist()
+        hot = _sliding(tables[codes, 1], window) >= least
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], hot, [False]]))).tolist()
+        return {"helix": helix, "sheet": sheet, "turn": turn, "spans": [{"lo": a, "hi": b + window - 2} for a, b in zip(edges[::2], edges[1::2], strict=True)]}
+
+    span = pa.struct({"lo": pa.int32(), "hi": pa.int32()})
+    x = _per_sequence(seq, of, helix=pa.int64(), sheet=pa.int64(), turn=pa.int64(), spans=pa.list_(span))
+    mean = lambda t, name: py_round(_mean(x[t], seq, scale), 3).alias(name)
     return F.struct(
-        mean(helix, "mean_alpha_propensity"), mean(sheet, "mean_beta_propensity"), mean(turn, "mean_turn_propensity"),
-        let(hot, runs).alias("beta_rich_spans"), F.lit(threshold).alias("beta_threshold"),
+        mean("helix", "mean_alpha_propensity"), mean("sheet", "mean_beta_propensity"), mean("turn", "mean_turn_propensity"),
+        F.when(seq.isNotNull(), x["spans"]).alias("beta_rich_spans"), F.lit(threshold).alias("beta_threshold"),
     )
 
 
 def repeat_pattern_analyzer(seq: Column, shortest: int = PERIODS[0], longest: int = PERIODS[1]) -> Column:
-    n = F.length(seq)
-
-    def best(codes: Column) -> Column:
-        def score(p: Column) -> Column:
-            same = F.filter(codes, lambda x, i: x == F.get(codes, i + p))  # letters that come again after p
-            return F.struct((F.size(same) / (n - p)).alias("score"), (-p).alias("p"))
-
-        periods = F.when(n >= 2 * shortest, F.sequence(F.lit(shortest), F.least(F.lit(longest), F.floor(n / 2).cast("int")))).otherwise(F.array().cast("array<int>"))
-        return F.array_max(F.transform(periods, score))
-
-    def out(b: Column) -> Column:
-        found = F.coalesce(b["score"] > 0, F.lit(False))
-        return F.struct(
-            F.when(found, -b["p"]).alias("dominant_period"),
-            F.when(found, py_round(b["score"], 3)).otherwise(0.0).alias("repeat_score"),
-            F.when(found, F.substring(seq, F.lit(1), -b["p"])).alias("example_repeat_unit"),
-        )
-
-    return let(let(F.transform(letters(seq), F.ascii), best), out)
+    def of(codes: np.ndarray) -> dict | None:
+        """Letters that come again after the period of the highest share of such, the shortest of equals."""
+        periods = np.arange(shortest, min(longest, len(codes) // 2) + 1)
+        if not len(periods):
+            return None
+        same = np.array([np.count_nonzero(codes[p:] == codes[:-p]) for p in periods])
+        score = same / (len(codes) - periods)
+        i = score.argmax()
+        return {"p": int(periods[i]), "score": float(score[i])} if same[i] else None
+
+    x = _per_sequence(seq, of, p=pa.int32(), score=pa.float64())
+    found = x["p"].isNotNull()
+    return F.struct(
+        x["p"].alias("dominant_period"),
+        F.when(found, py_round(x["score"], 3)).otherwise(0.0).alias("repeat_score"),
+        F.when(found, F.substring(seq, F.lit(1), x["p"])).alias("example_repeat_unit"),
+    )
 
 
 def disorder_prediction_chplot(seq: Column) -> Column:
+    table = _table(HYDROPATHY, 0.0)
     charge = F.abs(charge_profile(seq)["mean_net_charge_per_residue"])
-    hydropathy = (let(_values(seq, HYDROPATHY, 0.0), lambda v: _mean(v, _scale(HYDROPATHY))) + 4.5) / 9.0
+    total = _per_sequence(seq, lambda codes: {"total": int(np.bincount(_known(codes), minlength=128) @ table)}, total=pa.int64())["total"]
+    hydropathy = (_mean(total, seq, _scale(HYDROPATHY)) + 4.5) / 9.0
     boundary = (charge + 1.151) / 2.785
     some = F.length(seq) > 0
     number = lambda x, name: F.when(some, py_round(x, 4)).otherwise(0.0).alias(name)

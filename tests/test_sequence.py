@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,18 @@ def test_expectations(spark):
     assert said == [("a", "GGX_repeat detected", False), ("a", "poly_alanine absent", False), ("a", "poly_alanine detected", True), ("a", "proline_rich_turn absent", False), ("b", "poly_alanine absent", True)]
     assert [bool(r["passed"]) for r in got if r["name"] == "c"] == [False]
     assert S.passed_fraction(spark.createDataFrame(got, "name string, check string, passed boolean")).first()["n_checks"] == 6
+
+
+def test_long_sequences_take_linear_time(spark):
+    """Two million letters in one task; other alphabets' letters are no residues, but come again."""
+    unit = "".join(random.Random(5).choices("ACDEFGHIKLMNPQRSTVWY", k=40)) * 500
+    rows = spark.createDataFrame([(i, unit) for i in range(100)], "i int, s string").coalesce(1)
+    S.with_tools(rows.limit(1), "s").collect()
+    began = time.perf_counter()
+    r = S.with_tools(rows, "s").agg(F.min("repeat_pattern_analyzer").alias("low"), F.max("repeat_pattern_analyzer").alias("high")).first()
+    S.with_tools(rows, "s").select(F.max("beta_sheet_propensity"), F.max("hydropathy_profile"), F.max("disorder_prediction_chplot")).collect()
+    assert r["low"] == r["high"] and (r["low"]["dominant_period"], r["low"]["repeat_score"]) == (40, 1.0)
+    assert time.perf_counter() - began < 15
+    r = S.with_tools(spark.createDataFrame([("ÄÖÜ" * 4 + "V",)], "s string"), "s").first()
+    assert (r["repeat_pattern_analyzer"]["dominant_period"], r["repeat_pattern_analyzer"]["example_repeat_unit"]) == (3, "ÄÖÜ")
+    assert r["hydropathy_profile"]["mean_hydropathy"] == round(4.2 / 13, 3) and r["hydropathy_profile"]["window_size"] == 9
