@@ -140,8 +140,8 @@ def facts(name: Column, output: Column, depth: int = 8) -> Column:
 
 def _closest(numbers: Column, value: Column, tolerance: float) -> Column:
     """The nearest number within tolerance (of the tool's value), the first of equals; else null. NaN bears out nothing."""
-    rated = F.transform(numbers, lambda v, i: F.struct(F.abs(v - value).alias("diff"), i.alias("i"), v.alias("v")))
-    return F.array_min(F.filter(rated, lambda x: ~F.isnan(x["v"]) & (x["diff"] <= F.greatest(F.lit(tolerance), F.abs(x["v"]) * RELATIVE))))
+    near = F.filter(numbers, lambda v: (F.abs(v - value) <= F.greatest(F.lit(tolerance), F.abs(v) * RELATIVE)) & ~F.isnan(v))
+    return F.array_min(F.transform(near, lambda v, i: F.struct(F.abs(v - value).alias("diff"), i.alias("i"), v.alias("v"))))
 
 
 def _in_range(ranges: Column, lo: Column, hi: Column) -> Column:
@@ -161,16 +161,15 @@ def ground(claimed: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
 
     claimed: a row for each claim, with kind, num, lo, hi, term and ``tools``.
     """
-    c = F.col
-
-    def check(tool: Column) -> Column:
-        best = F.when(c("kind") == "numeric", _closest(tool["numbers"], c("num"), tolerance))
-        hit = F.when(c("kind") == "numeric", best.isNotNull()).when(c("kind") == "position", _in_range(tool["ranges"], c("lo"), c("hi"))).when(c("kind") == "motif", _named(tool, c("term")))
-        return F.struct(hit.alias("hit"), tool["name"].alias("name"), best["v"].alias("v"), best["diff"].alias("diff"))
-
-    first = F.get(F.filter(F.transform(F.reverse("tools"), check), lambda x: x["hit"]), 0)
-    with_first = claimed.withColumn("__e", F.when(c("kind").isNotNull(), first))
-    return with_first.select(*claimed.columns, c("__e").isNotNull().alias("grounded"), c("__e")["name"].alias("evidence_tool"), c("__e")["v"].alias("matched"), c("__e")["diff"].alias("diff"))
+    c, latest = F.col, F.reverse("tools")
+    none = F.lit(None).cast("struct<diff:double,i:int,v:double>")
+    # Each kind looks at its own lists, once a tool.
+    rated = F.filter(F.transform(latest, lambda t: F.struct(t["name"].alias("name"), _closest(t["numbers"], c("num"), tolerance).alias("best"))), lambda x: x["best"].isNotNull())
+    named = lambda held: F.transform(F.filter(latest, held), lambda t: F.struct(t["name"].alias("name"), none.alias("best")))
+    hits = F.when(c("kind") == "numeric", rated).when(c("kind") == "position", named(lambda t: _in_range(t["ranges"], c("lo"), c("hi")))).when(c("kind") == "motif", named(lambda t: _named(t, c("term"))))
+    first = F.get(hits, F.lit(0))
+    with_first = claimed.withColumn("__e", first)
+    return with_first.select(*claimed.columns, c("__e").isNotNull().alias("grounded"), c("__e")["name"].alias("evidence_tool"), c("__e")["best"]["v"].alias("matched"), c("__e")["best"]["diff"].alias("diff"))
 
 
 def _axis(x: Column, tolerance: float) -> Column:
