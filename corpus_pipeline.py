@@ -1,8 +1,8 @@
 """The corpus pipeline: toxic texts go, one text of each near-duplicate group stays, personal data is masked, sources are
 mixed to equal shares, and what is left is packed into sequences.
 
-Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates share a shingle of their
-sets' prefixes, as all such pairs do. Of texts of more than a few shingles those are spared the exact look whose fingerprints differ in over
+Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Multi-index hashing of their fingerprints gives the
+first candidates; what it can't find shares a shingle of the sets' prefixes, as all such pairs do. Each candidate is compared exactly. Of texts of more than a few shingles those are spared the exact look whose fingerprints differ in over
 96 of 256 bits: a bit of such a pair differs with probability 3/16 at most, so 96 lie 7.7 standard deviations above the mean.
 """
 

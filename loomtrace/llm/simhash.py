@@ -35,6 +35,8 @@ _SALT = 0xA0761D6478BD642F
 WHOLE = 512  # rows under a key that are compared all at once
 BLOCK = 1 << 15  # rows of a key in one part: a task holds two parts at most
 FEW = 16  # sets of no more shingles are looked at whatever their fingerprints
+NEAR = 4  # bits of the first word within which multi-index hashing finds all pairs
+NEAREST = 4  # of each text that the first round looks at; each round looks at 16 times as many
 SAMPLE, OFTEN, COMMON = 32, 16, 100_000  # one text in so many is counted; the counts and number of common shingles
 
 
@@ -351,13 +353,13 @@ def _sets(docs: DataFrame, ids: DataFrame, ident: str, text: str, shingle: int)
     return sets if sets.count() == ids.count() else stored(sets.dropDuplicates(["id"]))
 
 
-def outside(ids: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, f: np.ndarray, limit: int, least: float, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Links of each row to its ``most`` nearest of another label, and whether any row has more than that.
+def outside(ids: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, f: np.ndarray, limit: int, least: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Each row's ``most`` nearest of another label as its id, theirs and the distance; and whether any row has more than that.
 
     Sets whose sizes alone rule out the similarity do not link, nor do fingerprints over the limit unless a set has ``FEW`` shingles or
     fewer. Rows of two sides link across only.
     """
-    left, right, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], False
+    left, right, apart, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint16)], False
     across = side.any() and not side.all()
     for s in range(0, len(ids), 64):
         own = slice(s, s + 64)
@@ -368,32 +370,32 @@ def outside(ids: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray,
         for i in np.nonzero(ok.sum(1) > most)[0]:
             more = True
             at = np.nonzero(ok[i])[0]
-            ok[i, at[np.argsort(d[i, at], kind="stable")[most:]]] = False
+            ok[i, at[np.lexsort((ids[at], d[i, at]))[most:]]] = False
         i, j = np.nonzero(ok)
         left.append(ids[s + i])
         right.append(ids[j])
-    a, b = np.concatenate(left), np.concatenate(right)
-    return np.minimum(a, b), np.maximum(a, b), more
+        apart.append(d[i, j])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(apart), more
 
 
 def _searcher(limit: int, least: float, most: int):
-    """For ``mapInArrow``: the links of ``outside`` under each key and part, and the keys where more are left."""
+    """For ``mapInArrow``: what ``outside`` finds under each key and part, and the keys where more are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in grouped(batches, 2):
             starts = np.r_[np.nonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])[0], len(cols[0])]
             f = np.stack(cols[6:], 1).view(np.uint64)
-            left, right, again = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            found, again = [], []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
-                a, b, more = outside(*(c[s:e] for c in cols[2:6]), f[s:e], limit, least, most)
-                left.append(a)
-                right.append(b)
+                *links, more = outside(*(c[s:e] for c in cols[2:6]), f[s:e], limit, least, most)
+                found.append(links)
                 if more:
                     again.append(int(cols[0][s]))
-            a, b = np.concatenate(left), np.concatenate(right)
+            own, other, apart = (np.concatenate(x) for x in zip(*found, strict=True))
             none = pa.nulls(len(again), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "again"])
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(again, pa.int64())], names=["a", "b", "again"])
+            names = ["own", "other", "apart", "again"]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(other), pa.array(apart.astype(np.int32)), pa.nulls(len(own), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none.cast(pa.int32()), pa.array(again, pa.int64())], names=names)
 
     return run
 
@@ -401,9 +403,10 @@ def _searcher(limit: int, least: float, most: int):
 def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: str, text: str, shingle: int, least: float, limit: int, n_words: int) -> DataFrame:
     """a, b: links of at least this similarity that connect all that such links connect.
 
-    Nodes that share a shingle of their prefixes are candidates; of keys that hold the same nodes one is looked at. First each node is tried
-    with its key's node of least id. After each round's exact look every node searches again, among the nodes outside its confirmed component,
-    for more of its nearest than in the round before, until no key has any left.
+    Multi-index hashing comes first: fingerprints within ``NEAR`` bits of the first word link as in ``near_links``. What it can't find is searched for among nodes that share
+    a shingle of their prefixes; of keys that hold the same nodes one is looked at. Each node is tried with its key's node of least id. After each
+    round's exact look every node searches again, among the nodes outside its confirmed component, for its nearest under all of its keys, more of them than in the round before,
+    until no key and no node has any left: the links of a round are at most so many for each node.
     """
     names, spark = _names(n_words), docs.sparkSession
     ends = lambda links: links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -413,7 +416,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: s
     met = stored(dealt.join(stored(met), "key").distinct())
     same = met.groupBy("key", "hub").agg(F.count("*").alias("rows"), F.expr("bit_xor(xxhash64(id))").alias("of"), F.max("id").alias("last"))
     keys = stored(same.groupBy("rows", "of", "hub", "last").agg(F.min("key").alias("key")).select("key", "rows"))
-    slim = own.drop("keys").dropDuplicates(["id"])
+    slim = stored(own.drop("keys").dropDuplicates(["id"]))
     held = stored(met.join(keys, "key").join(slim, "id"))
     let_go(spark, met)
     hubs = slim.select(F.col("id").alias("hub"), F.struct("n", *names).alias("p"))
@@ -423,24 +426,32 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: s
     near = pairs.where(((apart <= limit) | (few <= FEW)) & (F.lit(least) * many <= few + F.lit(1e-9)))
     # Two hubs are enough to begin with, the nearest and the least: whatever these leave apart, the rounds look at.
     first = near.select("id", "hub", apart.alias("apart")).groupBy("id").agg(F.min(F.struct("apart", "hub")).alias("nearest"), F.min("hub").alias("least"))
-    tried = stored(first.select(F.explode(F.array_distinct(F.array("nearest.hub", "least"))).alias("a"), F.col("id").alias("b")))
+    hub_links = first.select(F.explode(F.array_distinct(F.array("nearest.hub", "least"))).alias("a"), F.col("id").alias("b"))
+    hashed_links = near_links(slim, NEAR, segments_for(slim.count(), NEAR), limit, n_words).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = stored(hub_links.unionByName(hashed_links).distinct())
     sets = _sets(docs, stored(ends(tried)), ident, text, shingle)
     confirmed = stored(similar(tried, sets, least))
-    again, most, done = None, 16, [keys, held, tried, sets]
+    again, most, done = None, NEAREST, [keys, held, slim, tried, sets]
     while True:
         of = components(confirmed, "a", "b")
         rows = held.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         mixed = mixed if again is None else mixed.join(again, "key", "left_semi")
         split = in_parts(rows.join(mixed, "key"), F.col("rows")).select("key", "part", "id", "label", "n", "side", *names)
-        found = stored(split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(thrifty(_searcher(limit, least, most)), "a long, b long, again long").distinct())
-        new = stored(found.where("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        searched = split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(thrifty(_searcher(limit, least, most)), "own long, other long, apart int, again long")
+        found = stored(searched.distinct())
+        # Of what a node finds under all of its keys the nearest are looked at now; whatever it leaves, it searches for again.
+        near_first = Window.partitionBy("own").orderBy("apart", "other")
+        placed = found.where("own is not null").select("own", "other", F.row_number().over(near_first).alias("place"))
+        chosen = stored(placed.where(f"place <= {most + 1}"))
+        new = stored(chosen.where(f"place <= {most}").select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             own_sets, before = _sets(docs, stored(ends(new).join(sets, "id", "left_anti")), ident, text, shingle), confirmed
             sets, done = sets.unionByName(own_sets), [*done, own_sets, before]
             confirmed = stored(confirmed.unionByName(similar(new, sets, least)))
-        again = found.where("again is not null").select(F.col("again").alias("key")).distinct()
-        done += [found, new]
+        left = chosen.where(f"place > {most}").select(F.col("own").alias("id")).distinct()
+        again = found.where("again is not null").select(F.col("again").alias("key")).unionByName(held.join(left, "id", "left_semi").select("key")).distinct()
+        done += [found, chosen, new]
         if again.isEmpty():
             let_go(spark, *done)
             return confirmed

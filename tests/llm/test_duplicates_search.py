@@ -400,3 +400,18 @@ def test_heavy_keys_are_split(spark, monkeypatch):
     nodes = spark.createDataFrame(list(enumerate(prints)), "id long, f0 long")
     found = simhash.components(simhash.near_links(nodes, 4, 3, 4, 1), "a", "b")
     assert {r["component"] for r in found.collect()} == {0} and found.count() == len(prints) > 200
+
+
+def test_a_round_looks_at_few_links_a_text_and_begins_with_multi_index_hashing(spark, monkeypatch):
+    """Near copies that share many keys: the new links of a round are a fixed number for each text, not for each key."""
+    rng = random.Random(13)
+    words = [f"v{i}" for i in range(900)]
+    base = rng.choices(words, k=100)
+    data = [(i, " ".join(rng.choice(words) if rng.random() < 0.05 else w for w in base)) for i in range(150)]
+    looked, dealt, similar, near_links = [], [], simhash.similar, simhash.near_links
+    monkeypatch.setattr(simhash, "similar", lambda links, *rest: looked.append(links.count()) or similar(links, *rest))
+    monkeypatch.setattr(simhash, "near_links", lambda nodes, *rest: dealt.append(nodes.count()) or near_links(nodes, *rest))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(df, limit=96, **HOW).collect()}
+    assert got == exact_components(data)
+    assert dealt == [len({t for _, t in data})] and looked[1] <= 4 * len(data)
