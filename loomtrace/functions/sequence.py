@@ -1,5 +1,5 @@
-"""Protein sequence features as columns. Spans are 0-based and inclusive. Motifs and charge are native; what slides over residues counts in NumPy, a sequence at
-a time in Arrow batches, in whole numbers: rounding and division are Spark's.
+"""Protein sequence features as columns. Spans are 0-based and inclusive. Motifs are native; residues are counted in NumPy, a sequence at a time in Arrow
+batches, in whole numbers: rounding and division are Spark's.
 
 Every builder takes a cleaned sequence (see ``clean``); ``TOOLS`` lists them in the order in which traces call them.
 """
@@ -129,7 +129,16 @@ def hydropathy_profile(seq: Column, window: int = HYDROPATHY_WINDOW) -> Column:
 
 
 def charge_profile(seq: Column) -> Column:
-    plus, minus = F.regexp_count(seq, F.lit("[KR]")), F.regexp_count(seq, F.lit("[DE]"))
+    counted = _per_sequence(seq, lambda codes: _charges(np.bincount(_known(codes), minlength=128)), plus=pa.int32(), minus=pa.int32())
+    return _charge(seq, *[F.when(seq.isNotNull(), counted[x]) for x in ("plus", "minus")])
+
+
+def _charges(counts: np.ndarray) -> dict:
+    """Charged residues, from the counts of letters by their code."""
+    return {name: int(sum(counts[ord(c)] for c in letters)) for name, letters in (("plus", "KR"), ("minus", "DE"))}
+
+
+def _charge(seq: Column, plus: Column, minus: Column) -> Column:
     net = F.when(F.length(seq) > 0, (plus - minus) / F.length(seq)).otherwise(0.0)
     return F.struct(plus.alias("positive_residues"), minus.alias("negative_residues"), (plus - minus).alias("net_charge"), py_round(net, 4).alias("mean_net_charge_per_residue"))
 
@@ -178,9 +187,14 @@ def repeat_pattern_analyzer(seq: Column, shortest: int = PERIODS[0], longest: in
 
 def disorder_prediction_chplot(seq: Column) -> Column:
     table = _table(HYDROPATHY, 0.0)
-    charge = F.abs(charge_profile(seq)["mean_net_charge_per_residue"])
-    total = _per_sequence(seq, lambda codes: {"total": int(np.bincount(_known(codes), minlength=128) @ table)}, total=pa.int64())["total"]
-    hydropathy = (_mean(total, seq, _scale(HYDROPATHY)) + 4.5) / 9.0
+
+    def of(codes: np.ndarray) -> dict:
+        counts = np.bincount(_known(codes), minlength=128)
+        return {"total": int(counts @ table), **_charges(counts)}
+
+    x = _per_sequence(seq, of, total=pa.int64(), plus=pa.int32(), minus=pa.int32())
+    charge = F.abs(_charge(seq, x["plus"], x["minus"])["mean_net_charge_per_residue"])
+    hydropathy = (_mean(x["total"], seq, _scale(HYDROPATHY)) + 4.5) / 9.0
     boundary = (charge + 1.151) / 2.785
     some = F.length(seq) > 0
     number = lambda x, name: F.when(some, py_round(x, 4)).otherwise(0.0).alias(name)

@@ -89,9 +89,14 @@ def pool_tables(pool: DataFrame, run: dict[str, DataFrame]) -> dict[str, DataFra
     return {"pairs": full, "diversity": run["diversity"], "pairs_by_type": run["pairs_by_type"], "pairs_total": run["pairs_total"], "errors": pool.where("error is not null").select(*completions.SLOT, "error")}
 
 
+def _tools(path: str) -> str:
+    """Where a pool keeps its sequences' tool outputs."""
+    return f"{path}/tools"
+
+
 def start_pool(spark: SparkSession, path: str, slots: DataFrame, llm: Callable[[str], str] = completions.no_llm, settings: dict | None = None, tolerance: float = 0.1, config: pairs.PairConfig | None = None) -> None:
-    """Answers and scores slots into a folder that ``backfill`` can complete in place (see ``sources.parts``)."""
-    tools = traces.tool_table(slots)
+    """Answers and scores slots into a folder that ``backfill`` can complete in place (see ``sources.parts``). The tools' outputs stay beside it."""
+    tools = traces.tool_table(slots, _tools(path))
     pool = written(traces.score(written(traces.answered(slots, tools, llm)), tools, tolerance))
     parts.put(spark, path, {"pool": pool, **pool_tables(pool, traces.preference_run(pool, config))}, "prompt_id", settings or {})
 
@@ -99,7 +104,7 @@ def start_pool(spark: SparkSession, path: str, slots: DataFrame, llm: Callable[[
 def backfill(spark: SparkSession, path: str, slots: DataFrame, llm: Callable[[str], str] = completions.no_llm, settings: dict | None = None, tolerance: float = 0.1, config: pairs.PairConfig | None = None) -> int:
     """Asks for the slots that failed once more, and tells how many these were. slots: those of the whole run, which must be as they were.
 
-    Only parts of the pool with a failed slot are written anew; what is kept is not scored again. The tables made from the pool follow, and all of them change at once.
+    Only parts of the pool with a failed slot are written anew; what is kept is not scored again, and the tools run only for sequences that the pool's table of outputs lacks. The tables made from the pool follow, and all of them change at once.
     """
     had = parts.manifest(spark, path)["settings"]
     for name, value in (settings or {}).items():
@@ -111,7 +116,7 @@ def backfill(spark: SparkSession, path: str, slots: DataFrame, llm: Callable[[st
     touched = [r[0] for r in failed.select(parts.part(F.col("prompt_id"))).distinct().collect()]  # PARTS at most
     if not touched:
         return 0
-    tools = traces.tool_table(todo)
+    tools = traces.tool_table(todo, known=spark.read.parquet(_tools(path)) if parts.exists(spark, _tools(path)) else None)
     new = traces.score(written(traces.answered(todo, tools, llm)), tools, tolerance)
     filled = written(kept.where(parts.part(F.col("prompt_id")).isin(touched)).unionByName(new))
     rest = prior.where(~parts.part(F.col("prompt_id")).isin(touched))

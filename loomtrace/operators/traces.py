@@ -31,9 +31,16 @@ def tools_json() -> Column:
     return F.concat(*[x for i, n in enumerate(sequence.TOOLS) for x in (F.lit(f'{", " if i else "{"}"{n}": '), grounding.output_json(n))], F.lit("}"))
 
 
-def tool_table(samples: DataFrame, path: str | None = None) -> DataFrame:
-    """seq_key, outputs (JSON) and tools (as ``grounding`` takes them) of each distinct sequence, as a table: the tools run once for each, whatever reads them."""
-    keyed = samples.select(sequence_key().alias("seq_key"), "sequence").dropDuplicates(["seq_key"])
+def tool_table(samples: DataFrame, path: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """seq_key, outputs (JSON) and tools (as ``grounding`` takes them) of each distinct sequence, as a table: the tools run once for each, whatever reads them.
+
+    known: an earlier such table, whose sequences the tools don't run for again.
+    """
+    keyed = samples.select(sequence_key().alias("seq_key"), "sequence")
+    if known is not None:
+        new = written(keyed.join(known.select("seq_key"), "seq_key", "left_anti"))
+        return known if new.isEmpty() else known.unionByName(tool_table(new.select("sequence"), path))
+    keyed = keyed.dropDuplicates(["seq_key"])
     return written(sequence.with_tools(keyed, "sequence").select("seq_key", tools_json().alias("outputs"), grounding.tool_outputs().alias("tools")), path)
 
 

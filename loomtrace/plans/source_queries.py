@@ -11,7 +11,7 @@ from ..functions.compat import py_round
 from ..functions.text import MOTIF_TERMS
 from ..operators import drivers, grounding, traces
 from ..sources import datasets, parts, sinks
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from . import bridge, sequence_queries, trace_queries
 
 #: Fields of a raw record by document; the SQL below has the same. Every tenth record has no sequence.
@@ -71,10 +71,10 @@ def load_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bridge sequences as prompts; two of three have a truth."""
+    """Bridge sequences as prompts, as a table; two of three have a truth."""
     truth = F.when(F.col("id") % 3 != 0, F.create_map(F.lit("strength"), F.pmod("id", F.lit(7)) / 10.0, F.lit("toughness"), F.pmod("id", F.lit(5)) / 10.0))
     rows = bridge.silk(spark, sf_dir).withColumn("ground_truth", truth)
-    return rows.select(F.col("id").cast("string").alias("prompt_id"), F.col("seq").alias("sequence"), *[F.lit("").alias(c) for c in ("family", "genus", "species", "protein_category")], "ground_truth")
+    return written(rows.select(F.col("id").cast("string").alias("prompt_id"), F.col("seq").alias("sequence"), *[F.lit("").alias(c) for c in ("family", "genus", "species", "protein_category")], "ground_truth"))
 
 
 def scored_pool(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,11 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in store.listStatus(place)) if store.exists(place) else []
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    return "_SUCCESS" in _names(spark, path)
+
+
 def manifest(spark: SparkSession, path: str) -> dict:
     """The latest; an empty one where there is none."""
     found = [n for n in _names(spark, path) if n.startswith("manifest-") and n.endswith(".json")]

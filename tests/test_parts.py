@@ -55,3 +55,26 @@ def test_two_writers_do_not_overwrite_each_other(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(parts, "manifest", lambda *_: held)
     with pytest.raises(RuntimeError, match="another run"):
         parts.put(spark, path, {"t": df}, "k")
+
+
+def test_backfill_runs_no_tool_again(spark, tmp_path):
+    """The outputs that lie beside the pool go into the prompts: here marked ones. A sequence that they lack gets its own."""
+    path = str(tmp_path / "run")
+    samples = spark.createDataFrame([("p0", "GGAGGQAAAA", {"strength": 0.5}), ("p1", "PPPPPP", {"strength": 0.5})], "prompt_id string, sequence string, ground_truth map<string,double>")
+    samples = samples.select("*", *[F.lit("").alias(c) for c in ("family", "genus", "species", "protein_category")])
+    slots = traces.slots(samples, 1, 0)
+
+    def never(prompt):
+        raise ConnectionError("no")
+
+    def echo(prompt):
+        return prompt.partition("Tool outputs: ")[2]
+
+    drivers.start_pool(spark, path, slots, never)
+    held = spark.read.parquet(f"{path}/tools").where(F.col("outputs").contains("GGX_repeat")).collect()
+    assert len(held) == 1
+    spark.createDataFrame(held, spark.read.parquet(f"{path}/tools").schema).withColumn("outputs", F.lit("marked")).write.parquet(f"{path}/marked")
+    spark.read.parquet(f"{path}/marked").write.mode("overwrite").parquet(f"{path}/tools")
+    assert drivers.backfill(spark, path, slots, echo) == 2
+    said = {r["prompt_id"]: r["trace_text"] for r in parts.read(spark, path, "pool").collect()}
+    assert said["p0"] == "marked" and "motif_detector" in said["p1"]
