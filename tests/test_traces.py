@@ -375,6 +375,19 @@ def test_pairs_do_not_depend_on_partitions(spark):
     assert a == b
 
 
+def test_traces_of_small_prompts_are_shuffled_once(spark, monkeypatch):
+    """With the same pairs as where traces meet as rows."""
+    df = spark.createDataFrame(random_traces(5), "prompt string, key string, bucket string, final_answer map<string,double>")
+    config = pairs.PairConfig(agree=pairs.same_answer(0.05))
+    found = pairs.build_pairs(df, "prompt", "key", config)
+    plan = found.where("chosen is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1 and plan.count("md5(") < 20
+    want = sorted(map(tuple, found.collect()))
+    for small in (0, 7):
+        monkeypatch.setattr(pairs, "SMALL", small)
+        assert sorted(map(tuple, pairs.build_pairs(df, "prompt", "key", config).collect())) == want
+
+
 @pytest.mark.parametrize("p,d", [(1, 1), (3, 5), (7, 7), (1, 40), (16, 2)])
 def test_pair_numbers_are_permuted(spark, p, d):
     rows = spark.range(p * d).select(F.col("id").alias("r"), F.lit(p).cast("bigint").alias("p"), F.lit(d).cast("bigint").alias("d"))
