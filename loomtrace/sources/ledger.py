@@ -4,6 +4,9 @@ Every answer is written to a ledger as it comes: a small file of the task's atte
 have answered and asks for the rest; so does a run that is started again with the same ledger. Slots are dealt to buckets by hash of their key, so an answer is found
 again however many tasks there are; a finished bucket's files become one.
 
+A bucket's slots come in the order of their names, and so do the answers of an attempt's files. So a task reads what stands beside its slots and merges files as it goes:
+it holds ``every`` answers and a line of each attempt's file, however many answers a bucket has.
+
 The ledger is a folder that driver and executors reach by one address: a path, or an address of a store that pyarrow opens (file, s3, gs, hdfs).
 A slot is known by its key columns and its prompt: another prompt is another question. With speculative execution two attempts
 may ask at the same time; leave it off.
@@ -11,11 +14,13 @@ may ask at the same time; leave it off.
 
 from __future__ import annotations
 
-import hashlib
+import heapq
+import io
 import json
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyarrow import fs
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from .completions import BASE_DELAY, RETRIES, NotConfigured, no_llm
 
 BUCKETS = 256
+LINE = 100  # answers in a line of a file
 
 
 def tried(call: Callable[[str], str], prompt: str, retries: int, base_delay: float, sleep: Callable[[float], None]) -> tuple[str | None, str | None, int]:
@@ -42,45 +48,79 @@ def tried(call: Callable[[str], str], prompt: str, retries: int, base_delay: flo
 
 
 class Bucket:
-    """The answers of a bucket of slots: those of earlier attempts, and those of this one."""
+    """The answers of a bucket of slots, in the order of their names: those of earlier attempts, and those of this one."""
 
     def __init__(self, ledger: str, number: int, every: int) -> None:
-        self.every, self.waiting = every, {}
+        self.every, self.waiting, self.n_files = every, {}, 0
         self.store, root = fs.FileSystem.from_uri(ledger)
         self.folder = f"{root}/bucket-{number:05d}"
         self.store.create_dir(self.folder, recursive=True)
-        self.answers: dict[str, list] = {}
+        self.attempt = self._attempt()
         self.files = sorted(f.path for f in self.store.get_file_info(fs.FileSelector(self.folder)) if f.path.endswith(".json"))
-        for path in self.files:
+        self.earlier = self._merged()
+        self.now = next(self.earlier, None)
+
+    @staticmethod
+    def _attempt() -> str:
+        return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+
+    def _read(self, paths: list[str]) -> Iterator[tuple[str, list]]:
+        """Answers of an attempt's files; a line holds an object of some."""
+        for path in paths:
             with self.store.open_input_stream(path) as held:
-                for key, answer in json.loads(held.read()).items():
-                    self.answers.setdefault(key, answer)
+                for line in io.BufferedReader(held):
+                    yield from sorted(json.loads(line).items())
 
-    def _put(self, answers: dict[str, list]) -> str:
-        path = f"{self.folder}/{time.time_ns():020d}-{uuid.uuid4().hex}"
+    def _merged(self) -> Iterator[tuple[str, list]]:
+        """The answers of all files by name, the oldest of each. An attempt's files are numbered and read one after another; files without a number have no order and are held."""
+        chains: dict[str, list[str]] = {}
+        loose: dict[str, list] = {}
+        for path in self.files:
+            attempt, _, place = path.rpartition("-")
+            if len(place) == len("00000000.json"):
+                chains.setdefault(attempt, []).append(path)
+            else:
+                for name, answer in self._read([path]):
+                    loose.setdefault(name, answer)
+        last = None
+        for name, answer in heapq.merge(sorted(loose.items()), *map(self._read, chains.values()), key=lambda x: x[0]):
+            if name != last:
+                yield name, answer
+            last = name
+
+    def _put(self, path: str, answers: Iterator[tuple[str, list]]) -> None:
         with self.store.open_output_stream(f"{path}.part") as out:
-            out.write(json.dumps(answers).encode())
+            while some := dict(islice(answers, LINE)):
+                out.write(json.dumps(some).encode() + b"\n")
         self.store.move(f"{path}.part", f"{path}.json")
-        return f"{path}.json"
+        self.files.append(f"{path}.json")
+
+    def find(self, name: str) -> list | None:
+        """The answer to a name, which must not come before the names asked for so far."""
+        while self.now and self.now[0] < name:
+            self.now = next(self.earlier, None)
+        return self.now[1] if self.now and self.now[0] == name else None
 
-    def add(self, key: str, answer: list) -> None:
-        self.answers[key] = self.waiting[key] = answer
+    def add(self, name: str, answer: list) -> None:
+        self.waiting[name] = answer
         if len(self.waiting) >= self.every:
             self.keep()
 
     def keep(self) -> None:
         if self.waiting:
-            self.files.append(self._put(self.waiting))
-            self.waiting = {}
+            self._put(f"{self.folder}/{self.attempt}-{self.n_files:08d}", iter(self.waiting.items()))
+            self.n_files, self.waiting = self.n_files + 1, {}
 
     def close(self) -> None:
         """One file for all; the others go once it stands."""
         self.keep()
+        self.earlier.close()
         if len(self.files) > 1:
-            whole = self._put(self.answers)
-            for path in self.files:
+            old = list(self.files)
+            self._put(f"{self.folder}/{self._attempt()}-{0:08d}", self._merged())
+            for path in old:
                 self.store.delete_file(path)
-            self.files = [whole]
+            self.files = self.files[len(old) :]
 
 
 def complete_once(
@@ -92,29 +132,33 @@ def complete_once(
     A null prompt gets no question, but an error. Repeated slots share an answer. every: answers that a file takes; an executor that is lost loses those that wait for theirs.
     """
     known = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    dealt = slots.withColumn("__key", known).withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)).cast("int"))
-    dealt = dealt.repartition(min(buckets, 4 * int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "__bucket").sortWithinPartitions("__bucket")
+    # A slot's name in the ledger.
+    name = F.sha2(F.concat("__key", F.lit("\n"), F.col(prompt).cast("string")).cast("binary"), 256)
+    dealt = slots.withColumn("__key", known).withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)).cast("int")).withColumn("__name", name).drop("__key")
+    dealt = dealt.repartition(min(buckets, 4 * int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "__bucket").sortWithinPartitions("__bucket", "__name")
     columns = slots.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, bucket = None, None
+        number, bucket, last, answer = None, None, None, []
         try:
             for part in parts:
                 out = []
-                for at, key, text in zip(part["__bucket"], part["__key"], part[prompt], strict=True):
+                for at, name, text in zip(part["__bucket"], part["__name"], part[prompt], strict=True):
                     if at != number:
                         if bucket:
                             bucket.close()
-                        number, bucket = at, Bucket(ledger, at, every)
+                        number, bucket, last = at, Bucket(ledger, at, every), None
                     if text is None:
                         out.append([None, "no prompt", 0])
                         continue
-                    name = hashlib.sha256(f"{key}\n{text}".encode()).hexdigest()
-                    if name not in bucket.answers:
-                        bucket.add(name, list(tried(call, text, retries, base_delay, sleep)))
-                        if pause:
-                            time.sleep(pause)
-                    out.append(bucket.answers[name])
+                    if name != last:
+                        last, answer = name, bucket.find(name)
+                        if answer is None:
+                            answer = list(tried(call, text, retries, base_delay, sleep))
+                            bucket.add(name, answer)
+                            if pause:
+                                time.sleep(pause)
+                    out.append(answer)
                 yield part[columns].assign(completion=[a[0] for a in out], error=[a[1] for a in out], attempts=[a[2] for a in out])
             if bucket:
                 bucket.close()

@@ -1,6 +1,7 @@
 """Completions are asked for once, though tasks fail and runs start again."""
 
 import os
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -91,3 +92,21 @@ def test_failures_and_odd_slots(spark, tmp_path):
     assert calls(seen) == {"bad_one": 3, "good": 2, "other_prompt": 1}
     assert ask(completions.no_llm) == want  # all of it is in the ledger
     assert complete_once(spark.createDataFrame([], "slot int, prompt string"), "prompt", ["slot"], str(tmp_path / "none"), completions.no_llm).count() == 0
+
+
+def test_a_task_holds_few_answers_however_many_its_bucket_has(spark, tmp_path):
+    """60,000 answers of 1000 letters in one bucket: the worker's peak, as its last calls tell it, is that of a batch of slots. An earlier run's ledger is merged as it is read."""
+
+    def call(prompt):
+        if not tracemalloc.is_tracing():
+            tracemalloc.start()
+        return f"{tracemalloc.get_traced_memory()[1]:012d}" + prompt + "-" * 1000
+
+    many = spark.range(60000).selectExpr("id AS slot", "concat('prompt ', id) AS prompt")
+    ask = lambda some, how: complete_once(some, "prompt", ["slot"], str(tmp_path / "l"), how, buckets=1, every=500)
+    assert ask(many.where("slot < 20000"), call).where("attempts = 1").count() == 20000
+    peak, n = ask(many, call).selectExpr("max(substring(completion, 1, 12)) AS peak", "count_if(completion LIKE '%prompt ' || slot || '---%') AS n").first()
+    assert n == 60000 and int(peak) < 45_000_000
+    assert len(list((tmp_path / "l" / "bucket-00000").iterdir())) == 1
+    again = ask(many, completions.no_llm)
+    assert again.where("completion LIKE '%prompt ' || slot || '---%'").count() == 60000
