@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .compat import MARK, let, matches, number
 
-# What counts as a claim, as a contrast and as a connective.
-NUMERIC = r"(?U)(?<![\d-])-?\d+\.?\d*\s*(?:%|percent|kcal(?:/mol)?)?"
+# What counts as a claim, as a contrast and as a connective. A pattern first looks at one letter, so most places of a text are passed over.
+NUMERIC = r"(?U)(?=[\d-])(?<![\d-])-?\d+\.?\d*\s*(?:%|percent|kcal(?:/mol)?)?"
 POSITION = (
-    r"(?iuU)\b(?:residues?|positions?|spans?|domains?|regions?|turns?)\s+(?:at\s+|of\s+)?\d{1,4}\s*(?:-|to|–)\s*\d{1,4}\b"
+    r"(?iuU)(?=[rpsdt\d])(?:\b(?:residues?|positions?|spans?|domains?|regions?|turns?)\s+(?:at\s+|of\s+)?\d{1,4}\s*(?:-|to|–)\s*\d{1,4}\b"
     r"|\b(?:residue|position)\s+\d{1,4}(?!\.\d)\b"
-    r"|\b\d{1,4}\s*-\s*\d{1,4}\b(?=[\s,.;)]|$)"
+    r"|\b\d{1,4}\s*-\s*\d{1,4}\b(?=[\s,.;)]|$))"
 )
 MOTIF_TERMS = [
     "poly-alanine", "polyalanine", "poly-ala", "gpgxx", "gpgqq", "gggx", "ggx", "beta-sheet", "β-sheet", "beta-turn",
@@ -39,7 +39,11 @@ _BLANK = "\u0002"
 
 
 def _any(terms: list[str]) -> str:
-    return "(?iu)" + "|".join(re.escape(t) for t in terms)
+    """The first term that stands at a place; those that begin alike stand together."""
+    by: dict[str, list[str]] = {}
+    for t in terms:
+        by.setdefault(t[0], []).append(re.escape(t[1:]))
+    return f"(?iu)(?=[{re.escape(''.join(by))}])(?:" + "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in by.items()) + ")"
 
 
 def strip(text: Column) -> Column:
@@ -48,9 +52,10 @@ def strip(text: Column) -> Column:
 
 def mask_list_markers(text: Column) -> Column:
     """Numbers of list items at the start of a line become spaces; lengths stay."""
-    plain = F.translate(text, MARK + _BLANK, "")
+    plain = F.when(text.contains(MARK) | text.contains(_BLANK), F.translate(text, MARK + _BLANK, "")).otherwise(text)
     two = F.regexp_replace(plain, r"(?mdU)^(\s*)\d{2}\.(\s)", f"$1{_BLANK * 3}$2")
-    return F.translate(F.regexp_replace(two, r"(?mdU)^(\s*)\d\.(\s)", f"$1{_BLANK * 2}$2"), _BLANK, " ")
+    one = F.regexp_replace(two, r"(?mdU)^(\s*)\d\.(\s)", f"$1{_BLANK * 2}$2")
+    return let(one, lambda t: F.when(t.contains(_BLANK), F.translate(t, _BLANK, " ")).otherwise(t))
 
 
 def claims(text: Column) -> Column:

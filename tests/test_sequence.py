@@ -143,3 +143,28 @@ def test_long_sequences_take_linear_time(spark):
     r = S.with_tools(spark.createDataFrame([("ÄÖÜ" * 4 + "V",)], "s string"), "s").first()
     assert (r["repeat_pattern_analyzer"]["dominant_period"], r["repeat_pattern_analyzer"]["example_repeat_unit"]) == (3, "ÄÖÜ")
     assert r["hydropathy_profile"]["mean_hydropathy"] == round(4.2 / 13, 3) and r["hydropathy_profile"]["window_size"] == 9
+
+
+def test_terms_are_found_as_by_their_plain_alternation_in_less_time(spark):
+    """Odd letters count as before; most texts have no term, and going through these took three passes of all terms at each letter."""
+    import time
+
+    from loomtrace.functions import text
+
+    plain = "(?iu)" + "|".join(re.escape(t) for t in text.MOTIF_TERMS)
+    odd = ["POLY-ALANINE poly-ala polyalanine", "ſpidroin repeat", "cryſtalline region, blocK copolymer", "Β-ſheet ϐ-turn ΑLPHA-HELIX Α-helix", "gggxggx ggggx GPGXX gpgq", "İntrinsically disordered", "", "glycine  rich glycine rich-spacer", None]
+    got = spark.createDataFrame([(t,) for t in odd], "t string").select(matches(F.col("t"), text._any(text.MOTIF_TERMS)).alias("a"), matches(F.col("t"), plain).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and [len(r["a"]) for r in got[:5]] == [3, 1, 2, 3, 4]
+
+    prose = spark.range(400).selectExpr("repeat(concat('the green archive of a big region bears no such phrase ', id, ' '), 150) AS t").cache()
+    prose.count()
+
+    def took(pattern):
+        began = time.perf_counter()
+        found = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
+        gaps = F.split(F.regexp_replace("t", pattern, "|"), "|")
+        prose.select((F.size(found) + F.size(gaps)).alias("n") if pattern is plain else F.size(matches(F.col("t"), pattern)).alias("n")).agg(F.sum("n")).collect()
+        return time.perf_counter() - began
+
+    before, after = (min(took(p) for _ in range(4)) for p in (plain, text._any(text.MOTIF_TERMS)))
+    assert after < 0.7 * before
