@@ -15,6 +15,7 @@ from ..sources.scratch import written
 
 REPS, LOW, HIGH = 2000, 0.025, 0.975
 GROUP_ROWS, BLOCKS = 1 << 22, 50  # items of a group that one task draws from; parts that the repetitions are cut into at most
+AT_ONCE, KEPT = 1 << 15, 1 << 24  # items times repetitions that are counted at once; hashes that a task keeps
 PRIME = (1 << 31) - 1
 
 
@@ -130,45 +131,115 @@ def interval(each: DataFrame, value: str, *group: str) -> DataFrame:
     return each.groupBy(*group).agg(F.percentile(value, F.lit(LOW)).alias("ci_low"), F.percentile(value, F.lit(HIGH)).alias("ci_high"), F.count(value).alias("n_reps"))
 
 
-def _weighted(code: np.ndarray, weight: np.ndarray, distinct: int) -> np.ndarray:
-    """Average ranks of items that count ``weight`` times; code: each item's place among the distinct values."""
-    counts = np.bincount(code, weight, distinct)
-    return (np.cumsum(counts) - (counts - 1) / 2.0)[code]
+def _mixed_all(x: np.ndarray, first: int, second: int, rep: np.ndarray) -> np.ndarray:
+    """``_mixed`` of an array, each square once. The prime is 2**31 - 1, so digits of 31 bits are added up; only the last step needs the least remainder."""
 
+    def reduced(x: np.ndarray) -> np.ndarray:
+        for _ in range(2):
+            high = x >> 31
+            x &= PRIME
+            x += high
+        return x
 
-def _corr(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
-    """Pearson of items that count ``weight`` times; NaN where a side does not vary."""
-    some = weight > 0
-    if not some.any() or a[some].max() <= a[some].min() or b[some].max() <= b[some].min():
-        return np.nan
-    n, wa, wb = weight.sum(), weight * a, weight * b
-    sa, sb = wa.sum(), wb.sum()
-    return (n * (wa * b).sum() - sa * sb) / (np.sqrt(n * (wa * a).sum() - sa * sa) * np.sqrt(n * (wb * b).sum() - sb * sb))
+    def fifth(h: np.ndarray) -> np.ndarray:
+        square = reduced(h * h)
+        return reduced(reduced(square * square) * h)
 
+    return fifth(reduced(fifth(reduced(x + first)) * 48271 + (rep + second))) % PRIME
 
-def _statistic(codes: list[tuple[np.ndarray, int]], seed: int, rep: int) -> float:
-    """Spearman of two values, partial of three, of one repetition: draws become weights of the items."""
-    n = len(codes[0][0])
-    weight = np.bincount(drawn(n, seed, np.int64(rep), np.arange(n, dtype=np.int64)), minlength=n).astype(np.float64)
+
+def _hashes(seed: int, reps: np.ndarray, since: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two digits of what ``drawn`` takes modulo n, a row for each repetition and a column for each slot: the same for groups of any n."""
+    rep, slot = reps.astype(np.int64)[:, None], np.arange(since, upto, dtype=np.int64)
+    x = rep % PRIME * 16807 + slot % PRIME * 69621 + seed % PRIME
+    return _mixed_all(x, 12345, 7, rep), _mixed_all(x, 54321, 11, rep)
+
+
+def _weights(high: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
+    """How often each of n items is drawn, a row for each repetition; n is below 2**22 or so, which keeps all steps whole."""
+    at = (high % np.uint32(n)).astype(np.int64) * (PRIME % n) + low
+    at -= (at / n).astype(np.int64) * n  # the quotient may be rounded up to the next
+    at[at < 0] += n
+    return np.bincount((at + np.arange(len(at))[:, None] * n).ravel(), minlength=len(at) * n).reshape(-1, n)
+
+
+def _weighted(code: np.ndarray, weight: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Average ranks of items that count ``weight`` times, a row for each repetition, and n**2 times their variance, null where they do not vary; code: each item's place among the distinct values.
+
+    Ranks of n items add up to n * (n + 1) / 2.
+    """
+    n = weight.shape[1]
+    counts = np.bincount((code + np.arange(len(weight))[:, None] * distinct).ravel(), weight.ravel(), len(weight) * distinct).reshape(-1, distinct)
+    ranked = np.cumsum(counts, axis=1)
+    ranked -= (counts - 1) / 2.0
+    varies = np.count_nonzero(counts, axis=1) > 1
+    counts *= ranked
+    spread = n * np.einsum("ij,ij->i", counts, ranked) - (n * (n + 1) / 2.0) ** 2
+    return np.take(ranked, code, axis=1), np.where(varies, spread, np.nan)
+
+
+def _statistics(codes: list[tuple[np.ndarray, int]], weight: np.ndarray) -> np.ndarray:
+    """Spearman of two values, partial of three, of each repetition: draws become weights of the items. NaN where a side does not vary."""
+    n = weight.shape[1]
     r = [_weighted(code, weight, k) for code, k in codes]
-    rho = _corr(r[0], r[1], weight)
+
+    def corr(i: int, j: int) -> np.ndarray:
+        (a, va), (b, vb) = r[i], r[j]
+        return (n * np.einsum("ij,ij->i", weight * a, b) - (n * (n + 1) / 2.0) ** 2) / (np.sqrt(va) * np.sqrt(vb))
+
+    rho = corr(0, 1)
     if len(r) == 3:
-        xz, yz = _corr(r[0], r[2], weight), _corr(r[1], r[2], weight)
-        below = np.sqrt((1 - xz * xz) * (1 - yz * yz))
-        return (rho - xz * yz) / below if below > 0 else np.nan
+        xz, yz = corr(0, 2), corr(1, 2)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            below = np.sqrt((1 - xz * xz) * (1 - yz * yz))
+            return np.where(below > 0, (rho - xz * yz) / below, np.nan)
     return rho
 
 
+class _Draws:
+    """Weights of a share of the repetitions for one group after another. Hashes are kept for the next group, up to ``KEPT`` of them, and weights for a next group of as many items."""
+
+    def __init__(self, seed: int, reps: np.ndarray) -> None:
+        self.seed, self.reps, self.n = seed, reps, 0
+        self.high = self.low = np.empty((len(reps), 0), np.uint32)
+        self.weights: list[np.ndarray] = []
+
+    def _extend(self, n: int, step: int) -> None:
+        """Hashes of n slots."""
+        since, room = self.high.shape[1], (len(self.reps), n)
+        high, low = np.empty(room, np.uint32), np.empty(room, np.uint32)
+        high[:, :since], low[:, :since] = self.high, self.low
+        for i in range(0, len(self.reps), step):
+            high[i : i + step, since:], low[i : i + step, since:] = _hashes(self.seed, self.reps[i : i + step], since, n)
+        self.high, self.low = high, low
+
+    def of(self, n: int) -> Iterator[np.ndarray]:
+        """Weights of n items, a few repetitions at a time, in their order."""
+        step = max(1, AT_ONCE // n)
+        if len(self.reps) * n > KEPT:
+            for i in range(0, len(self.reps), step):
+                high, low = _hashes(self.seed, self.reps[i : i + step], 0, n)
+                yield _weights(high.astype(np.uint32), low, n).astype(np.float64)
+            return
+        if n != self.n:
+            if self.high.shape[1] < n:
+                self._extend(min(n + n // 16, KEPT // len(self.reps)), step)
+            self.weights = [_weights(self.high[i : i + step, :n], self.low[i : i + step, :n], n).astype(np.uint32) for i in range(0, len(self.reps), step)]
+            self.n = n
+        yield from (w.astype(np.float64) for w in self.weights)
+
+
 def _reps_of_small(df: DataFrame, values: list[str], item: str, group: list[str], reps: int, seed: int) -> DataFrame:
     """group, rep and the statistic. A task gets a group's items, ``GROUP_ROWS`` at most, for a share of the repetitions; it turns values into places among the distinct ones
-    once, and each repetition into weights."""
+    once, and each repetition into weights. Groups follow one another within a share, so that they have its draws in common."""
     spark = df.sparkSession
     blocks = min(BLOCKS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), reps)
-    dealt = df.select(*group, F.col(item).cast("bigint").alias("__item"), *values).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(*group, "__block").sortWithinPartitions(*group, "__block", "__item")
+    dealt = df.select(*group, F.col(item).cast("bigint").alias("__item"), *values).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("__block").sortWithinPartitions("__block", *group, "__item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key: tuple | None = None
+        draws: dict[int, _Draws] = {}
 
         def out() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held)
@@ -177,7 +248,10 @@ def _reps_of_small(df: DataFrame, values: list[str], item: str, group: list[str]
                 distinct, code = np.unique(whole.column(v).to_numpy(), return_inverse=True)
                 codes.append((code, len(distinct)))
             own = np.arange(key[-1], reps, blocks)
-            found = np.array([_statistic(codes, seed, int(rep)) for rep in own])
+            if key[-1] not in draws:
+                draws.clear()
+                draws[key[-1]] = _Draws(seed, own)
+            found = np.concatenate([_statistics(codes, w) for w in draws[key[-1]].of(whole.num_rows)])
             keys = [pa.array([key[i]] * len(own), whole.schema.field(g).type) for i, g in enumerate(group)]
             return pa.RecordBatch.from_arrays([*keys, pa.array(own, pa.int64()), pa.array(found, pa.float64(), from_pandas=True)], names=[*group, "rep", "value"])
 
@@ -188,7 +262,8 @@ def _reps_of_small(df: DataFrame, values: list[str], item: str, group: list[str]
             changed = np.zeros(batch.num_rows, bool)
             for name in names:
                 c = batch.column(name)
-                changed[1:] |= ~np.array([a == b for a, b in zip(c[1:].to_pylist(), c[:-1].to_pylist(), strict=True)], bool)
+                code = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                changed[1:] |= code[1:] != code[:-1]
             edges = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
             for a, b in zip(edges, edges[1:], strict=False):
                 now = tuple(batch.column(name)[a].as_py() for name in names)

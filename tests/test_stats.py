@@ -119,3 +119,23 @@ def test_rows_are_numbered_in_order(spark, spread_out):
     assert [r["k"] for r in sorted(got, key=lambda r: r["place"])] == sorted(i * 37 % 5003 for i in range(5000))
     assert sorted(r["place"] for r in got) == list(range(5000))
     assert stats.numbered(df.limit(0), "place", "k").count() == 0
+
+
+def test_groups_have_draws_in_common(monkeypatch):
+    """Weights are those of ``drawn`` for any n and seed, kept or not; 20 groups of nearly one size make the hashes of one."""
+    reps = np.array([0, 3, 50, 1999])
+    for kept in (1 << 24, 100):
+        monkeypatch.setattr(stats, "KEPT", kept)
+        for seed in (0, 5):
+            draws = stats._Draws(seed, reps)
+            for n in (1, 2, 3, 700, 701, 701, 5000, 70001):
+                got = np.concatenate(list(draws.of(n)))
+                want = [np.bincount(stats.drawn(n, seed, np.int64(r), np.arange(n, dtype=np.int64)), minlength=n) for r in reps]
+                assert (got == want).all()
+    monkeypatch.setattr(stats, "KEPT", 1 << 24)
+    made, plain = [], stats._hashes
+    monkeypatch.setattr(stats, "_hashes", lambda seed, some, since, upto: made.append(len(some) * (upto - since)) or plain(seed, some, since, upto))
+    draws = stats._Draws(0, reps)
+    for n in range(1000, 1020):
+        list(draws.of(n))
+    assert sum(made) < 1.2 * len(reps) * 1000
