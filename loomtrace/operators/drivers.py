@@ -132,7 +132,8 @@ def compare(answers: DataFrame, fitted: dict[str, DataFrame], dataset: DataFrame
     predictions; the first gives the truth. dataset: seq, strength_norm and toughness_norm. Sequences count that all of them
     have; fitted inputs must not repeat one.
     """
-    means = answers.groupBy("seq", "kind").agg(*[F.avg(t).alias(t) for t in TARGETS])
+    # Written: the checks of keys, the ranges' bounds and both kinds read it, and the traces are read once.
+    means = written(answers.groupBy("seq", "kind").agg(*[F.avg(t).alias(t) for t in TARGETS]))
     wide = None
     for kind in KINDS:
         side = means.where(F.col("kind") == kind).select("seq", *[F.col(t).alias(f"{kind}_{t}") for t in TARGETS])

@@ -139,3 +139,21 @@ def test_groups_have_draws_in_common(monkeypatch):
     for n in range(1000, 1020):
         list(draws.of(n))
     assert sum(made) < 1.2 * len(reps) * 1000
+
+
+def test_a_comparison_reads_its_traces_once(spark):
+    from loomtrace.operators import drivers
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    rows = [(s, kind, i / 8, i / 16) for i, s in enumerate(("AC", "ACD", "ACDE", "A")) for kind in drivers.KINDS]
+    answers = spark.createDataFrame(rows, "seq string, kind string, strength double, toughness double").mapInPandas(counted, "seq string, kind string, strength double, toughness double")
+    fitted = spark.createDataFrame([(s, i / 4, i / 2, 1.0 * i, -1.0 * i) for i, s in enumerate(("AC", "ACD", "ACDE", "A"))], "seq string, strength double, log10_toughness double, pred_strength double, pred_log10_toughness double")
+    data = spark.createDataFrame([("AC", 0.1, 0.2), ("W", 0.3, 0.4)], "seq string, strength_norm double, toughness_norm double")
+    drivers.compare(answers, {"ridge": fitted}, data, reps=2)
+    assert seen.value == len(rows)
