@@ -140,10 +140,11 @@ def structured_claims(traces: DataFrame, key: str, trace: str = "trace", short:
     few = F.coalesce(F.size(trace), F.lit(0)) <= short
     within = _claims_within(traces.where(few), key, trace)
     long = traces.where(~few).select(key, F.posexplode(trace).alias("step_index", "step"))
-    calls = long.where("step.step_type = 'tool_call'").select(key, "step_index", "step.tool")
+    # Written, since claims and calls meet several times over.
+    calls = written(long.where("step.step_type = 'tool_call'").select(key, "step_index", "step.tool"))
     said = long.where("step.step_type = 'reasoning'").select(key, "step_index", F.col("step.text").alias("reasoning"))
     silent = traces.where(~few & ~F.exists(trace, lambda s: s["step_type"] == "reasoning")).select(key, F.lit(None).cast("int").alias("step_index"), F.lit(None).cast("string").alias("reasoning"))
-    claimed = grounding.explode_claims(said.unionByName(silent), "reasoning").drop("reasoning")
+    claimed = written(grounding.explode_claims(said.unionByName(silent), "reasoning").drop("reasoning"))
     return within.unionByName(grounding.ground_asof(claimed, calls, key))
 
 
