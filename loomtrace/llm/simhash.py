@@ -36,6 +36,7 @@ WHOLE = 512  # rows under a key that are compared all at once
 BLOCK = 1 << 15  # rows of a key in one part: a task holds two parts at most
 FEW = 16  # sets of no more shingles are looked at whatever their fingerprints
 NEAR = 4  # bits of the first word within which multi-index hashing finds all pairs
+ODD = 4  # longs of a set's odd sketch
 NEAREST = 4  # of each text that the first round looks at; each round looks at 16 times as many
 SAMPLE, OFTEN, COMMON = 32, 16, 100_000  # one text in so many is counted; the counts and number of common shingles
 
@@ -291,23 +292,42 @@ def prefix(s: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -
     return s[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Whether each of 64 * ``ODD`` cells gets an odd number of the set's hashes, as longs. Two sets' sketches differ in no more bits than there are hashes that only one of
+    them has, since each of these changes one cell and those in common change none."""
+    cell = (remix(s) % np.uint64(64 * ODD)).astype(np.int64)
+    return np.packbits(np.bincount(cell, minlength=64 * ODD).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+
+
+def most_odd(least: float) -> float:
+    """Times the sum of both sizes: so many hashes at most does only one of two sets of this similarity have."""
+    return (1 - least) / (1 + least)
+
+
+def _odd_names() -> list[str]:
+    return [f"odd{i}" for i in range(ODD)]
+
+
 def sketches(docs: DataFrame, ident: str, text: str, shingle: int, n_words: int, least: float) -> DataFrame:
-    """ident, the fingerprint of the set of shingles as ``n_words`` longs, their number, and the prefix of their set."""
+    """ident, the fingerprint of the set of shingles as ``n_words`` longs, its odd sketch, their number, and the prefix of their set."""
+    names = [*_names(n_words), *_odd_names()]
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, ident, text, shingle))  # 16 bytes each, ``COMMON`` at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in hashed.chunks(batch, 1):
-                found, sizes, firsts = [], [], []
+                found, odd, sizes, firsts = [], [], [], []
                 for s in shingle_sets(chunk.column(1), shingle):
                     sizes.append(len(s))
                     firsts.append(prefix(s, least, shared.value).view(np.int64))
                     found.append(majorities(s, n_words))
-                longs = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in np.array(found, np.uint64).reshape(-1, n_words).T]
-                yield pa.RecordBatch.from_arrays([chunk.column(0), *longs, pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=[ident, *_names(n_words), "n", "keys"])
+                    odd.append(odd_sketch(s))
+                both = np.hstack([np.array(found, np.uint64).reshape(-1, n_words), np.array(odd, np.uint64).reshape(-1, ODD)])
+                longs = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in both.T]
+                yield pa.RecordBatch.from_arrays([chunk.column(0), *longs, pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=[ident, *names, "n", "keys"])
 
     kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(docs[ident], docs[text]).mapInArrow(thrifty(run), ", ".join([f"`{ident}` {kind}", *(f"{x} long" for x in _names(n_words)), "n int", "keys array<long>"]))
+    return docs.select(docs[ident], docs[text]).mapInArrow(thrifty(run), ", ".join([f"`{ident}` {kind}", *(f"{x} long" for x in names), "n int", "keys array<long>"]))
 
 
 SET = 5  # bytes of a shingle's hash that the exact look compares
@@ -353,10 +373,10 @@ def _sets(docs: DataFrame, ids: DataFrame, ident: str, text: str, shingle: int)
     return sets if sets.count() == ids.count() else stored(sets.dropDuplicates(["id"]))
 
 
-def outside(ids: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, f: np.ndarray, limit: int, least: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+def outside(ids: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, f: np.ndarray, odd: np.ndarray, limit: int, least: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """Each row's ``most`` nearest of another label as its id, theirs and the distance; and whether any row has more than that.
 
-    Sets whose sizes alone rule out the similarity do not link, nor do fingerprints over the limit unless a set has ``FEW`` shingles or
+    Sets whose sizes or odd sketches alone rule out the similarity do not link, nor do fingerprints over the limit unless a set has ``FEW`` shingles or
     fewer. Rows of two sides link across only.
     """
     left, right, apart, more = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint16)], False
@@ -365,6 +385,7 @@ def outside(ids: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray,
         own = slice(s, s + 64)
         d = distances(f[own], f)
         ok = (label[own, None] != label) & ((d <= limit) | (n[own, None] <= FEW) | (n <= FEW)) & (least * np.maximum(n[own, None], n) <= np.minimum(n[own, None], n) + 1e-9)
+        ok &= distances(odd[own], odd) <= most_odd(least) * (n[own, None] + n) + 1e-9
         if across:
             ok &= side[own, None] != side
         for i in np.nonzero(ok.sum(1) > most)[0]:
@@ -378,7 +399,7 @@ def outside(ids: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray,
     return np.concatenate(left), np.concatenate(right), np.concatenate(apart), more
 
 
-def _searcher(limit: int, least: float, most: int):
+def _searcher(n_words: int, limit: int, least: float, most: int):
     """For ``mapInArrow``: what ``outside`` finds under each key and part, and the keys where more are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +408,7 @@ def _searcher(limit: int, least: float, most: int):
             f = np.stack(cols[6:], 1).view(np.uint64)
             found, again = [], []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
-                *links, more = outside(*(c[s:e] for c in cols[2:6]), f[s:e], limit, least, most)
+                *links, more = outside(*(c[s:e] for c in cols[2:6]), f[s:e, :n_words], f[s:e, n_words:], limit, least, most)
                 found.append(links)
                 if more:
                     again.append(int(cols[0][s]))
@@ -408,9 +429,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: s
     round's exact look every node searches again, among the nodes outside its confirmed component, for its nearest under all of its keys, more of them than in the round before,
     until no key and no node has any left: the links of a round are at most so many for each node.
     """
-    names, spark = _names(n_words), docs.sparkSession
+    names, odd, spark = _names(n_words), _odd_names(), docs.sparkSession
     ends = lambda links: links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = prints.select(F.col(ident).cast("long").alias("id"), "n", *names, "keys").join(nodes.select("id"), "id", "left_semi")
+    own = prints.select(F.col(ident).cast("long").alias("id"), "n", *names, *odd, "keys").join(nodes.select("id"), "id", "left_semi")
     dealt = own.select("id", F.explode("keys").alias("key"))
     met = dealt.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     met = stored(dealt.join(stored(met), "key").distinct())
@@ -419,11 +440,11 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: s
     slim = stored(own.drop("keys").dropDuplicates(["id"]))
     held = stored(met.join(keys, "key").join(slim, "id"))
     let_go(spark, met)
-    hubs = slim.select(F.col("id").alias("hub"), F.struct("n", *names).alias("p"))
+    hubs = slim.select(F.col("id").alias("hub"), F.struct("n", *names, *odd).alias("p"))
     pairs = held.where("id <> hub").join(hubs, "hub")
-    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"p.{x}"))) for x in names), F.lit(0))
-    few, many = F.least("n", "p.n"), F.greatest("n", "p.n")
-    near = pairs.where(((apart <= limit) | (few <= FEW)) & (F.lit(least) * many <= few + F.lit(1e-9)))
+    differing = lambda of: sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"p.{x}"))) for x in of), F.lit(0))
+    apart, few, many = differing(names), F.least("n", "p.n"), F.greatest("n", "p.n")
+    near = pairs.where(((apart <= limit) | (few <= FEW)) & (F.lit(least) * many <= few + F.lit(1e-9)) & (differing(odd) <= F.lit(most_odd(least)) * (few + many) + F.lit(1e-9)))
     # Two hubs are enough to begin with, the nearest and the least: whatever these leave apart, the rounds look at.
     first = near.select("id", "hub", apart.alias("apart")).groupBy("id").agg(F.min(F.struct("apart", "hub")).alias("nearest"), F.min("hub").alias("least"))
     hub_links = first.select(F.explode(F.array_distinct(F.array("nearest.hub", "least"))).alias("a"), F.col("id").alias("b"))
@@ -437,8 +458,8 @@ def similar_links(docs: DataFrame, prints: DataFrame, nodes: DataFrame, ident: s
         rows = held.join(of.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         mixed = mixed if again is None else mixed.join(again, "key", "left_semi")
-        split = in_parts(rows.join(mixed, "key"), F.col("rows")).select("key", "part", "id", "label", "n", "side", *names)
-        searched = split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(thrifty(_searcher(limit, least, most)), "own long, other long, apart int, again long")
+        split = in_parts(rows.join(mixed, "key"), F.col("rows")).select("key", "part", "id", "label", "n", "side", *names, *odd)
+        searched = split.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(thrifty(_searcher(n_words, limit, least, most)), "own long, other long, apart int, again long")
         found = stored(searched.distinct())
         # Of what a node finds under all of its keys the nearest are looked at now; whatever it leaves, it searches for again.
         near_first = Window.partitionBy("own").orderBy("apart", "other")

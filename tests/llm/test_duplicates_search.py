@@ -415,3 +415,37 @@ def test_a_round_looks_at_few_links_a_text_and_begins_with_multi_index_hashing(s
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(df, limit=96, **HOW).collect()}
     assert got == exact_components(data)
     assert dealt == [len({t for _, t in data})] and looked[1] <= 4 * len(data)
+
+
+def test_odd_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(14)
+    for n, changed in [(1, 0), (3, 1), (146, 16), (146, 40), (5000, 300)]:
+        s = rng.integers(0, 2**63, n + changed, dtype=np.uint64)
+        a, b = np.unique(s[:n]), np.unique(s[changed:])
+        d = int(simhash.distances(simhash.odd_sketch(a)[None], simhash.odd_sketch(b)[None])[0, 0])
+        only_one = len(np.setxor1d(a, b))
+        assert d <= only_one and (d - only_one) % 2 == 0
+        both = len(np.intersect1d(a, b))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            assert d <= simhash.most_odd(0.8) * (len(a) + len(b)) + 1e-9
+    assert not simhash.odd_sketch(np.empty(0, np.uint64)).any()
+
+
+def test_a_family_of_near_copies_costs_few_links_a_text(spark, monkeypatch):
+    """Near copies of one text of which half are not similar enough to any other: the rounds after the first look take a link a text at most, not all pairs."""
+    rng = random.Random(15)
+    words = [f"v{i}" for i in range(5000)]
+    base = rng.choices(words, k=150)
+    data = [(0, " ".join(base))]
+    for i in range(1, 300):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 12)):
+            w[at] = rng.choice(words)
+        data.append((i, " ".join(w)))
+    looked, similar = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda links, *rest: looked.append(links.count()) or similar(links, *rest))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(df, limit=96, **HOW).collect()}
+    want = exact_components(data)
+    assert got == want and len(set(want.values())) > 100
+    assert sum(looked[1:]) <= len(data) and looked[0] <= 16 * len(data)
