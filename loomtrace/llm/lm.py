@@ -6,7 +6,8 @@ send it (each text chunk's n-grams are counted before), and puts each n-gram int
 its levels 1 to j, where the j-th of ``STEPS`` is the largest that its count reaches; the part has ``BITS`` bits for each entry. A
 count is read back by probing levels until one is missing. The filter grows with the corpus. Up to ``BROADCAST_BYTES``,
 measured before, it is broadcast; a larger one stays dealt, and buckets of texts send their n-grams to the segments and get
-levels back. Both ways give the same scores.
+levels back. Both ways give the same scores. What tasks send each other is a row for each chunk or bucket and *group* of segments, and a group's
+task looks up many buckets' n-grams at once: rows of fewer and fewer n-grams, as segments grow in number, would take their time one by one.
 
 With v the token before w and u the one before v: p(w|v) = (q(v w) + m p(w)) / (Q(v) + m) and, from order 3 on,
 p(w|u v) = (q(u v w) + m p(w|v)) / (Q(u v) + m), down to add-one p(w). q is the least count of the level that was read, Q the greatest, so
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .common import crc_mod, let_go, packed, stored, table, text_bytes, texts_in, thrifty
-from .words import batch_of, cut_by, found_at, from_bytes, narrow, remix, rows_of, to_bytes
+from .words import batch_of, cut_by, found_at, from_bytes, narrow, remix, rows_of, to_bytes  # noqa: F401
 
 ORDER, BITS, PROBES = 2, 8, 4
 SEGMENT_TEXT = 1 << 22  # bytes of text for each segment
@@ -39,6 +40,9 @@ CHUNK = 1 << 21  # bytes of text whose n-grams are counted at once
 BROADCAST_BYTES = 160 << 20  # of filter and token counts together
 #: Counts from which levels begin: 1, 2, 3, 4, 6, 8, 12, ...
 STEPS = np.array([1, 2, *(x for i in range(1, 61) for x in (3 << (i - 1), 2 << i))], np.uint64)
+#: Most segments in a group are 2 ** these; no segments share a group while there are at most 2 ** WIDE.
+COUNT_GROUP, ASK_GROUP, WIDE = 2, 4, 8
+ASKED = 1 << 18  # n-grams that a group looks up at once
 START, END = np.uint64(0x51AFD7ED558CCD01), np.uint64(0xC4CEB9FE1A85EC55)
 FOLDS, HELD_OUT = 7, 2
 
@@ -106,11 +110,12 @@ class Filter:
     data: np.ndarray
     at: np.ndarray
     size: np.ndarray
+    first: int = 0  # the segment that ``at`` and ``size`` begin with
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level all of whose probes, and those of the levels below, are set; 0: none."""
         keys = narrow(keys, self.bits)
-        segment = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        segment = (keys >> np.uint64(64 - self.bits)).astype(np.int64) - self.first
         at, size = self.at[segment], self.size[segment].astype(np.uint64)
         out, left, j = np.zeros(len(keys), np.uint8), np.flatnonzero(size), 1
         while len(left):
@@ -138,6 +143,20 @@ class Model:
 SEGMENT = "segment int, part binary, tokens binary, counts binary, total long, distinct array<long>"
 
 
+def group_bits(bits: int, most: int) -> int:
+    return min(bits, max(WIDE, bits - most))
+
+
+def edges(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of the segments, or groups, of sorted keys begins, and their end."""
+    return np.r_[np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(keys)]
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)  # np.unique by hashing takes many times as long
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 def learn(texts: DataFrame, order: int = ORDER, segment_text: int = SEGMENT_TEXT) -> Model:
     """texts: a column of texts."""
     if not 1 <= order <= 3:
@@ -145,33 +164,47 @@ def learn(texts: DataFrame, order: int = ORDER, segment_text: int = SEGMENT_TEXT
     column = texts.columns[0]
     bits = words.segment_bits(text_bytes(texts, column), segment_text)
 
+    shared = group_bits(bits, COUNT_GROUP)
+    each = 1 << (bits - shared)  # segments of a group
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in words.chunks(batch, 0, CHUNK):
                 t = tokens_of(chunk.column(0))
+                found = [np.unique(x, return_counts=True) for x in (t.hashes[t.event], *(narrow(learned_keys(t, k, k == order), bits) for k in range(1, order + 1)))]
+                at = [edges(keys, bits) for keys, _ in found]
+                n = [x.astype(np.uint32) for _, x in found]
                 rows: list[tuple] = []
-                tokens, n = np.unique(t.hashes[t.event], return_counts=True)
-                for s, own in cut_by(tokens, bits):
-                    rows.append((s, 0, tokens[own].tobytes(), n[own].astype(np.uint32).tobytes()))
-                for k in range(1, order + 1):
-                    keys, n = np.unique(narrow(learned_keys(t, k, k == order), bits), return_counts=True)
-                    for s, own in cut_by(keys, bits):
-                        rows.append((s, k, to_bytes(keys[own], bits), n[own].astype(np.uint32).tobytes()))
-                yield batch_of(rows, ["segment", "k", "keys", "n"], (pa.int32(), pa.int32(), pa.binary(), pa.binary()))
+                for s in range(0, 1 << bits, each):
+                    own = [slice(x[s], x[s + each]) for x in at]
+                    if any(x.start < x.stop for x in own):
+                        sizes = np.concatenate([np.diff(x[s : s + each + 1]) for x in at]).astype(np.int32)
+                        keys = b"".join(to_bytes(keys[x], bits) for (keys, _), x in zip(found[1:], own[1:], strict=True))
+                        rows.append((s // each, sizes.tobytes(), found[0][0][own[0]].tobytes(), keys, np.concatenate([x[y] for x, y in zip(n, own, strict=True)]).tobytes()))
+                yield batch_of(rows, ["group", "sizes", "tokens", "keys", "n"], (pa.int32(), *4 * (pa.binary(),)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment, rows in groupby(rows_of(batches), lambda r: r[0]):
-            found = {k: _sums([(np.frombuffer(a, np.uint64) if k == 0 else from_bytes(a, segment, bits), np.frombuffer(n, np.uint32)) for _, _, a, n in own]) for k, own in groupby(rows, lambda r: r[1])}
-            none = (np.empty(0, np.uint64), np.empty(0, np.uint64))
-            grams = [found.get(k, none) for k in range(1, order + 1)]
-            part = build_part(np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams]))
-            tokens, n = found.get(0, none)
-            row = (segment, part.tobytes(), tokens.tobytes(), n.tobytes(), int(n.sum()), [len(tokens), *(len(g[0]) for g in grams[1:])])
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
-            yield batch_of([row], ["segment", "part", "tokens", "counts", "total", "distinct"], kinds)
-
-    counted = texts.mapInArrow(thrifty(count), "segment int, k int, keys binary, n binary")
-    segments = stored(counted.repartition("segment").sortWithinPartitions("segment", "k").mapInArrow(thrifty(merge), SEGMENT))
+        for group, rows in groupby(rows_of(batches), lambda r: r[0]):
+            segment = np.arange(group * each, (group + 1) * each, dtype=np.uint64)
+            parts: list[list[tuple]] = [[] for _ in range(order + 1)]
+            for _, sizes, tokens, keys, n in rows:
+                size = np.frombuffer(sizes, np.int32).reshape(order + 1, each)
+                every = from_bytes(keys, 0, bits) | np.repeat(np.tile(segment, order), size[1:].ravel()) << np.uint64(64 - bits)
+                split = np.split(every, np.cumsum(size[1:].sum(1))[:-1])
+                for own, *x in zip(parts, [np.frombuffer(tokens, np.uint64), *split], np.split(np.frombuffer(n, np.uint32), np.cumsum(size.sum(1))[:-1]), strict=True):
+                    own.append(x)
+            found = [_sums(x) for x in parts]
+            del parts
+            at = [np.searchsorted(keys, segment << np.uint64(64 - bits)).tolist() + [len(keys)] for keys, _ in found]
+            for i, s in enumerate(segment.tolist()):
+                tokens, *grams = [(keys[x[i] : x[i + 1]], n[x[i] : x[i + 1]]) for (keys, n), x in zip(found, at, strict=True)]
+                part = build_part(np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams]))
+                row = (s, part.tobytes(), tokens[0].tobytes(), tokens[1].tobytes(), int(tokens[1].sum()), [len(tokens[0]), *(len(g[0]) for g in grams[1:])])
+                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+                yield batch_of([row], ["segment", "part", "tokens", "counts", "total", "distinct"], kinds)
+
+    counted = texts.mapInArrow(thrifty(count), "group int, sizes binary, tokens binary, keys binary, n binary")
+    segments = stored(counted.repartition("group").sortWithinPartitions("group").mapInArrow(thrifty(merge), SEGMENT))
     sums = segments.agg(F.sum("total"), *[F.sum(F.get("distinct", F.lit(k))) for k in range(order)], F.sum(F.octet_length("part") + F.octet_length("tokens") + F.octet_length("counts"))).first()
     total, *distinct, n_bytes = [x or 0 for x in sums]
     return Model(segments, bits, order, total, distinct[0], [max(1.0, b / max(1, a)) for a, b in zip(distinct, distinct[1:], strict=False)], n_bytes)
@@ -180,7 +213,9 @@ def learn(texts: DataFrame, order: int = ORDER, segment_text: int = SEGMENT_TEXT
 def _sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the sums of their counts."""
     keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.uint64)
-    order = np.argsort(keys, kind="stable")
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[first], np.add.reduceat(n, first)
@@ -269,58 +304,76 @@ def _by_broadcast(rows: DataFrame, model: Model, totals: Totals, ident: str, sch
 
 
 def _by_exchange(rows: DataFrame, model: Model, totals: Totals, ident: str, schema: str) -> DataFrame:
-    """Buckets of texts ask the segments: for the counts of their tokens, and for the levels of their keys."""
+    """Buckets of texts ask the groups of segments: for the counts of their tokens, and for the levels of their keys."""
     buckets = packed(rows)
     bits, order = model.bits, model.order
-    names = ["segment", "bucket", "what", "a", "b", "c"]
+    shared = group_bits(bits, ASK_GROUP)
+    each = 1 << (bits - shared)  # segments of a group
+    kind = np.uint32 if model.total < 1 << 32 else np.uint64  # of counts
+    names = ["group", "bucket", "what", "a", "b", "c"]
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    fields = "segment int, bucket long, what int, a binary, b binary, c binary"
+    fields = "group int, bucket long, what int, a binary, b binary, c binary"
 
-    def asked(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(t.hashes[t.event]), np.unique(np.concatenate([narrow(keys_of(t, k), bits) for k in range(1, order + 1)]))
+    def keys_in(t: Tokens) -> np.ndarray:
+        return distinct(np.concatenate([narrow(keys_of(t, k), bits) for k in range(1, order + 1)]))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own = asked(tokens_of(texts_in(batch.column(2)[i])))
-                rows_ = [(s, batch.column(0)[i].as_py(), what, keys[at].tobytes(), None, None) for what, keys in enumerate(own, 1) for s, at in cut_by(keys, bits)]
-                yield batch_of(rows_, names, kinds)
+                t, bucket = tokens_of(texts_in(batch.column(2)[i])), batch.column(0)[i].as_py()
+                tokens, keys = distinct(t.hashes[t.event]), keys_in(t)
+                at = np.column_stack([edges(x, shared)[j:][: 1 << shared] for x in (tokens, keys) for j in (0, 1)])
+                yield batch_of([(g, bucket, 1, tokens[i:j].tobytes(), keys[k:n].tobytes(), None) for g, (i, j, k, n) in enumerate(at.tolist()) if i < j or k < n], names, kinds)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for segment, own in groupby(rows_of(batches), lambda r: r[0]):
-            tokens, counts, held = np.empty(0, np.uint64), np.empty(0, np.uint64), None
+        for group, own in groupby(rows_of(batches), lambda r: r[0]):
+            at, size = np.zeros(each, np.int64), np.zeros(each, np.int64)
+            data, tokens, counts = [np.empty(0, np.uint8)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            held, waiting, n = None, [], 0
             for _, bucket, what, a, b, c in own:
-                if what == 0:  # the segment itself comes first
-                    size = np.zeros(1 << bits, np.int64)
-                    size[segment] = 8 * len(a)
-                    held = Filter(bits, np.frombuffer(a, np.uint8), np.zeros(1 << bits, np.int64), size)
-                    tokens, counts = np.frombuffer(b, np.uint64), np.frombuffer(c, np.uint64)
+                if what == 0:  # the group's segments come first, in order
+                    i = bucket - group * each
+                    at[i], size[i] = 8 * sum(map(len, data)), 8 * len(a)
+                    for x, raw, k in zip((data, tokens, counts), (a, b, c), (np.uint8, np.uint64, np.uint64), strict=True):
+                        x.append(np.frombuffer(raw, k))
                     continue
-                keys = np.frombuffer(a, np.uint64)
-                found = _found(tokens, counts, keys).astype(np.uint64) if what == 1 else held.levels(keys) if held else np.zeros(len(keys), np.uint8)
-                yield batch_of([(segment, bucket, what, found.tobytes(), None, None)], names, kinds)
+                if held is None:
+                    held, tokens, counts = Filter(bits, np.concatenate(data), at, size, group * each), np.concatenate(tokens), np.concatenate(counts).astype(kind)
+                waiting.append((bucket, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)))
+                n += len(waiting[-1][1]) + len(waiting[-1][2])
+                if n >= ASKED:
+                    yield told(group, waiting, held, tokens, counts)
+                    waiting, n = [], 0
+            if waiting:
+                yield told(group, waiting, held, tokens, counts)
+
+    def told(group: int, waiting: list[tuple], held: Filter, tokens: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """What some buckets asked for, looked up together."""
+        found = _found(tokens, counts, np.concatenate([w[1] for w in waiting])).astype(kind)
+        levels = held.levels(np.concatenate([w[2] for w in waiting]))
+        cuts = [np.split(x, np.cumsum([len(w[i]) for w in waiting])[:-1]) for i, x in ((1, found), (2, levels))]
+        return batch_of([(group, w[0], 1, x.tobytes(), y.tobytes(), None) for w, x, y in zip(waiting, *cuts, strict=True)], names, kinds)
 
     def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said: dict[int, list[bytes]] = {1: [], 2: []}
+        said: list[tuple[bytes, bytes]] = []
         for batch in batches:
             what = batch.column(2).to_pylist()
             for i in range(batch.num_rows):
-                if what[i] < 3:
-                    said[what[i]].append(batch.column(3)[i].as_py())
+                if what[i] == 1:
+                    said.append((batch.column(3)[i].as_py(), batch.column(4)[i].as_py()))
                     continue
-                t = tokens_of(texts_in(batch.column(5)[i]))
-                tokens, keys = asked(t)
-                counts, levels = np.frombuffer(b"".join(said[1]), np.uint64), np.frombuffer(b"".join(said[2]), np.uint8)
-                yield _batch(batch.column(4)[i].values, ident, text_scores(t, totals, lambda x: _found(tokens, counts, x), lambda x: _found(keys, levels, narrow(x, bits))))  # noqa: B023
-                said = {1: [], 2: []}
+                t = tokens_of(texts_in(batch.column(6)[i]))
+                counts, levels = np.frombuffer(b"".join(x[0] for x in said), kind), np.frombuffer(b"".join(x[1] for x in said), np.uint8)
+                keys, said = keys_in(t), []
+                yield _batch(batch.column(5)[i].values, ident, text_scores(t, totals, lambda _: counts, lambda x: _found(keys, levels, narrow(x, bits))))  # noqa: B023
 
-    whole = model.segments.select("segment", F.lit(None).cast("long").alias("bucket"), F.lit(0).alias("what"), F.col("part").alias("a"), F.col("tokens").alias("b"), F.col("counts").alias("c"))
+    whole = model.segments.select(F.expr(f"CAST(segment DIV {each} AS int)").alias("group"), F.col("segment").cast("long").alias("bucket"), F.lit(0).alias("what"), F.col("part").alias("a"), F.col("tokens").alias("b"), F.col("counts").alias("c"))
     asks = buckets.mapInArrow(thrifty(ask), fields).unionByName(whole)
-    answers = asks.repartition("segment").sortWithinPartitions("segment", "what").mapInArrow(thrifty(answer), fields)
-    texts = buckets.select("bucket", F.lit(None).cast("int").alias("segment"), F.lit(3).alias("what"), F.lit(None).cast("binary").alias("a"), "ids", "texts")
+    answers = asks.repartition("group").sortWithinPartitions("group", "what", "bucket").mapInArrow(thrifty(answer), fields)
+    texts = buckets.select("bucket", F.lit(None).cast("int").alias("group"), F.lit(3).alias("what"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("b"), "ids", "texts")
     nothing = buckets.schema
-    both = answers.select("bucket", "segment", "what", "a", F.lit(None).cast(nothing["ids"].dataType).alias("ids"), F.lit(None).cast(nothing["texts"].dataType).alias("texts"))
-    ready = both.unionByName(texts).repartition("bucket").sortWithinPartitions("bucket", "what", "segment")
+    both = answers.select("bucket", "group", "what", "a", "b", F.lit(None).cast(nothing["ids"].dataType).alias("ids"), F.lit(None).cast(nothing["texts"].dataType).alias("texts"))
+    ready = both.unionByName(texts).repartition("bucket").sortWithinPartitions("bucket", "what", "group")
     return ready.mapInArrow(thrifty(use), schema)
 
 

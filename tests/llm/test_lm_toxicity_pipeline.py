@@ -76,6 +76,37 @@ def test_scores_are_those_of_a_plain_model_both_ways(spark, monkeypatch, order):
         assert all(abs(got[i] - w) < 1e-6 * max(1, -w) for i, w in enumerate(want))
 
 
+def rows_shuffled(df):
+    """Rows that each exchange of a plan that has run wrote."""
+    found, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.length())]
+    return found
+
+
+def test_buckets_ask_groups_of_segments(spark):
+    """Of 4096 segments 16 are a group: a bucket sends each group a row and gets a row back, however many segments it asks. Scores are those of the broadcast."""
+    data = texts(400, 7)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(data)], "doc_id long, text string").coalesce(1)
+    model = lm.learn(df.select("text"), segment_text=12)
+    n_segments = model.segments.count()
+    assert model.bits == 12 and n_segments > 1000
+    by_group = lm.score(df, model, "doc_id", "text", 0)
+    got = {r["doc_id"]: r["score"] for r in by_group.collect()}
+    assert got == {r["doc_id"]: r["score"] for r in lm.score(df, model, "doc_id", "text").collect()}
+    answers, asked = sorted(rows_shuffled(by_group))  # those with the texts, and with the segments
+    assert answers <= 256 + 1 and asked <= 256 + n_segments
+
+
 def test_probabilities_add_up_to_one_at_most(spark):
     data = texts(60, 5)
     model = lm.learn(spark.createDataFrame([(t,) for t in data], "text string"))
