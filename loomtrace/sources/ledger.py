@@ -22,7 +22,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ LINE = 100  # answers in a line of a file
 
 
 def tried(call: Callable[[str], str], prompt: str, retries: int, base_delay: float, sleep: Callable[[float], None]) -> tuple[str | None, str | None, int]:
-    """Completion, error and attempts. Pauses grow; a missing set-up ends the run."""
+    """Completion, error and attempts. Pauses grow, and none of 0 s is made; a missing set-up ends the run."""
     error = None
     for attempt in range(retries):
         try:
@@ -43,7 +43,8 @@ def tried(call: Callable[[str], str], prompt: str, retries: int, base_delay: flo
             raise
         except Exception as e:  # noqa: BLE001
             error = f"{type(e).__name__}: {e}"
-            sleep(base_delay * 2**attempt)
+            if base_delay:  # a sleep of 0 s takes some 0.1 ms, more than all else that a slot takes
+                sleep(base_delay * 2**attempt)
     return None, error, retries
 
 
@@ -95,6 +96,16 @@ class Bucket:
         self.store.move(f"{path}.part", f"{path}.json")
         self.files.append(f"{path}.json")
 
+    def _join(self, path: str) -> None:
+        """The files of this attempt alone stand in the order of names: their bytes go one after another."""
+        with self.store.open_output_stream(f"{path}.part") as out:
+            for own in self.files:
+                with self.store.open_input_stream(own) as held:
+                    while some := held.read(1 << 20):
+                        out.write(some)
+        self.store.move(f"{path}.part", f"{path}.json")
+        self.files.append(f"{path}.json")
+
     def find(self, name: str) -> list | None:
         """The answer to a name, which must not come before the names asked for so far."""
         while self.now and self.now[0] < name:
@@ -117,7 +128,11 @@ class Bucket:
         self.earlier.close()
         if len(self.files) > 1:
             old = list(self.files)
-            self._put(f"{self.folder}/{self._attempt()}-{0:08d}", self._merged())
+            path = f"{self.folder}/{self._attempt()}-{0:08d}"
+            if all(p.startswith(f"{self.folder}/{self.attempt}-") for p in old):
+                self._join(path)
+            else:
+                self._put(path, self._merged())
             for path in old:
                 self.store.delete_file(path)
             self.files = self.files[len(old) :]
@@ -135,15 +150,16 @@ def complete_once(
     # A slot's name in the ledger.
     name = F.sha2(F.concat("__key", F.lit("\n"), F.col(prompt).cast("string")).cast("binary"), 256)
     dealt = slots.withColumn("__key", known).withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)).cast("int")).withColumn("__name", name).drop("__key")
-    dealt = dealt.repartition(min(buckets, 4 * int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "__bucket").sortWithinPartitions("__bucket", "__name")
+    # By number: hashed, some tasks would get three buckets and others none.
+    dealt = dealt.repartitionById(min(buckets, 4 * int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "__bucket").sortWithinPartitions("__bucket", "__name")
     columns = slots.columns
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, bucket, last, answer = None, None, None, []
         try:
             for part in parts:
                 out = []
-                for at, name, text in zip(part["__bucket"], part["__name"], part[prompt], strict=True):
+                for at, name, text in zip(*(part.column(c).to_pylist() for c in ("__bucket", "__name", prompt)), strict=True):
                     if at != number:
                         if bucket:
                             bucket.close()
@@ -159,7 +175,8 @@ def complete_once(
                             if pause:
                                 time.sleep(pause)
                     out.append(answer)
-                yield part[columns].assign(completion=[a[0] for a in out], error=[a[1] for a in out], attempts=[a[2] for a in out])
+                said = [pa.array([a[i] for a in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *said], names=[*columns, "completion", "error", "attempts"])
             if bucket:
                 bucket.close()
         finally:
@@ -167,4 +184,4 @@ def complete_once(
                 bucket.keep()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slots.schema.fields)
-    return dealt.mapInPandas(run, f"{fields}, completion string, error string, attempts int")
+    return dealt.mapInArrow(run, f"{fields}, completion string, error string, attempts int")

@@ -110,3 +110,20 @@ def test_a_task_holds_few_answers_however_many_its_bucket_has(spark, tmp_path):
     assert len(list((tmp_path / "l" / "bucket-00000").iterdir())) == 1
     again = ask(many, completions.no_llm)
     assert again.where("completion LIKE '%prompt ' || slot || '---%'").count() == 60000
+
+
+def test_each_bucket_is_a_task_of_its_own_and_no_pause_is_no_sleep(spark, tmp_path):
+    """Of 16 buckets no two share a task while there are tasks for all, and a pause of 0 s calls nothing. Columns keep their types, nulls among numbers too."""
+    sleeps = tmp_path / "sleeps"
+    sleeps.mkdir()
+    sleep = lambda s: (sleeps / os.urandom(6).hex()).write_text("")
+
+    def bad(prompt):
+        raise ValueError(prompt)
+
+    rows = spark.range(400).selectExpr("id AS slot", "concat('prompt ', id) AS prompt", "IF(id % 2 = 0, id, NULL) AS even", "DATE'2020-02-29' AS day", "array(named_struct('x', id)) AS deep")
+    done = complete_once(rows, "prompt", ["slot"], str(tmp_path / "l"), bad, base_delay=0.0, sleep=sleep, buckets=16, every=500)
+    assert done.selectExpr("spark_partition_id() AS task").distinct().count() == 16
+    assert not list(sleeps.iterdir())
+    again = complete_once(rows, "prompt", ["slot"], str(tmp_path / "l"), completions.no_llm, buckets=16)
+    assert again.where("error = 'ValueError: ' || prompt AND completion IS NULL AND attempts = 3").select(rows.columns).exceptAll(rows).count() == 0 and again.count() == 400
