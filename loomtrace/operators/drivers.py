@@ -97,8 +97,8 @@ def _tools(path: str) -> str:
 def start_pool(spark: SparkSession, path: str, slots: DataFrame, llm: Callable[[str], str] = completions.no_llm, settings: dict | None = None, tolerance: float = 0.1, config: pairs.PairConfig | None = None) -> None:
     """Answers and scores slots into a folder that ``backfill`` can complete in place (see ``sources.parts``). The tools' outputs stay beside it."""
     tools = traces.tool_table(slots, _tools(path))
-    pool = written(traces.score(written(traces.answered(slots, tools, llm)), tools, tolerance))
-    parts.put(spark, path, {"pool": pool, **pool_tables(pool, traces.preference_run(pool, config))}, "prompt_id", settings or {})
+    pool = traces.score(written(traces.answered(slots, tools, llm)), tools, tolerance, dealt=True)
+    parts.put(spark, path, {"pool": pool}, "prompt_id", settings or {}, dealt=True, more=lambda held: pool_tables(held["pool"], traces.preference_run(held["pool"], config)))
 
 
 def backfill(spark: SparkSession, path: str, slots: DataFrame, llm: Callable[[str], str] = completions.no_llm, settings: dict | None = None, tolerance: float = 0.1, config: pairs.PairConfig | None = None) -> int:
@@ -113,15 +113,18 @@ def backfill(spark: SparkSession, path: str, slots: DataFrame, llm: Callable[[st
     prior = parts.read(spark, path, "pool")
     failed = written(prior.where("error is not null").select(*completions.SLOT))
     todo, kept = completions.resume(slots, prior, failed)
+    well = prior.where("error is null")
+    if not well.select(*completions.SLOT).join(failed, completions.SLOT, "left_semi").take(1):
+        # No slot has both kinds of rows: what is kept is then told row by row, without a shuffle. A slot that lacks a key is never asked again.
+        kept = prior.where(" or ".join(f"{c} is null" for c in ("error", *completions.SLOT)))
     touched = [r[0] for r in failed.select(parts.part(F.col("prompt_id"))).distinct().collect()]  # PARTS at most
     if not touched:
         return 0
+    todo = written(todo)
     tools = traces.tool_table(todo, known=spark.read.parquet(_tools(path)) if parts.exists(spark, _tools(path)) else None)
-    new = traces.score(written(traces.answered(todo, tools, llm)), tools, tolerance)
-    filled = written(kept.where(parts.part(F.col("prompt_id")).isin(touched)).unionByName(new))
-    rest = prior.where(~parts.part(F.col("prompt_id")).isin(touched))
-    whole = rest.unionByName(filled)
-    parts.put(spark, path, {"pool": filled, **pool_tables(whole, traces.preference_run(whole, config))}, "prompt_id", only={"pool": touched})
+    new = traces.score(written(traces.answered(todo, tools, llm)), tools, tolerance, dealt=True)
+    filled = kept.where(parts.part(F.col("prompt_id")).isin(touched)).unionByName(new)
+    parts.put(spark, path, {"pool": filled}, "prompt_id", only={"pool": touched}, dealt=True, more=lambda held: pool_tables(held["pool"], traces.preference_run(held["pool"], config)))
     return failed.count()
 
 

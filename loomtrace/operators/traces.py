@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence
 from ..functions.text import answer, tagged
 from ..sources.completions import complete, fan_out, mock_llm
+from ..sources.parts import part
 from ..sources.scratch import written
 from . import grounding
 from .pairs import PairConfig, bucket, build_pairs, diversity, same_answer, summarize
@@ -38,8 +39,9 @@ def tool_table(samples: DataFrame, path: str | None = None, known: DataFrame | N
     """
     keyed = samples.select(sequence_key().alias("seq_key"), "sequence")
     if known is not None:
-        new = written(keyed.join(known.select("seq_key"), "seq_key", "left_anti"))
-        return known if new.isEmpty() else known.unionByName(tool_table(new.select("sequence"), path))
+        # Keys alone are shuffled, and sequences only where some are lacking.
+        new = written(keyed.select("seq_key").distinct().join(known.select("seq_key"), "seq_key", "left_anti"))
+        return known if new.isEmpty() else known.unionByName(tool_table(keyed.join(new, "seq_key", "left_semi").select("sequence"), path))
     keyed = keyed.dropDuplicates(["seq_key"])
     return written(sequence.with_tools(keyed, "sequence").select("seq_key", tools_json().alias("outputs"), grounding.tool_outputs().alias("tools")), path)
 
@@ -103,13 +105,21 @@ def answered(wanted: DataFrame, tools: DataFrame, llm: Callable[[str], str] = mo
     return complete(asked, "prompt", llm, pause).drop("prompt")
 
 
-def score(done: DataFrame, tools: DataFrame, tolerance: float = 0.1) -> DataFrame:
-    """Answer, grounding and correctness of each completion. tools: the ``tool_table`` of their sequences."""
+LOTS = 4  # of a pool's part, each in one task
+
+
+def score(done: DataFrame, tools: DataFrame, tolerance: float = 0.1, dealt: bool = False) -> DataFrame:
+    """Answer, grounding and correctness of each completion. tools: the ``tool_table`` of their sequences. dealt: rows come by a pool's parts, so that ``parts.put`` need not move them once more."""
     scores = grounding.report(grounded_claims(with_outputs(done.where("error is null"), tools, "tools"), "trace_id"), "trace_id").select("trace_id", "grounding_score")
     rows = done.select("trace_id", "prompt_id", "trace_kind", "k", "sequence", "protein_category", "ground_truth", "error", F.col("completion").alias("trace_text"), answer(F.col("completion")).alias("final_answer"))
     pred, truth = F.col("final_answer"), F.col("ground_truth")
     judged = rows.withColumn("mae", mean_abs_error(pred, truth)).withColumn("is_correct", is_correct(pred, truth, tolerance))
-    return judged.join(scores, "trace_id", "left")
+    if not dealt:
+        return judged.join(scores, "trace_id", "left")
+    # A trace_id is the prompt's, kind and k, so both sides know the part; what they share is all that is dealt by.
+    lot = F.regexp_replace("trace_id", "/[^/]*/[^/]*$", "")
+    by_lot = lambda df: df.withColumn("__part", part(lot)).withColumn("__lot", F.pmod(F.hash(lot), F.lit(LOTS))).repartition("__part", "__lot")
+    return by_lot(judged).join(by_lot(scores), ["__part", "__lot", "trace_id"], "left").drop("__part", "__lot")
 
 
 def scored_pool(samples: DataFrame, k_grounded: int, k_shortcut: int, llm: Callable[[str], str] = mock_llm, tolerance: float = 0.1) -> DataFrame:

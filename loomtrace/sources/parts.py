@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .scratch import no_leftovers
+
 PARTS = 64
 
 
@@ -57,23 +60,40 @@ def _commit(spark: SparkSession, path: str, new: dict) -> None:
         raise RuntimeError(f"{path} was changed by another run")
 
 
-def put(spark: SparkSession, path: str, tables: dict[str, DataFrame], key: str, settings: dict | None = None, only: dict[str, list[int]] | None = None) -> None:
-    """Writes tables and makes them count, all at once. only: of these tables the given parts are replaced, and the others stay. Tables without the key are one part."""
+def put(
+    spark: SparkSession, path: str, tables: dict[str, DataFrame], key: str, settings: dict | None = None, only: dict[str, list[int]] | None = None,
+    more: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None, dealt: bool = False,
+) -> None:
+    """Writes tables and makes them count, all at once. only: of these tables the given parts are replaced, and the others stay. Tables without the key are one part.
+
+    more: makes further tables of those that have been written, as they then are, so that what they have in common is stored nowhere else. dealt: the rows of ``tables`` come by parts and are written where they are.
+    """
     before, version = manifest(spark, path), uuid.uuid4().hex
     now = {"number": before["number"] + 1, "tables": dict(before["tables"]), "settings": settings if settings is not None else before["settings"]}
-    for name, df in tables.items():
+
+    def write(name: str, df: DataFrame, dealt: bool) -> None:
         rows = df.withColumn("__part", part(F.col(key)) if key in df.columns else F.lit(0))
-        rows.hint("rebalance", "__part").write.partitionBy("__part").parquet(f"{path}/{name}/{version}")
+        with no_leftovers(spark):
+            (rows if dealt else rows.hint("rebalance", "__part")).write.option("compression", "zstd").partitionBy("__part").parquet(f"{path}/{name}/{version}")
         files = {n.partition("=")[2]: version for n in _names(spark, f"{path}/{name}/{version}") if n.startswith("__part=")}
         if only and name in only:
             files |= {p: v for p, v in before["tables"][name]["files"].items() if int(p) not in only[name]}
         now["tables"][name] = {"schema": df.schema.jsonValue(), "files": files}
+
+    for name, df in tables.items():
+        write(name, df, dealt)
+    for name, df in more({name: _rows(spark, path, name, now) for name in tables}).items() if more else ():
+        write(name, df, False)
     _commit(spark, path, now)
 
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The table as the latest manifest has it."""
-    held = manifest(spark, path)["tables"][name]
+    return _rows(spark, path, name, manifest(spark, path))
+
+
+def _rows(spark: SparkSession, path: str, name: str, manifest_: dict) -> DataFrame:
+    held = manifest_["tables"][name]
     schema = StructType.fromJson(held["schema"])
     files = [f"{path}/{name}/{v}/__part={p}" for p, v in sorted(held["files"].items())]
     return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)

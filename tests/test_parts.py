@@ -1,5 +1,8 @@
 """Pools that are completed in place."""
 
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +81,32 @@ def test_backfill_runs_no_tool_again(spark, tmp_path):
     assert drivers.backfill(spark, path, slots, echo) == 2
     said = {r["prompt_id"]: r["trace_text"] for r in parts.read(spark, path, "pool").collect()}
     assert said["p0"] == "marked" and "motif_detector" in said["p1"]
+
+
+def test_a_pool_moves_its_sequences_few_times(spark, tmp_path):
+    """MB of long sequences, in a pool and its backfill with sorted joins: what is shuffled and written is bounded, and no shuffle file outlives its step."""
+    rng, path = random.Random(4), tmp_path / "run"
+    rows = [(f"p{i}", "".join(rng.choices("ACDEFGHIKLMNPQRSTVWY", k=20000)), "f", "g", "s", "c", {"strength": 0.5}) for i in range(100)]
+    samples = spark.createDataFrame(rows, "prompt_id string, sequence string, family string, genus string, species string, protein_category string, ground_truth map<string,double>").repartition(4)
+    samples.write.parquet(f"{tmp_path}/samples")
+    slots = traces.slots(spark.read.parquet(f"{tmp_path}/samples"), 2, 1)
+
+    def half(prompt):
+        if prompt.partition("Sequence: ")[2][:1] < "L":
+            raise ConnectionError("no")
+        return completions.mock_llm(prompt)
+
+    sc = spark.sparkContext
+    blocks = sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sc._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    left = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, files_before = shuffled(), left()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        drivers.start_pool(spark, str(path), slots, half)
+        assert drivers.backfill(spark, str(path), slots, completions.mock_llm) > 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    pool = parts.read(spark, str(path), "pool")
+    assert pool.count() == 300 and pool.where("error is null AND length(sequence) = 20000 AND grounding_score is not null").count() == 300
+    assert shuffled() - before < 45_000_000 and sum(map(os.path.getsize, left() - files_before)) < 100_000
